@@ -1,5 +1,73 @@
-"""The corpus pipeline: stages that each call one operator of ``quotemill.llm``."""
+"""The corpus pipeline: language ID, toxicity, near-duplicate join, repeat removal and packing, one after another.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet to the shared
+folder and hands it, read back, to the next one. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quotemill.llm import jaccard_join, language_id, packing, suffix_dedup, toxicity
+from quotemill.llm.common import settle, table
+
+#: A document goes if its main language covers less than this share of its letters, or if it has no language.
+LEAST_SHARE = 0.5
+#: A document goes if its toxicity score is at least this.
+MOST_TOXIC = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and texts that no language covers by half; the model is fitted on ``docs`` itself."""
+    model = language_id.train(docs)
+    found = language_id.identify(docs, model, spans=False, carry=True)
+    return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the model, fitted on the labelled ones among ``docs``, scores as toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, carry=True).filter(F.col("score") < MOST_TOXIC).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of linked documents the one with the least doc_id, once; rows without an id stay."""
+    found = jaccard_join.jaccard_join(docs)
+    kept = found.filter("doc_id = class_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated 200-byte strings out of the texts; a character cut in two at the edge of a span goes whole."""
+    cut = suffix_dedup.remove_repeats(docs, kept=True, carry=True)
+    out = cut.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of all texts into sequences of 2048."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", keep_one_of_each_group),
+    ("suffix_dedup", remove_repeats),
+    ("packing", pack),
+]
+
+#: Learnt models and tokenizers can't be put into SQL; the stages are tested against brute force instead.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows and bytes that one Python step holds at a time, whatever the size of an Arrow batch.
 STEP_ROWS, STEP_BYTES = 2_000, 16_000_000
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def settle(df: DataFrame, by: str | None = None) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
@@ -52,7 +53,15 @@ def bounded_share(df: DataFrame, key: Column, rows: int, total: int) -> DataFram
     return df.filter(F.pmod(F.xxhash64(F.lit("share"), key), F.lit(slots)) < int(slots * rows / total))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def carrying(docs: DataFrame, key: str, text: str, added: str, carry: bool) -> tuple[DataFrame, StructType]:
+    """The text first, then the key or all columns that ``added`` (a schema) doesn't replace; the schema of those and ``added``."""
+    new = _parse_datatype_string(added)
+    stay = [c for c in (docs.columns if carry else [key]) if c not in new.names]
+    schema = StructType([docs.schema[c] for c in stay] + new.fields)
+    return docs.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`") for c in stay]), schema
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str | int = 0) -> Iterator[pa.RecordBatch]:
     """The same rows in slices bounded by rows and by the bytes of ``column``; a longer single value stays whole."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()

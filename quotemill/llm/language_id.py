@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import carrying, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -240,20 +240,22 @@ def _viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalt
         last[:n][leave] = came[at][leave]
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text", spans: bool = True) -> DataFrame:
-    """Per row: key, ``lang_pred``, ``score`` (share of the letters in spans of that language), ``n_spans`` and, if
-    asked for, ``spans`` (start and end as code points of the text, language)."""
+def identify(
+    docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text", spans: bool = True, carry: bool = False,
+) -> DataFrame:
+    """Per row: key (``carry``: all columns, of which the result's replace those with its names), ``lang_pred``, ``score``
+    (share of the letters in spans of that language), ``n_spans`` and, if asked for, ``spans`` (start and end as code
+    points of the text, language)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    out = f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double, n_spans int"
+    added = "lang_pred string, score double, n_spans int" + ", spans array<struct<start: int, end: int, lang: string>>" * spans
+    source, schema = carrying(docs, key, text, added, carry)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-    if spans:
-        out += ", spans array<struct<start: int, end: int, lang: string>>"
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         words, count = _Words(known), len(known.languages)
-        for batch in small_batches(batches, "text"):
-            texts = batch.column("text").to_pylist()
+        for batch in small_batches(batches):
+            texts = batch.column(0).to_pylist()
             found, ids, letters, lengths = [], [], [], []
             for value in texts:
                 own = WORD.findall(value.lower()) if value and count else []
@@ -279,7 +281,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text
             best, sums = share.argmax(1), share.sum(1)
             names = [known.languages[b] if s else UNDETERMINED for b, s in zip(best, sums, strict=True)]
             score = share[np.arange(len(texts)), best] / np.maximum(sums, 1)
-            columns = [batch.column("key"), pa.array(names, pa.string()), pa.array(score), pa.array(runs, pa.int32())]
+            columns = [*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(runs, pa.int32())]
             if spans:
                 for d, value in enumerate(texts):
                     at, own = [], labels[starts[d] : starts[d] + lengths[d]]
@@ -292,6 +294,6 @@ def identify(docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text
                     found.append(at)
                 columns.append(pa.array(found, kind))
             words.trim()
-            yield pa.RecordBatch.from_arrays(columns, [key, "lang_pred", "score", "n_spans", *["spans"] * spans])
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(label, out)
+    return source.mapInArrow(label, schema)

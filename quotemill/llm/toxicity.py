@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_share, small_batches
+from .common import bounded_share, carrying, small_batches
 
 WORD = re.compile(r"\w+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -142,20 +142,20 @@ def train(
     return ToxicityModel(bits, gaps, bias, bucket[real], weight[real].astype(np.float32))
 
 
-def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key and ``score``, the probability of label 1 given the whole text."""
+def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """Per row: key (``carry``: all columns; one named score is replaced) and ``score``, the probability of label 1 given
+    the whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    name = key
+    source, schema = carrying(docs, key, text, "score double", carry)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cache = sent.value, _Hashes()
         dense = known.dense()
-        for batch in small_batches(batches, "text"):
-            owner, bucket = _features(batch.column("text").to_pylist(), cache, known.bits, known.gaps)
+        for batch in small_batches(batches):
+            owner, bucket = _features(batch.column(0).to_pylist(), cache, known.bits, known.gaps)
             real = dense[bucket] != 0
             both = np.unique(owner[real] << known.bits | bucket[real])
             total = np.bincount(both >> known.bits, dense[both & (1 << known.bits) - 1], batch.num_rows) + known.bias
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [name, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], schema.names)
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(rate, f"`{key}` {kind}, score double")
+    return source.mapInArrow(rate, schema)
