@@ -3,11 +3,10 @@
 A string of ``length`` bytes has a content-defined anchor, the least hash of its ``GRAM``-byte pieces. Strings can only
 be equal if their anchors are, so every maximal run of start places with one anchor becomes a window (the run and the
 ``length - 1`` bytes after it), and only windows whose anchor occurs elsewhere are looked at. They are dealt by anchor;
-equal windows collapse into one that is marked as repeated. In each part the distinct windows form shards; the suffixes
-of each shard are sorted by themselves into a Burrows-Wheeler transform with common prefix lengths, and the transforms
-are merged: a block of suffixes that agree in h bytes is refined by the preceding symbol into blocks that agree in h + 1,
-until ``length``; blocks of one shard alone need no refinement, as that shard's own prefix lengths tell. Suffixes that
-stay in a block up to ``length`` are repeated strings.
+equal windows collapse into one that is marked as repeated. The distinct windows are the shards, each with its own
+Burrows-Wheeler transform (the symbols before its suffixes), and the transforms of a part are merged: a block of
+suffixes that agree in h bytes is refined by the preceding symbols into blocks that agree in more,
+until ``length``, without sorting suffixes anew. Suffixes that stay in a block up to ``length`` are repeated strings.
 
 Anchors with over ``hot`` windows are split by the distance between start and anchor, which equal strings share too.
 
@@ -159,97 +158,46 @@ def _windows(joined: DataFrame, length: int, content: bool) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def suffix_order(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of a shard in order of their first ``length`` bytes (no suffix passes its window's end), and which of
-    them share all ``length`` bytes with another one. Only suffixes that still share a rank are sorted further."""
-    n = len(data)
-    wide = np.zeros(n + length + 8, np.uint8)
-    wide[:n] = data
-    room = np.minimum(ends - np.arange(n), length)
-
-    def word(at: np.ndarray, done: int) -> np.ndarray:
-        left = np.clip(room[at] - done, 0, 8)
-        value = np.zeros(len(at), np.uint64)
-        for i in range(8):
-            value = value << np.uint64(8) | wide[at + done + i]
-        short = left < 8
-        if short.any():
-            shift = (8 * (8 - left[short])).astype(np.uint64)
-            value[short] = np.where(left[short] == 0, 0, value[short] >> np.minimum(shift, np.uint64(63)) << np.minimum(shift, np.uint64(63)))
-        return value
-
-    order = np.argsort(word(np.arange(n), 0), kind="stable")
-    first = word(order, 0)
-    head = np.append(True, first[1:] != first[:-1])
-    done = 8
-    while done < length:
-        group = np.cumsum(head) - 1
-        size = np.bincount(group)
-        at = np.flatnonzero(size[group] > 1)
-        if not len(at):
-            break
-        own = order[at]
-        key = word(own, done)
-        by = np.lexsort((key, group[at]))
-        order[at] = own[by]
-        key, g = key[by], group[at]
-        head[at[1:]] |= (g[1:] == g[:-1]) & (key[1:] != key[:-1])
-        done += 8
-    group, full = np.cumsum(head) - 1, room[order] >= length
-    return order, full & (np.bincount(group[full], minlength=len(order))[group] > 1)
-
-
-def repeated_starts(windows: list[bytes], repeated: list[bool], length: int, shards: int = 4) -> list[np.ndarray]:
-    """For each distinct window the start places whose ``length`` bytes occur elsewhere among the windows, or all starts of
-    a window that is itself repeated."""
-    starts = [len(w) - length + 1 for w in windows]
-    found = [np.ones(n, bool) if r else np.zeros(n, bool) for n, r in zip(starts, repeated, strict=True)]
-    shards = max(1, min(shards, len(windows)))
-    dealt = [list(range(s, len(windows), shards)) for s in range(shards)]
-    first, bwt, lf, place, owner, shard = [], [], [], [], [], []
-    base = 0
-    for s, own in enumerate(dealt):
-        size = np.array([len(windows[i]) for i in own], np.int64)
-        data = np.frombuffer(b"".join(windows[i] for i in own), np.uint8)
-        begin = np.cumsum(size) - size
-        of = np.repeat(np.arange(len(own)), size)
-        order, same = suffix_order(data, (begin + size)[of], length)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        head = order == begin[of[order]]
-        first.append(data[order])
-        bwt.append(np.where(head, 0, data[order - 1]))
-        lf.append(np.where(head, -1, base + rank[order - 1]))
-        place.append(order - begin[of[order]])
-        owner.append(np.array(own, np.int64)[of[order]])
-        shard.append(np.full(len(order), s, np.int8))
-        for r in np.flatnonzero(same):
-            found[owner[-1][r]][place[-1][r]] = True
-        base += len(order)
-    if shards == 1:
-        return found
-    first, bwt, lf, place, owner, shard = (np.concatenate(x) for x in (first, bwt, lf, place, owner, shard))
-    # The interleave: suffixes in order of their first h bytes, in blocks that agree in all h of them.
-    now = np.argsort(first, kind="stable")
-    symbol, block = first[now], np.zeros(len(now), np.int64)
-    for h in range(1, length + 1):
-        if h > 1:
-            symbol, before = bwt[now], lf[now]
-            real = before >= 0
-            symbol, before, block = symbol[real], before[real], block[real]
-            by = np.argsort(symbol, kind="stable")
-            symbol, now, block = symbol[by], before[by], block[by]
-        if not len(now):
-            return found
-        head = np.append(True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]))
-        block = np.cumsum(head) - 1
-        at = np.flatnonzero(head)
-        mixed = np.minimum.reduceat(shard[now], at) != np.maximum.reduceat(shard[now], at)
-        keep = mixed[block]
-        now, block = now[keep], block[keep]
-    for r in now:
-        found[owner[r]][place[r]] = True
-    return found
+def repeated_starts(windows: list[bytes], repeated: list[bool], length: int, parts: list[int] | None = None) -> list[np.ndarray]:
+    """For each distinct window which of its start places have their ``length`` bytes elsewhere in windows of its part, too
+    (all of them for a window that is itself repeated).
+
+    Each window is a shard, and the symbols that precede its suffixes are its transform. The interleave of the shards
+    begins with one block a part. Every step refines a block of suffixes that agree in h bytes by the two preceding
+    symbols into blocks that agree in h + 2; the order within a block stays that of the step before. A suffix takes part
+    only while the walk can still reach a whole string, a block only while it has two suffixes and one of them isn't
+    known to be repeated. Blocks left at ``length`` are the repeated intervals.
+    """
+    size = np.array([len(w) for w in windows], np.int64)
+    count = np.maximum(size - length + 1, 0)
+    first = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(windows)), count)
+    known = np.array(repeated, bool)[owner]
+    found = known.copy()
+    data = np.frombuffer(b"".join(windows), np.uint8)
+    spot = (np.cumsum(size) - size)[owner] + np.arange(len(owner)) - first[owner]
+    now = np.arange(len(owner))
+    if parts is not None:
+        now = np.argsort(np.array(parts)[owner], kind="stable")
+        _, block = np.unique(np.array(parts)[owner][now], return_inverse=True)
+    else:
+        block = np.zeros(len(now), np.int64)
+    pair = data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
+    done = 0
+    while done < length and len(now):
+        step = 2 if length - done > 1 else 1
+        done += step
+        symbol = (pair if step == 2 else data)[spot[now] + length - done]
+        by = np.argsort(symbol, kind="stable")
+        symbol, now, block = symbol[by], now[by], block[by]
+        at = np.flatnonzero(np.append(True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])))
+        many = np.diff(np.append(at, len(now)))
+        live = (many > 1) & ~np.logical_and.reduceat(known[now], at)
+        keep = np.repeat(live, many)
+        now = now[keep]
+        block = np.repeat(np.arange(np.count_nonzero(live)), many[live])
+    found[now] = True
+    return np.split(found, first[1:]) if len(windows) else []
 
 
 def spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -259,15 +207,20 @@ def spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _merge(data: pa.Table, length: int) -> pa.Table:
-    own: dict[bytes, list] = {}
-    for name, content, low, high in zip(*(data.column(c).to_pylist() for c in ("window", "content", "least", "most")), strict=True):
-        if name in own:
-            own[name][1], own[name][2] = min(own[name][1], low), max(own[name][2], high)
+    own: dict[tuple[int, bytes], list] = {}
+    for part, name, content, low, high in zip(*(data.column(c).to_pylist() for c in ("part", "window", "content", "least", "most")), strict=True):
+        if (part, name) in own:
+            have = own[part, name]
+            have[1], have[2] = min(have[1], low), max(have[2], high)
         else:
-            own[name] = [content, low, high]
+            own[part, name] = [content, low, high]
     names = sorted(own)
-    found = repeated_starts([own[n][0] for n in names], [own[n][1] < own[n][2] for n in names], length)
-    rows = [(n, a, b) for n, f in zip(names, found, strict=True) for a, b in spans(f)]
+    twice = [own[n][1] < own[n][2] for n in names]
+    open_parts = {n[0] for n, t in zip(names, twice, strict=True) if not t}
+    rows = [(n[1], 0, len(own[n][0]) - length) for n in names if n[0] not in open_parts]
+    left = [(n, t) for n, t in zip(names, twice, strict=True) if n[0] in open_parts]
+    found = repeated_starts([own[n][0] for n, _ in left], [t for _, t in left], length, [n[0] for n, _ in left])
+    rows += [(n[1], a, b) for (n, _), f in zip(left, found, strict=True) for a, b in spans(f)]
     columns = zip(*rows, strict=True) if rows else ((),) * 3
     return pa.table({c: pa.array(list(x), t) for c, x, t in zip(("window", "a", "b"), columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)})
 
@@ -284,7 +237,7 @@ def remove_repeats(
     added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * kept
     source, schema = carrying(docs, key, text, added, carry)
     row = F.struct(*[F.col(f"`{c}`") for c in source.columns[1:]])
-    base = docs.select(raw.alias("text"), row.alias("row")).withColumn("tid", F.unhex(F.md5("text")))
+    base = docs.select(raw.alias("text"), row.alias("row")).withColumn("tid", F.unhex(F.md5("text"))).filter("tid is not null")
     parts = max(1, (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes)
 
     by_anchor = Window.partitionBy("anchor")

@@ -254,11 +254,12 @@ def test_suffix_dedup(spark, odd, none, hot):
 def test_merged_transforms():
     r = random.Random(4)
     for _ in range(30):
+        size = r.randrange(7, 9)
         windows = ["".join(r.choice("ab") for _ in range(r.randrange(8, 40))).encode() for _ in range(r.randrange(1, 9))]
         windows = sorted(set(windows))
-        got = suffix_dedup.repeated_starts(windows, [False] * len(windows), 8, shards=r.randrange(1, 5))
-        seen = Counter(w[i : i + 8] for w in windows for i in range(len(w) - 7))
-        assert [list(g) for g in got] == [[seen[w[i : i + 8]] > 1 for i in range(len(w) - 7)] for w in windows]
+        got = suffix_dedup.repeated_starts(windows, [False] * len(windows), size)
+        seen = Counter(w[i : i + size] for w in windows for i in range(len(w) - size + 1))
+        assert [list(g) for g in got] == [[seen[w[i : i + size]] > 1 for i in range(len(w) - size + 1)] for w in windows]
 
 
 # --- 6
