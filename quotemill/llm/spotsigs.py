@@ -75,8 +75,8 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per
     order = [F.col(key).desc_nulls_last(), F.col("__tie").desc()]
     inside = Window.partitionBy("__range").orderBy(*order)
     main = dealt.withColumn("__after", F.lead(F.struct(*columns)).over(inside))
-    heads = dealt.groupBy("__range").agg(F.max(key).alias("__head"))
-    heads = heads.withColumnRenamed("__range", "__r").hint("shuffle_hash")
+    heads = dealt.groupBy("__range").agg(F.max(key).alias("__head")).withColumnRenamed("__range", "__r")
+    heads = F.broadcast(heads)  # two numbers a range, so at most ``ranges`` rows
     first = dealt.join(heads, (F.col("__range") == F.col("__r")) & F.col(key).eqNullSafe(F.col("__head")))
     first = first.withColumn("__n", F.row_number().over(inside)).filter("__n = 1").select("__range", F.struct(*columns).alias("__first"))
     across = Window.orderBy(F.col("__range").desc())  # one row a range, so at most ``ranges`` rows
