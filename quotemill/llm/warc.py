@@ -107,7 +107,7 @@ def warc_record(kind: str, url: str, date: str, number: str | None, payload_dige
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(content)))]
     text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
-    return gzip.compress(text.encode() + content + b"\r\n\r\n", 3, mtime=0)
+    return gzip.compress(text.encode() + content + b"\r\n\r\n", 1, mtime=0)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -124,47 +124,64 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
+def _arcs(batches: Iterator[pa.RecordBatch], version: int) -> Iterator[tuple[str, bytes]]:
+    """(name, file) of each bounded step of rows (key, url, html)."""
+    for batch in batches:
+        for part in small_batches([batch], "html"):
+            rows = zip(part.column("key").to_pylist(), part.column("url").to_pylist(), part.column("html").cast(pa.binary()).to_pylist(), strict=True)
+            rows = [(k, u, h or b"") for k, u, h in rows]
+            name = f"pages-{digest(repr([r[:2] for r in rows]).encode())[:16]}.arc"
+            yield name, arc_file(name, rows, version)
+
+
+ARC_ROWS = "archive string, place long, page_id long, url string, warc_date string, warc_type string, payload_bytes long, payload_digest string, payload_sha1 string, http binary, payload binary"
+_ARC_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+_ARC_NAMES = [c.strip().split(" ")[0] for c in ARC_ROWS.split(",")]
+
+
+def _arc_rows(files: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The records of ARC files with what a WARC record needs."""
+    for name, data in files:
+        rows = []
+        for at, head, content in arc_records(data):
+            fields, http, body = http_parts(content)
+            number, sha1 = fields.get("x-page-id"), hashlib.sha1(body).digest()
+            rows.append((name, at, None if number is None else int(number), head["URL"], warc_time(head["Archive-date"]), "response" if http else "resource", len(body), base64.b32encode(sha1).decode(), sha1.hex(), http, body))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(_ARC_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _ARC_TYPES, strict=True)], _ARC_NAMES)
+
+
+def _keyed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    return pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
+
+
 def write_arc(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> DataFrame:
     """ARC files of the pages: ``archive`` (name) and ``content``, one for each bounded step of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small_batches([batch], "html"):
-                rows = zip(part.column("key").to_pylist(), part.column("url").to_pylist(), part.column("html").cast(pa.binary()).to_pylist(), strict=True)
-                rows = [(k, u, h or b"") for k, u, h in rows]
-                name = f"pages-{digest(repr([r[:2] for r in rows]).encode())[:16]}.arc"
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([arc_file(name, rows, version)], pa.binary())], ["archive", "content"])
+        for name, data in _arcs(batches, version):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["archive", "content"])
 
-    return pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, "archive string, content binary")
+    return _keyed(pages, key, url, html).mapInArrow(run, "archive string, content binary")
 
 
-def read_arc(archives: DataFrame, *, payload: bool = True) -> DataFrame:
-    """The records of ARC files with what a WARC record needs; without HTTP header and payload if not asked for."""
-    names = ["archive", "place", "page_id", "url", "warc_date", "warc_type", "payload_bytes", "payload_digest", *["http", "payload"] * payload]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), *[pa.binary()] * (2 * payload)]
+def read_arc(archives: DataFrame) -> DataFrame:
+    """The records of ARC files (``archive``, ``content``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = []
-                for at, head, content in arc_records(data):
-                    fields, http, body = http_parts(content)
-                    number = fields.get("x-page-id")
-                    kind = "response" if http else "resource"
-                    rows.append((name, at, None if number is None else int(number), head["URL"], warc_time(head["Archive-date"]), kind, len(body), digest(body), *((http, body) if payload else ())))
-                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+            yield from _arc_rows(zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True))
 
-    schema = "archive string, place long, page_id long, url string, warc_date string, warc_type string, payload_bytes long, payload_digest string"
-    return archives.mapInArrow(run, schema + ", http binary, payload binary" * payload)
+    return archives.select("archive", "content").mapInArrow(run, ARC_ROWS)
 
 
-def revisits(records: DataFrame, *, least: int = 0) -> DataFrame:
-    """(page_id, payload_digest, refers_to) of records whose payload, of ``least`` bytes or more, a larger page id has too."""
-    facts = records.filter(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
-    groups = facts.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null")
-    found = facts.join(groups.drop("n"), "payload_digest").filter("page_id is null or page_id < refers_to")
-    return found.groupBy("page_id", "payload_digest").agg(F.max("refers_to").alias("refers_to"))
+def revisits(facts: DataFrame, *, least: int = 0) -> DataFrame:
+    """(page_id, payload_sha1, refers_to) of those rows (page_id, payload_bytes, payload_sha1) whose payload, of ``least``
+    bytes or more, a larger page id has too."""
+    facts = facts.filter(F.col("payload_bytes") >= least).select("page_id", "payload_sha1")
+    groups = facts.groupBy("payload_sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null")
+    found = facts.join(groups.drop("n"), "payload_sha1").filter("page_id is null or page_id < refers_to")
+    return found.groupBy("page_id", "payload_sha1").agg(F.max("refers_to").alias("refers_to"))
 
 
 def write_warc(records: DataFrame) -> DataFrame:
@@ -213,11 +230,17 @@ def read_warc(archives: DataFrame, *, payload: bool = False) -> DataFrame:
 def to_warc(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> DataFrame:
     """Pages through ARC into WARC files kept in the shared folder: ``archive`` and ``content``.
 
-    Payload digests are found in a first pass over the ARC files, without payloads, so that only small rows are grouped.
+    Which records revisit which is found on the digests of the pages alone, so only small rows are grouped; the ARC files
+    are written and parsed in one step of a task.
     """
-    archives = write_arc(pages, key=key, url=url, html=html, version=version)
-    again = revisits(read_arc(archives, payload=False))
-    full = read_arc(archives)
-    same = (F.col("r.page_id").eqNullSafe(full["page_id"])) & (F.col("r.payload_digest") == full["payload_digest"])
+    raw = F.coalesce(F.col(html), F.lit("")).cast("binary")
+    facts = pages.select(F.col(key).cast("long").alias("page_id"), F.octet_length(raw).alias("payload_bytes"), F.sha1(raw).alias("payload_sha1"))
+    again = revisits(facts)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _arc_rows(_arcs(batches, version))
+
+    full = _keyed(pages, key, url, html).mapInArrow(convert, ARC_ROWS)
+    same = F.col("r.page_id").eqNullSafe(full["page_id"]) & (F.col("r.payload_sha1") == full["payload_sha1"])
     joined = full.join(again.alias("r"), same, "left").select(full["*"], F.col("r.refers_to"))
     return settle(write_warc(joined))
