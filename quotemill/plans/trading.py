@@ -24,7 +24,6 @@ from .registry import ctes, query
 
 _L = label_sql("ts_event")
 HALF = "timestamp '2024-01-15'"
-TRAIN = F.col("ts_event") < F.lit("2024-01-15 00:00:00").cast("timestamp")
 W = "(partition by venue, instrument order by ts_event)"
 
 
@@ -44,7 +43,8 @@ def _two(spark, sf):
 @query("pf1_forecast_scaling", ctes(*BARS, f"f as (select *, close - open as value from bars)", f"s as (select venue, instrument, 10 / nullif(avg(abs(value)), 0) as scale from f where ts_event < {HALF} group by all)") + "select venue, instrument, epoch_us(ts_event) as ts_us, round(greatest(least(value * scale, 20), -20), 6) as scaled from f join s using (venue, instrument)")
 def _(spark, sf):
     f = _bars(spark, sf).withColumn("value", F.col("close") - F.col("open"))
-    return PF.scaled(f, K, TRAIN).select(*K, us("ts_event"), *r6("scaled"))
+    train = F.col("ts_event") < F.lit("2024-01-15 00:00:00").cast("timestamp")
+    return PF.scaled(f, K, train).select(*K, us("ts_event"), *r6("scaled"))
 
 
 @query(
