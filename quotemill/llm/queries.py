@@ -76,4 +76,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+# Fixed value: the alphabet of base32.
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _base32_sql(hexadecimal: str) -> str:
+    """Base32 of 40 hexadecimal digits: each five of them are four letters."""
+    letter = lambda i, shift: f"substr('{_BASE32}', 1 + cast((('0x' || substr({hexadecimal}, {1 + 5 * i}, 5))::bigint >> {shift}) & 31 as integer), 1)"
+    return " || ".join(letter(i, shift) for i in range(8) for shift in (15, 10, 5, 0))
+
+
+ORACLES: dict[str, str] = {
+    "op10_warc": f"""
+        with p as (select page_id, coalesce(html, '') as body from pages), h as (select *, sha1(body) as d, max(page_id) over (partition by body) as top from p)
+        select page_id, cast(strlen(body) as bigint) as payload_bytes, {_base32_sql("d")} as payload_digest,
+               case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to from h""",
+}
