@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,6 +27,8 @@ from tokenizers import Tokenizer
 from .common import small_batches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+if sys.byteorder != "little":
+    raise ImportError("ids are kept as the machine's own 32-bit numbers, which must be little-endian")
 
 #: Texts of only these characters are cut into pieces by PIECE, as the tokenizer itself would, and each piece is looked up.
 PLAIN = re.compile(r"[\t\n\r -~\xa1-ɏ]*")
@@ -34,16 +38,16 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹
 class _Pieces(dict):
     """Little-endian ids of a piece of text; emptied when large."""
 
-    def __init__(self, made: Tokenizer, most: int = 300_000):
+    def __init__(self, made: Tokenizer, most: int = 700_000):
         super().__init__()
         self.made, self.most = made, most
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: set[str]) -> None:
         if len(self) > self.most:
             self.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
-        for piece, found in zip(new, self.made.encode_batch(new, add_special_tokens=False), strict=True):
-            self[piece] = np.array(found.ids, "<u4").tobytes()
+        new = [p for p in pieces if p not in self]
+        for piece, found in zip(new, self.made.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self[piece] = array("I", found.ids).tobytes()
 
 
 def tokenizer(content: str) -> Tokenizer:
@@ -52,18 +56,30 @@ def tokenizer(content: str) -> Tokenizer:
     return made
 
 
-def token_bytes(text: str | None, known: _Pieces) -> bytes:
-    """Ids of a whole text as little-endian 32-bit numbers."""
-    if not text:
-        return b""
-    if not PLAIN.fullmatch(text):
-        return np.array(known.made.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    pieces = PIECE.findall(text)
-    try:
-        return b"".join(map(known.__getitem__, pieces))
-    except KeyError:
-        known.learn(pieces)
-        return b"".join(map(known.__getitem__, pieces))
+_KNOWN: dict[int, _Pieces] = {}
+
+
+def pieces(content: str) -> _Pieces:
+    """The pieces of a tokenizer file that this worker knows; they stay from task to task."""
+    name = hash(content)
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[name] = _Pieces(tokenizer(content))
+    return _KNOWN[name]
+
+
+def token_bytes(texts: list[str | None], known: _Pieces) -> list[bytes]:
+    """Ids of whole texts as little-endian 32-bit numbers; the pieces that are new in these texts are learnt at once."""
+    rows = [PIECE.findall(t) if t and PLAIN.fullmatch(t) else None for t in texts]
+    known.learn(set().union(*(r for r in rows if r)))
+    look = known.__getitem__
+    out = []
+    for text, row in zip(texts, rows, strict=True):
+        if row is not None:
+            out.append(b"".join(map(look, row)))
+        else:
+            out.append(array("I", known.made.encode(text, add_special_tokens=False).ids).tobytes() if text else b"")
+    return out
 
 
 def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
@@ -111,11 +127,11 @@ def cut(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Pieces(tokenizer(sent.value))
-        for batch in small_batches(batches, "text"):
+        known = pieces(sent.value)
+        for batch in small_batches(batches, "text", 2_000_000):
             rows, starts, lengths, sums, totals, data = [], [], [], [], [], []
-            for row, value in enumerate(batch.column("text").to_pylist()):
-                own = memoryview(token_bytes(value, known) + end)
+            for row, value in enumerate(token_bytes(batch.column("text").to_pylist(), known)):
+                own = memoryview(value + end)
                 total = len(own) // 4
                 for start in range(0, total, window):
                     piece = own[4 * start : 4 * (start + window)]
