@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows and bytes that one Python step holds at a time, whatever the size of an Arrow batch.
-STEP_ROWS, STEP_BYTES = 2_000, 16_000_000
+STEP_ROWS, STEP_BYTES = 2_000, 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,13 +61,13 @@ def carrying(docs: DataFrame, key: str, text: str, added: str, carry: bool) -> t
     return docs.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`") for c in stay]), schema
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str | int = 0) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str | int = 0, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices bounded by rows and by the bytes of ``column``; a longer single value stays whole."""
     for batch in batches:
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start, held = 0, 0
         for at, size in enumerate(sizes):
-            if at > start and (at - start >= STEP_ROWS or held + size > STEP_BYTES):
+            if at > start and (at - start >= STEP_ROWS or held + size > most):
                 yield batch.slice(start, at - start)
                 start, held = at, 0
             held += size
