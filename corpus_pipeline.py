@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 from quotemill.llm import jaccard_join, language_id, packing, suffix_dedup, toxicity
 from quotemill.llm.common import settle, table
 
-#: A document goes if its main language covers less than this share of its letters, or if it has no language; texts in two or
-#: three known languages stay.
-LEAST_SHARE = 0.25
+#: A document goes if less than this share of its letters is in words like those of any known language, or if it has no
+#: language; texts in several known languages stay.
+LEAST_KNOWN = 0.25
 #: A document goes if its toxicity score is at least this.
 MOST_TOXIC = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and texts that no language covers by a quarter; the model is fitted on ``docs`` itself."""
+    """Drops texts without letters and texts whose letters are less than a quarter in known languages, all of these taken
+    together; the model is fitted on ``docs`` itself."""
     model = language_id.train(docs)
-    found = language_id.identify(docs, model, spans=False, carry=True)
-    return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found = language_id.identify(docs, model, spans=False, carry=True, known_share=True)
+    return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("known_share") >= LEAST_KNOWN)).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,11 @@ A model holds log probabilities of letter trigrams per language and the language
 cut into words; each word gets a normalised log score per language, with languages foreign to its script at the
 floor; Viterbi with a fixed penalty per change of language labels the words, and runs of one label are spans.
 
+These scores only choose among the known languages and sum to one over them, so they can't tell that a text is in none.
+For that a word counts as known if its script was seen and its trigrams are, on average, more likely in some language
+than half-way (in logarithms) from text of that language to its letters in random order. The share of the letters in
+known words doesn't depend on how many languages share the text.
+
 Defined cases: a null or letterless text gives language ``und``, score 0 and no span; a word in an unseen script
 scores all languages alike; equal texts give equal rows; an empty table gives an empty table; without any labelled
 row every text is ``und``. Columns of the input other than key and text are not read.
@@ -70,6 +75,7 @@ class LanguageModel:
     log_p: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     unseen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     scripts: dict[str, list[int]] = field(default_factory=dict)
+    limits: np.ndarray = field(default_factory=lambda: np.zeros(0))
     floor: float = 5.0
     penalty: float = 16.0
 
@@ -83,8 +89,8 @@ class LanguageModel:
             codes[at], rows[at] = own[::-1], np.arange(len(self.grams), dtype=np.int32)[::-1]
         return codes, rows
 
-    def scores(self, words: list[str], slots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """A row of normalised log scores, between -floor and 0, for each word."""
+    def scores(self, words: list[str], slots: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of normalised log scores, between -floor and 0, for each word; whether it is like words of any language."""
         found = _codes("^" + "$^".join(words) + "$")
         size = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(size + 2)
@@ -96,13 +102,34 @@ class LanguageModel:
         rows = np.where(slots[0][at] == found, slots[1][at], len(self.grams))
         table = np.vstack([self.log_p, self.unseen[None, :]])
         total = np.add.reduceat(table[rows].astype(np.float64), np.append(0, np.cumsum(size)[:-1]), axis=0)
+        own = [script_of(w) in self.scripts for w in words]
         if any(len(c) < len(self.languages) for c in self.scripts.values()):
             for i, allowed in enumerate(self.scripts.get(script_of(w)) for w in words):
                 if allowed is not None and len(allowed) < total.shape[1]:
                     total[i, np.setdiff1d(np.arange(total.shape[1]), allowed)] = -np.inf
+        known = np.array(own) & (total > size[:, None] * self.limits).any(1)  # a word has as many trigrams as letters
         total -= total.max(1, keepdims=True)
         total -= np.log(np.exp(total).sum(1, keepdims=True))
-        return np.maximum(total, -self.floor)
+        return np.maximum(total, -self.floor), known
+
+
+def likely_limits(grams: list[str], table: np.ndarray, log_p: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    """Per language the mean log probability of a trigram half-way between its text and its letters in random order.
+
+    ``table`` has the counts. The share of trigrams that new text has and these don't is taken from those seen once.
+    """
+    at = {c: i for i, c in enumerate(sorted(set("".join(grams))))}
+    place = np.array([[at[c] for c in g] for g in grams], np.int64).reshape(-1, 3)
+    out = np.zeros(table.shape[1])
+    for k in range(table.shape[1]):
+        n, total = table[:, k], max(table[:, k].sum(), 1)
+        new = (n == 1).sum() / total
+        text = (1 - new) * (n * log_p[:, k]).sum() / total + new * unseen[k]
+        letters = np.bincount(place[:, 1], n, len(at)) / total  # the middle ones: each letter of a word is it once
+        edges = np.bincount(place[:, 0], n, len(at)) / total, np.bincount(place[:, 2], n, len(at)) / total
+        random = edges[0][place[:, 0]] * letters[place[:, 1]] * edges[1][place[:, 2]]
+        out[k] = (text + (random * log_p[:, k]).sum() + (1 - random.sum()) * unseen[k]) / 2
+    return out
 
 
 def train(
@@ -155,9 +182,10 @@ def train(
     for by in seen.values():
         letters.update(by)
     scripts = {s: sorted(place[k] for k, n in by.items() if n >= 0.01 * letters[k]) for s, by in seen.items()}
+    log_p, unseen = np.log((table + smooth) / total).astype(np.float32), np.log(smooth / total).astype(np.float32)
     return LanguageModel(
-        languages, {r["value"]: i for i, r in enumerate(grams)}, np.log((table + smooth) / total).astype(np.float32),
-        np.log(smooth / total).astype(np.float32), {s: c for s, c in scripts.items() if c}, penalty=penalty,
+        languages, {r["value"]: i for i, r in enumerate(grams)}, log_p, unseen, {s: c for s, c in scripts.items() if c},
+        likely_limits([r["value"] for r in grams], table, log_p, unseen), penalty=penalty,
     )
 
 
@@ -167,7 +195,7 @@ class _Words(dict):
     def __init__(self, model: LanguageModel, most: int = 400_000):
         super().__init__()
         self.model, self.most, self.fresh, self.slots = model, most, [], model.slots()
-        self.table = np.zeros((0, len(model.languages)))
+        self.table, self.known = np.zeros((0, len(model.languages))), np.zeros(0, bool)
 
     def __missing__(self, word: str) -> int:
         at = -1
@@ -179,14 +207,15 @@ class _Words(dict):
 
     def scores(self) -> np.ndarray:
         if self.fresh:
-            self.table = np.vstack([self.table, self.model.scores(self.fresh, self.slots)])
+            table, known = self.model.scores(self.fresh, self.slots)
+            self.table, self.known = np.vstack([self.table, table]), np.append(self.known, known)
             self.fresh = []
         return self.table
 
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
-            self.table = self.table[:0]
+            self.table, self.known = self.table[:0], self.known[:0]
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -241,13 +270,13 @@ def _viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalt
 
 
 def identify(
-    docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text", spans: bool = True, carry: bool = False,
+    docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text: str = "text", spans: bool = True, carry: bool = False, known_share: bool = False,
 ) -> DataFrame:
     """Per row: key (``carry``: all columns, of which the result's replace those with its names), ``lang_pred``, ``score``
-    (share of the letters in spans of that language), ``n_spans`` and, if asked for, ``spans`` (start and end as code
-    points of the text, language)."""
+    (share of the letters in spans of that language), ``n_spans`` and, if asked for, ``known_share`` (share of the letters
+    in words like those of any known language) and ``spans`` (start and end as code points of the text, language)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    added = "lang_pred string, score double, n_spans int" + ", spans array<struct<start: int, end: int, lang: string>>" * spans
+    added = "lang_pred string, score double, n_spans int" + ", known_share double" * known_share + ", spans array<struct<start: int, end: int, lang: string>>" * spans
     source, schema = carrying(docs, key, text, added, carry)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
@@ -282,6 +311,9 @@ def identify(
             names = [known.languages[b] if s else UNDETERMINED for b, s in zip(best, sums, strict=True)]
             score = share[np.arange(len(texts)), best] / np.maximum(sums, 1)
             columns = [*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(runs, pa.int32())]
+            if known_share:
+                known_letters = np.bincount(owner, size * words.known[flat], len(texts))
+                columns.append(pa.array(known_letters / np.maximum(sums, 1)))
             if spans:
                 for d, value in enumerate(texts):
                     at, own = [], labels[starts[d] : starts[d] + lengths[d]]
