@@ -35,11 +35,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the least doc_id, once; rows without an id stay."""
-    found = jaccard_join.jaccard_join(docs)
-    kept = found.filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    """Keeps of each group of linked documents one row: that with the least doc_id (null last), then the least text hash.
+
+    Groups are those of the texts, so different texts under one doc_id stay and copies without a doc_id go.
+    """
+    return jaccard_join.keep_one(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, small_batches
@@ -87,7 +87,10 @@ def least_matches(threshold: float, tolerance: float, size: int = BANDS * BAND)
     return out
 
 
-def _summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _summaries(docs: DataFrame, key: str, text: str, mark: Column | None = None) -> DataFrame:
+    """(key, cls, n, sig) of each row, and its ``mark``."""
+    chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *([] if mark is None else [mark.alias("mark")]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         for batch in small_batches(batches, "text"):
@@ -97,10 +100,11 @@ def _summaries(docs: DataFrame, key: str, text: str) -> DataFrame:
                 names.append(class_of(value, found))
                 sizes.append(len(found))
                 signs.append(signature(found).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())], ["key", "cls", "n", "sig"])
+            columns = [batch.column("key"), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "cls", "n", "sig", *batch.schema.names[2:]])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, cls binary, n int, sig binary")
+    kinds = {f.name: f.dataType.simpleString() for f in chosen.schema}
+    return chosen.mapInArrow(run, f"key {kinds['key']}, cls binary, n int, sig binary" + "".join(f", mark {k}" for n, k in kinds.items() if n == "mark"))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -236,14 +240,12 @@ def _blocks(data: pa.Table, threshold: float, limits: list[tuple[int, int]]) ->
     return pa.table({"a": pa.array([cls[i] for i in found], pa.binary()), "b": pa.array([cls[root[i]] for i in found], pa.binary()), "links": pa.array(count[found], pa.int64())})
 
 
-def jaccard_join(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-7, hot: int = 64, block: int = 400,
-) -> DataFrame:
-    """Per row of ``docs``: key, ``class_id`` (least key of its group of linked classes), ``n_links`` (other classes at least
-    ``threshold`` alike), ``copy_id`` (least key with the same shingles) and ``n_copies``."""
+def _grouped(docs: DataFrame, rows: DataFrame, key: str, text: str, threshold: float, tolerance: float, hot: int, block: int) -> DataFrame:
+    """Per class of ``rows`` (the summaries of ``docs``): copy_id, n_copies, root of its group, n_links (null for none) and,
+    if rows are marked, ``first``: key and mark of its row with the least key, null last, and then the least mark."""
     limits = least_matches(threshold, tolerance)
-    rows = settle(_summaries(docs, key, text))
-    classes = settle(rows.groupBy("cls").agg(F.min("key").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")))
+    first = [F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "mark")).alias("first")] if "mark" in rows.columns else []
+    classes = settle(rows.groupBy("cls").agg(F.min("key").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), *first))
     bands = _bands(classes)
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("head")).filter("m > 1")
     members = settle(bands.join(shared, "band"))
@@ -279,8 +281,31 @@ def jaccard_join(
     root = components(edges)
     counts = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).withColumn("links", F.lit(1).cast("long"))
     counts = counts.union(inside.select("a", "links")).groupBy("cls").agg(F.sum("links").alias("n_links"))
-    grouped = classes.select("cls", "copy_id", "n_copies").join(root.withColumnRenamed("node", "cls"), "cls", "left").join(counts, "cls", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "cls"))
+    grouped = classes.drop("n", "sig").join(root.withColumnRenamed("node", "cls"), "cls", "left").join(counts, "cls", "left")
+    return grouped.withColumn("root", F.coalesce("root", "cls"))
+
+
+def jaccard_join(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-7, hot: int = 64, block: int = 400,
+) -> DataFrame:
+    """Per row of ``docs``: key, ``class_id`` (least key of its group of linked classes), ``n_links`` (other classes at least
+    ``threshold`` alike), ``copy_id`` (least key with the same shingles) and ``n_copies``."""
+    rows = settle(_summaries(docs, key, text))
+    grouped = _grouped(docs, rows, key, text, threshold, tolerance, hot, block)
     least = grouped.filter("n_links is not null").groupBy("root").agg(F.min("copy_id").alias("least"))
     named = grouped.join(least, "root", "left").select("cls", F.coalesce("least", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_id", "n_copies")
     return rows.select("key", "cls").join(named, "cls").select(F.col("key").alias(key), "class_id", "n_links", "copy_id", "n_copies")
+
+
+def keep_one(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-7, hot: int = 64, block: int = 400,
+) -> DataFrame:
+    """One row of ``docs`` for each group of linked classes: that with the least key (null last), then the least hashes of
+    the text and of the other columns. Rows are matched by these hashes, 192 bits, so keys needn't be unique or set."""
+    others = F.to_json(F.struct(F.col(f"`{text}`").isNull().alias("__null"), *[F.col(f"`{c}`") for c in docs.columns if c != text]), {"ignoreNullFields": "false"})
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    mark = F.struct(F.xxhash64(value).alias("m1"), F.xxhash64(F.lit("second"), value).alias("m2"), F.xxhash64(others).alias("m3"))
+    grouped = _grouped(docs, settle(_summaries(docs, key, text, mark)), key, text, threshold, tolerance, hot, block)
+    kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.mark.{m}").alias(f"__{m}") for m in ("m1", "m2", "m3")])
+    marked = docs.select("*", *[mark[m].alias(f"__{m}") for m in ("m1", "m2", "m3")])
+    return marked.join(kept, ["__m1", "__m2", "__m3"], "left_semi").dropDuplicates(["__m1", "__m2", "__m3"]).select(*[F.col(f"`{c}`") for c in docs.columns])

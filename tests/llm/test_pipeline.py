@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quotemill.llm import language_id
 
+from .test_operators import brute_links, made
+
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,3 +60,29 @@ def test_language_stage(spark):
     assert {k for k in texts if k >= 0} <= kept
     alone = language_id.identify(both, language_id.train(both.filter("false")), known_share=True)
     assert {(r.lang_pred, r.known_share) for r in alone.collect()} == {("und", 0.0)}
+
+
+def test_near_duplicate_stage(spark):
+    texts = [t for t in made(40) if t]
+    long = texts[0] + " " + texts[4]
+    near = " ".join("changed" if i == 3 else w for i, w in enumerate(long.split()))
+    rows = [(i, t, "en", "a", None) for i, t in enumerate(texts)]
+    rows += [(7, f"row {i} of many under one id, unlike {i * i} others in {i}{i} words", "en", None, 1) for i in range(30)]  # one id, different texts
+    rows += [(None, long, "en", "b", None)] * 3 + [(None, near, None, "b", None), (None, "alone without an id", None, None, None)]
+    rows += [(900, long, "de", "b", None), (901, long, "de", "b", None), (901, "the only row of its text", "de", "b", None), (901, texts[9], None, "b", None)]
+    rows += [(902, None, None, None, None), (902, "", None, None, None), (None, "", None, None, 5), (903, "?!", None, None, None), (903, "?!", None, "c", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    numbers = {}  # the groups by brute force over texts alone
+    for r in rows:
+        numbers.setdefault(r[1] or "", len(numbers))
+    links = brute_links([(n, t) for t, n in numbers.items()])
+    group = lambda t: links[numbers[t or ""]][0]
+    got = [tuple(r) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect()]
+    again = [tuple(r) for r in corpus_pipeline.keep_one_of_each_group(spark, docs.repartition(5, F.rand(1)), SF).collect()]
+    assert sorted(got, key=repr) == sorted(again, key=repr)
+    assert sorted(group(r[1]) for r in got) == sorted({group(r[1]) for r in rows})
+    assert sum(r[0] == 7 for r in got) >= 30 and sum(r[0] is None for r in got) == 1
+    for r in got:
+        ids = [x[0] for x in rows if group(x[1]) == group(r[1]) and x[0] is not None]
+        assert r in rows and r[0] == (min(ids) if ids else None)
+    assert corpus_pipeline.keep_one_of_each_group(spark, docs.filter("false"), SF).count() == 0
