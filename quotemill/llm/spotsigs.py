@@ -1,7 +1,9 @@
 """Document fingerprints by SpotSigs, with DataFrame functions only.
 
 A signature is a common word (an anchor) and the chain of the next content words, anchors skipped; the start of a text
-counts as an anchor too. The set of the 32-bit hashes of its signatures is a document's fingerprint. Likeness is the
+counts as an anchor too. Where anchors are too few, content words are anchors as well, so that signatures cover the whole
+text: a text has too few if it has more than ``SPARSE`` content words for each, and so has a run of more than ``FAR``
+content words between two of them; in such a text or run every content word beyond the first ``CHAIN`` of a run is one. The set of the 32-bit hashes of its signatures is a document's fingerprint. Likeness is the
 Jaccard ratio of two sets. ``matches`` compares documents by length partitions: sets can only be alike if their sizes
 are, so a set is compared within its own and the neighbouring partition, through the rarest signatures alone.
 
@@ -28,6 +30,8 @@ ANCHORS = [
 
 #: Content words of a chain.
 CHAIN = 3
+#: Content words for each anchor of a text, and content words in a row, beyond which anchors are too few.
+SPARSE, FAR = 32, 48
 
 
 def words(text: Column) -> Column:
@@ -36,13 +40,18 @@ def words(text: Column) -> Column:
 
 def with_signatures(df: DataFrame, text: Column, name: str, chain: int = CHAIN) -> DataFrame:
     """``df`` with a sorted array of distinct signature hashes. Anchor k at place p has p - k content words before it."""
-    w, content, at = (f"__{name}_{x}" for x in ("words", "content", "at"))
+    w, content, at, edges, more = (f"__{name}_{x}" for x in ("words", "content", "at", "edges", "more"))
     out = df.withColumn(w, words(F.coalesce(text, F.lit(""))))
     out = out.withColumn(content, F.filter(w, lambda x: ~x.isin(ANCHORS)))
     out = out.withColumn(at, F.filter(F.transform(w, lambda x, i: F.when(x.isin(ANCHORS), i).otherwise(F.lit(-1))), lambda i: i >= 0))
     signed = F.transform(at, lambda p, k: F.hash(F.element_at(w, p + 1), F.slice(content, p - k + 1, chain)))
+    out = out.withColumn(edges, F.concat(F.array(F.lit(0)), F.transform(at, lambda p, k: p - k), F.array(F.size(content))))  # content words before each run's end
+    far = F.when(F.size(content) > SPARSE * F.size(at), F.lit(chain)).otherwise(F.lit(FAR))
+    runs = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges)), lambda a, b: F.when(b - a > far, F.sequence(a + chain, b - 1)).otherwise(F.array().cast("array<int>")))
+    out = out.withColumn(more, F.flatten(runs))
+    extra = F.transform(more, lambda c: F.hash(F.element_at(content, c + 1), F.slice(content, c + 2, chain)))
     start = F.when(F.size(content) > 0, F.array(F.hash(F.lit("^"), F.slice(content, 1, chain)))).otherwise(F.array().cast("array<int>"))
-    return out.withColumn(name, F.array_sort(F.array_distinct(F.concat(start, signed)))).drop(w, content, at)
+    return out.withColumn(name, F.array_sort(F.array_distinct(F.concat(start, signed, extra)))).drop(w, content, at, edges, more)
 
 
 def as_text(signatures: Column) -> Column:
