@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 #: Texts beyond this many characters are encoded in parts.
 PART = 50_000
@@ -62,6 +62,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_i
     kind = docs.schema[key].dataType.simpleString()
     out = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded binary" * decoded
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, names = encoding(sent.value, pattern)
         for batch in small_batches(batches, "text"):
@@ -87,6 +88,7 @@ def decode(df: DataFrame, path: str, pattern: str, *, key: str = "doc_id", ids:
     """Raw bytes of each list of ids."""
     sent = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, _ = encoding(sent.value, pattern)
         for batch in batches:

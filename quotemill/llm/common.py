@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -14,6 +15,37 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows and bytes that one Python step holds at a time, whatever the size of an Arrow batch.
 STEP_ROWS, STEP_BYTES = 2_000, 4_000_000
+#: Bytes of a Parquet row group: a writer holds one, and long texts fill it with few rows.
+ROW_GROUP = 16 << 20
+
+
+def small_buffers(spark: SparkSession) -> None:
+    """Smaller Arrow batches and Parquet row groups in this session, where it has none of its own: rows with whole texts are
+    large, and an executor holds a batch and a row group for each of its cores."""
+    for name, value, usual in (("spark.sql.execution.arrow.maxRecordsPerBatch", STEP_ROWS, "10000"), ("parquet.block.size", ROW_GROUP, None)):
+        if spark.conf.get(name, None) == usual:
+            spark.conf.set(name, str(value))
+
+
+def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``step`` for ``mapInArrow``, whose worker gives freed memory back when the task ends: workers live on idle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from step(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    """Freed pages go back to the system, where the C library can do that."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +64,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,12 +85,25 @@ def bounded_share(df: DataFrame, key: Column, rows: int, total: int) -> DataFram
     return df.filter(F.pmod(F.xxhash64(F.lit("share"), key), F.lit(slots)) < int(slots * rows / total))
 
 
-def carrying(docs: DataFrame, key: str, text: str, added: str, carry: bool) -> tuple[DataFrame, StructType]:
-    """The text first, then the key or all columns that ``added`` (a schema) doesn't replace; the schema of those and ``added``."""
+def carrying(docs: DataFrame, key: str, text: str, added: str, carry: bool) -> tuple[DataFrame, StructType, int, int]:
+    """What a step reads, and the schema of what it gives back: the key, or all columns that ``added`` (a schema) doesn't
+    replace, and ``added``; the place of the text in what it reads, and of the first column that it hands on."""
     new = _parse_datatype_string(added)
     stay = [c for c in (docs.columns if carry else [key]) if c not in new.names]
     schema = StructType([docs.schema[c] for c in stay] + new.fields)
-    return docs.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{c}`") for c in stay]), schema
+    own = [F.col(f"`{c}`") for c in stay]
+    if text in stay:
+        return docs.select(*own), schema, stay.index(text), 0
+    return docs.select(F.col(f"`{text}`").alias("__text"), *own), schema, 0, 1
+
+
+def prefixed(docs: DataFrame) -> DataFrame:
+    """All columns under names that no operator's result has; ``unprefixed`` undoes it and leaves other columns out."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
+
+
+def unprefixed(found: DataFrame, columns: list[str]) -> DataFrame:
+    return found.select(*[F.col(f"`in_{c}`").alias(c) for c in columns])
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str | int = 0, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import lean, settle, small_batches
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -91,6 +91,7 @@ def _summaries(docs: DataFrame, key: str, text: str, mark: Column | None = None)
     """(key, cls, n, sig) of each row, and its ``mark``."""
     chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *([] if mark is None else [mark.alias("mark")]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         for batch in small_batches(batches, "text"):
@@ -108,6 +109,7 @@ def _summaries(docs: DataFrame, key: str, text: str, mark: Column | None = None)
 
 
 def _bands(classes: DataFrame) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, BANDS, BAND).astype(np.uint64)
@@ -125,6 +127,7 @@ def _prune(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Pairs (a, b, sa, sb) that stay after comparing their MinHash values step by step."""
     limits = least_matches(threshold, tolerance)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BANDS * BAND) for c in ("sa", "sb"))
@@ -139,6 +142,7 @@ def _prune(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         for batch in small_batches(batches, "text"):
@@ -151,6 +155,7 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _verify(pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b, sa, sb with shingles) that reach the threshold."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

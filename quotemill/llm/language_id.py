@@ -17,6 +17,8 @@ row every text is ``und``. Columns of the input other than key and text are not
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -27,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carrying, small_batches
+from .common import carrying, lean, small_batches
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Combining marks, which belong to the word of the letter before them.
+MARKS = "".join(map(chr, (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M")))
+WORD = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")
 UNDETERMINED = "und"
 
 # First code points of blocks and the script that starts there (Unicode block chart).
@@ -61,11 +65,6 @@ def _codes(text: str) -> np.ndarray:
     return c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]
 
 
-def _slot(codes: np.ndarray) -> np.ndarray:
-    x = codes * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(44)).astype(np.int64)
-
-
 @dataclass
 class LanguageModel:
     """Plain arrays, so that it is cheap to send; at most ``max_grams`` trigrams."""
@@ -80,14 +79,10 @@ class LanguageModel:
     penalty: float = 16.0
 
     def slots(self) -> tuple[np.ndarray, np.ndarray]:
-        """A hash table of the trigrams: slot to code and slot to row; the last row is for trigrams that aren't there."""
-        codes, rows = np.zeros(1 << 20, np.uint64), np.full(1 << 20, len(self.grams), np.int32)
-        if self.grams:
-            text = "".join(self.grams)
-            own = _codes(text)[:: 3][: len(self.grams)] if all(len(g) == 3 for g in self.grams) else np.zeros(0, np.uint64)
-            at = _slot(own)[::-1]  # of trigrams that share a slot the most frequent one stays
-            codes[at], rows[at] = own[::-1], np.arange(len(self.grams), dtype=np.int32)[::-1]
-        return codes, rows
+        """The trigrams' numbers in order, and the row of each."""
+        own = _codes("".join(self.grams))[::3] if self.grams else np.zeros(0, np.uint64)
+        rows = np.argsort(own).astype(np.int32)
+        return own[rows], rows
 
     def scores(self, words: list[str], slots: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """A row of normalised log scores, between -floor and 0, for each word; whether it is like words of any language."""
@@ -98,8 +93,10 @@ class LanguageModel:
         for back in (1, 2):
             real[ends[:-1] - back] = False
         found = found[real]
-        at = _slot(found)
-        rows = np.where(slots[0][at] == found, slots[1][at], len(self.grams))
+        rows = np.full(len(found), len(self.grams), np.int32)  # the last row is for trigrams that aren't there
+        if self.grams:
+            at = np.minimum(np.searchsorted(slots[0], found), len(slots[0]) - 1)
+            rows = np.where(slots[0][at] == found, slots[1][at], rows)
         table = np.vstack([self.log_p, self.unseen[None, :]])
         total = np.add.reduceat(table[rows].astype(np.float64), np.append(0, np.cumsum(size)[:-1]), axis=0)
         own = [script_of(w) in self.scripts for w in words]
@@ -152,6 +149,7 @@ def train(
     limit = F.create_map(*[F.lit(x) for k in languages for x in (k, int(slots * min(1.0, rows_per_language / sizes[k])))])
     sample = rows.filter(F.pmod(F.xxhash64(F.lit("language"), "key"), F.lit(slots)) < limit[F.col("label")])
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: Counter = Counter()
@@ -192,7 +190,7 @@ def train(
 class _Words(dict):
     """Row number of a word's scores; -1 if it has no letter. Emptied between steps when it has grown large."""
 
-    def __init__(self, model: LanguageModel, most: int = 400_000):
+    def __init__(self, model: LanguageModel, most: int = 150_000):
         super().__init__()
         self.model, self.most, self.fresh, self.slots = model, most, [], model.slots()
         self.table, self.known = np.zeros((0, len(model.languages))), np.zeros(0, bool)
@@ -277,14 +275,15 @@ def identify(
     in words like those of any known language) and ``spans`` (start and end as code points of the text, language)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = "lang_pred string, score double, n_spans int" + ", known_share double" * known_share + ", spans array<struct<start: int, end: int, lang: string>>" * spans
-    source, schema = carrying(docs, key, text, added, carry)
+    source, schema, at_text, first = carrying(docs, key, text, added, carry)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
+    @lean
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         words, count = _Words(known), len(known.languages)
-        for batch in small_batches(batches):
-            texts = batch.column(0).to_pylist()
+        for batch in small_batches(batches, at_text):
+            texts = batch.column(at_text).to_pylist()
             found, ids, letters, lengths = [], [], [], []
             for value in texts:
                 own = WORD.findall(value.lower()) if value and count else []
@@ -310,7 +309,7 @@ def identify(
             best, sums = share.argmax(1), share.sum(1)
             names = [known.languages[b] if s else UNDETERMINED for b, s in zip(best, sums, strict=True)]
             score = share[np.arange(len(texts)), best] / np.maximum(sums, 1)
-            columns = [*batch.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(runs, pa.int32())]
+            columns = [*batch.columns[first:], pa.array(names, pa.string()), pa.array(score), pa.array(runs, pa.int32())]
             if known_share:
                 known_letters = np.bincount(owner, size * words.known[flat], len(texts))
                 columns.append(pa.array(known_letters / np.maximum(sums, 1)))

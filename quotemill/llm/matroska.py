@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 # Element identifiers of the Matroska specification.
 EBML, SEGMENT, INFO, TIMESTAMP_SCALE, TRACKS, TRACK_ENTRY = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x1654AE6B, 0xAE
@@ -214,6 +214,7 @@ def packets(df: DataFrame, *, key: str = "doc_id", media: str = "media") -> Data
     fields = ["key", "track", "timestamp_ns", "start", "length", "key_frame", "lacing", "cluster", "error"]
     types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.string()]
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "media"):
             rows = []
@@ -244,6 +245,7 @@ def store_text(df: DataFrame, *, key: str = "doc_id", text: str = "text", media:
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     out = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, types, strict=True)) + ", media binary" * media
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             rows, files = [], []

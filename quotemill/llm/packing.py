@@ -4,12 +4,15 @@ Each text is tokenised and ended with an extra id. Documents longer than a windo
 the rests are dealt by a hash of the key into shards of a bounded number of documents, and each shard places its rests
 in order of falling length into the open window with the least room that still fits, found in a segment tree over room.
 
+Ids are those of the tokenizer's defaults: the string of an added token in a text becomes that token's id.
+
 Defined cases: a null or empty text is the end id alone; equal texts get equal ids; repeated rows are packed each on
 their own; a null key is packed like any other; an empty table gives no piece.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches
+from .common import lean, small_batches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 if sys.byteorder != "little":
@@ -36,11 +39,18 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹
 
 
 class _Pieces(dict):
-    """Little-endian ids of a piece of text; emptied when large."""
+    """Little-endian ids of a piece of text; emptied when large. ``whole``: nothing but whole texts may be encoded, as the
+    file doesn't split texts by PIECE; ``added``: strings that the tokenizer takes out of a text before it is split."""
 
-    def __init__(self, made: Tokenizer, most: int = 700_000):
+    def __init__(self, content: str, most: int = 250_000):
         super().__init__()
-        self.made, self.most = made, most
+        self.made, self.most, rule = Tokenizer.from_str(content), most, json.loads(content)
+        self.added = [x["content"] for x in rule.get("added_tokens") or ()]
+        split = rule.get("pre_tokenizer") or {}
+        self.whole = bool(rule.get("normalizer")) or split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True)
+
+    def splits(self, text: str) -> bool:
+        return not self.whole and not any(x in text for x in self.added) and PLAIN.fullmatch(text) is not None
 
     def learn(self, pieces: set[str]) -> None:
         if len(self) > self.most:
@@ -50,12 +60,6 @@ class _Pieces(dict):
             self[piece] = array("I", found.ids).tobytes()
 
 
-def tokenizer(content: str) -> Tokenizer:
-    made = Tokenizer.from_str(content)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
-
-
 _KNOWN: dict[int, _Pieces] = {}
 
 
@@ -64,13 +68,13 @@ def pieces(content: str) -> _Pieces:
     name = hash(content)
     if name not in _KNOWN:
         _KNOWN.clear()
-        _KNOWN[name] = _Pieces(tokenizer(content))
+        _KNOWN[name] = _Pieces(content)
     return _KNOWN[name]
 
 
 def token_bytes(texts: list[str | None], known: _Pieces) -> list[bytes]:
     """Ids of whole texts as little-endian 32-bit numbers; the pieces that are new in these texts are learnt at once."""
-    rows = [PIECE.findall(t) if t and PLAIN.fullmatch(t) else None for t in texts]
+    rows = [PIECE.findall(t) if t and known.splits(t) else None for t in texts]
     known.learn(set().union(*(r for r in rows if r)))
     look = known.__getitem__
     out = []
@@ -126,6 +130,7 @@ def cut(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
     kind = docs.schema[key].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(sent.value)
         for batch in small_batches(batches, "text", 2_000_000):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carrying, small_batches
+from .common import carrying, lean, small_batches
 
 GRAM = 32
 _BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -83,6 +83,7 @@ def anchor_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _runs(base: DataFrame, length: int) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -116,6 +117,7 @@ def _pieces(text: bytes, anchor: int, first: int, last: int, hot: bool, length:
 def _windows(joined: DataFrame, length: int, content: bool) -> DataFrame:
     """Windows of the runs in ``found``: with content once per task and distinct window, or the places of all of them."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, held, size = None, {}, 0
 
@@ -235,8 +237,8 @@ def remove_repeats(
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * kept
-    source, schema = carrying(docs, key, text, added, carry)
-    row = F.struct(*[F.col(f"`{c}`") for c in source.columns[1:]])
+    source, schema, _, first = carrying(docs, key, text, added, carry)
+    row = F.struct(*[F.col(f"`{c}`") for c in source.columns[first:]])
     base = docs.select(raw.alias("text"), row.alias("row")).withColumn("tid", F.unhex(F.md5("text"))).filter("tid is not null")
     parts = max(1, (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes)
 
@@ -256,6 +258,7 @@ def remove_repeats(
     cut = removed.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("cut"))
     final = base.join(cut.hint("merge"), "tid", "left").select("tid", "text", "row", "cut")
 
+    @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_batches([batch], "text"):

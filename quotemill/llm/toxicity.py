@@ -5,7 +5,7 @@ words between them. FTRL-proximal has a learning rate per coordinate and an L1 t
 zero, so the model is a short list of (bucket, weight) that is cheap to broadcast.
 
 Defined cases: a null or wordless text has no feature and gets the score of the bias alone; repeated rows count as
-often as they occur; null labels are not learnt from; without any labelled row every score is 0; an empty table
+often as they occur, in an order that their keys and texts fix; null labels are not learnt from; without any labelled row every score is below 1e-15; an empty table
 gives an empty table; equal texts get equal scores.
 """
 
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_share, carrying, small_batches
+from .common import bounded_share, carrying, lean, small_batches
 
 WORD = re.compile(r"\w+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -29,7 +29,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -114,7 +114,9 @@ def train(
     shards = max(1, -(-min(total, max_rows) // rows_per_shard))
     sample = bounded_share(marks, F.col("key"), max_rows, total)
     sample = rows.join(sample, "key").withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "key"), F.lit(shards)).cast("int"))
+    sample = sample.withColumn("place", F.struct(F.xxhash64(F.lit("place"), "key").alias("of_key"), F.xxhash64("text").alias("of_text")))
 
+    @lean
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
         for batch in small_batches(batches, "text"):
@@ -122,18 +124,16 @@ def train(
             both = np.unique(owner << bits | bucket)
             ends = np.searchsorted(both, np.arange(batch.num_rows + 1) << bits)
             values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(both & (1 << bits) - 1, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("key").cast(pa.string()), batch.column("y"), values], ["shard", "key", "y", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), *batch.column("place").flatten(), batch.column("y"), values], ["shard", "of_key", "of_text", "y", "row"])
 
     def fit(data: pa.Table) -> pa.Table:
-        y, name = data.column("y").to_numpy(), np.array([xxhash.xxh64_intdigest(k) for k in data.column("key").to_pylist()], np.uint64)
-        order = np.argsort(name, kind="stable")
-        rows = data.column("row").combine_chunks()
-        ends, values = rows.offsets.to_numpy(), rows.values.to_numpy()
-        w = ftrl([values[ends[i] : ends[i + 1]] for i in order], list(y[order]), bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
+        y, order = data.column("y").to_numpy(), np.lexsort((data.column("of_text").to_numpy(), data.column("of_key").to_numpy()))
+        rows = [values[a:b] for part in data.column("row").chunks for ends, values in [(part.offsets.to_numpy(), part.values.to_numpy())] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        w = ftrl([rows[i] for i in order], list(y[order]), bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
         at = np.flatnonzero(w)
         return pa.table({"bucket": pa.array(at, pa.int32()), "weight": pa.array(w[at], pa.float64())})
 
-    wide = sample.mapInArrow(extract, "shard int, key string, y int, row array<int>")
+    wide = sample.select("text", "shard", "place", "y").mapInArrow(extract, "shard int, of_key long, of_text long, y int, row array<int>")
     fitted = wide.groupBy("shard").applyInArrow(fit, "bucket int, weight double")
     mean = fitted.groupBy("bucket").agg((F.sum("weight") / shards).alias("weight")).toPandas().sort_values("bucket")
     bucket, weight = mean["bucket"].to_numpy(np.int64), mean["weight"].to_numpy(np.float64)
@@ -146,16 +146,17 @@ def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: s
     """Per row: key (``carry``: all columns; one named score is replaced) and ``score``, the probability of label 1 given
     the whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source, schema = carrying(docs, key, text, "score double", carry)
+    source, schema, at_text, first = carrying(docs, key, text, "score double", carry)
 
+    @lean
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cache = sent.value, _Hashes()
         dense = known.dense()
-        for batch in small_batches(batches):
-            owner, bucket = _features(batch.column(0).to_pylist(), cache, known.bits, known.gaps)
+        for batch in small_batches(batches, at_text):
+            owner, bucket = _features(batch.column(at_text).to_pylist(), cache, known.bits, known.gaps)
             real = dense[bucket] != 0
             both = np.unique(owner[real] << known.bits | bucket[real])
             total = np.bincount(both >> known.bits, dense[both & (1 << known.bits) - 1], batch.num_rows) + known.bias
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[first:], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], schema.names)
 
     return source.mapInArrow(rate, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import lean, settle, small_batches
 
 # Field names of the header lines of ARC versions 1 and 2.
 ARC_FIELDS = {
@@ -158,6 +158,7 @@ def _keyed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 def write_arc(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> DataFrame:
     """ARC files of the pages: ``archive`` (name) and ``content``, one for each bounded step of a task."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, data in _arcs(batches, version):
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["archive", "content"])
@@ -168,6 +169,7 @@ def write_arc(pages: DataFrame, *, key: str = "page_id", url: str = "url", html:
 def read_arc(archives: DataFrame) -> DataFrame:
     """The records of ARC files (``archive``, ``content``)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _arc_rows(zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True))
@@ -187,6 +189,7 @@ def revisits(facts: DataFrame, *, least: int = 0) -> DataFrame:
 def write_warc(records: DataFrame) -> DataFrame:
     """Gzipped WARC files of records with ``refers_to`` (null for responses)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_batches([batch], "payload"):
@@ -209,6 +212,7 @@ def read_warc(archives: DataFrame, *, payload: bool = False) -> DataFrame:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "warc_date", *["payload"] * payload]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * payload]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content").to_pylist():
@@ -237,6 +241,7 @@ def to_warc(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     facts = pages.select(F.col(key).cast("long").alias("page_id"), F.octet_length(raw).alias("payload_bytes"), F.sha1(raw).alias("payload_sha1"))
     again = revisits(facts)
 
+    @lean
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _arc_rows(_arcs(batches, version))
 
