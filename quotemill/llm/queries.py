@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, jaccard_join, language_id, matroska, packing, sharding, spotsigs, suffix_dedup, toxicity, warc
-from .common import held_out, table
+from .common import held_out, settle, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = warc.to_warc(table(spark, sf_dir, "pages"))
-    return warc.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = settle(warc.write_arc(table(spark, sf_dir, "pages")), "zstd")
+    return warc.read_warc(warc.to_warc(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,9 +1,11 @@
 """Legacy ARC archives to WARC: version-specific ARC header lines in, equivalent WARC records out.
 
-``write_arc`` makes ARC files of a page table, ``read_arc`` parses them by the field names their version block declares
-and by the declared lengths, ``to_warc`` synthesises identifiers, timestamps, types and digests, ``write_warc`` and
-``read_warc`` write and parse WARC files. Of records with equal payloads the one with the largest page id is the
-response, the others are revisits of it.
+``write_arc`` makes ARC files of a page table, ``read_arc`` parses such files by the field names their version block
+declares and by the declared lengths, ``to_warc`` converts stored ARC files into stored WARC files with synthesised
+identifiers, timestamps, types and digests, and ``read_warc`` parses these. A record is named by its ARC file and its
+place there, so every identifier is unique and a revisit can name the record it refers to. Of HTTP records with equal
+payloads the one with the largest page id is the response, the others are revisits of it; a record that isn't an HTTP
+response (``dns:``) becomes a ``resource`` with its own content type; the version block of a file becomes ``warcinfo``.
 
 Defined cases: a null page has an empty payload; a null url becomes ``urn:page:<id>``; a null page id is never the
 largest unless it stands alone, and such rows revisit the largest id; rows that repeat the largest id are all
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 CRAWLED = "20240101000000"
+UNKNOWN_IP = "0.0.0.0"
 
 
 def digest(data: bytes) -> str:
@@ -41,35 +45,35 @@ def arc_file(name: str, pages: list[tuple[int | None, str | None, bytes]], versi
     """An ARC file of (page id, url, payload) rows."""
     fields = f"{version} 0 quotemill\n{ARC_FIELDS[version]}\n\n".encode()
     extra = ["200", "-", "-", "0", name] if version == 2 else []
-    head = " ".join([f"filedesc://{name}", "0.0.0.0", CRAWLED, "text/plain", *extra, str(len(fields))])
+    head = " ".join([f"filedesc://{name}", UNKNOWN_IP, CRAWLED, "text/plain", *extra, str(len(fields))])
     out, size = [head.encode(), b"\n", fields], len(head) + 1 + len(fields)
     for number, url, payload in pages:
         own = "" if number is None else f"X-Page-Id: {number}\r\n"
         body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode()
         place = quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url else f"urn:page:{number}"
         extra = ["200", hashlib.md5(payload, usedforsecurity=False).hexdigest(), "-", str(size), name] if version == 2 else []
-        line = " ".join([place, "0.0.0.0", CRAWLED, "text/html", *extra, str(len(body) + len(payload))]).encode()
+        line = " ".join([place, UNKNOWN_IP, CRAWLED, "text/html", *extra, str(len(body) + len(payload))]).encode()
         out += [line, b"\n", body, payload, b"\n"]
         size += len(line) + 2 + len(body) + len(payload)
     return b"".join(out)
 
 
 def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(place, header fields, content) of each record after the version block."""
-    end = data.index(b"\n")
-    length = int(data[:end].rsplit(b" ", 1)[1])
-    block = data[end + 1 : end + 1 + length]
-    version, names = block.split(b"\n")[:2]
-    if int(version.split(b" ")[0]) not in ARC_FIELDS:
-        raise ValueError(f"unknown ARC version {version!r}")
-    fields = names.decode().split(" ")
-    at = end + 1 + length
+    """(place, header fields, content) of each record, the version block first."""
+    fields = ARC_FIELDS[1].split(" ")
+    at = 0
     while at < len(data):
-        if data[at : at + 1] == b"\n":
+        if at and data[at : at + 1] == b"\n":
             at += 1
             continue
         end = data.index(b"\n", at)
         values = data[at:end].decode().split(" ")
+        if not at:  # its line has the fields of its version, which its block declares
+            stop = end + 1 + int(values[-1])
+            version, names = data[end + 1 : stop].split(b"\n")[:2]
+            if int(version.split(b" ")[0]) not in ARC_FIELDS:
+                raise ValueError(f"unknown ARC version {version!r}")
+            fields = names.decode().split(" ")
         if len(values) != len(fields):
             raise ValueError(f"ARC header line at byte {at} has {len(values)} fields, not {len(fields)}")
         head = dict(zip(fields, values, strict=True))
@@ -98,18 +102,41 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
 
 
-def warc_record(kind: str, url: str, date: str, number: str | None, payload_digest: str, http: bytes, payload: bytes, refers_to: int | None) -> bytes:
-    """One gzip member; a revisit keeps the HTTP header, whose Content-Length is that of the full payload."""
-    content = http + payload if kind == "response" else http
-    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(number, url, payload_digest)), ("WARC-Date", date), ("WARC-Target-URI", url)]
-    head += [("WARC-Payload-Digest", f"sha1:{payload_digest}"), ("WARC-Block-Digest", f"sha1:{digest(content)}")]
-    if kind == "revisit":
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]
-    head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(content)))]
+def warc_record(kind: str, own_id: str, url: str, date: str, content_type: str, content: bytes, more: list[tuple[str, str]]) -> bytes:
+    """One gzip member."""
+    head = [("WARC-Type", kind), ("WARC-Record-ID", own_id), ("WARC-Date", date), *[("WARC-Target-URI", url)] * bool(url), *more]
+    head += [("WARC-Block-Digest", f"sha1:{digest(content)}"), ("Content-Type", content_type), ("Content-Length", str(len(content)))]
     text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
     return gzip.compress(text.encode() + content + b"\r\n\r\n", 1, mtime=0)
 
 
+def warc_file(archive: str, data: bytes, refers: dict[int, dict]) -> bytes:
+    """The WARC file of an ARC file. ``refers``: for the place of each revisit the archive, place, page_id, url and warc_date
+    of the record it refers to. A revisit keeps the HTTP header, whose Content-Length is that of the full payload."""
+    out, info = [], record_id(archive, 0)
+    for place, head, content in arc_records(data):
+        date = warc_time(head["Archive-date"])
+        if not place:
+            text = f"software: quotemill\r\nformat: WARC File Format 1.0\r\ndescription: {' '.join(content.decode().split())}\r\n"
+            out.append(warc_record("warcinfo", info, "", date, "application/warc-fields", text.encode(), [("WARC-Filename", warc_name(archive))]))
+            continue
+        fields, http, body = http_parts(content)
+        more = [("WARC-Warcinfo-ID", info), ("WARC-Payload-Digest", f"sha1:{digest(body)}")]
+        if head["IP-address"] != UNKNOWN_IP:
+            more.append(("WARC-IP-Address", head["IP-address"]))
+        to = refers.get(place)
+        if to is not None:
+            more += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(to["archive"], to["place"]))]
+            more += [("WARC-Refers-To-Target-URI", to["url"]), ("WARC-Refers-To-Date", to["warc_date"]), ("X-Refers-To-Page-Id", str(to["page_id"]))]
+        kind, content_type = ("revisit" if to is not None else "response", "application/http; msgtype=response") if http else ("resource", head["Content-type"])
+        out.append(warc_record(kind, record_id(archive, place), head["URL"], date, content_type, http if to is not None else content, more))
+    return b"".join(out)
+
+
+def warc_name(archive: str) -> str:
+    return archive.removesuffix(".arc") + ".warc.gz"
+
+
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, content) of each record of a gzipped WARC file."""
     plain, at = gzip.decompress(data) if data else b"", 0
@@ -124,128 +151,107 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4
 
 
-def _arcs(batches: Iterator[pa.RecordBatch], version: int) -> Iterator[tuple[str, bytes]]:
-    """(name, file) of each bounded step of rows (key, url, html)."""
-    for batch in batches:
-        for part in small_batches([batch], "html"):
-            rows = zip(part.column("key").to_pylist(), part.column("url").to_pylist(), part.column("html").cast(pa.binary()).to_pylist(), strict=True)
-            rows = [(k, u, h or b"") for k, u, h in rows]
-            name = f"pages-{digest(repr([r[:2] for r in rows]).encode())[:16]}.arc"
-            yield name, arc_file(name, rows, version)
-
-
-ARC_ROWS = "archive string, place long, page_id long, url string, warc_date string, warc_type string, payload_bytes long, payload_digest string, payload_sha1 string, http binary, payload binary"
-_ARC_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+ARC_ROWS = "archive string, place long, page_id long, url string, warc_date string, warc_type string, payload_bytes long, payload_digest string"
+_ARC_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
 _ARC_NAMES = [c.strip().split(" ")[0] for c in ARC_ROWS.split(",")]
 
 
-def _arc_rows(files: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
-    """The records of ARC files with what a WARC record needs."""
-    for name, data in files:
-        rows = []
-        for at, head, content in arc_records(data):
-            fields, http, body = http_parts(content)
-            number, sha1 = fields.get("x-page-id"), hashlib.sha1(body).digest()
-            rows.append((name, at, None if number is None else int(number), head["URL"], warc_time(head["Archive-date"]), "response" if http else "resource", len(body), base64.b32encode(sha1).decode(), sha1.hex(), http, body))
-        columns = zip(*rows, strict=True) if rows else [[]] * len(_ARC_NAMES)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _ARC_TYPES, strict=True)], _ARC_NAMES)
-
-
-def _keyed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    return pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-
-
-def write_arc(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> DataFrame:
-    """ARC files of the pages: ``archive`` (name) and ``content``, one for each bounded step of a task."""
+def write_arc(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", version: int | None = None) -> DataFrame:
+    """ARC files of the pages: ``archive`` (name) and ``content``, one for each bounded step of a task; without a ``version``
+    files of both by turns."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, data in _arcs(batches, version):
+        task, turn = TaskContext.get().partitionId(), 0
+        for part in small_batches(batches, "html"):
+            rows = zip(part.column("key").to_pylist(), part.column("url").to_pylist(), part.column("html").cast(pa.binary()).to_pylist(), strict=True)
+            name = f"pages-{task:07}-{turn:05}.arc"
+            data = arc_file(name, [(k, u, h or b"") for k, u, h in rows], version or 1 + turn % 2)
+            turn += 1
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["archive", "content"])
 
-    return _keyed(pages, key, url, html).mapInArrow(run, "archive string, content binary")
+    chosen = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
+    return chosen.mapInArrow(run, "archive string, content binary")
 
 
-def read_arc(archives: DataFrame) -> DataFrame:
-    """The records of ARC files (``archive``, ``content``)."""
+def read_arc(archives: DataFrame, *, payload: bool = False) -> DataFrame:
+    """The records of ARC files (``archive``, ``content``) but for their version blocks; ``payload``: with HTTP header and payload."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _arc_rows(zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True))
+            for name, data in zip(batch.column("archive"), batch.column("content"), strict=True):
+                rows = []
+                for place, head, content in arc_records(data.as_py()):
+                    if place:
+                        fields, http, body = http_parts(content)
+                        number = fields.get("x-page-id")
+                        row = (name.as_py(), place, None if number is None else int(number), head["URL"], warc_time(head["Archive-date"]), "response" if http else "resource", len(body), digest(body))
+                        rows.append((*row, http, body) if payload else row)
+                names, types = [*_ARC_NAMES, *["http", "payload"] * payload], [*_ARC_TYPES, *[pa.binary(), pa.binary()] * payload]
+                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
-    return archives.select("archive", "content").mapInArrow(run, ARC_ROWS)
+    return archives.select("archive", "content").mapInArrow(run, ARC_ROWS + ", http binary, payload binary" * payload)
 
 
-def revisits(facts: DataFrame, *, least: int = 0) -> DataFrame:
-    """(page_id, payload_sha1, refers_to) of those rows (page_id, payload_bytes, payload_sha1) whose payload, of ``least``
-    bytes or more, a larger page id has too."""
-    facts = facts.filter(F.col("payload_bytes") >= least).select("page_id", "payload_sha1")
-    groups = facts.groupBy("payload_sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null")
-    found = facts.join(groups.drop("n"), "payload_sha1").filter("page_id is null or page_id < refers_to")
-    return found.groupBy("page_id", "payload_sha1").agg(F.max("refers_to").alias("refers_to"))
+def revisits(records: DataFrame, *, least: int = 0) -> DataFrame:
+    """(archive, place, refers) of those HTTP records whose payload, of ``least`` bytes or more, a record with a larger page
+    id has too. The records of a payload, however many, meet in one small row for each task and payload."""
+    own = records.filter((F.col("warc_type") == "response") & (F.col("payload_bytes") >= least))
+    own = own.select("archive", "place", "page_id", "payload_digest", F.struct("page_id", "archive", "place", "url", "warc_date").alias("refers"))
+    groups = own.groupBy("payload_digest").agg(F.max("refers").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1 and top.page_id is not null")
+    found = own.join(groups, "payload_digest").filter("page_id is null or page_id < top.page_id")
+    return found.select("archive", "place", F.col("top").alias("refers"))
 
 
-def write_warc(records: DataFrame) -> DataFrame:
-    """Gzipped WARC files of records with ``refers_to`` (null for responses)."""
+def to_warc(archives: DataFrame) -> DataFrame:
+    """Stored ARC files (``archive``, ``content``) to WARC files kept in the shared folder: ``archive`` and ``content``.
 
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small_batches([batch], "payload"):
-                out, numbers = [], []
-                for r in part.to_pylist():
-                    number = None if r["page_id"] is None else str(r["page_id"])
-                    http = r["http"]
-                    kind = "revisit" if r["refers_to"] is not None else "response"
-                    out.append(warc_record(kind, r["url"], r["warc_date"], number, r["payload_digest"], http, r["payload"], r["refers_to"]))
-                    numbers.append(number)
-                name = f"pages-{digest(repr(numbers).encode())[:16]}.warc.gz"
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out)], pa.binary())], ["archive", "content"])
-
-    fields = ("page_id", "url", "warc_date", "payload_digest", "http", "payload", "refers_to")
-    return records.select(*fields).mapInArrow(run, "archive string, content binary")
-
-
-def read_warc(archives: DataFrame, *, payload: bool = False) -> DataFrame:
-    """The records of WARC files; a digest that doesn't match its content fails the job."""
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "warc_date", *["payload"] * payload]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * payload]
+    The files are read twice: for the digests of their records, from which it is found which record revisits which, and
+    to be converted, each file with the list of its own revisits.
+    """
+    lists = revisits(read_arc(archives)).groupBy("archive").agg(F.collect_list(F.struct("place", "refers")).alias("found"))
 
     @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                rows = []
-                for head, content in warc_records(data):
-                    fields, _, body = http_parts(content)
-                    kind, own = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                    if head["warc-block-digest"] != f"sha1:{digest(content)}" or kind == "response" and own != digest(body):
-                        raise ValueError(f"digest of {head['warc-record-id']} doesn't match")
-                    size = len(body) if kind == "response" else int(fields["content-length"])
-                    number, to = fields.get("x-page-id"), head.get("x-refers-to-page-id")
-                    rows.append((None if number is None else int(number), size, own, kind, None if to is None else int(to), head["warc-target-uri"], head["warc-date"], *[body] * payload))
-                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+            for row in range(batch.num_rows):
+                name, content, found = (batch.column(c)[row].as_py() for c in ("archive", "content", "found"))
+                made = warc_file(name, content, {x["place"]: x["refers"] for x in found or ()})
+                yield pa.RecordBatch.from_arrays([pa.array([warc_name(name)]), pa.array([made], pa.binary())], ["archive", "content"])
 
-    return archives.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, warc_date string" + ", payload binary" * payload)
+    joined = archives.select("archive", "content").join(lists, "archive", "left")
+    return settle(joined.mapInArrow(convert, "archive string, content binary"))
 
 
-def to_warc(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> DataFrame:
-    """Pages through ARC into WARC files kept in the shared folder: ``archive`` and ``content``.
-
-    Which records revisit which is found on the digests of the pages alone, so only small rows are grouped; the ARC files
-    are written and parsed in one step of a task.
-    """
-    raw = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    facts = pages.select(F.col(key).cast("long").alias("page_id"), F.octet_length(raw).alias("payload_bytes"), F.sha1(raw).alias("payload_sha1"))
-    again = revisits(facts)
+def read_warc(archives: DataFrame, *, payload: bool = False, links: bool = False) -> DataFrame:
+    """The records of WARC files but for ``warcinfo``; ``links``: with ``record_id`` and ``refers_to_id``, ``payload``: with the
+    stored payload. A digest that doesn't match its content fails the job."""
+    added = [*[("record_id", "string"), ("refers_to_id", "string")] * links, *[("payload", "binary")] * payload]
+    fields = [("page_id", "long"), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long"), ("url", "string"), ("warc_date", "string"), *added]
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     @lean
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _arc_rows(_arcs(batches, version))
-
-    full = _keyed(pages, key, url, html).mapInArrow(convert, ARC_ROWS)
-    same = F.col("r.page_id").eqNullSafe(full["page_id"]) & (F.col("r.payload_sha1") == full["payload_sha1"])
-    joined = full.join(again.alias("r"), same, "left").select(full["*"], F.col("r.refers_to"))
-    return settle(write_warc(joined))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content"):
+                rows = []
+                for head, content in warc_records(data.as_py()):
+                    kind = head["warc-type"]
+                    if head["warc-block-digest"] != f"sha1:{digest(content)}":
+                        raise ValueError(f"digest of {head['warc-record-id']} doesn't match")
+                    if kind == "warcinfo":
+                        continue
+                    http, _, body = ({}, b"", content) if kind == "resource" else http_parts(content)
+                    own = head["warc-payload-digest"].removeprefix("sha1:")
+                    if kind != "revisit" and own != digest(body):
+                        raise ValueError(f"payload digest of {head['warc-record-id']} doesn't match")
+                    size = int(http["content-length"]) if kind == "revisit" else len(body)
+                    number, to = http.get("x-page-id"), head.get("x-refers-to-page-id")
+                    row = (None if number is None else int(number), size, own, kind, None if to is None else int(to), head["warc-target-uri"], head["warc-date"])
+                    rows.append((*row, *(head["warc-record-id"], head.get("warc-refers-to")) * links, *(body,) * payload))
+                columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+    return archives.select("content").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields))

@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quotemill.llm import bpe, jaccard_join, language_id, matroska, packing, queries, sharding, spotsigs, suffix_dedup, toxicity, warc
+from quotemill.llm import bpe, common, jaccard_join, language_id, matroska, packing, queries, sharding, spotsigs, suffix_dedup, toxicity, warc
 from quotemill.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -417,11 +417,14 @@ def test_cuts():
 # --- 10
 
 
-@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("version", [1, 2, None])
 def test_warc(spark, version):
     rows = [(i, f"http://h/{i} x", f"<p>{i % 7} é</p>" * (i % 3)) for i in range(40)] + [(100, None, None), (None, "http://n", "<p>1 é</p>"), (39, "http://again", "<p>4 é</p>" * 0)]
+    rows += [(40, "http://twice", "<p>same</p>")] * 2
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("content", F.lit(3)).withColumn("refers_to", F.lit(9))
-    got = collected(warc.read_warc(warc.to_warc(pages, version=version)), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = common.settle(warc.write_arc(pages, version=version), "zstd")
+    found = warc.read_warc(warc.to_warc(archives), links=True, payload=True).cache()
+    got = collected(found, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     top = {}
     for k, _, h in rows:
         if k is not None:
@@ -432,12 +435,40 @@ def test_warc(spark, version):
         kind = ("response", None) if k == top.get(h or "", k) else ("revisit", top[h or ""])
         expected.append((k, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), *kind))
     assert got == sorted(expected, key=repr)
-    assert warc.read_warc(warc.to_warc(pages.filter("false"))).count() == 0
+    records = {r.record_id: r for r in found.collect()}
+    assert len(records) == len(rows)  # every identifier is unique
+    for r in records.values():  # every link names a record, a response with that payload
+        if r.record_type == "revisit":
+            to = records[r.refers_to_id]
+            assert (to.record_type, to.page_id, to.payload_digest) == ("response", r.refers_to, r.payload_digest)
+    assert collected(warc.read_arc(archives, payload=True), "page_id", "payload") == sorted(((k, bytearray((h or "").encode())) for k, _, h in rows), key=repr)
+    assert warc.read_warc(warc.to_warc(warc.write_arc(pages.filter("false")))).count() == 0
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_warc_of_foreign_arc(spark, version):
+    """An archive that another program wrote: addresses, a dns record, a header with other fields."""
+    block = f"{version} 0 other\n{warc.ARC_FIELDS[version]}\n\n".encode()
+    more = "200 - - 0 x.arc " if version == 2 else ""
+    page = b"HTTP/1.0 404 Not Found\r\nServer: x\r\n\r\ngone"
+    data = f"filedesc://x.arc 0.0.0.0 20080102030405 text/plain {more}{len(block)}\n".encode() + block
+    for url, kind, body in (("dns:a.example", "text/dns", b"a.example. 3600 A 192.0.2.7"), ("dns:b.example", "text/dns", b"a.example. 3600 A 192.0.2.7"), ("http://a.example/", "text/html", page)):
+        data += f"{url} 192.0.2.7 20080102030406 {kind} {more}{len(body)}\n".encode() + body + b"\n"
+    archives = spark.createDataFrame([("x.arc", bytearray(data))], "archive string, content binary")
+    files = warc.to_warc(archives).collect()
+    records = list(warc.warc_records(bytes(files[0].content)))
+    assert files[0].archive == "x.warc.gz" and [h["warc-type"] for h, _ in records] == ["warcinfo", "resource", "resource", "response"]
+    info, dns, _, gone = (h for h, _ in records)
+    assert info["content-type"] == "application/warc-fields" and info["warc-filename"] == "x.warc.gz" and info["warc-date"] == "2008-01-02T03:04:05Z"
+    assert (dns["content-type"], dns["warc-ip-address"], dns["warc-target-uri"]) == ("text/dns", "192.0.2.7", "dns:a.example")
+    assert gone["warc-ip-address"] == "192.0.2.7" and gone["warc-warcinfo-id"] == info["warc-record-id"] and records[3][1] == page
+    back = warc.read_warc(spark.createDataFrame([(f.archive, f.content) for f in files], "archive string, content binary"), payload=True)
+    assert collected(back, "record_type", "url", "payload_bytes", "refers_to") == [("resource", "dns:a.example", 27, None), ("resource", "dns:b.example", 27, None), ("response", "http://a.example/", 4, None)]
 
 
 def test_arc_parser():
     data = warc.arc_file("a.arc", [(1, "http://x/", b"body\n\nHTTP/1.1")], 2)
-    (place, head, content), = warc.arc_records(data)
+    _, (place, head, content) = warc.arc_records(data)
     assert head["URL"] == "http://x/" and head["Filename"] == "a.arc" and warc.http_parts(content)[2] == b"body\n\nHTTP/1.1"
     with pytest.raises(ValueError):
         list(warc.arc_records(data[:-5]))
