@@ -1,22 +1,41 @@
 """Sharding by minimax contiguous partition, with DataFrame functions only.
 
-Equal texts stay together. Texts are ordered by a hash; those that share the leading bits of it form an atomic group (a
-cell). The sizes of the cells in that order are few and bounded, so the smallest feasible shard capacity is found on
-them by binary search with a greedy check, and the shards are cut there. Rows then get gapless slots from the sums of
-the cells before them and a row number inside their cell; a cell with many rows is numbered in salted parts.
+The atomic groups are the equal texts, in the order of a 64-bit hash of the text. The smallest feasible capacity of a
+shard over all groups is found without bringing the groups to the driver: it gets the sums of cells, which are ranges of
+the hash. Where cells count as atoms the capacity is an upper bound, where they can be cut anywhere a lower one; only
+cells that a greedy walk with a capacity between the two could cut are split into smaller ones, until those are
+single groups. Then the binary search with its greedy check is exact, and the shards are cut there.
+
+Rows are numbered by a running count: each chunk of the rows as they were read has a row for each shard, the sums of
+these give the chunk its first slot, and a row's slot is its number within chunk and shard. So no key or text can make
+a task large.
 
 Defined cases: a null text has size 1 and goes with the empty text; repeated rows get slots of their own; an empty table
-gives an empty table; with fewer groups than shards the last shards stay empty.
+gives an empty table; with fewer groups than shards the last shards stay empty; texts whose hashes are equal count as one
+group. Slots follow the order in which the table is read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from functools import reduce
 from itertools import accumulate
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
+
+class Cell(NamedTuple):
+    """The texts whose hash begins like ``start``: the last ``low`` bits vary. ``single``: it holds one group."""
+
+    start: int
+    low: int
+    size: int
+    single: bool
+
 
 def shards_needed(sums: list[int], capacity: int, most: int) -> list[int] | None:
     """Greedy check: ends (exclusive) of the shards if ``capacity`` is enough for ``most`` of them. ``sums``: running sums."""
@@ -32,12 +51,12 @@ def shards_needed(sums: list[int], capacity: int, most: int) -> list[int] | None
     return ends
 
 
-def cuts(sizes: list[int], shards: int) -> list[int]:
-    """Ends of the contiguous shards with the smallest possible largest sum."""
+def cuts(sizes: list[int], shards: int, low: int = 0) -> list[int]:
+    """Ends of the contiguous shards with the smallest possible largest sum, which is ``low`` or more."""
     if not sizes:
         return []
     sums = list(accumulate(sizes))
-    low, high = max(max(sizes), -(-sums[-1] // shards)), sums[-1]
+    low, high = max(low, *sizes, -(-sums[-1] // shards)), sums[-1]
     while low < high:
         middle = (low + high) // 2
         if shards_needed(sums, middle, shards) is None:
@@ -47,47 +66,81 @@ def cuts(sizes: list[int], shards: int) -> list[int]:
     return shards_needed(sums, low, shards)
 
 
-def assign(
-    docs: DataFrame, *, shards: int = 8, key: str = "doc_id", text: str = "text", cell_bits: int = 14, part_rows: int = 20_000,
-) -> DataFrame:
-    """``docs`` key, ``size``, ``text_crc32``, ``shard`` and ``slot``.
+def _furthest(cells: list[Cell], sums: list[int], place: int, capacity: int) -> int:
+    """Where a shard from ``place`` ends at most if cells of several groups can be cut anywhere."""
+    to = place + capacity
+    at = bisect_right(sums, to)
+    if at == len(sums):
+        return sums[-1]
+    return max(place, sums[at - 1] if at else 0) if cells[at].single else to
+
+
+def bounds(cells: list[Cell], shards: int) -> tuple[int, int]:
+    """A lower and an upper bound of the smallest feasible capacity over the groups of the cells."""
+    sums = list(accumulate(c.size for c in cells))
+    ends = cuts([c.size for c in cells], shards)
+    upper = max(sums[b - 1] - (sums[a - 1] if a else 0) for a, b in zip([0, *ends], ends, strict=False))
+    low, high = max(-(-sums[-1] // shards), *(c.size for c in cells if c.single), 0), upper
+    while low < high:
+        middle, place = (low + high) // 2, 0
+        for _ in range(shards):
+            place = _furthest(cells, sums, place, middle)
+        low, high = (low, middle) if place >= sums[-1] else (middle + 1, high)
+    return low, upper
+
+
+def open_cells(cells: list[Cell], shards: int) -> list[int]:
+    """Cells of several groups that a greedy walk, its capacity between the bounds, could cut."""
+    lower, upper = bounds(cells, shards)
+    sums = list(accumulate(c.size for c in cells))
+    found: set[int] = set()
+    least = most = 0
+    for _ in range(shards - 1):
+        at = bisect_right(sums, least + lower)
+        least = sums[at - 1] if at else 0
+        most = _furthest(cells, sums, most, upper)
+        found.update(i for i in range(bisect_right(sums, least), min(len(cells), bisect_left(sums, most) + 1)) if not cells[i].single)
+    return sorted(found)
+
+
+def _cells(rows: DataFrame, split: list[tuple[int, int, int]]) -> list[Cell]:
+    """Cells of the hash ranges in ``split`` (first, last, bits that vary in a cell)."""
+    shifts = reduce(lambda when, x: when.when(F.col("place").between(x[0], x[1]), F.lit(x[2])), split, F)
+    start = F.expr("shiftleft(shiftright(place, low), low)").alias("start")
+    chosen = rows.withColumn("low", shifts).filter("low is not null").groupBy(start, "low")
+    found = chosen.agg(F.sum("size").alias("size"), F.min("place").alias("a"), F.max("place").alias("b")).collect()
+    return sorted(Cell(r["start"], r["low"], r["size"], r["a"] == r["b"]) for r in found)
+
+
+def partition(rows: DataFrame, shards: int, bits: int = 14) -> list[int]:
+    """The hash (``place``) with which each shard but the first begins. The driver gets about 2**``bits`` sums in a step;
+    the steps are few, as each one divides the open cells by a power of two that is as large."""
+    cells = _cells(rows, [(-(1 << 63), (1 << 63) - 1, 64 - bits)])
+    while cells and (found := open_cells(cells, shards)):
+        deeper = max(1, bits - len(found).bit_length())
+        finer = _cells(rows, [(c.start, c.start + (1 << c.low) - 1, max(0, c.low - deeper)) for c in (cells[i] for i in found)])
+        cells = sorted(finer + [c for i, c in enumerate(cells) if i not in set(found)])
+    if not cells:
+        return []
+    ends = cuts([c.size for c in cells], shards, bounds(cells, shards)[0])
+    return [cells[e].start for e in ends if e < len(cells)]
+
+
+def place_of(text: Column) -> Column:
+    """The place of a text in the order of the groups."""
+    return F.xxhash64(F.lit("shard"), F.coalesce(text, F.lit("")))
+
 
-    The driver gets at most 2**``cell_bits`` sums, and counts of the salted parts of cells with over ``part_rows`` rows.
-    """
+def assign(docs: DataFrame, *, shards: int = 8, key: str = "doc_id", text: str = "text", bits: int = 14, chunk_bits: int = 20) -> DataFrame:
+    """``docs`` key, ``size``, ``text_crc32``, ``shard`` and ``slot``. A chunk has 2**``chunk_bits`` rows at most."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    order = F.xxhash64(F.lit("shard"), F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(
-        F.col(key).alias("key"), (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), order.alias("place")
-    ).withColumn("cell", F.shiftrightunsigned("place", 64 - cell_bits).cast("int"))
-    salt = F.xxhash64(F.lit("part"), "key")
-    cells = sorted(rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect())
-    ends = cuts([c["bytes"] for c in cells], shards)
-    parts = {c["cell"]: -(-c["n"] // part_rows) for c in cells if c["n"] > part_rows}
-    counts: dict[tuple[int, int], int] = {}
-    if parts:
-        split = _pick({c: n for c, n in parts.items()}, F.col("cell"), 1)
-        hot = rows.filter(F.col("cell").isin(list(parts))).groupBy("cell", F.pmod(salt, split).cast("int").alias("part")).count()
-        counts = {(r["cell"], r["part"]): r["count"] for r in hot.collect()}
-    place, first = [], 0
-    for shard, end in enumerate(ends):
-        before = 0
-        for c in cells[first:end]:
-            for part in range(parts.get(c["cell"], 1)):
-                place.append((c["cell"], part, shard, before))
-                before += counts.get((c["cell"], part), 0) if c["cell"] in parts else c["n"]
-        first = end
-    spark = docs.sparkSession
-    table = spark.createDataFrame(place, "cell int, part int, shard int, before long")
-    split = _pick(parts, F.col("cell"), 1)
-    rows = rows.withColumn("part", F.when(split > 1, F.pmod(salt, split)).otherwise(F.lit(0)).cast("int"))
-    within = Window.partitionBy("cell", "part").orderBy("place", "key", "size", "text_crc32")
-    numbered = rows.withColumn("nth", F.row_number().over(within) - 1)
-    return numbered.join(F.broadcast(table), ["cell", "part"]).select(
-        F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("before") + F.col("nth")).cast("long").alias("slot")
-    )
-
-
-def _pick(values: dict[int, int], by: Column, other: int) -> Column:
-    if not values:
-        return F.lit(other)
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[by], F.lit(other))
+    rows = docs.select(F.col(key).alias("key"), (F.octet_length(raw) + F.lit(1)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), place_of(F.col(text)).alias("place"))
+    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))  # small rows, numbered for good
+    begins = partition(rows, shards, bits)
+    shard = reduce(lambda a, b: a + (F.col("place") >= b).cast("int"), begins, F.lit(0))
+    rows = rows.select("key", "size", "text_crc32", shard.alias("shard"), "row", F.shiftright("row", chunk_bits).alias("chunk"))
+    counts = rows.groupBy("shard", "chunk").count()
+    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("count"))
+    nth = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("row")) - 1
+    numbered = rows.withColumn("nth", nth).join(before.select("shard", "chunk", "before"), ["shard", "chunk"])
+    return numbered.select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("before") + F.col("nth")).cast("long").alias("slot"))

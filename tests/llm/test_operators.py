@@ -387,18 +387,51 @@ def test_best_fit():
 # --- 9
 
 
-@pytest.mark.parametrize("part_rows", [20_000, 5])
-def test_sharding(spark, odd, none, part_rows):
+def least_capacity(sizes, shards):
+    """Minimax contiguous partition by dynamic programming."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    best = sums.copy()
+    for _ in range(shards - 1):
+        best = np.array([min(max(best[i], sums[j] - sums[i]) for i in range(j + 1)) for j in range(len(sums))])
+    return best[-1]
+
+
+@pytest.mark.parametrize("bits,chunk_bits,hot", [(14, 20, 0), (4, 2, 0), (4, 3, 90)])
+def test_sharding(spark, odd, none, bits, chunk_bits, hot):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
-    out = sharding.assign(docs, part_rows=part_rows).collect()
+    docs = docs.union(spark.range(hot).select(F.lit(None).cast("long"), F.lit("one text, no key " * 200)))  # more than a shard's share
+    out = sharding.assign(docs, bits=bits, chunk_bits=chunk_bits).collect()
     assert len(out) == docs.count() and sharding.assign(none).count() == 0
     source = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == source
-    slots, shard_of = defaultdict(list), {}
+    slots, shard_of, filled = defaultdict(list), {}, Counter()
     for r in out:
         slots[r.shard].append(r.slot)
+        filled[r.shard] += r.size
         assert shard_of.setdefault((r.size, r.text_crc32), r.shard) == r.shard
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(8))
+    groups = docs.withColumn("place", sharding.place_of(F.col("text"))).groupBy("place").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n")).orderBy("place")
+    assert max(filled.values()) == least_capacity([r.n for r in groups.collect()], 8)
+
+
+def test_open_cells():
+    """Refining only the open cells gives the capacity of the groups themselves."""
+    r = random.Random(9)
+    for _ in range(200):
+        groups = sorted({r.randrange(64): r.choice([1, 2, 3, 9, 60]) for _ in range(r.randrange(1, 40))}.items())
+        shards, cells = r.randrange(1, 6), None
+        def made(start, low):
+            own = [(k, n) for k, n in groups if start <= k < start + (1 << low)]
+            return [sharding.Cell(start, low, sum(n for _, n in own), len(own) == 1)] if own else []
+
+        cells = [c for i in range(4) for c in made(16 * i, 4)]
+        while found := sharding.open_cells(cells, shards):
+            split = [cells[i] for i in found]
+            cells = sorted([c for c in cells if c not in split] + [x for c in split for h in (0, 1) for x in made(c.start + (h << c.low - 1), c.low - 1)])
+        low, _ = sharding.bounds(cells, shards)
+        sizes = [c.size for c in cells]
+        ends = sharding.cuts(sizes, shards, low)
+        assert max(sum(sizes[a:b]) for a, b in zip([0, *ends], ends, strict=False)) == least_capacity([n for _, n in groups], shards)
 
 
 def test_cuts():
