@@ -15,10 +15,17 @@ for themselves, ordered by a hash of the text; an empty table gives an empty tab
 from __future__ import annotations
 
 import math
+import sys
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
+
+from .common import settle
 
 # Common words of English, German, French and Spanish.
 ANCHORS = [
@@ -32,6 +39,8 @@ ANCHORS = [
 CHAIN = 3
 #: Content words for each anchor of a text, and content words in a row, beyond which anchors are too few.
 SPARSE, FAR = 32, 48
+#: Ranges whose first keys are broadcast (24 bytes each); more are joined without.
+MOST_SENT = 200_000
 
 
 def words(text: Column) -> Column:
@@ -65,42 +74,60 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: Column, rows_per_range: int = 4_000, ranges: int = 4_096) -> DataFrame:
-    """``df`` with ``next_<column>`` of the row with the next smaller key (after the smallest: the largest).
+def _number(key: str, kind: DataType) -> Column:
+    """A number in the order of the key: the key itself, or of a text its first six bytes; null is least."""
+    text = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(key), "utf-8"), 1, 6)), 12, "0"), 16, 10)
+    return F.coalesce((text if isinstance(kind, StringType) else F.col(key)).cast("double"), F.lit(-sys.float_info.max))
+
+
+def with_next(df: DataFrame, key: str, tie: Column, prepare: Callable[[DataFrame], DataFrame], columns: list[str], rows_per_range: int = 4_000) -> DataFrame:
+    """``prepare(df)`` with ``next_<column>`` of the row with the next smaller key and tie (after the smallest: the largest).
 
-    Rows are dealt into ranges of the key by quantiles; the first row of each range, found by its key, closes the gap
-    between two ranges.
+    Rows are dealt into ranges of the key by quantiles; a key that fills a range or more gets ranges by its ties. Neither
+    the ranges nor the rows of one outgrow the square root of the table's rows (4,000 rows at least). Only the first keys of
+    the ranges are put in order in one task; the rows they belong to are looked up by them.
     """
+    number = _number(key, df.schema[key].dataType)
+    dealt = df.withColumn("__key", number).withColumn("__tie", tie)
     total = df.count()
-    parts = min(ranges, max(1, total // rows_per_range))
-    numeric = df.withColumn("__key", F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))))
-    probabilities = [i / parts for i in range(1, parts)]
-    inner = sorted({x for x in df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", probabilities, 0.2 / parts)} if parts > 1 else ())
-    dealt = numeric.withColumn("__tie", tie)
-    if inner:
-        dealt = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="__key", outputCol="__range").transform(dealt)
+    parts = max(1, total // max(rows_per_range, math.isqrt(total)))
+    splits, heavy = [], {}
+    if parts > 1:
+        found = Counter(dealt.approxQuantile("__key", [i / parts for i in range(1, parts)], 0.2 / parts))
+        heavy = {x: n + 1 for x, n in found.items() if n > 1}
+        splits = sorted({*found, *(math.nextafter(x, math.inf) for x in heavy)})
+    if splits:
+        dealt = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="__key", outputCol="__range").transform(dealt)
+        dealt = dealt.withColumn("__range", F.shiftleft(F.col("__range").cast("long"), 24))
     else:
-        dealt = dealt.withColumn("__range", F.lit(0.0))
-    order = [F.col(key).desc_nulls_last(), F.col("__tie").desc()]
-    inside = Window.partitionBy("__range").orderBy(*order)
-    main = dealt.withColumn("__after", F.lead(F.struct(*columns)).over(inside))
-    heads = dealt.groupBy("__range").agg(F.max(key).alias("__head")).withColumnRenamed("__range", "__r")
-    heads = F.broadcast(heads)  # two numbers a range, so at most ``ranges`` rows
-    first = dealt.join(heads, (F.col("__range") == F.col("__r")) & F.col(key).eqNullSafe(F.col("__head")))
-    first = first.withColumn("__n", F.row_number().over(inside)).filter("__n = 1").select("__range", F.struct(*columns).alias("__first"))
-    across = Window.orderBy(F.col("__range").desc())  # one row a range, so at most ``ranges`` rows
+        dealt = dealt.withColumn("__range", F.lit(0).cast("long"))
+    if heavy:
+        spread = df.sparkSession.createDataFrame([(bisect_right(splits, x) << 24, min(n, 1 << 23)) for x, n in heavy.items()], "__range long, __spread int")
+        share = F.shiftrightunsigned(F.col("__tie").bitwiseXOR(F.lit(-(1 << 63))), 32) * F.col("__spread")
+        dealt = dealt.join(F.broadcast(spread), "__range", "left")  # at most a row for each two ranges
+        dealt = dealt.withColumn("__range", F.col("__range") + F.coalesce(F.shiftright(share, 32), F.lit(0))).drop("__spread")
+    dealt = dealt.drop("__key")
+
+    inside = Window.partitionBy("__range").orderBy(F.col(key).desc_nulls_last(), F.col("__tie").desc())
+    main = prepare(dealt).withColumn("__after", F.lead(F.struct(*columns)).over(inside))
+    heads = dealt.groupBy("__range").agg(F.max(F.struct(F.col(key).alias("k"), F.col("__tie").alias("t"))).alias("head"))
+    across = Window.orderBy(F.col("__range").desc())
     whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    links = first.select(F.col("__range").alias("__r"), F.coalesce(F.lead("__first").over(across), F.first("__first").over(whole)).alias("__link"))
-    joined = main.join(links, main["__range"] == links["__r"], "left")
-    after = F.coalesce("__after", "__link")
-    return joined.select(*df.columns, *[after[c].alias(f"next_{c}") for c in columns])
+    links = settle(heads.select("__range", F.coalesce(F.lead("head").over(across), F.first("head").over(whole)).alias("head")))
+    wanted = links.select("head.k", "head.t")  # a key and a hash for each range
+    wanted = F.broadcast(wanted) if parts <= MOST_SENT else wanted
+    first = dealt.join(wanted, F.col(key).eqNullSafe(F.col("k")) & (F.col("__tie") == F.col("t"))).dropDuplicates(["k", "t"])
+    first = prepare(first).select("k", "t", F.struct(*columns).alias("__first"))
+    links = links.join(first, F.col("head.k").eqNullSafe(F.col("k")) & (F.col("head.t") == F.col("t"))).select("__range", "__first")
+    after = F.coalesce("__after", "__first")
+    joined = main.join(links, "__range", "left")
+    return joined.select(*[c for c in main.columns if not c.startswith("__")], *[after[c].alias(f"next_{c}") for c in columns])
 
 
 def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last half is the start of the next document."""
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = with_signatures(own, F.col("text"), "signed")
-    linked = with_next(own, "key", ["text", "signed"], F.xxhash64("text"))
+    linked = with_next(own, "key", F.xxhash64("text"), lambda df: with_signatures(df, F.col("text"), "signed"), ["text", "signed"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half))

@@ -291,8 +291,16 @@ def test_spotsigs(spark, small):
     rows = [(i * i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     if small:
-        linked = {r.doc_id: r.next_text for r in spotsigs.with_next(df, "doc_id", ["text"], F.lit(0), rows_per_range=3).collect()}
-        assert linked == {k: rows[i - 1][1] for i, (k, _) in enumerate(rows)}
+        linked = spotsigs.with_next(df, "doc_id", F.lit(0).cast("long"), lambda x: x, ["text"], rows_per_range=3)
+        assert {r.doc_id: r.next_text for r in linked.collect()} == {k: rows[i - 1][1] for i, (k, _) in enumerate(rows)}
+        # one key for most rows, null keys, text keys
+        many = [(5, f"five {i}") for i in range(40)] + [(None, f"none {i}") for i in range(30)] + [(1, "a"), (9, "b")]
+        for kind, named in (("long", lambda k: k), ("string", lambda k: None if k is None else f"key {k}")):
+            table = spark.createDataFrame([(named(k), t) for k, t in many], f"doc_id {kind}, text string").withColumn("h", F.xxhash64("text"))
+            order = sorted(table.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h) if kind == "long" else (r.doc_id is not None, r.doc_id or "", r.h), reverse=True)
+            linked = spotsigs.with_next(table, "doc_id", F.col("h"), lambda x: x, ["text"], rows_per_range=4)
+            got = {(r.doc_id, r.text): r.next_text for r in linked.collect()}
+            assert got == {(r.doc_id, r.text): order[(i + 1) % len(order)].text for i, r in enumerate(order)}
         return
     got = {r.doc_id: r for r in spotsigs.fingerprint_edits(df).collect()}
     for i, (k, t) in enumerate(rows):
