@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,7 +15,9 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (columns a, b); the root is the least node of the component.
 
-    Each step writes its small edge table to the shared folder, so lineage stays short. Null nodes and loops are ignored.
+    Each step writes its small tables to the shared folder, so lineage stays short, and deletes those before. Minima are
+    written before edges are joined to them: then both sides of the join are plain tables, and Spark splits the edges of a
+    node that has very many. Null nodes and loops are ignored.
     """
     now = settle(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(now)
@@ -23,13 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = settle(small.distinct())
-        after = _state(now)
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        large = settle(both.join(least, "a").filter("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = settle(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        after_now = settle(small.distinct())
+        discard(now, least, large, low)
+        now, after = after_now, _state(after_now)
         if after == before:
             break
         before = after

@@ -4,8 +4,8 @@ Texts are sets of five-word shingles (a shorter text is one shingle). Rows with
 are compared. MinHash bands give candidate pairs; the MinHash values of a pair are compared step by step, and the pair
 is dropped once the posterior probability that its likeness reaches the threshold falls below a tolerance; the rest are
 verified on their shingles. A band bucket of more than ``hot`` classes is never expanded into pairs: the classes of
-such buckets are grouped, dealt into blocks, and each pair of blocks is compared inside one task, which returns link
-counts and a spanning forest instead of pairs.
+such buckets are grouped, dealt into blocks of bounded rows and shingles, and each pair of blocks is compared inside one
+task, by the same steps, which returns link counts and a spanning forest instead of pairs.
 
 With 30 bands of 5 values a pair at the threshold of 0.8 shares no band with a probability of 7e-6, at 0.9 of 3e-12.
 Shingles and classes are compared by 64- and 128-bit hashes.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, settle, small_batches
+from .common import discard, lean, settle, small_batches
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -245,15 +245,16 @@ def _blocks(data: pa.Table, threshold: float, limits: list[tuple[int, int]]) ->
     return pa.table({"a": pa.array([cls[i] for i in found], pa.binary()), "b": pa.array([cls[root[i]] for i in found], pa.binary()), "links": pa.array(count[found], pa.int64())})
 
 
-def _grouped(docs: DataFrame, rows: DataFrame, key: str, text: str, threshold: float, tolerance: float, hot: int, block: int) -> DataFrame:
+def _grouped(docs: DataFrame, rows: DataFrame, key: str, text: str, threshold: float, tolerance: float, hot: int, block: int, block_shingles: int) -> DataFrame:
     """Per class of ``rows`` (the summaries of ``docs``): copy_id, n_copies, root of its group, n_links (null for none) and,
     if rows are marked, ``first``: key and mark of its row with the least key, null last, and then the least mark."""
     limits = least_matches(threshold, tolerance)
     first = [F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "mark")).alias("first")] if "mark" in rows.columns else []
     classes = settle(rows.groupBy("cls").agg(F.min("key").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), *first))
     bands = _bands(classes)
-    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("head")).filter("m > 1")
+    shared = settle(bands.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("head")).filter("m > 1"))
     members = settle(bands.join(shared, "band"))
+    discard(shared)
 
     crowded = members.filter(F.col("m") > hot).select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
     cluster = settle(components(crowded).select(F.col("node").alias("cls"), F.col("root").alias("cluster")))
@@ -274,14 +275,16 @@ def _grouped(docs: DataFrame, rows: DataFrame, key: str, text: str, threshold: f
     with_sets = likely.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     links = settle(_verify(with_sets.select("a", "b", "sa", "sb"), threshold))
 
-    sizes = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = cluster.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    weighed = cluster.join(classes.select("cls", "n"), "cls")
+    sizes = weighed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    dealt = cluster.join(settle(sizes), "cluster").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own, other = F.col("own"), F.col("other")
     spread = spread.select("cluster", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side"), "cls")
     full = spread.join(classes.select("cls", "sig"), "cls").join(sets, "cls")
     inside = settle(full.groupBy("cluster", "i", "j").applyInArrow(lambda t: _blocks(t, threshold, limits), "a binary, b binary, links long"))
 
+    discard(members, likely, sets)
     edges = links.union(inside.select("a", "b"))
     root = components(edges)
     counts = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).withColumn("links", F.lit(1).cast("long"))
@@ -291,26 +294,26 @@ def _grouped(docs: DataFrame, rows: DataFrame, key: str, text: str, threshold: f
 
 
 def jaccard_join(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-7, hot: int = 64, block: int = 400,
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-7, hot: int = 64, block: int = 400, block_shingles: int = 2_000_000,
 ) -> DataFrame:
     """Per row of ``docs``: key, ``class_id`` (least key of its group of linked classes), ``n_links`` (other classes at least
     ``threshold`` alike), ``copy_id`` (least key with the same shingles) and ``n_copies``."""
     rows = settle(_summaries(docs, key, text))
-    grouped = _grouped(docs, rows, key, text, threshold, tolerance, hot, block)
+    grouped = _grouped(docs, rows, key, text, threshold, tolerance, hot, block, block_shingles)
     least = grouped.filter("n_links is not null").groupBy("root").agg(F.min("copy_id").alias("least"))
     named = grouped.join(least, "root", "left").select("cls", F.coalesce("least", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copy_id", "n_copies")
     return rows.select("key", "cls").join(named, "cls").select(F.col("key").alias(key), "class_id", "n_links", "copy_id", "n_copies")
 
 
 def keep_one(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-7, hot: int = 64, block: int = 400,
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-7, hot: int = 64, block: int = 400, block_shingles: int = 2_000_000,
 ) -> DataFrame:
     """One row of ``docs`` for each group of linked classes: that with the least key (null last), then the least hashes of
     the text and of the other columns. Rows are matched by these hashes, 192 bits, so keys needn't be unique or set."""
     others = F.to_json(F.struct(F.col(f"`{text}`").isNull().alias("__null"), *[F.col(f"`{c}`") for c in docs.columns if c != text]), {"ignoreNullFields": "false"})
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     mark = F.struct(F.xxhash64(value).alias("m1"), F.xxhash64(F.lit("second"), value).alias("m2"), F.xxhash64(others).alias("m3"))
-    grouped = _grouped(docs, settle(_summaries(docs, key, text, mark)), key, text, threshold, tolerance, hot, block)
+    grouped = _grouped(docs, settle(_summaries(docs, key, text, mark)), key, text, threshold, tolerance, hot, block, block_shingles)
     kept = grouped.groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.mark.{m}").alias(f"__{m}") for m in ("m1", "m2", "m3")])
     marked = docs.select("*", *[mark[m].alias(f"__{m}") for m in ("m1", "m2", "m3")])
     return marked.join(kept, ["__m1", "__m2", "__m3"], "left_semi").dropDuplicates(["__m1", "__m2", "__m3"]).select(*[F.col(f"`{c}`") for c in docs.columns])
