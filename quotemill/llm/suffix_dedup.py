@@ -3,12 +3,15 @@
 A string of ``length`` bytes has a content-defined anchor, the least hash of its ``GRAM``-byte pieces. Strings can only
 be equal if their anchors are, so every maximal run of start places with one anchor becomes a window (the run and the
 ``length - 1`` bytes after it), and only windows whose anchor occurs elsewhere are looked at. They are dealt by anchor;
-equal windows collapse into one that is marked as repeated. The distinct windows are the shards, each with its own
-Burrows-Wheeler transform (the symbols before its suffixes), and the transforms of a part are merged: a block of
-suffixes that agree in h bytes is refined by the preceding symbols into blocks that agree in more,
-until ``length``, without sorting suffixes anew. Suffixes that stay in a block up to ``length`` are repeated strings.
+equal windows collapse into one that is marked as repeated. The distinct windows are the shards: each gets the
+Burrows-Wheeler transform of its suffixes, with for every row the row of the suffix that is one symbol longer. The
+transforms of one anchor are merged: the interleave of their rows is refined by the symbols of the transforms, step by
+step, so that rows whose suffixes agree in h bytes lie together, until h is ``length``. Common prefixes thus come from
+the steps at which rows part, and rows that never part are repeated strings; no suffix of two shards is compared.
 
-Anchors with over ``hot`` windows are split by the distance between start and anchor, which equal strings share too.
+An anchor with over ``hot`` windows would make one merge large. Its windows are cut into pieces of ``SPLIT`` start places
+by their distance from the anchor, which equal strings share, and the strings of each distinct piece are counted by
+128-bit hashes instead, which Spark aggregates before it shuffles them.
 
 Defined cases: null counts as empty; strings never cross texts; a text under ``length`` bytes keeps all; equal texts of
 ``length`` bytes or more lose all; repeated rows count as copies; an empty table gives an empty table.
@@ -22,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carrying, lean, small_batches
+from .common import carrying, discard, lean, settle, small_batches
 
 GRAM = 32
 _BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -100,10 +103,10 @@ def _runs(base: DataFrame, length: int) -> DataFrame:
     return base.select("tid", "text").mapInArrow(run, "anchor long, tid binary, place long, again boolean")
 
 
-def _pieces(text: bytes, anchor: int, first: int, last: int, hot: bool, length: int) -> Iterator[tuple[int, int, int]]:
-    """(key, first, last): the run itself, or for a hot anchor its parts by the distance to the anchor."""
+def _pieces(text: bytes, anchor: int, first: int, last: int, hot: bool, length: int) -> Iterator[tuple[int, int]]:
+    """(first, last): the run itself, or for a hot anchor its parts by the distance to the anchor."""
     if not hot:
-        yield anchor, first, last
+        yield first, last
         return
     data = np.frombuffer(text, np.uint8)[first : last + length]
     spots = np.flatnonzero(gram_hashes(data).view(np.int64) == anchor)
@@ -111,95 +114,208 @@ def _pieces(text: bytes, anchor: int, first: int, last: int, hot: bool, length:
     distance = (spots[np.searchsorted(spots, starts)] - starts) // SPLIT
     cut = np.flatnonzero(np.append(True, distance[1:] != distance[:-1]))
     for a, b in zip(cut, np.append(cut[1:], len(starts)), strict=True):
-        yield int(np.int64(xxhash.xxh64_intdigest(f"{anchor}:{distance[a]}") - (1 << 63))), first + int(a), first + int(b) - 1
+        yield first + int(a), first + int(b) - 1
 
 
-def _windows(joined: DataFrame, length: int, content: bool) -> DataFrame:
-    """Windows of the runs in ``found``: with content once per task and distinct window, or the places of all of them."""
+def _spot(tid: bytes, place: int) -> int:
+    return int(np.int64(xxhash.xxh64_intdigest(tid + place.to_bytes(8, "little")) - (1 << 63)))
+
+
+def _found(batches: Iterator[pa.RecordBatch], length: int, hot: bool | None) -> Iterator[tuple[int, bytes, bytes, int, int] | None]:
+    """(anchor, tid, window, first, last) of every window of distinct texts, of hot anchors or others only if asked for;
+    None after each batch."""
+    before = None
+    for batch in batches:
+        for row in range(batch.num_rows):
+            tid = batch.column("tid")[row].as_py()
+            if tid == before:
+                continue  # a copy of the text before
+            before, text = tid, batch.column("text")[row].as_py()
+            for found in batch.column("found")[row].as_py():
+                if hot is not None and found["hot"] != hot:
+                    continue
+                first, last = found["place"] >> 32, found["place"] & 0xFFFFFFFF
+                for a, b in _pieces(text, found["anchor"], first, last, found["hot"], length):
+                    yield found["anchor"], tid, text[a : b + length], a, b
+        yield None
+
+
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
+def _contents(joined: DataFrame, length: int) -> DataFrame:
+    """The windows of anchors that aren't hot, once per task and distinct window, with the extremes of their spots."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, held, size = None, {}, 0
+        held, size = {}, 0
 
         def flush() -> pa.RecordBatch:
-            keys, names, texts, least, most = zip(*((k[0], k[1], *v) for k, v in held.items()), strict=True) if held else ((),) * 5
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.binary()), pa.array(texts, pa.binary()), pa.array(least, pa.int64()), pa.array(most, pa.int64())], ["part", "window", "content", "least", "most"])
+            rows = [(*k, *v) for k, v in held.items()]
+            return _batch(rows, part=pa.int64(), window=pa.binary(), content=pa.binary(), least=pa.int64(), most=pa.int64())
 
-        for batch in batches:
-            out = []
-            for row in range(batch.num_rows):
-                tid = batch.column("tid")[row].as_py()
-                if tid == before:
-                    continue  # a copy of the text before
-                before, text = tid, batch.column("text")[row].as_py()
-                for found in batch.column("found")[row].as_py():
-                    first, last = found["place"] >> 32, found["place"] & 0xFFFFFFFF
-                    for key, a, b in _pieces(text, found["anchor"], first, last, found["hot"], length):
-                        own = text[a : b + length]
-                        name = xxhash.xxh3_128_digest(own)
-                        if not content:
-                            out.append((name, tid, a, b))
-                            continue
-                        spot = int(np.int64(xxhash.xxh64_intdigest(tid + a.to_bytes(8, "little")) - (1 << 63)))
-                        if (key, name) in held:
-                            _, low, high = held[key, name]
-                            held[key, name] = own, min(low, spot), max(high, spot)
-                        else:
-                            held[key, name] = own, spot, spot
-                            size += len(own)
-            if not content:
-                columns = zip(*out, strict=True) if out else ((),) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["window", "tid", "first", "last"])
-            elif size > 48_000_000:
-                yield flush()
-                held, size = {}, 0
-        if content:
-            yield flush()
-
-    schema = "part long, window binary, content binary, least long, most long" if content else "window binary, tid binary, first long, last long"
-    return joined.mapInArrow(run, schema)
+        for found in _found(batches, length, False):
+            if found is None:
+                if size > 48_000_000:
+                    yield flush()
+                    held, size = {}, 0
+                continue
+            part, tid, own, place, _ = found
+            spot, name = _spot(tid, place), (part, xxhash.xxh3_128_digest(own))
+            _, low, high = held.get(name, (None, spot, spot))
+            size += len(own) * (name not in held)
+            held[name] = own, min(low, spot), max(high, spot)
+        yield flush()
+
+    return joined.mapInArrow(run, "part long, window binary, content binary, least long, most long")
+
+
+def _places(joined: DataFrame, length: int) -> DataFrame:
+    """Where each window is."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for found in _found(batches, length, None):
+            if found is not None:
+                out.append((xxhash.xxh3_128_digest(found[2]), found[1], found[3], found[4]))
+            else:
+                yield _batch(out, window=pa.binary(), tid=pa.binary(), first=pa.int64(), last=pa.int64())
+                out = []
+
+    return joined.mapInArrow(run, "window binary, tid binary, first long, last long")
+
+
+def _hot_strings(joined: DataFrame, length: int) -> DataFrame:
+    """Every string of the pieces of hot anchors: its hash, its piece and place there, and the extremes of its spots."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(xxhash.xxh3_128_digest(own[i : i + length]), name, i, low + i, high + i) for name, (own, low, high) in held.items() for i in range(len(own) - length + 1)]
+            return _batch(rows, string=pa.binary(), window=pa.binary(), at=pa.int64(), least=pa.int64(), most=pa.int64())
+
+        for found in _found(batches, length, True):
+            if found is None:
+                if len(held) > 20_000:
+                    yield flush()
+                    held = {}
+                continue
+            _, tid, own, place, _ = found
+            spot, name = _spot(tid, place) >> 1, xxhash.xxh3_128_digest(own)
+            _, low, high = held.get(name, (None, spot, spot))
+            held[name] = own, min(low, spot), max(high, spot)
+        yield flush()
+
+    return joined.filter(F.exists("found", lambda x: x["hot"])).mapInArrow(run, "string binary, window binary, at long, least long, most long")
+
+
+def _hot_spans(strings: DataFrame) -> DataFrame:
+    """(window, a, b): the runs of start places whose strings occur elsewhere, too."""
+    twice = settle(strings.groupBy("string").agg(F.min("least").alias("low"), F.max("most").alias("high")).filter("low < high").select("string"))
+    hits = strings.join(twice, "string").groupBy("window").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    begin, end = F.filter("at", lambda x: ~F.array_contains("at", x - 1)), F.filter("at", lambda x: ~F.array_contains("at", x + 1))
+    ends = F.arrays_zip(begin.alias("a"), end.alias("b"))
+    return hits.select("window", F.explode(ends).alias("e")).select("window", "e.a", "e.b")
+
+
+def transforms(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, before, row): the Burrows-Wheeler transforms of all windows, each with its own rows, one after another.
+
+    A window has a row for each suffix, the empty one too. ``symbols``: the byte before the suffix of a row; ``before``: the
+    row of the suffix with that byte; ``row``: the row of each place, the places of the windows one after another. Rows are
+    ordered by six bytes at once, and those that agree by doubling.
+    """
+    size = np.array([len(w) + 1 for w in windows], np.int64)
+    total = int(size.sum())
+    data = np.zeros(total + 6, np.uint8)
+    data[:total] = np.frombuffer(b"\0".join([*windows, b""]), np.uint8)
+    owner = np.repeat(np.arange(len(windows)), size)
+    left = (np.cumsum(size) - 1)[owner] - np.arange(total)
+    key = np.zeros(total, np.uint64)
+    for i in range(6):
+        key = key << np.uint64(8) | data[i : i + total]
+    short = np.flatnonzero(left < 6)
+    cut = (8 * (6 - left[short])).astype(np.uint64)
+    key[short] = key[short] >> cut << cut
+    order = np.empty(total, np.int64)
+    starts = np.append(np.flatnonzero(np.append(True, owner[1:] >> 16 != owner[:-1] >> 16)) if total else [], total).astype(np.int64)
+    for a, b in zip(starts[:-1], starts[1:], strict=True):  # window and bytes of 65,536 windows fit into a number
+        own = key[a:b] | (owner[a:b] & 0xFFFF).astype(np.uint64) << np.uint64(48)
+        order[a:b] = np.argsort(own) + a
+    fresh = np.append(True, (key[order[1:]] != key[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])) if total else np.zeros(0, bool)
+    at = np.flatnonzero(fresh)
+    many = np.diff(np.append(at, total))
+    row = np.empty(total, np.int64)
+    row[order] = np.repeat(at, many)
+    now, known = order[np.repeat(many > 1, many)], 6
+    while len(now):
+        further = left[now] >= known
+        second = np.where(further, row[np.where(further, now + known, 0)], left[now] - known)
+        both = row[now] << 32 | (second + (1 << 31))
+        by = np.argsort(both)
+        now, both, old = now[by], both[by], row[now[by]]
+        number = np.arange(len(now))
+        fresh = np.append(True, both[1:] != both[:-1])
+        begin = np.maximum.accumulate(np.where(fresh, number, 0))
+        group = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), number, 0))
+        new = old + begin - group
+        order[new + number - begin] = now
+        row[now] = new
+        many = np.diff(np.append(np.flatnonzero(fresh), len(now)))
+        now, known = now[np.repeat(many > 1, many)], 2 * known
+    previous = np.maximum(order - 1, 0)  # of a whole window, whose row has no symbol, nothing is read
+    return data[previous], row[previous].astype(np.int32), row
 
 
 def repeated_starts(windows: list[bytes], repeated: list[bool], length: int, parts: list[int] | None = None) -> list[np.ndarray]:
     """For each distinct window which of its start places have their ``length`` bytes elsewhere in windows of its part, too
     (all of them for a window that is itself repeated).
 
-    Each window is a shard, and the symbols that precede its suffixes are its transform. The interleave of the shards
-    begins with one block a part. Every step refines a block of suffixes that agree in h bytes by the two preceding
-    symbols into blocks that agree in h + 2; the order within a block stays that of the step before. A suffix takes part
-    only while the walk can still reach a whole string, a block only while it has two suffixes and one of them isn't
-    known to be repeated. Blocks left at ``length`` are the repeated intervals.
+    The interleave of the shards begins with one block a part, of the rows ``length`` bytes after the start places. Every
+    step orders the rows by the two symbols before them, those of a block staying in their order, and goes to the rows of
+    the longer suffixes: blocks of suffixes that agree in h bytes become blocks that agree in h + 2. Rows whose block can't
+    change any more, as it is a single row or all of it is known to be repeated, are left out. Blocks left at ``length``
+    are the repeated intervals.
     """
+    if not windows:
+        return []
     size = np.array([len(w) for w in windows], np.int64)
     count = np.maximum(size - length + 1, 0)
     first = np.cumsum(count) - count
     owner = np.repeat(np.arange(len(windows)), count)
     known = np.array(repeated, bool)[owner]
     found = known.copy()
-    data = np.frombuffer(b"".join(windows), np.uint8)
-    spot = (np.cumsum(size) - size)[owner] + np.arange(len(owner)) - first[owner]
+    symbols, before, row = transforms(windows)
+    rows = row[(np.cumsum(size + 1) - size - 1)[owner] + np.arange(len(owner)) - first[owner] + length]
+    pairs = symbols[before].astype(np.uint16) << np.uint16(8) | symbols
+    twice = before[before]
     now = np.arange(len(owner))
     if parts is not None:
         now = np.argsort(np.array(parts)[owner], kind="stable")
         _, block = np.unique(np.array(parts)[owner][now], return_inverse=True)
     else:
         block = np.zeros(len(now), np.int64)
-    pair = data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
+    rows = rows[now]
     done = 0
     while done < length and len(now):
         step = 2 if length - done > 1 else 1
         done += step
-        symbol = (pair if step == 2 else data)[spot[now] + length - done]
+        symbol = (pairs if step == 2 else symbols)[rows]
         by = np.argsort(symbol, kind="stable")
-        symbol, now, block = symbol[by], now[by], block[by]
+        symbol, now, rows, block = symbol[by], now[by], rows[by], block[by]
         at = np.flatnonzero(np.append(True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])))
         many = np.diff(np.append(at, len(now)))
         live = (many > 1) & ~np.logical_and.reduceat(known[now], at)
         keep = np.repeat(live, many)
-        now = now[keep]
+        now, rows = now[keep], (twice if step == 2 else before)[rows[keep]]
         block = np.repeat(np.arange(np.count_nonzero(live)), many[live])
     found[now] = True
-    return np.split(found, first[1:]) if len(windows) else []
+    return np.split(found, first[1:])
 
 
 def spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -235,27 +351,32 @@ def remove_repeats(
 
     ``part_bytes``: bytes of all texts for each part in which windows are merged.
     """
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * kept
     source, schema, _, first = carrying(docs, key, text, added, carry)
-    row = F.struct(*[F.col(f"`{c}`") for c in source.columns[first:]])
+    others = [c for c in source.columns[first:] if c != text]
+    row = F.struct(F.col(f"`{text}`").isNull().alias("__void"), *[F.col(f"`{c}`") for c in others])
     base = docs.select(raw.alias("text"), row.alias("row")).withColumn("tid", F.unhex(F.md5("text"))).filter("tid is not null")
     parts = max(1, (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes)
 
-    by_anchor = Window.partitionBy("anchor")
     spot = F.xxhash64("tid", "place")
-    runs = _runs(base, length).withColumns({"low": F.min(spot).over(by_anchor), "high": F.max(spot).over(by_anchor), "n": F.count(F.lit(1)).over(by_anchor)})
-    runs = runs.filter("low < high or again").select("tid", F.struct("anchor", "place", (F.col("n") > hot).alias("hot")).alias("run"))
-    found = runs.groupBy("tid").agg(F.collect_set("run").alias("found"))
+    runs = settle(_runs(base, length))
+    stats = runs.groupBy("anchor").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
+    stats = settle(stats.filter("low < high or again").select("anchor", (F.col("n") > hot).alias("hot")))
+    found = runs.join(stats, "anchor").select("tid", F.struct("anchor", "place", "hot").alias("run")).groupBy("tid").agg(F.collect_set("run").alias("found"))
+    found = settle(found)
     joined = base.join(found.hint("merge"), "tid").select("tid", "text", "row", "found")
 
-    contents = _windows(joined, length, True).withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(parts)))
+    contents = _contents(joined, length).withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(parts)))
     merged = contents.groupBy("bucket").applyInArrow(lambda t: _merge(t, length), "window binary, a long, b long")
-    places = _windows(joined, length, False).join(merged, "window")
+    if not stats.filter("hot").isEmpty():
+        merged = merged.unionByName(_hot_spans(settle(_hot_strings(joined, length))))
+    places = _places(joined, length).join(merged, "window")
     removed = places.select("tid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     copies = base.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size")).filter(f"n > 1 and size >= {length}")
     removed = removed.unionByName(copies.select("tid", F.lit(0).cast("long").alias("a"), (F.col("size") - length).cast("long").alias("b")))
-    cut = removed.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("cut"))
+    cut = settle(removed.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("cut")))
+    discard(runs, stats, found)
     final = base.join(cut.hint("merge"), "tid", "left").select("tid", "text", "row", "cut")
 
     @lean
@@ -273,7 +394,12 @@ def remove_repeats(
                     left = b"".join([*out, value[at:]])
                     rows.append((len(value), len(value) - len(left), runs, hashlib.sha256(left).hexdigest()))
                     texts_kept.append(left.decode("utf-8", "ignore") if kept else None)
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.column("row").flatten(), *columns, *[pa.array(texts_kept, pa.string())] * kept], schema.names)
+                void, *own = part.column("row").flatten()
+                own = dict(zip(others, own, strict=True))
+                if carry and text in schema.names:
+                    own[text] = pa.compute.if_else(void, None, part.column("text").cast(pa.string()))
+                numbers = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                own |= dict(zip(schema.names[len(own) :], [*numbers, *[pa.array(texts_kept, pa.string())] * kept], strict=True))
+                yield pa.RecordBatch.from_arrays([own[c] for c in schema.names], schema.names)
 
     return final.mapInArrow(finish, schema)

@@ -245,12 +245,27 @@ def test_suffix_dedup(spark, odd, none, hot):
     rows = list(enumerate(texts))
     out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot, part_bytes=9000)
     assert collected(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
-    plain = odd.filter("doc_id is null or doc_id != 6")
-    out = suffix_dedup.remove_repeats(plain, hot=hot, kept=True, carry=True)
-    assert collected(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats([(r.doc_id, r.text) for r in plain.collect()])
+    out = suffix_dedup.remove_repeats(odd, hot=hot, kept=True, carry=True).cache()
+    assert collected(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats([(r.doc_id, r.text) for r in odd.collect()])
+    assert collected(out, "doc_id", "text", "lang", "source", "row") == collected(odd, "doc_id", "text", "lang", "source", "row")
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_transforms():
+    """Rows, symbols and links of each window's transform against its sorted suffixes."""
+    r = random.Random(12)
+    for _ in range(60):
+        windows = [bytes(r.choice([0, 97, 98]) for _ in range(r.randrange(0, 40))) for _ in range(r.randrange(1, 9))] + [b"\0" * 50, b"ab" * 30]
+        symbols, before, row = suffix_dedup.transforms(windows)
+        base = 0
+        for w in windows:
+            order = sorted(range(len(w) + 1), key=lambda i: w[i:])
+            own = row[base : base + len(w) + 1] - base
+            assert [order[x] for x in own] == list(range(len(w) + 1))
+            assert all(symbols[base + own[i]] == w[i - 1] and before[base + own[i]] == base + own[i - 1] for i in range(1, len(w) + 1))
+            base += len(w) + 1
+
+
 def test_merged_transforms():
     r = random.Random(4)
     for _ in range(30):
