@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import chunked, running_sum
+
 DAY_US = 86_400_000_000
 
 
@@ -21,17 +23,22 @@ def asof(
     tie = tie or []
     key = lambda c: sign * F.unix_micros(F.col(c).cast("timestamp"))
     values = F.struct(*columns)
-    t = [F.col(c) if not forward else -F.col(c).cast("double") for c in tie]
-    f = facts.select(*by, key(fact_time).alias("__t"), F.struct(*t, F.lit(0)).alias("__tie"), values.alias("__v"), F.lit(0 if exact else 2).alias("__side"))
+    f = facts.select(*by, key(fact_time).alias("__t"), F.struct(*[F.col(c) for c in tie], F.lit(0)).alias("__tie"), values.alias("__v"), F.lit(0 if exact else 2).alias("__side"))
     p = probe.withColumns({"__t": key(probe_time), "__side": F.lit(1)})
     bucket = F.floor(F.col("__t") / bucket_us)
     row = F.struct(*[F.col(c) for c in probe.columns])
     both = f.withColumn("__row", F.lit(None).cast(probe.schema)).select(*by, "__t", "__side", "__tie", "__v", "__row").unionByName(
         p.select(*by, "__t", "__side", F.lit(None).cast(f.schema["__tie"].dataType).alias("__tie"), F.lit(None).cast(f.schema["__v"].dataType).alias("__v"), row.alias("__row"))
     ).withColumn("__bucket", bucket)
-    inside = Window.partitionBy(*by, "__bucket").orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    order = F.col("__tie").desc() if forward else F.col("__tie")
+    inside = Window.partitionBy(*by, "__bucket").orderBy("__t", "__side", order).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__near", F.last("__v", ignorenulls=True).over(inside)).filter("__side = 1")
-    ends = f.withColumn("__bucket", bucket).groupBy(*by, "__bucket").agg(F.max_by("__v", F.struct("__t", "__tie")).alias("__end"))
+    ends = f.withColumn("__bucket", bucket)
+    if forward:  # the last time of the bucket, and of its facts the one with the smallest tie
+        last = ends.groupBy(*by, "__bucket", "__t").agg(F.min_by("__v", "__tie").alias("__v"))
+        ends = last.groupBy(*by, "__bucket").agg(F.max_by("__v", "__t").alias("__end"))
+    else:
+        ends = ends.groupBy(*by, "__bucket").agg(F.max_by("__v", F.struct("__t", "__tie")).alias("__end"))
     grid = ends.unionByName(p.withColumn("__bucket", bucket).select(*by, "__bucket").distinct(), allowMissingColumns=True)
     grid = grid.groupBy(*by, "__bucket").agg(F.any_value("__end", F.lit(True)).alias("__end"))
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,17 +48,19 @@ def asof(
 
 
 def first_crossing(orders: DataFrame, quotes: DataFrame, by: list[str], start: str, end: str, time: str, condition: Column, pick: list[str], bucket_us: int = 3_600_000_000) -> DataFrame:
-    """``orders`` with ``pick`` of the first quote in ``(start, end]`` that meets ``condition``.
+    """``orders`` with ``pick`` of the first quote in ``(start, end]`` that meets ``condition``; equal orders are as many after as before.
 
     Each order is put into the time buckets of its lifetime, so that the join is on equal series and bucket; only the
     first hit of an order is kept, as an aggregate.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    o = orders.withColumn("__id", F.struct(*orders.columns))
+    o = orders.groupBy(*orders.columns).agg(F.count(F.lit(1)).cast("int").alias("__n"))
+    o = o.withColumn("__id", F.struct(*orders.columns))
     o = o.withColumn("__bucket", F.explode(F.sequence(F.floor(us(start) / bucket_us), F.floor(us(end) / bucket_us))))
     q = quotes.withColumn("__bucket", F.floor(us(time) / bucket_us))
     hits = o.join(q, [*by, "__bucket"]).filter((F.col(time) > F.col(start)) & (F.col(time) <= F.col(end)) & condition)
-    first = hits.groupBy("__id").agg(F.min_by(F.struct(*pick), F.struct(time, "seq")).alias("__hit"))
+    first = hits.groupBy("__id", "__n").agg(F.min_by(F.struct(*pick), F.struct(time, "seq")).alias("__hit"))
+    first = first.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     return first.select("__id.*", *[F.col(f"__hit.{c}") for c in pick])
 
 
@@ -73,11 +82,13 @@ def reconciled(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]) -
     return both.withColumn("side", F.when(F.col("theirs").isNull(), "only_mine").when(F.col("mine").isNull(), "only_theirs").otherwise("differs"))
 
 
-def islands(df: DataFrame, by: list[str], order: list[str], condition: str, name: str = "island") -> DataFrame:
-    """Number of the run of equal ``condition`` that a row is in."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    change = F.when(F.col(condition).eqNullSafe(F.lag(condition).over(w)), 0).otherwise(1)
-    return df.withColumn("__change", change).withColumn(name, F.sum("__change").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__change")
+def islands(df: DataFrame, by: list[str], order: list[str], condition: str, name: str = "island", size: int = 20_000) -> DataFrame:
+    """Number of the run of equal ``condition`` that a row is in; ``order`` begins with a time. A series is cut into chunks."""
+    own = chunked(df, by, order[0], 1, size, order)
+    w = Window.partitionBy(*by, "chunk").orderBy("rn")
+    change = F.when((F.lag("rn").over(w).isNotNull()) & F.col(condition).eqNullSafe(F.lag(condition).over(w)), 0).otherwise(1)
+    own = own.withColumn("__change", change).filter("not halo")
+    return running_sum(own, by, "chunk", "rn", "__change", name).drop("__change", "rn", "chunk", "halo")
 
 
 def known_at(facts: DataFrame, at: Column) -> DataFrame:

@@ -6,27 +6,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def indexed(df: DataFrame, by: list[str], time: str, name: str = "rn") -> DataFrame:
-    """``name``: the number of a row in its series, from 1: rows of the days before it and its place in its day.
+def indexed(df: DataFrame, by: list[str], time: str, name: str = "rn", order: list[str] | None = None) -> DataFrame:
+    """``name``: the number of a row in its series, from 1: rows of the days before it and its place in its day, by ``order``
+    (``time`` first) if there are ties.
 
     Days are counted first (a small table), so rows are only sorted within a series and day.
     """
     day = F.to_date(time)
     days = df.groupBy(*by, day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(*by, "__day").orderBy(time))
+    place = F.row_number().over(Window.partitionBy(*by, "__day").orderBy(*(order or [time])))
     out = df.withColumn("__day", day).join(days.withColumn("__before", before).drop("__n"), [*by, "__day"])
     return out.withColumn(name, F.col("__before") + place).drop("__day", "__before")
 
 
-def chunked(df: DataFrame, by: list[str], time: str, lookback: int, size: int = 20_000) -> DataFrame:
+def chunked(df: DataFrame, by: list[str], time: str, lookback: int, size: int = 20_000, order: list[str] | None = None) -> DataFrame:
     """``df`` with ``rn``, ``chunk`` and ``halo``: rows that a chunk only looks back at appear in it once more, marked.
 
     A window over (``by``, chunk) that needs at most ``lookback`` rows before its own is exact on the unmarked rows.
     """
     size = max(size, lookback)
-    out = indexed(df, by, time).withColumn("chunk", F.floor((F.col("rn") - 1) / size))
+    out = indexed(df, by, time, order=order).withColumn("chunk", F.floor((F.col("rn") - 1) / size))
     late = (F.col("rn") - 1) % size >= size - lookback
     again = F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     out = out.withColumn("__next", F.explode(again))
     return out.withColumn("halo", F.col("__next") == 1).withColumn("chunk", F.col("chunk") + F.col("__next")).drop("__next")
+
+
+def running_sum(df: DataFrame, by: list[str], chunk: str, order: str, value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` up to a row: that in its chunk and, from a table with a row per chunk, that of the chunks before."""
+    sums = df.groupBy(*by, chunk).agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(value).over(Window.partitionBy(*by, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    out = df.withColumn("__inside", inside).join(sums.withColumn("__before", before).drop("__sum"), [*by, chunk])
+    return out.withColumn(name, F.col("__before") + F.col("__inside")).drop("__inside", "__before")

@@ -30,21 +30,21 @@ def _(spark, sf):
     return out.select("seq", "fact_seq", *r6("fact_mid"))
 
 
-@query("jn2_asof_forward", ctes(TICKS_SQL) + "select p.seq, f.seq as fill_seq, cast(case when p.seq % 3 = 0 then f.bid else f.ask end as double) as price from (select *, ts_event + interval 150 millisecond as at from ticks where seq % 10 = 0) p asof left join (select * from ticks) f on p.venue = f.venue and p.instrument = f.instrument and p.at < f.ts_event")
+@query("jn2_asof_forward", ctes(TICKS_SQL) + "select p.seq, f.seq as fill_seq, cast(case when p.seq % 3 = 0 then f.bid else f.ask end as double) as price from (select *, ts_event + interval 150 millisecond as at from ticks) p asof left join (select * from ticks) f on p.venue = f.venue and p.instrument = f.instrument and p.at < f.ts_event")
 def _(spark, sf):
     t = views.ticks(spark, sf)
     quotes = t.select(*K, "ts_event", F.col("seq").alias("fill_seq"), F.col("bid").cast("double").alias("bid"), F.col("ask").cast("double").alias("ask"))
-    sent = t.filter("seq % 10 = 0").select(*K, "seq", (F.col("ts_event") + F.expr("interval 150 milliseconds")).alias("at"))
+    sent = t.select(*K, "seq", (F.col("ts_event") + F.expr("interval 150 milliseconds")).alias("at"))
     out = J.asof(sent, quotes, K, "at", "ts_event", ["fill_seq", "bid", "ask"], forward=True, exact=False, tie=["fill_seq"])
     return out.select("seq", "fill_seq", F.when(F.col("seq") % 3 == 0, F.col("bid")).otherwise(F.col("ask")).alias("price"))
 
 
 def _limits(spark, sf, hours=6):
     t = _mids(spark, sf)
-    return t.filter("seq % 7 = 0").select(*K, F.col("seq").alias("order_id"), F.col("ts_event").alias("start"), (F.col("ts_event") + F.expr(f"interval {hours} hours")).alias("stop"), (F.col("mid") * 0.9999).alias("limit"))
+    return t.select(*K, F.col("seq").alias("order_id"), F.col("ts_event").alias("start"), (F.col("ts_event") + F.expr(f"interval {hours} hours")).alias("stop"), (F.col("mid") * 0.9999).alias("limit"))
 
 
-@query("jn3_first_crossing", ctes(TICKS_SQL, MID_SQL) + "select o.order_id, min(q.seq) as seq from (select venue, instrument, seq as order_id, ts_event as a, ts_event + interval 6 hour as b, mid * 0.9999 as lim from mids where seq % 7 = 0) o join mids q on o.venue = q.venue and o.instrument = q.instrument and q.ts_event > a and q.ts_event <= b and cast(q.bid as double) <= lim - 0.00001 group by o.order_id")
+@query("jn3_first_crossing", ctes(TICKS_SQL, MID_SQL) + "select o.order_id, min(q.seq) as seq from (select venue, instrument, seq as order_id, ts_event as a, ts_event + interval 6 hour as b, mid * 0.9999 as lim from mids) o join mids q on o.venue = q.venue and o.instrument = q.instrument and q.ts_event > a and q.ts_event <= b and cast(q.bid as double) <= lim - 0.00001 group by o.order_id")
 def _(spark, sf):
     quotes = views.ticks(spark, sf).select(*K, "ts_event", "seq", F.col("bid").cast("double").alias("bid"))
     return J.first_crossing(_limits(spark, sf), quotes, K, "start", "stop", "ts_event", F.col("bid") <= F.col("limit") - 0.00001, ["seq"]).select("order_id", "seq")
@@ -283,10 +283,10 @@ def _(spark, sf):
     return Q.flag_counts(B.flagged(views.ticks(spark, sf)))
 
 
-@query("dq13_known_answer", ctes(*BARS) + "select venue, instrument, epoch_us(ts_event) as ts_us, seq % 2 = 0 as within from bars where seq % 10 < 2")
+@query("dq13_known_answer", ctes(*BARS) + "select venue, instrument, epoch_us(ts_event) as ts_us, seq % 2 = 0 as within from bars")
 def _(spark, sf):
     bars = bar_out(B.time_bars(views.ticks(spark, sf)), *K, "ts_event", "seq")
-    answers = bars.filter("seq % 10 < 2").select(*K, "ts_event", "seq", (F.col("close") + F.col("seq") % 2).alias("answer"))
+    answers = bars.select(*K, "ts_event", "seq", (F.col("close") + F.col("seq") % 2).alias("answer"))
     return bars.drop("seq").join(answers, [*K, "ts_event"]).select(*K, us("ts_event"), (F.abs(F.col("close") - F.col("answer")) <= 0.00001).alias("within"))
 
 

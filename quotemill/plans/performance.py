@@ -119,9 +119,9 @@ def _(spark, sf):
     return M.correlation(_daily(spark, sf)).select("a", "b", *r6("corr"), "n")
 
 
-@query("met13_histogram", ctes(*D) + "select strategy_id, cast(least(greatest(floor((r + 0.02) / 0.004) + 1, 0), 11) as bigint) as bin, count(*) as n from daily group by all")
+@query("met13_histogram", ctes(*D) + "select strategy_id, cast(least(greatest(floor(round((round(r, 9) + 0.02::double) / 0.004::double, 6)) + 1, 0), 11) as bigint) as bin, count(*) as n from daily group by all")
 def _(spark, sf):
-    return _daily(spark, sf).groupBy("strategy_id", F.expr("width_bucket(r, -0.02D, 0.02D, 10)").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return _daily(spark, sf).groupBy("strategy_id", F.expr("least(greatest(floor(round((round(r, 9) + 0.02D) / 0.004D, 6)) + 1, 0), 11)").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- validation statistics

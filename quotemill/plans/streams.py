@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..sources import io, views
-from ..sources.schemas import K, TICKS, struct
+from ..sources.schemas import K
 from ..sources.views import FILLS_SQL, ORDERS_SQL, TICKS_SQL
 from ..streaming import streams as ST
 from ..streaming.udf import apply_signal, stream_signal
@@ -16,19 +16,21 @@ from .registry import ctes, query
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _files(df, spark, name, parts=4, order="ts_event"):
-    """``df`` as files in order of ``order``, written one after another, as a stream reads files by their age."""
+def _stream(spark, df, name, parts=4, order="ts_event", rows_per_file=1_000_000):
+    """``df`` as a stream of ``parts`` batches in order of ``order``: written one after another, as a stream reads files by
+    their age, each as files of ``rows_per_file`` rows or less."""
     path = io.scratch(spark, name)
     number = F.unix_micros(order) if df.schema[order].dataType.typeName() == "timestamp" else F.col(order)
     edges = df.select(number.cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)
+    files = 1 + df.count() // (parts * rows_per_file)
     low = [float("-inf"), *edges]
     for a, b in zip(low, [*edges, float("inf")], strict=True):
-        df.filter((number > a) & (number <= b) if a > float("-inf") else number <= b).coalesce(1).write.mode("append").parquet(path)
-    return path
+        df.filter((number > a) & (number <= b) if a > float("-inf") else number <= b).repartition(files).write.mode("append").parquet(path)
+    return ST.read_ticks(spark, path, df.schema, files)
 
 
-def _tick_stream(spark, sf, parts=4):
-    return ST.read_ticks(spark, _files(views.ticks(spark, sf), spark, "ticks", parts), struct(TICKS), 1)
+def _tick_stream(spark, sf, parts=4, order="ts_event"):
+    return _stream(spark, views.ticks(spark, sf), "ticks", parts, order)
 
 
 def _run(spark, stream, mode="append"):
@@ -45,41 +47,46 @@ def _(spark, sf):
     return _run(spark, ST.sealed_bars(_tick_stream(spark, sf), "1 hour", "2 hours")).select(*K, us("ts_event"), *r6("open", "high", "low", "close"), "n_ticks")
 
 
-@query("str2_late_rows", ctes(TICKS_SQL) + "select count(*) as n, count(distinct seq) as distinct_seq from ticks")
+@query("str2_late_rows", ctes(TICKS_SQL, "h as (select least(greatest(seq % 7, 1), 6) as h, max(ts_event) as newest from ticks group by 1)", "b as (select h, max(newest) over (order by h rows between unbounded preceding and 1 preceding) as seen from h)")
+       + "select seq, coalesce(ts_event < seen - interval 1 day and not backfilled, false) as late from ticks join b on b.h = least(greatest(seq % 7, 1), 6)")
 def _(spark, sf):
-    """No row is lost, whatever the order the files come in."""
-    shuffled = _files(views.ticks(spark, sf).withColumn("h", F.col("seq") % 7), spark, "shuffled", 7, "h")
+    """Every row is in one of two tables, by the newest row of the batches before its own."""
+    batches = views.ticks(spark, sf).withColumn("h", F.greatest(F.least(F.col("seq") % 7, F.lit(6)), F.lit(1)).cast("int"))
     main, late = io.scratch(spark, "main"), io.scratch(spark, "late")
-    ST.split_late(ST.read_ticks(spark, shuffled, struct(TICKS), 1), main, late, io.scratch(spark, "state"), "1 day")
-    both = spark.read.schema(struct(TICKS)).parquet(main).unionByName(spark.read.schema(struct(TICKS)).parquet(late))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("distinct_seq"))
+    ST.split_late(_stream(spark, batches, "shuffled", 6, "h"), main, late, io.scratch(spark, "state"), "1 day")
+    read = lambda path: spark.read.schema(batches.schema).parquet(path)
+    return read(main).select("seq", F.lit(False).alias("late")).union(read(late).select("seq", F.lit(True)))
 
 
-@query("str3_deferral", ctes(TICKS_SQL) + "select source, seq from ticks")
+@query("str3_deferral", ctes(TICKS_SQL) + "select source, seq, row_number() over (partition by source order by seq) - 1 as place from ticks")
 def _(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    s = _tick_stream(spark, sf).select("source", "seq", F.expr("unix_micros(available_at) div 1000").alias("at"))
+    s = _tick_stream(spark, sf, order="seq").select("source", "seq", F.expr("unix_micros(available_at) div 1000").alias("at"))
     out = io.scratch(spark, "out")
     # one batch: a stream with processing-time timers never runs out of batches of its own
     q = ST.deferred(s).writeStream.format("parquet").option("checkpointLocation", io.scratch(spark, "state")).trigger(once=True).start(out)
     q.awaitTermination()
-    return spark.read.parquet(out).select("source", "seq")
+    return spark.read.parquet(out).select("source", "seq", "place")
 
 
 @query("str4_dedup", ctes(TICKS_SQL) + "select distinct seq from ticks")
 def _(spark, sf):
     t = views.ticks(spark, sf)
-    path = _files(t.union(t.filter("seq % 3 = 0")), spark, "twice")
-    return _run(spark, ST.deduplicated(ST.read_ticks(spark, path, struct(TICKS), 1), ["seq"], "ts_event", "1 day")).select("seq")
+    twice = _stream(spark, t.union(t.filter("seq % 3 = 0")), "twice")
+    return _run(spark, ST.deduplicated(twice, ["seq"], "ts_event", "1 day")).select("seq")
 
 
 _TW = "(partition by venue, instrument order by ts_event, seq)"
 
 
-@query("str5_stream_flags", ctes(TICKS_SQL) + f"select seq, case when (epoch_us(ts_event) - epoch_us(lag(ts_event) over {_TW})) / 1000000.0 > 7200 then 'GAP' else '' end as flags from ticks")
+_SW = "(partition by venue, instrument order by seq rows between unbounded preceding and 1 preceding)"
+
+
+@query("str5_stream_flags", ctes(TICKS_SQL, f"w as (select seq, epoch_us(ts_recv) / 1000000.0 as ts, cast(ask - bid as double) as spread, epoch_us(max(ts_recv) over {_SW}) / 1000000.0 as last, count(*) over {_SW} as n, avg(cast(ask - bid as double)) over {_SW} as mean from ticks)")
+       + "select seq, concat_ws(',', case when ts < last then 'NON_MONOTONIC' end, case when ts - last > 7200 then 'GAP' end, case when n >= 20 and spread > 8.01 * mean then 'SPREAD' end) as flags from w")
 def _(spark, sf):
-    s = _tick_stream(spark, sf).select(*K, "seq", (F.unix_micros("ts_event") / 1_000_000).alias("ts"), F.col("ask").cast("double").alias("spread"))
-    return _run(spark, ST.quality_flags(s, 7200, 1e9)).select("seq", "flags")
+    s = _tick_stream(spark, sf, order="seq").select(*K, "seq", (F.unix_micros("ts_recv") / 1_000_000).alias("ts"), (F.col("ask") - F.col("bid")).cast("double").alias("spread"))
+    return _run(spark, ST.quality_flags(s, 7200, 8.01)).select("seq", "flags")
 
 
 @query("str6_staleness")
@@ -102,19 +109,21 @@ def _(spark, sf):
     """Order and fill streams joined on id and interval, instruments looked up in a static table."""
     o = views.orders(spark, sf).select("client_order_id", "instrument", "ts_order")
     f = views.fills(spark, sf).select(F.col("client_order_id").alias("order_id"), "line", "qty", F.col("ts_event").alias("ts_fill"))
-    so = spark.readStream.schema(o.schema).parquet(_files(o, spark, "orders", 2, "ts_order"))
-    sfl = spark.readStream.schema(f.schema).parquet(_files(f, spark, "fills", 2, "ts_fill"))
+    so, sfl = _stream(spark, o, "orders", 2, "ts_order"), _stream(spark, f, "fills", 2, "ts_fill")
     dim = spark.createDataFrame([(i,) for i in views.INSTRUMENTS], "instrument string")  # five rows
     return _run(spark, ST.interval_join(so.join(F.broadcast(dim), "instrument"), sfl, "30 days", "4000 days").select("client_order_id", "line", "qty"))
 
 
-@query("str9_batch_stream_equality", "select 0::bigint as differing")
+@query("str9_batch_stream_equality", ctes(*BARS) + "select venue, instrument, epoch_us(ts_event) as ts_us, epoch_us(ts_event) <= (select epoch_us(max(ts_event)) from good) - 7200000000 as sealed, case when epoch_us(ts_event) <= (select epoch_us(max(ts_event)) from good) - 7200000000 then true end as same from bars")
 def _(spark, sf):
-    """Every bar that the stream sealed equals the batch bar."""
+    """Every bar of the batch: whether the stream has sealed it, and then whether both are the same."""
     cols = [*K, us("ts_event"), *r6("open", "high", "low", "close", "spread_mean", "spread_max"), "n_ticks"]
     stream = _run(spark, ST.sealed_bars(_tick_stream(spark, sf, 3), "1 hour", "2 hours")).select(*cols)
     batch = B.time_bars(views.ticks(spark, sf)).select(*cols)
-    return stream.exceptAll(batch).agg(F.count(F.lit(1)).alias("differing"))
+    key = [*K, "ts_us"]
+    side = lambda df, name: df.select(*key, F.struct(*[c for c in df.columns if c not in key]).alias(name))
+    both = side(batch, "b").join(side(stream, "s"), key, "full_outer")
+    return both.select(*key, F.col("s").isNotNull().alias("sealed"), F.when(F.col("s").isNotNull(), F.col("b").eqNullSafe(F.col("s"))).alias("same"))
 
 
 _PW = "(partition by venue, instrument order by ts_event rows between 19 preceding and current row)"
@@ -123,9 +132,8 @@ _PW = "(partition by venue, instrument order by ts_event rows between 19 precedi
 @query("str10_rolling_stream", ctes(*BARS) + f"select venue, instrument, epoch_us(ts_event) as ts_us, round(avg(close) over {_PW}, 6) as mean20 from bars")
 def _(spark, sf):
     bars = B.time_bars(views.ticks(spark, sf)).select(*K, "ts_event", "close")
-    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(_files(bars, spark, "bars", 3))
+    stream = _stream(spark, bars, "bars", 3)
     clean, out = io.scratch(spark, "clean"), io.scratch(spark, "out")
-    bars.limit(0).write.parquet(clean)
     ST.rolling(stream, clean, out, io.scratch(spark, "state"), lambda df: df.withColumn("mean20", F.expr(f"avg(close) over {_PW}")), 19)
     return spark.read.parquet(out).select(*K, us("ts_event"), *r6("mean20"))
 
@@ -141,7 +149,7 @@ _UP = "(partition by venue, instrument order by ts_event)"
 @query("udf1_bar_signal", ctes(*BARS) + f"select venue, instrument, epoch_us(ts_event) as ts_us, row_number() over {_UP} as n, cast(sum((close > open)::int) over {_UP} as bigint) as up from bars")
 def _(spark, sf):
     bars = B.time_bars(views.ticks(spark, sf)).select(*K, "ts_event", "open", "close")
-    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(_files(bars, spark, "bars", 3))
+    stream = _stream(spark, bars, "bars", 3)
     return _run(spark, stream_signal(stream, _counter, "n long, up long")).select(*K, us("ts_event"), "n", "up")
 
 

@@ -199,13 +199,13 @@ def _(spark, sf):
 
 @query(
     "cst9_execution_price",
-    ctes(TICKS_SQL, MID_SQL, "o as (select venue, instrument, seq as id, ts_event as a, ts_event + interval 12 hour as b, mid * 1.0002 as stop, mid * 0.9998 as take from mids where seq % 11 = 0)", "h as (select o.id, arg_min(cast(q.bid as double), q.seq) as bid, arg_min(cast(q.ask as double), q.seq) as ask, any_value(stop) as stop from o join mids q using (venue, instrument) where q.ts_event > a and q.ts_event <= b and (cast(q.ask as double) >= stop or cast(q.bid as double) <= take) group by o.id)")
+    ctes(TICKS_SQL, MID_SQL, "o as (select venue, instrument, seq as id, ts_event as a, ts_event + interval 12 hour as b, mid * 1.0002 as stop, mid * 0.9998 as take from mids)", "h as (select o.id, arg_min(cast(q.bid as double), q.seq) as bid, arg_min(cast(q.ask as double), q.seq) as ask, any_value(stop) as stop from o join mids q using (venue, instrument) where q.ts_event > a and q.ts_event <= b and (cast(q.ask as double) >= stop or cast(q.bid as double) <= take) group by o.id)")
     + "select id, case when ask >= stop then 'STOP' else 'TAKE' end as exit, round(ask, 6) as price from h",
 )
 def _(spark, sf):
     """Bracket of a short position: the stop is checked before the target, and both fill at the first price there is."""
     t = views.ticks(spark, sf).withColumn("mid", F.expr(B.MID))
-    o = t.filter("seq % 11 = 0").select(*K, F.col("seq").alias("id"), F.col("ts_event").alias("a"), (F.col("ts_event") + F.expr("interval 12 hours")).alias("b"), (F.col("mid") * 1.0002).alias("stop"), (F.col("mid") * 0.9998).alias("take"))
+    o = t.select(*K, F.col("seq").alias("id"), F.col("ts_event").alias("a"), (F.col("ts_event") + F.expr("interval 12 hours")).alias("b"), (F.col("mid") * 1.0002).alias("stop"), (F.col("mid") * 0.9998).alias("take"))
     q = t.select(*K, "ts_event", "seq", F.col("bid").cast("double").alias("bid"), F.col("ask").cast("double").alias("ask"))
     hit = J.first_crossing(o, q, K, "a", "b", "ts_event", (F.col("ask") >= F.col("stop")) | (F.col("bid") <= F.col("take")), ["ask"], 6 * 3_600_000_000)
     return hit.select("id", F.when(F.col("ask") >= F.col("stop"), "STOP").otherwise("TAKE").alias("exit"), F.round("ask", 6).alias("price"))

@@ -39,20 +39,19 @@ def sealed_bars(ticks: DataFrame, width: str, delay: str) -> DataFrame:
 
 def split_late(stream: DataFrame, main: str, late: str, checkpoint: str, bound: str) -> None:
     """Rows older than ``bound`` before the newest row of the batches so far go to ``late`` instead of being lost; backfills
-    are exempt. The newest time is kept in the main table itself, so a restart goes on from it."""
+    are exempt. Each batch writes folders of its own number, so a batch that is run again replaces what it wrote; the newest
+    time so far is a table of one row per batch beside ``main``, of which the next batch reads the last."""
+    marks = f"{main}-newest"
 
     def divert(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         df = df.persist()
-        try:
-            seen = spark.read.parquet(main).agg(F.max("ts_event")).first()[0] if batch else None
-        except Exception as e:  # nothing was written before: all batches so far were empty
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            seen = None
+        seen = spark.read.schema("newest timestamp").parquet(f"{marks}/batch={batch - 1}").first()[0] if batch else None
         is_late = F.lit(False) if seen is None else (F.col("ts_event") < F.lit(seen) - F.expr(f"interval {bound}")) & ~F.col("backfilled")
-        df.filter(~is_late).write.mode("append").parquet(main)
-        df.filter(is_late).write.mode("append").parquet(late)
+        df.filter(~is_late).write.mode("overwrite").parquet(f"{main}/batch={batch}")
+        df.filter(is_late).write.mode("overwrite").parquet(f"{late}/batch={batch}")
+        newest = df.agg(F.max("ts_event").alias("newest")).select(F.greatest("newest", F.lit(seen).cast("timestamp")).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{marks}/batch={batch}")
         df.unpersist()
 
     stream.writeStream.foreachBatch(divert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -67,6 +66,7 @@ class Deferral(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.queue = handle.getListState("queue", "seq long, at long")
+        self.released = handle.getValueState("released", "n long")
 
     def _release(self, source: str, now_ms: int) -> pd.DataFrame:
         waiting = [tuple(x) for x in self.queue.get()]
@@ -77,11 +77,13 @@ class Deferral(StatefulProcessor):
         if waiting:
             self.queue.put(waiting)
             self.handle.registerTimer(waiting[0][1])
-        return pd.DataFrame([(source, s, a) for s, a in ready], columns=["source", "seq", "at"])
+        done = self.released.get()[0] if self.released.exists() else 0
+        self.released.update((done + len(ready),))
+        return pd.DataFrame([(source, s, a, done + i) for i, (s, a) in enumerate(ready)], columns=["source", "seq", "at", "place"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            self.queue.appendList([(int(s), int(a)) for s, a in pdf.sort_values("seq")[["seq", "at"]].itertuples(index=False)])
+        pdf = pd.concat(list(rows)).sort_values("seq")
+        self.queue.appendList([(int(s), int(a)) for s, a in pdf[["seq", "at"]].itertuples(index=False)])
         yield self._release(key[0], timerValues.getCurrentProcessingTimeInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -92,8 +94,8 @@ class Deferral(StatefulProcessor):
 
 
 def deferred(rows: DataFrame) -> DataFrame:
-    """``rows``: source, seq, at (milliseconds)."""
-    return rows.groupBy("source").transformWithStateInPandas(Deferral(), "source string, seq long, at long", "append", "processingTime")
+    """``rows``: source, seq, at (milliseconds); ``place``: the number of a row in the order in which its source's rows left."""
+    return rows.groupBy("source").transformWithStateInPandas(Deferral(), "source string, seq long, at long, place long", "append", "processingTime")
 
 
 def deduplicated(stream: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
@@ -112,18 +114,17 @@ class QualityFlags(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, mean, n = self.state.get() if self.state.exists() else (None, 0.0, 0)
         out = []
-        for pdf in rows:
-            for seq, ts, spread in pdf.sort_values("seq")[["seq", "ts", "spread"]].itertuples(index=False):
-                flags = []
-                if last is not None and ts < last:
-                    flags.append("NON_MONOTONIC")
-                if last is not None and ts - last > self.gap_s:
-                    flags.append("GAP")
-                if n >= 20 and spread > self.multiple * mean:
-                    flags.append("SPREAD")
-                out.append((*key, int(seq), ",".join(flags)))
-                last, n = max(ts, last or ts), n + 1
-                mean += (spread - mean) / n
+        for seq, ts, spread in pd.concat(list(rows)).sort_values("seq")[["seq", "ts", "spread"]].itertuples(index=False):
+            flags = []
+            if last is not None and ts < last:
+                flags.append("NON_MONOTONIC")
+            if last is not None and ts - last > self.gap_s:
+                flags.append("GAP")
+            if n >= 20 and spread > self.multiple * mean:
+                flags.append("SPREAD")
+            out.append((*key, int(seq), ",".join(flags)))
+            last, n = ts if last is None else max(ts, last), n + 1
+            mean += (spread - mean) / n
         self.state.update((last, mean, n))
         yield pd.DataFrame(out, columns=[*K, "seq", "flags"])
 
@@ -187,18 +188,17 @@ def interval_join(orders: DataFrame, fills: DataFrame, within: str, delay: str)
 
 
 def rolling(stream: DataFrame, clean: str, out: str, checkpoint: str, compute, lookback: int) -> None:
-    """Rolling features of new bars: each batch is computed with the last ``lookback`` bars of the clean table before it."""
+    """Rolling features of new bars: each batch is computed with the last ``lookback`` bars of each series before it. These,
+    few rows a series, are kept in ``clean``; all that a batch writes has its number, so running it again replaces that."""
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
-        old = df.sparkSession.read.schema(df.schema).parquet(clean)
-        first = df.groupBy(*K).agg(F.min("ts_event").alias("__first"))
-        before = old.join(first, K).filter("ts_event < __first").drop("__first")
+        old = df.sparkSession.read.schema(df.schema).parquet(f"{clean}/batch={number - 1}") if number else df.limit(0)
+        both = old.withColumn("__new", F.lit(False)).unionByName(df.withColumn("__new", F.lit(True)))
+        compute(both).filter("__new").drop("__new").write.mode("overwrite").parquet(f"{out}/batch={number}")
         rank: Column = F.expr("row_number() over (partition by venue, instrument order by ts_event desc)")
-        before = before.withColumn("__r", rank).filter(F.col("__r") <= lookback).drop("__r")
-        both = before.withColumn("__new", F.lit(False)).unionByName(df.withColumn("__new", F.lit(True)))
-        compute(both).filter("__new").drop("__new").write.mode("append").parquet(out)
-        df.write.mode("append").parquet(clean)
+        last = both.withColumn("__r", rank).filter(F.col("__r") <= lookback).select(*df.columns)
+        last.write.mode("overwrite").parquet(f"{clean}/batch={number}")
         df.unpersist()
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
