@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a temporary one only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new path in the folder that all executors share; a temporary one only where none is set and all runs on one machine."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    top = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
