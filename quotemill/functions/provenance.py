@@ -59,10 +59,10 @@ def trace_hash(df: DataFrame, by: list[str], order: list[str], fields: dict[str,
     return parts.groupBy(*by).agg(F.sha2(digests, 256).alias("trace_sha256"))
 
 
-def dataset_id(files: DataFrame) -> DataFrame:
-    """Digest over the ordered digests of files (``path``, ``content``)."""
-    hashed = files.select("path", F.sha2("content", 256).alias("digest"))
-    return hashed.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda x: x["digest"]), ""), 256).alias("dataset_id"), F.count(F.lit(1)).alias("n_files"))
+def dataset_id(files: DataFrame, by: list[str]) -> DataFrame:
+    """Digest over the ordered digests of the files (``path``, ``content``) of each dataset; one digest a file is held at once."""
+    hashed = files.select(*by, "path", F.sha2("content", 256).alias("digest"))
+    return hashed.groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda x: x["digest"]), ""), 256).alias("dataset_id"), F.count(F.lit(1)).alias("n_files"))
 
 
 def stamped(df: DataFrame, **stamps: str) -> DataFrame:

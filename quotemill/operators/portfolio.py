@@ -76,12 +76,12 @@ def shrunk_covariance(wide: DataFrame, names: list[str]) -> DataFrame:
     return s.crossJoin(F.broadcast(d.select(k.alias("shrinkage")))).select("a", "b", (F.col("shrinkage") * F.col("t") + (1 - F.col("shrinkage")) * F.col("s")).alias("cov"), "shrinkage")
 
 
-def netted(fills: DataFrame, by: list[str]) -> DataFrame:
-    """Running position, average price and realised profit of fills in order; average cost is path-dependent."""
-    schema = ", ".join(f"{c} {fills.schema[c].dataType.simpleString()}" for c in (*by, "ts_event", "broker_fill_id")) + ", position double, average double, realised double"
+def netted(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Running position, average price and realised profit of fills in order (``nth``); average cost is path-dependent."""
+    schema = ", ".join(f"{c} {fills.schema[c].dataType.simpleString()}" for c in (*by, "ts_event", "broker_fill_id")) + ", nth long, position double, average double, realised double"
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_event", "broker_fill_id"])
+        pdf = pdf.sort_values(order)
         position = average = realised = 0.0
         rows = []
         for side, qty, price in zip(pdf["side"], pdf["qty"], pdf["price"], strict=True):
@@ -95,6 +95,7 @@ def netted(fills: DataFrame, by: list[str]) -> DataFrame:
             position += signed
             rows.append((position, average, realised))
         out = pdf[[*by, "ts_event", "broker_fill_id"]].copy()
+        out["nth"] = range(len(out))
         out[["position", "average", "realised"]] = rows
         return out
 

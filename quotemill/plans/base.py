@@ -482,10 +482,11 @@ def _(spark, sf):
     return both.groupBy(*K).agg(F.count_if(~F.col("a.value").eqNullSafe(F.col("b.value"))).alias("differing"), F.count(F.lit(1)).alias("n"))
 
 
-@query("hsh7_dataset_id")
+@query("hsh7_dataset_id", "select conv_id, sha256(string_agg(d, '' order by turn, d)) as dataset_id, count(*) as n_files from (select conv_id, turn, sha256(coalesce(text, '')) as d from conversations) group by conv_id")
 def _(spark, sf):
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load([f"{sf}/{t}.parquet" for t in ("nation", "region", "supplier")])
-    return provenance.dataset_id(files.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content"))
+    """Every conversation as a dataset whose files are its turns."""
+    files = views.table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    return provenance.dataset_id(files, ["conv_id"])
 
 
 @query("hsh8_stamp", "select venue, count(*) as n, 'ds' as dataset_id, 'cfg' as config_hash, 'sha' as git_sha, 'run-1' as run_id from (" + ctes(TICKS_SQL) + "select * from ticks) group by venue")
@@ -638,7 +639,14 @@ def _(spark, sf):
     return bar_out(B.volume_bars(views.ticks(spark, sf), 1 + F.col("seq") % 7, 50), *K, us("session", "session_us"), "bar")
 
 
-@query("bar11_range_bars")
+@query(
+    "bar11_range_bars",
+    ctes(TICKS_SQL, GOOD_SQL, "g as (select venue, instrument, sess_end, mid, row_number() over (partition by venue, instrument, sess_end order by ts_event, seq) as k from good)",
+         "w(venue, instrument, sess_end, k, bar, open, high, low, close, n) as (select venue, instrument, sess_end, k, 0::bigint, mid, mid, mid, mid, 1::bigint from g where k = 1 union all "
+         "select g.venue, g.instrument, g.sess_end, g.k, w.bar + done, case when done = 1 then mid else w.open end, case when done = 1 then mid else greatest(w.high, mid) end, case when done = 1 then mid else least(w.low, mid) end, mid, case when done = 1 then 1 else w.n + 1 end "
+         "from (select *, case when high - low >= 0.02 then 1 else 0 end as done from w) w join g on g.venue = w.venue and g.instrument = w.instrument and g.sess_end = w.sess_end and g.k = w.k + 1)", recursive=True)
+    + "select venue, instrument, epoch_us(sess_end) as session_us, bar, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, n as n_ticks from w qualify row_number() over (partition by venue, instrument, sess_end, bar order by k desc) = 1",
+)
 def _(spark, sf):
     return B.range_bars(views.ticks(spark, sf), 0.02).select(*K, us("session", "session_us"), "bar", *r6("open", "high", "low", "close"), "n_ticks")
 

@@ -295,12 +295,25 @@ def _(spark, sf):
     return S.event_drift(e, t, 15).select("event_id", "venue", *r6("move"), "value")
 
 
-@query("sig10_triple_barrier")
+_BARRIER = [
+    _NUMBERED, f"tr1 as (select *, {FT.framed(FT.TR['tr'], P)} as tr from step0)", f"atr as (select *, {FT.framed('avg(tr) over {n14}', P)} as atr from tr1)",
+    "b as (select venue, instrument, ts_event as entry, ts_event + interval 24 hour as stop, close + atr as up, close - atr as down from atr where rn > 15 and atr > 0)",
+    "hit as (select b.venue, b.instrument, entry, arg_min({'at': q.ts_event, 'down': q.low <= b.down}, q.ts_event) as h from b join bars q on q.venue = b.venue and q.instrument = b.instrument and q.ts_event > entry and q.ts_event <= stop and (q.high >= up or q.low <= down) group by all)",
+    "lab as (select venue, instrument, entry, case when h is null then 0 when h.down then -1 else 1 end::bigint as label, coalesce(h.at, stop) as touched from b left join hit using (venue, instrument, entry))",
+]
+
+
+@query("sig10_triple_barrier", ctes(*BARS, *_BARRIER) + "select venue, instrument, epoch_us(entry) as ts_us, label, epoch_us(touched) as touched_us from lab")
 def _(spark, sf):
     return S.triple_barrier(_bars(spark, sf), 1.0, 24).select(*K, us("ts_event"), "label", us("touched", "touched_us"))
 
 
-@query("sig11_uniqueness")
+@query(
+    "sig11_uniqueness",
+    ctes(*BARS, *_BARRIER, "t as (select venue, instrument, entry as t from lab union select venue, instrument, touched from lab)", "s as (select *, lead(t) over (partition by venue, instrument order by t) as until from t)",
+         "n as (select s.venue, s.instrument, t, until, count(*) as alive from s join lab l on l.venue = s.venue and l.instrument = s.instrument and l.entry <= s.t and l.touched > s.t where until is not null group by all)")
+    + "select l.venue, l.instrument, epoch_us(l.entry) as ts_us, round(sum((epoch_us(n.until) - epoch_us(n.t)) / alive) / (epoch_us(any_value(l.touched)) - epoch_us(l.entry)), 6) as weight from lab l join n on n.venue = l.venue and n.instrument = l.instrument and n.t >= l.entry and n.until <= l.touched group by l.venue, l.instrument, l.entry",
+)
 def _(spark, sf):
     return S.uniqueness(S.triple_barrier(_bars(spark, sf), 1.0, 24)).select(*K, us("ts_event"), *r6("weight"))
 

@@ -28,6 +28,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-def ctes(*parts: str) -> str:
+def ctes(*parts: str, recursive: bool = False) -> str:
     """``with`` and the named views, each once, in the given order."""
-    return "with " + ",\n".join(dict.fromkeys(p.strip() for p in parts)) + "\n"
+    return ("with recursive " if recursive else "with ") + ",\n".join(dict.fromkeys(p.strip() for p in parts)) + "\n"

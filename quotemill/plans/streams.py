@@ -89,7 +89,11 @@ def _(spark, sf):
     return _run(spark, ST.quality_flags(s, 7200, 8.01)).select("seq", "flags")
 
 
-@query("str6_staleness")
+@query(
+    "str6_staleness",
+    ctes(TICKS_SQL, "r as (select distinct venue, instrument, epoch_us(ts_recv) // 1000 as t from ticks)", "g as (select *, lead(t) over (partition by venue, instrument order by t) as n, (select max(epoch_us(ts_recv)) // 1000 - 3600000 from ticks) as w from r)")
+    + "select venue, instrument, state, t + ms as at from g, (values ('STALE', 10000), ('BREAK', 60000)) l(state, ms) where t + ms < coalesce(n, w)",
+)
 def _(spark, sf):
     s = _tick_stream(spark, sf).select(*K, F.col("ts_recv").alias("recv"))
     return _run(spark, ST.staleness(s, 10_000, 60_000, "1 hour"))

@@ -70,7 +70,16 @@ def _(spark, sf):
     return _targets(spark, sf).select(*K, us("ts_event"), F.round("target", 4).alias("target"))
 
 
-@query("pf4_position_buffer")
+_TARGETS = "tg as (select venue, instrument, ts_event, sign(close - open) * 1000 * 1.2 / nullif(vol * close * point_value, 0) as target, row_number() over (partition by venue, instrument order by ts_event) as k from vol join specs using (instrument) where rn > 21), tm as (select *, avg(abs(target)) over (partition by venue, instrument) as m from tg)"
+
+
+@query(
+    "pf4_position_buffer",
+    ctes(*BARS, SPECS_SQL, _VOL, _TARGETS,
+         "w(venue, instrument, k, position) as (select venue, instrument, k, case when abs(coalesce(target, 0)) >= 0.1 * m then coalesce(target, 0) else 0 end from tm where k = 1 union all "
+         "select t.venue, t.instrument, t.k, case when abs(coalesce(t.target, 0) - w.position) >= 0.1 * t.m then coalesce(t.target, 0) else w.position end from w join tm t on t.venue = w.venue and t.instrument = w.instrument and t.k = w.k + 1)", recursive=True)
+    + "select venue, instrument, epoch_us(ts_event) as ts_us, round(target, 6) as target, round(position, 6) as position from tm join w using (venue, instrument, k)",
+)
 def _(spark, sf):
     return PF.buffered(_targets(spark, sf), 0.1).select(*K, us("ts_event"), *r6("target", "position"))
 
@@ -124,10 +133,20 @@ def _(spark, sf):
     return PF.order_set(side("line <= 4"), side("line >= 3"), key).select(*key, "delta", "side")
 
 
-@query("pf10_netting")
+_NET_ORDER = ["ts_event", "client_order_id", "line", "price", "qty", "side"]
+
+
+@query(
+    "pf10_netting",
+    ctes(FILLS_SQL, f"f as (select *, case when side = 'BUY' then qty else -qty end as s, row_number() over (partition by strategy_id, instrument order by {', '.join(_NET_ORDER)}) as k from fills)",
+         "w(strategy_id, instrument, k, position, average, realised) as (select strategy_id, instrument, k, s, price, 0::double from f where k = 1 union all "
+         "select f.strategy_id, f.instrument, f.k, w.position + f.s, case when w.position * f.s >= 0 then (w.average * abs(w.position) + f.price * f.qty) / (abs(w.position) + f.qty) when f.qty > abs(w.position) then f.price else w.average end, "
+         "w.realised + case when w.position * f.s >= 0 then 0 else least(abs(w.position), f.qty) * (f.price - w.average) * sign(w.position) end from w join f on f.strategy_id = w.strategy_id and f.instrument = w.instrument and f.k = w.k + 1)", recursive=True)
+    + "select strategy_id, instrument, round(arg_max(position, k), 4) as position, round(arg_max(realised, k), 2) as realised, count(*) as n from w group by all",
+)
 def _(spark, sf):
-    out = PF.netted(views.fills(spark, sf), ["strategy_id", "instrument"])
-    return out.groupBy("strategy_id", "instrument").agg(F.round(F.max_by("position", F.struct("ts_event", "broker_fill_id")), 4).alias("position"), F.round(F.max_by("realised", F.struct("ts_event", "broker_fill_id")), 2).alias("realised"), F.count(F.lit(1)).alias("n"))
+    out = PF.netted(views.fills(spark, sf), ["strategy_id", "instrument"], _NET_ORDER)
+    return out.groupBy("strategy_id", "instrument").agg(F.round(F.max_by("position", "nth"), 4).alias("position"), F.round(F.max_by("realised", "nth"), 2).alias("realised"), F.count(F.lit(1)).alias("n"))
 
 
 # --- costs

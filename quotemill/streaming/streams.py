@@ -138,7 +138,8 @@ def quality_flags(rows: DataFrame, gap_s: float, multiple: float) -> DataFrame:
 
 
 class Staleness(StatefulProcessor):
-    """STALE and BREAK events when nothing has been received for so long; event-time timers on the receipt time."""
+    """STALE and BREAK events when nothing has been received for so long, each at the instant it begins: found between two
+    receipts, or by event-time timers after the last one. A state that a timer has told is not told again."""
 
     def __init__(self, stale_ms: int, break_ms: int):
         self.limits = {"STALE": stale_ms, "BREAK": break_ms}
@@ -148,20 +149,26 @@ class Staleness(StatefulProcessor):
         self.last = handle.getValueState("last", "at long, due string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, due = self.last.get() if self.last.exists() else (0, "{}")
-        for t in json.loads(due):
-            self.handle.deleteTimer(int(t))
-        newest = max([at, *(int(pdf["recv"].max().timestamp() * 1000) for pdf in rows)])
-        due = {str(newest + ms): state for state, ms in self.limits.items()}
+        at, due = self.last.get() if self.last.exists() else (None, "{}")
+        due, out = {int(t): state for t, state in json.loads(due).items()}, []
         for t in due:
-            self.handle.registerTimer(int(t))
-        self.last.update((newest, json.dumps(due)))
-        yield pd.DataFrame([], columns=[*K, "state", "at"])
+            self.handle.deleteTimer(t)
+        for now in sorted(int(x) for pdf in rows for x in pdf["recv"].astype("datetime64[us]").astype("int64") // 1000):
+            if at is None or now > at:
+                out += [(*key, state, t) for t, state in due.items() if t < now]
+                at, due = now, {now + ms: state for state, ms in self.limits.items()}
+        for t in due:
+            self.handle.registerTimer(t)
+        self.last.update((at, json.dumps(due)))
+        yield pd.DataFrame(out, columns=[*K, "state", "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         t = expiredTimerInfo.getExpiryTimeInMs()
-        _, due = self.last.get()
-        yield pd.DataFrame([(*key, json.loads(due).get(str(t)), t)], columns=[*K, "state", "at"])
+        at, due = self.last.get()
+        due = json.loads(due)
+        state = due.pop(str(t), None)
+        self.last.update((at, json.dumps(due)))
+        yield pd.DataFrame([(*key, state, t)] if state else [], columns=[*K, "state", "at"])
 
     def close(self) -> None:
         pass
