@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import timex
+
 SERIES = "(partition by venue, instrument order by ts_event)"
 
 
@@ -24,10 +26,11 @@ def slippage(spread: Column, size: Column, typical: Column, atr: Column, move: C
 
 
 def swap_nights(holdings: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per rollover a position is held over (New York dates), with the days that roll counts for."""
-    nights = holdings.filter(F.col(end) > F.col(start)).withColumn("night", F.explode(F.sequence(F.to_date(start), F.date_sub(F.to_date(end), 1))))
-    days = F.when(F.weekday("night") == 2, 3).when(F.weekday("night") < 5, 1).otherwise(0)
-    return nights.withColumn("swap_days", days)
+    """One row per rollover (17:00 New York) a position is held over, with the days that roll counts for by the settlement calendar."""
+    day = lambda c: (timex.local(F.col(c), timex.NEW_YORK) + F.expr("interval 7 hours")).cast("date")  # noqa: E731  the session's date
+    held = holdings.withColumns({"__a": day(start), "__b": day(end)}).filter("__b > __a")
+    nights = held.withColumn("night", F.explode(F.sequence("__a", F.date_sub("__b", 1)))).drop("__a", "__b")
+    return nights.withColumn("swap_days", timex.swap_days(F.col("night")))
 
 
 def breakdown(df: DataFrame, by: list[str], lines: list[str]) -> DataFrame:

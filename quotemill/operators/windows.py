@@ -40,3 +40,17 @@ def running_sum(df: DataFrame, by: list[str], chunk: str, order: str, value: str
     inside = F.sum(value).over(Window.partitionBy(*by, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     out = df.withColumn("__inside", inside).join(sums.withColumn("__before", before).drop("__sum"), [*by, chunk])
     return out.withColumn(name, F.col("__before") + F.col("__inside")).drop("__inside", "__before")
+
+
+def bucketed(df: DataFrame, time: str, seconds: int, bucket: int = 86_400) -> DataFrame:
+    """``df`` with ``bucket`` and ``halo``: rows of the last ``seconds`` of a bucket appear in the next one, too, marked.
+
+    A window over (series, bucket) by ``time`` that looks back no more than ``seconds`` is exact on the unmarked rows.
+    """
+    if seconds > bucket:
+        raise ValueError("a bucket must be as long as the look back")
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    own = F.floor(us / (bucket * 1_000_000))
+    late = us >= (own + 1) * bucket * 1_000_000 - seconds * 1_000_000
+    out = df.withColumn("__next", F.explode(F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return out.withColumn("halo", F.col("__next") == 1).withColumn("bucket", own + F.col("__next")).drop("__next")

@@ -412,14 +412,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Value dates between the settlement (two business days on) of tonight's roll and of tomorrow's."""
     days = views.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
-
-    def value_date(day):
-        wd = F.weekday(day)
-        return F.date_add(day, F.when(wd.isin(3, 4), 4).otherwise(2))
-
-    wd = F.weekday("d")
-    nights = F.datediff(value_date(F.date_add("d", F.when(wd == 4, 3).otherwise(1))), value_date(F.col("d")))
-    return days.select(F.col("d").cast("string").alias("day"), F.when(wd < 5, nights).otherwise(0).cast("long").alias("swap_days"))
+    return days.select(F.col("d").cast("string").alias("day"), timex.swap_days(F.col("d")).cast("long").alias("swap_days"))
 
 
 @query(

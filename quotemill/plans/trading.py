@@ -13,6 +13,7 @@ from ..operators import ordering as O
 from ..operators import portfolio as PF
 from ..operators import risk as R
 from ..operators import signals as S
+from ..operators.windows import bucketed, chunked
 from ..sources import views
 from ..sources.schemas import K
 from ..sources.views import FILLS_SQL, ORDERS_SQL, TICKS_SQL, TIER1_SQL
@@ -182,14 +183,20 @@ def _(spark, sf):
     return df.groupBy(*K).agg(F.round(F.sum(C.slippage(F.col("spread_mean"), F.col("traded"), F.lit(2.0), F.col("atr"), F.col("move"))), 6).alias("slip"))
 
 
-_NIGHTS = "nights as (select * from (select *, unnest(generate_series(ts_order, ts_order + to_days(cast(client_order_id % 6 - 1 as integer)), interval 1 day)) as night from ords where client_order_id % 6 > 0))"
+_NIGHTS = (
+    "held as (select *, ts_order + to_hours(client_order_id % 24) as opened, ts_order + to_hours(client_order_id % 24) + to_days(cast(client_order_id % 6 as integer)) as closed from ords)",
+    f"nights as (select *, unnest(generate_series(cast({label_sql('opened')} as timestamp), cast({label_sql('closed')} as timestamp) - interval 1 day, interval 1 day)) as night from held)",
+    "rolled as (select *, case isodow(night) when 3 then 3 when 6 then 0 when 7 then 0 else 1 end as days, case when instrument in ('GBP_USD', 'EUR_USD') then 0.03::double * case isodow(night) when 3 then 3 when 6 then 0 when 7 then 0 else 1 end else 0.07::double end as yearly from nights)",
+)
 
 
-@query("cst5_financing", ctes(ORDERS_SQL, _NIGHTS) + "select instrument, cast(sum(case isodow(night) when 3 then 3 when 6 then 0 when 7 then 0 else 1 end) as bigint) as swap_days, round(sum(notional * 0.05 / 365 * case isodow(night) when 3 then 3 when 6 then 0 when 7 then 0 else 1 end), 2) as financing from nights group by 1")
+@query("cst5_financing", ctes(ORDERS_SQL, *_NIGHTS) + "select instrument, count(*) as nights, cast(sum(days) as bigint) as swap_days, round(sum(notional * yearly / 365), 2) as financing from rolled group by 1")
 def _(spark, sf):
-    o = views.orders(spark, sf).withColumn("closed", F.expr("ts_order + make_dt_interval(cast(client_order_id % 6 as int), 0, 0, 0)"))
-    n = C.swap_nights(o, "ts_order", "closed")
-    return n.groupBy("instrument").agg(F.sum("swap_days").alias("swap_days"), F.round(F.sum(F.col("notional") * 0.05 / 365 * F.col("swap_days")), 2).alias("financing"))
+    """Currencies by a yearly rate for the days each roll counts for, indices by a yearly rate for every night."""
+    o = views.orders(spark, sf).withColumn("opened", F.expr("ts_order + make_dt_interval(0, cast(client_order_id % 24 as int))"))
+    n = C.swap_nights(o.withColumn("closed", F.expr("opened + make_dt_interval(cast(client_order_id % 6 as int))")), "opened", "closed")
+    yearly = F.when(F.col("instrument").isin("GBP_USD", "EUR_USD"), 0.03 * F.col("swap_days")).otherwise(0.07)
+    return n.groupBy("instrument").agg(F.count(F.lit(1)).alias("nights"), F.sum("swap_days").alias("swap_days"), F.round(F.sum(F.col("notional") * yearly / 365), 2).alias("financing"))
 
 
 @query("cst6_dividends", ctes(ORDERS_SQL) + "select instrument, round(sum(case when side = 'BUY' then 1 else -1 end * notional * 0.001), 2) as dividends, count(*) as n from ords join (select distinct date_trunc('month', ts_order) + interval 14 day as ex from ords) d on ex > ts_order and ex <= ts_order + to_days(cast(client_order_id % 6 as integer)) where instrument in ('US500', 'UK100', 'GER40') group by 1")
@@ -245,16 +252,43 @@ def _(spark, sf):
 # --- risk
 
 
-@query(
-    "rsk1_pre_trade",
-    ctes(TICKS_SQL, MID_SQL, f"m as (select *, quantile_cont(spread, 0.5) over (partition by venue, instrument order by ts_event rows between 50 preceding and 1 preceding) as med from mids)")
-    + f"select reason, count(*) as n from (select case when seq % 500 = 3 then 'halted' when isodow({_L}) > 5 then 'not tradable' when backfilled then 'stale' when spread > 3 * med then 'spread' when seq % 40 = 7 then 'size' end as reason from m) group by 1",
+_K50 = "(partition by venue, instrument order by ts_event, seq rows between 50 preceding and 1 preceding)"
+_ASKED_SQL = (
+    TIER1_SQL,
+    f"o as (select *, 1 + seq % 9 + case when seq % 40 = 7 then 200 else 0 end as qty, seq % 2 as side, mid * (1 + (seq % 13 - 6) / 2000.0::double) as lim, quantile_cont(spread, 0.5) over {_K50} as med, "
+    f"abs(mid - lag(mid) over (partition by venue, instrument order by ts_event, seq)) as move from mids)",
+    f"p as (select *, avg(move) over {_K50} as atr, quantile_cont(qty, 0.5) over {_K50} as usual, "
+    "count(*) over (partition by venue, instrument, side order by ts_event range between interval 600 second preceding and current row) as twins, count(*) over (partition by venue order by ts_event range between interval 600 second preceding and current row) as recent from o)",
+    "q as (select *, exists (select 1 from tier1 e where abs(epoch_us(p.ts_event) - epoch_us(e.ts_event)) <= 30 * 60000000::bigint) as near from p)",
 )
+_REASON_SQL = f"""case when seq % 500 = 3 then '1 halted' when isodow({_L}) > 5 or day(ts_event) = 1 and month(ts_event) = 1 then '2 not tradable' when backfilled then '3 stale' when spread > 3 * med then '4 spread'
+  when qty > 10 * usual then '5 size' when qty * mid * 0.0333::double > 0.6::double * 50 then '6 margin' when abs(lim - mid) > 20 * atr then '7 price' when twins > 1 then '8 duplicate' when near then '9 blackout' when recent > 12 then '10 rate' end"""
+
+
+def _rate(by, seconds, name):
+    """Rows of the last ``seconds`` in a series, itself included."""
+    return F.expr(f"count(*) over (partition by {by}, bucket order by ts_event range between interval {seconds} seconds preceding and current row)").alias(name)
+
+
+@query("rsk1_pre_trade", ctes(TICKS_SQL, MID_SQL, *_ASKED_SQL) + f"select seq, {_REASON_SQL} as reason from q")
 def _(spark, sf):
-    df = views.ticks(spark, sf).withColumn("spread", F.expr("cast(ask - bid as double)"))
-    df = df.withColumn("med", F.expr("percentile(spread, 0.5) over (partition by venue, instrument order by ts_event rows between 50 preceding and 1 preceding)"))
-    checks = [("halted", F.col("seq") % 500 != 3), ("not tradable", timex.is_fx_market_open(F.col("ts_event"))), ("stale", ~F.col("backfilled")), ("spread", F.coalesce(F.col("spread") <= 3 * F.col("med"), F.lit(True))), ("size", F.col("seq") % 40 != 7)]
-    return R.first_failure(df, checks).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """An order at every tick, its size, side and limit by rule, through ten checks in order."""
+    t = views.ticks(spark, sf).withColumns({"mid": F.expr(B.MID), "spread": F.expr("cast(ask - bid as double)"), "qty": F.expr("1 + seq % 9 + case when seq % 40 = 7 then 200 else 0 end"), "side": F.col("seq") % 2})
+    t = t.withColumn("lim", F.col("mid") * (1 + (F.col("seq") % 13 - 6) / 2000.0))
+    t = chunked(t.select(*K, "ts_event", "seq", "backfilled", "mid", "spread", "qty", "side", "lim"), K, "ts_event", 52, order=["ts_event", "seq"])
+    w = "(partition by venue, instrument, chunk order by rn rows between 50 preceding and 1 preceding)"
+    t = t.withColumn("move", F.expr("abs(mid - lag(mid) over (partition by venue, instrument, chunk order by rn))"))
+    t = t.withColumns({"med": F.expr(f"percentile(spread, 0.5) over {w}"), "usual": F.expr(f"percentile(qty, 0.5) over {w}"), "atr": F.expr(f"avg(move) over {w}")}).filter("not halo").drop("halo", "rn", "chunk")
+    b = bucketed(t, "ts_event", 600, 3_600)
+    b = b.select("*", _rate("venue, instrument, side", 600, "twins"), _rate("venue", 600, "recent")).filter("not halo")
+    near = J.near_events(t.select("seq", "ts_event"), views.tier1(spark, sf).select(F.col("ts_event").alias("at")), "ts_event", "at", 30, keep=True).select("seq", F.lit(True).alias("near"))
+    b = b.join(near, "seq", "left")
+    checks = [
+        ("1 halted", F.col("seq") % 500 != 3), ("2 not tradable", timex.is_fx_market_open(F.col("ts_event")) & ~((F.dayofmonth("ts_event") == 1) & (F.month("ts_event") == 1))), ("3 stale", ~F.col("backfilled")),
+        ("4 spread", F.coalesce(F.col("spread") <= 3 * F.col("med"), F.lit(True))), ("5 size", F.coalesce(F.col("qty") <= 10 * F.col("usual"), F.lit(True))), ("6 margin", F.col("qty") * F.col("mid") * 0.0333 <= 0.6 * 50),
+        ("7 price", F.coalesce(F.abs(F.col("lim") - F.col("mid")) <= 20 * F.col("atr"), F.lit(True))), ("8 duplicate", F.col("twins") <= 1), ("9 blackout", F.col("near").isNull()), ("10 rate", F.col("recent") <= 12),
+    ]
+    return R.first_failure(b, checks).select("seq", "reason")
 
 
 _ISL = "(partition by venue, instrument order by ts_event, seq)"
@@ -262,24 +296,45 @@ _ISL = "(partition by venue, instrument order by ts_event, seq)"
 
 @query(
     "rsk2_spread_blowout",
-    ctes(TICKS_SQL, MID_SQL, f"m as (select *, spread > 0.0008 as wide from mids)", f"c as (select *, case when wide is not distinct from lag(wide) over {_ISL} then 0 else 1 end as c from m)", f"i as (select *, sum(c) over {_ISL} as island from c)")
+    ctes(TICKS_SQL, MID_SQL, "md as (select *, quantile_cont(spread, 0.5) over (partition by venue, instrument order by ts_event range between interval 6 hour preceding and current row) as med from mids)", "m as (select *, spread > 1.5::double * med as wide from md)",
+         f"c as (select *, case when wide is not distinct from lag(wide) over {_ISL} then 0 else 1 end as c from m)", f"i as (select *, sum(c) over {_ISL} as island from c)")
     + "select venue, instrument, epoch_us(min(ts_event)) as since_us, count(*) as n from i where wide group by venue, instrument, island having epoch_us(max(ts_event)) - epoch_us(min(ts_event)) > 60000000",
-)
+)
 def _(spark, sf):
-    df = views.ticks(spark, sf).withColumn("wide", F.expr("cast(ask - bid as double) > 0.0008"))
-    return R.runs_over(df, K, "wide", 60).select(*K, us("since", "since_us"), "n")
+    """Over 1.5 times the median of six hours for over 60 s: the given spreads differ too little for a multiple of five."""
+    df = bucketed(views.ticks(spark, sf).select(*K, "ts_event", "seq", F.expr("cast(ask - bid as double)").alias("spread")), "ts_event", 21_600)
+    df = df.withColumn("med", F.expr("percentile(spread, 0.5) over (partition by venue, instrument, bucket order by ts_event range between interval 6 hours preceding and current row)")).filter("not halo")
+    return R.runs_over(df.select(*K, "ts_event", "seq", (F.col("spread") > 1.5 * F.col("med")).alias("wide")), K, "wide", 60).select(*K, us("since", "since_us"), "n")
 
 
-@query("rsk3_order_rate", ctes(TICKS_SQL) + "select seq, n from (select seq, count(*) over (partition by venue order by ts_event range between interval 60 minute preceding and current row) as n from ticks) where n > 3")
+@query(
+    "rsk3_order_rate",
+    ctes(TICKS_SQL, f"n as (select *, count(*) over (partition by venue order by ts_event range between interval 60 minute preceding and current row) as n, ask <= bid or seq % 3 = 0 as rejected from ticks)", "c as (select *, case when rejected is not distinct from lag(rejected) over (partition by venue order by ts_event, seq) then 0 else 1 end as c from n)",
+         "i as (select *, sum(c) over (partition by venue order by ts_event, seq) as island from c)", "r as (select *, case when rejected then row_number() over (partition by venue, island order by ts_event, seq) else 0 end as run from i)")
+    + "select seq, n, run as rejects from r where n > 3 or run > 2",
+)
 def _(spark, sf):
-    n = F.expr("count(*) over (partition by venue order by ts_event range between interval 60 minutes preceding and current row)")
-    return views.ticks(spark, sf).withColumn("n", n).filter("n > 3").select("seq", "n")
+    """More than three orders of a venue in an hour, or more than two rejects in a row."""
+    t = views.ticks(spark, sf).select("venue", "ts_event", "seq", F.expr("ask <= bid or seq % 3 = 0").alias("rejected"))
+    t = bucketed(t, "ts_event", 3_600).select("*", _rate("venue", 3_600, "n")).filter("not halo").drop("halo", "bucket")
+    run = J.islands(t, ["venue"], ["ts_event", "seq"], "rejected")
+    run = run.withColumn("rejects", F.expr("case when rejected then row_number() over (partition by venue, island order by ts_event, seq) else 0 end"))
+    return run.filter("n > 3 or rejects > 2").select("seq", "n", "rejects")
 
 
-@query("rsk4_market_shock", ctes(*BARS, f"a as (select *, avg(high - low) over {W[:-1]} rows between 14 preceding and 1 preceding) as atr, lag(close) over {W} as back from bars)") + "select venue, instrument, epoch_us(ts_event) as ts_us, round(abs(close - back) / atr, 4) as multiple from a where abs(close - back) > 2 * atr and atr > 0")
+@query(
+    "rsk4_market_shock",
+    ctes(*BARS, MID_SQL, f"a as (select venue, instrument, ts_event, avg(high - low) over {W[:-1]} rows between 13 preceding and current row) as atr from bars)",
+         "m as (select *, abs(mid - first_value(mid) over (partition by venue, instrument order by ts_event range between interval 5 minute preceding and current row)) as move from (select venue, instrument, ts_event, any_value(seq) as seq, max(mid) as mid from mids group by 1, 2, 3))")
+    + "select m.venue, m.instrument, epoch_us(m.ts_event) as ts_us, round(move / atr, 4) as multiple from m asof join a on m.venue = a.venue and m.instrument = a.instrument and m.ts_event >= a.ts_event where atr > 0 and move > 8 * atr",
+)
 def _(spark, sf):
-    df = _bars(spark, sf).selectExpr("*", f"avg(high - low) over {W[:-1]} rows between 14 preceding and 1 preceding) as atr", f"lag(close) over {W} as back")
-    return df.filter("abs(close - back) > 2 * atr and atr > 0").select(*K, us("ts_event"), F.expr("round(abs(close - back) / atr, 4)").alias("multiple"))
+    """Moves within five minutes of over eight ranges of an hour bar, as known at the tick."""
+    t = views.ticks(spark, sf).groupBy(*K, "ts_event").agg(F.max(F.expr(B.MID)).alias("mid"))
+    t = bucketed(t, "ts_event", 300).withColumn("back", F.expr("first_value(mid) over (partition by venue, instrument, bucket order by ts_event range between interval 5 minutes preceding and current row)")).filter("not halo")
+    atr = FT.compute(_bars(spark, sf), FT.Feature(0, ({"atr": "avg(high - low) over {n14}"},), ("atr",)))
+    df = J.asof(t.select(*K, "ts_event", F.abs(F.col("mid") - F.col("back")).alias("move")), atr.select(*K, "ts_event", "atr"), K, "ts_event", "ts_event", ["atr"])
+    return df.filter("atr > 0 and move > 8 * atr").select(*K, us("ts_event"), F.expr("round(move / atr, 4)").alias("multiple"))
 
 
 _DW = "(partition by strategy_id order by day)"
@@ -343,15 +398,34 @@ def _(spark, sf):
 # --- operations
 
 
+_SENT_SQL = (
+    "span as (select min(ts_event) as a, cast(floor((epoch_us(max(ts_event)) - epoch_us(min(ts_event))) / 60000000) as bigint) as minutes from ticks)",
+    "sent as (select f.*, span.a + to_minutes(client_order_id * 7 % minutes) as decided, span.a + to_minutes(client_order_id * 7 % minutes) + to_milliseconds((line % 5 - 1) * 100) as sent_at from fills f, span)",
+)
+
+
 @query(
     "ops1_tca",
-    ctes(FILLS_SQL, ORDERS_SQL) + "select f.instrument, count(*) as n, round(avg((epoch_us(f.ts_recv) - epoch_us(o.ts_order)) / 86400000000.0), 6) as latency_days, count(*) filter (where f.ts_recv < o.ts_order) as negative, round(avg(case f.side when 'BUY' then 1 else -1 end * (f.price - o.notional / 100) / f.price * 10000), 4) as shortfall_bps from fills f join ords o using (client_order_id) group by 1",
-)
+    ctes(TICKS_SQL, MID_SQL, FILLS_SQL, *_SENT_SQL, "d as (select s.*, q.mid as decision from sent s asof left join mids q on s.venue = q.venue and s.instrument = q.instrument and s.decided >= q.ts_event)",
+         "a as (select d.*, q.mid as arrival, q.spread as quoted from d asof left join mids q on d.venue = q.venue and d.instrument = q.instrument and d.sent_at >= q.ts_event)",
+         "x as (select *, case side when 'BUY' then 1 else -1 end * (arrival * (1 + (line - 3) / 10000.0::double) - decision) as shortfall, (epoch_us(sent_at) - epoch_us(decided)) / 1000.0::double as latency from a)")
+    + "select instrument, strategy_id, hour(decided) as hour, count(*) as n, count(decision) as priced, round(avg(latency), 6) as latency_ms, count(*) filter (where latency < 0) as negative, round(avg(quoted), 6) as spread, round(avg(shortfall) / 0.0001, 3) as shortfall_pips, round(avg(shortfall / decision) * 10000, 4) as shortfall_bps from x group by 1, 2, 3",
+)
 def _(spark, sf):
-    o = views.orders(spark, sf).select("client_order_id", "ts_order", (F.col("notional") / 100).alias("arrival"))
-    df = views.fills(spark, sf).join(o, "client_order_id").withColumn("latency", F.unix_micros("ts_recv") - F.unix_micros("ts_order"))
-    bps = F.when(F.col("side") == "BUY", 1).otherwise(-1) * (F.col("price") - F.col("arrival")) / F.col("price") * 10000
-    return df.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("latency") / 86400000000), 6).alias("latency_days"), F.count_if(F.col("latency") < 0).alias("negative"), F.round(F.avg(bps), 4).alias("shortfall_bps"))
+    """Fills, whose order is decided at a minute of the quotes by its id and sent -0.1 to 0.3 s later, against the quotes
+    known at both instants; a negative latency is kept."""
+    t = views.ticks(spark, sf).select(*K, "ts_event", F.expr(B.MID).alias("mid"), F.expr("cast(ask - bid as double)").alias("spread"))
+    span = t.agg(F.min("ts_event").alias("a"), F.floor((F.unix_micros(F.max("ts_event")) - F.unix_micros(F.min("ts_event"))) / 60_000_000).alias("minutes"))
+    f = views.fills(spark, sf).select("client_order_id", *K, "side", "strategy_id", "line", "broker_fill_id").crossJoin(F.broadcast(span))  # one row
+    f = f.withColumn("decided", F.expr("a + make_dt_interval(0, 0, cast(client_order_id * 7 % minutes as int))")).withColumn("sent_at", F.expr("decided + make_dt_interval(0, 0, 0, cast((line % 5 - 1) * 0.1 as decimal(18, 6)))"))
+    f = J.asof(f.drop("a", "minutes"), t.select(*K, "ts_event", F.col("mid").alias("decision")), K, "decided", "ts_event", ["decision"])
+    f = J.asof(f, t.select(*K, "ts_event", F.col("mid").alias("arrival"), F.col("spread").alias("quoted")), K, "sent_at", "ts_event", ["arrival", "quoted"])
+    price = F.col("arrival") * (1 + (F.col("line") - 3) / 10000.0)
+    f = f.withColumns({"shortfall": F.when(F.col("side") == "BUY", 1).otherwise(-1) * (price - F.col("decision")), "latency": (F.unix_micros("sent_at") - F.unix_micros("decided")) / 1000.0})
+    return f.groupBy("instrument", "strategy_id", F.hour("decided").cast("long").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("decision").alias("priced"), F.round(F.avg("latency"), 6).alias("latency_ms"), F.count_if(F.col("latency") < 0).alias("negative"), F.round(F.avg("quoted"), 6).alias("spread"),
+        F.round(F.avg("shortfall") / 0.0001, 3).alias("shortfall_pips"), F.round(F.avg(F.col("shortfall") / F.col("decision")) * 10000, 4).alias("shortfall_bps"),
+    )
 
 
 @query("ops2_slippage_fit", ctes(FILLS_SQL) + "select round(my - b * m1 - c * m2, 4) as a, round(b, 6) as b, round(c, 6) as c, n from (select *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) as b, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) as c from (select covar_samp(price, qty) as s1y, covar_samp(price, discount) as s2y, covar_samp(qty, discount) as s12, var_samp(qty) as s11, var_samp(discount) as s22, avg(price) as my, avg(qty) as m1, avg(discount) as m2, count(*) as n from fills))")
