@@ -7,18 +7,34 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def walk_forward(daily: DataFrame, train: int, test: int) -> DataFrame:
-    """Windows of ``train`` and ``test`` days; the strategy with the best training mean is followed out of sample."""
+    """Windows of ``train`` and ``test`` days (``mode`` anchored: all days before the test); the strategy with the best training
+    mean is followed out of sample, and ``stitched`` adds up what that gave so far.
+
+    A day falls into few rolling windows, found by its number; anchored training is summed from the sums of the steps before.
+    """
     span = daily.agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    starts = span.select(F.explode(F.expr(f"sequence(a, date_sub(b, {train}), interval {test} days)")).alias("start"))
-    each = daily.crossJoin(F.broadcast(starts))  # a row per window: the days of the data over ``test``
-    at = F.datediff("day", "start")
-    sums = each.filter((at >= 0) & (at < train + test)).groupBy("start", "strategy_id").agg(F.avg(F.when(at < train, F.col("r"))).alias("inside"), F.sum(F.when(at >= train, F.col("r"))).alias("outside"))
-    return sums.groupBy("start").agg(F.max_by(F.struct("strategy_id", "inside", "outside"), F.struct(F.round("inside", 12), "strategy_id")).alias("x")).select("start", "x.strategy_id", "x.inside", "x.outside")
+    df = daily.crossJoin(F.broadcast(span)).withColumn("at", F.datediff("day", "a"))  # one row
+    last = F.floor(F.datediff("b", "a") / test - F.lit(train / test))
+    first = F.greatest(F.floor((F.col("at") - (train + test)) / test) + 1, F.lit(0))
+    until = F.least(F.floor(F.col("at") / test), last)
+    each = df.withColumn("k", F.explode(F.when(first <= until, F.sequence(first, until)).otherwise(F.array().cast("array<bigint>"))))
+    inside = F.col("at") - F.col("k") * test < train
+    rolling = each.groupBy("k", "strategy_id", "a").agg(F.sum(F.when(inside, F.col("r"))).alias("s"), F.count(F.when(inside, F.lit(1))).alias("n"), F.sum(F.when(~inside, F.col("r"))).alias("outside"))
+    first_window = F.when(F.col("at") < train, F.lit(0)).otherwise(F.floor((F.col("at") - train) / test) + 1).cast("long")  # that trains on a day first
+    steps = df.groupBy("strategy_id", first_window.alias("k")).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("n"))
+    windows = rolling.select("k", "a").distinct()
+    grid = windows.crossJoin(F.broadcast(daily.select("strategy_id").distinct())).join(steps, ["k", "strategy_id"], "left")  # a row per strategy
+    w = Window.partitionBy("strategy_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    anchored = grid.select("k", "strategy_id", "a", F.sum("s").over(w).alias("s"), F.sum("n").over(w).alias("n")).join(rolling.select("k", "strategy_id", "outside"), ["k", "strategy_id"], "left")
+    both = rolling.withColumn("mode", F.lit("rolling")).unionByName(anchored.withColumn("mode", F.lit("anchored"))).withColumn("inside", F.try_divide(F.col("s"), F.nullif(F.col("n"), F.lit(0))))
+    best = both.groupBy("mode", "k", "a").agg(F.max_by(F.struct("strategy_id", "inside", "outside"), F.struct(F.round("inside", 12), "strategy_id")).alias("x"))
+    out = best.select("mode", F.expr(f"date_add(a, cast(k * {test} as int))").alias("start"), "x.strategy_id", "x.inside", "x.outside")
+    return out.withColumn("stitched", F.sum("outside").over(Window.partitionBy("mode").orderBy("start")))  # a row per window
 
 
 def purged_folds(labels: DataFrame, folds: int, embargo_days: int) -> DataFrame:

@@ -6,13 +6,15 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ..functions import timex
 from ..functions.stats import normal_cdf, normal_inverse
+from ..operators import asof as J
 from ..operators import bars as B
 from ..operators import metrics as M
 from ..operators import validation_stats as V
 from ..sources import views
 from ..sources.schemas import K
-from ..sources.views import FILLS_SQL, ORDERS_SQL, TICKS_SQL
+from ..sources.views import FILLS_SQL, ORDERS_SQL, TICKS_SQL, TIER1_SQL
 from .base import BARS, r6, us
 from .registry import ctes, query
 
@@ -72,10 +74,20 @@ def _(spark, sf):
     return _daily(spark, sf).groupBy("strategy_id").agg(F.round(F.expr("try_divide(percentile(r, 0.95), abs(percentile(r, 0.05)))"), 6).alias("tail_ratio"))
 
 
-@query("met7_turnover", ctes(*BARS, POS_SQL) + "select venue, instrument, cast(sum(abs(d)) as bigint) as turnover, round(avg((position <> 0)::int::double), 6) as exposure, count(*) as n from (select *, position - coalesce(lag(position) over (partition by venue, instrument order by ts_event), 0) as d from pos) group by all")
+@query(
+    "met7_turnover",
+    ctes(*BARS, POS_SQL, "f as (select *, case when position is not distinct from lag(position) over w then 0 else 1 end as fresh, position - coalesce(lag(position) over w, 0) as d from pos window w as (partition by venue, instrument order by ts_event))", "g as (select *, sum(fresh) over (partition by venue, instrument order by ts_event) as run from f)",
+         "h as (select venue, instrument, avg(k) as holding from (select venue, instrument, run, count(*) as k from g where position <> 0 group by all) group by all)")
+    + "select venue, instrument, cast(sum(abs(d)) as bigint) as turnover, round(any_value(holding), 6) as holding_bars, round(avg((position <> 0)::int::double), 6) as exposure, round(sum(abs(d) * spread_mean / 2) / nullif(abs(sum(pnl)), 0), 4) as cost_ratio, count(*) as n from g join h using (venue, instrument) group by all",
+)
 def _(spark, sf):
     df = positions(spark, sf).withColumn("d", F.expr("position - coalesce(lag(position) over (partition by venue, instrument order by ts_event), 0)"))
-    return df.groupBy(*K).agg(F.sum(F.abs("d")).cast("long").alias("turnover"), F.round(F.avg((F.col("position") != 0).cast("double")), 6).alias("exposure"), F.count(F.lit(1)).alias("n"))
+    held = M.trades(positions(spark, sf), K).groupBy(*K).agg(F.avg("bars").alias("holding"))
+    df = df.groupBy(*K).agg(
+        F.sum(F.abs("d")).cast("long").alias("turnover"), F.round(F.avg((F.col("position") != 0).cast("double")), 6).alias("exposure"),
+        F.round(F.try_divide(F.sum(F.abs("d") * F.col("spread_mean") / 2), F.nullif(F.abs(F.sum("pnl")), F.lit(0.0))), 4).alias("cost_ratio"), F.count(F.lit(1)).alias("n"),
+    )
+    return df.join(held, K).select(*K, "turnover", F.round("holding", 6).alias("holding_bars"), "exposure", "cost_ratio", "n")
 
 
 @query("met8_t_stat", ctes(*D) + "select strategy_id, round(avg(r) / stddev_samp(r) * sqrt(count(*)), 6) as t_stat, round(avg(r) / stddev_samp(r) * sqrt(least(count(*), 100)), 6) as sqn from daily group by 1")
@@ -99,10 +111,29 @@ def _(spark, sf):
     return wide.select("strategy_id", "year", *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)])
 
 
-@query("met10_regime_table", ctes(*D, "v as (select *, ntile(3) over (partition by strategy_id order by abs(r), day) as tercile from daily)") + "select strategy_id, year(day) as year, tercile, round(avg(r), 6) as mean, count(*) as n from v group by grouping sets ((strategy_id, year(day)), (strategy_id, tercile), (year(day)))")
+_LOCAL_MINUTE = "hour(timezone('Europe/London', timezone('UTC', ts_event))) * 60 + minute(timezone('Europe/London', timezone('UTC', ts_event)))"
+
+
+@query(
+    "met10_regime_table",
+    ctes(*BARS, *D, POS_SQL, TIER1_SQL, "v as (select *, ntile(3) over (partition by strategy_id order by abs(r), day) as tercile from daily)",
+         f"z as (select *, case when {_LOCAL_MINUTE} < 480 then 'asia' when {_LOCAL_MINUTE} < 990 then 'london' when {_LOCAL_MINUTE} < 1320 then 'new_york' else 'late' end as session, exists (select 1 from tier1 e where abs(epoch_us(pos.ts_event) - epoch_us(e.ts_event)) <= 120 * 60000000::bigint) as tail from pos where pnl is not null)")
+    + "select strategy_id as series, year(day) as year, tercile, null as session, null::boolean as tail, round(avg(r), 6) as mean, count(*) as n from v group by grouping sets ((strategy_id, year(day)), (strategy_id, tercile), (year(day))) "
+    "union all select venue || '/' || instrument, null, null, session, tail, round(avg(pnl), 6), count(*) from z group by grouping sets ((venue || '/' || instrument, session), (venue || '/' || instrument, tail))",
+)
 def _(spark, sf):
-    df = _daily(spark, sf).selectExpr("*", "cast(ntile(3) over (partition by strategy_id order by abs(r), day) as bigint) as tercile", "cast(year(day) as bigint) as year")
-    return df.groupingSets([["strategy_id", "year"], ["strategy_id", "tercile"], ["year"]], "strategy_id", "year", "tercile").agg(F.round(F.avg("r"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    """Daily results by year and volatility tercile, results of bars by session and by nearness to events of the first tier."""
+    df = _daily(spark, sf).selectExpr("*", "strategy_id as series", "cast(ntile(3) over (partition by strategy_id order by abs(r), day) as bigint) as tercile", "cast(year(day) as bigint) as year")
+    mean = [F.round(F.avg("r"), 6).alias("mean"), F.count(F.lit(1)).alias("n")]
+    days = df.groupingSets([["series", "year"], ["series", "tercile"], ["year"]], "series", "year", "tercile").agg(*mean)
+    bars = positions(spark, sf).filter("pnl is not null").select("ts_event", F.concat_ws("/", *K).alias("series"), F.col("pnl").alias("r"))
+    m = timex.minute_of_day(F.col("ts_event"), timex.LONDON)
+    bars = bars.withColumn("session", F.when(m < 480, "asia").when(m < 990, "london").when(m < 1320, "new_york").otherwise("late"))
+    events = views.tier1(spark, sf).select(F.col("ts_event").alias("at"))
+    near = J.near_events(bars.select("ts_event").distinct(), events, "ts_event", "at", 120, keep=True).withColumn("tail", F.lit(True))
+    bars = bars.join(near, "ts_event", "left").withColumn("tail", F.coalesce("tail", F.lit(False)))
+    others = bars.groupingSets([["series", "session"], ["series", "tail"]], "series", "session", "tail").agg(*mean)
+    return days.unionByName(others, allowMissingColumns=True).select("series", "year", "tercile", "session", "tail", "mean", "n")
 
 
 @query(
@@ -119,22 +150,19 @@ def _(spark, sf):
     return M.correlation(_daily(spark, sf)).select("a", "b", *r6("corr"), "n")
 
 
-@query("met13_histogram", ctes(*D) + "select strategy_id, cast(least(greatest(floor(round((round(r, 9) + 0.02::double) / 0.004::double, 6)) + 1, 0), 11) as bigint) as bin, count(*) as n from daily group by all")
-def _(spark, sf):
-    return _daily(spark, sf).groupBy("strategy_id", F.expr("least(greatest(floor(round((round(r, 9) + 0.02D) / 0.004D, 6)) + 1, 0), 11)").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- validation statistics
 
 
 @query(
     "st1_walk_forward",
-    ctes(*D, "w as (select cast(unnest(generate_series(min(day)::timestamp, max(day)::timestamp - interval 365 day, interval 90 day)) as date) as start from daily)",
-         "s as (select start, strategy_id, avg(r) filter (where day - start < 365) as inside, sum(r) filter (where day - start >= 365) as outside from daily, w where day >= start and day - start < 455 group by 1, 2)")
-    + "select cast(start as varchar) as start, strategy_id, round(inside, 6) as inside, round(outside, 6) as outside from s qualify row_number() over (partition by start order by round(inside, 12) desc nulls last, strategy_id desc) = 1",
+    ctes(*D, "w as (select cast(unnest(generate_series(min(day)::timestamp, max(day)::timestamp - interval 365 day, interval 90 day)) as date) as start from daily)", "mo as (select * from (values ('rolling'), ('anchored')) m(mode))",
+         "s as (select mode, start, strategy_id, avg(r) filter (where day - start < 365) as inside, sum(r) filter (where day - start >= 365) as outside from daily, w, mo where (day >= start or mode = 'anchored') and day - start < 455 group by 1, 2, 3)",
+         "b as (select * from s qualify row_number() over (partition by mode, start order by round(inside, 12) desc nulls last, strategy_id desc) = 1)")
+    + "select mode, cast(start as varchar) as start, strategy_id, round(inside, 6) as inside, round(outside, 6) as outside, round(sum(outside) over (partition by mode order by start), 6) as stitched from b",
 )
 def _(spark, sf):
-    return V.walk_forward(_daily(spark, sf), 365, 90).select(F.col("start").cast("string").alias("start"), "strategy_id", *r6("inside", "outside"))
+    out = V.walk_forward(_daily(spark, sf), 365, 90)
+    return out.select("mode", F.col("start").cast("string").alias("start"), "strategy_id", *r6("inside", "outside", "stitched"))
 
 
 @query(
@@ -174,6 +202,22 @@ def _(spark, sf):
     return V.overfitting(_daily(spark, sf), 8).select(*r6("pbo", "mean_logit"), "n_splits")
 
 
+_BIN = "least(greatest(floor(round((round(r, 9) + 0.02{d}) / 0.004{d}, 6)) + 1, 0), 11)"
+
+
+@query(
+    "met13_histogram",
+    ctes(*D, _split_sql(6, 2)) + f"select strategy_id, 'histogram' as kind, cast({_BIN.format(d='::double')} as bigint) as bin, count(*) as n, null::double as p5, null::double as p50, null::double as p95 from daily group by 1, 3 "
+    "union all select strategy_id, 'paths', null, count(*), round(quantile_cont(chosen, 0.05), 6), round(quantile_cont(chosen, 0.5), 6), round(quantile_cont(chosen, 0.95), 6) from sh group by 1",
+)
+def _(spark, sf):
+    """Histogram of daily results, and quantiles of the Sharpe ratio across the paths of the combinatorial split."""
+    h = _daily(spark, sf).groupBy("strategy_id", F.lit("histogram").alias("kind"), F.expr(_BIN.format(d="D")).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    q = [F.round(F.expr(f"percentile(chosen, {x / 100})"), 6).alias(f"p{x}") for x in (5, 50, 95)]
+    paths = V.split_sharpes(_daily(spark, sf), 6, 2).groupBy("strategy_id", F.lit("paths").alias("kind")).agg(F.count(F.lit(1)).alias("n"), *q)
+    return h.unionByName(paths, allowMissingColumns=True).select("strategy_id", "kind", "bin", "n", "p5", "p50", "p95")
+
+
 _SR = "(mean / sd)"
 _SPREAD = f"sqrt(1 - skew * {_SR} + (kurt + 2) / 4 * {_SR} * {_SR})"
 _PSR = lambda star: normal_cdf(f"(({_SR} - {star}) * sqrt(n - 1) / {_SPREAD})")
@@ -201,10 +245,14 @@ def _(spark, sf):
 MONTHLY_SQL = "monthly as (select strategy_id, row_number() over (partition by strategy_id order by m) - 1 as k, r from (select strategy_id, date_trunc('month', day) as m, sum(r) / 10 as r from daily group by all))"
 
 
-def _boot_sql(seed: str, block: int) -> str:
+TRADES_SQL = "trd as (select venue || '/' || instrument as strategy_id, row_number() over (partition by venue, instrument order by entry) - 1 as k, pnl / 100 as r from (select venue, instrument, run, min(ts_event) as entry, coalesce(sum(pnl), 0) as pnl from g where position <> 0 group by all))"
+RUNS_SQL = ("f as (select *, case when position is not distinct from lag(position) over w then 0 else 1 end as fresh from pos window w as (partition by venue, instrument order by ts_event))", "g as (select *, sum(fresh) over (partition by venue, instrument order by ts_event) as run from f)")
+
+
+def _boot_sql(seed: str, block: int, views_sql: tuple = (*D, MONTHLY_SQL), source: str = "monthly") -> str:
     h = f"(('0x' || substr(md5('{seed}-' || strategy_id || '-' || rep || '-' || (i // {block})), 1, 8))::bigint % m)"
-    return ctes(*D, MONTHLY_SQL, "sz as (select strategy_id, count(*) as m from monthly group by 1)", "e as (select strategy_id, m, rep, unnest(range(m)) as i from sz, (select unnest(range(40)) as rep) r)", f"d as (select e.strategy_id, rep, i, r from (select *, ({h} + i % {block}) % m as k from e) e join monthly using (strategy_id, k))",
-                "g as (select *, sum(ln(1 + r)) over (partition by strategy_id, rep order by i) as g from d)", "t as (select *, greatest(max(g) over (partition by strategy_id, rep order by i), 0) as top from g)", "x as (select strategy_id, rep, min(exp(g - top) - 1) as dd, sum(ln(1 + r)) as g from t group by 1, 2)") + (
+    return ctes(*views_sql, f"sz as (select strategy_id, count(*) as m from {source} group by 1)", "e as (select strategy_id, m, rep, unnest(range(m)) as i from sz, (select unnest(range(40)) as rep) r)", f"d as (select e.strategy_id, rep, i, r from (select *, ({h} + i % {block}) % m as k from e) e join {source} using (strategy_id, k))",
+                "gr as (select *, sum(ln(1 + r)) over (partition by strategy_id, rep order by i) as g from d)", "t as (select *, greatest(max(g) over (partition by strategy_id, rep order by i), 0) as top from gr)", "x as (select strategy_id, rep, min(exp(g - top) - 1) as dd, sum(ln(1 + r)) as g from t group by 1, 2)") + (
         "select strategy_id, round(quantile_cont(dd, 0.05), 6) as dd_p5, round(quantile_cont(dd, 0.5), 6) as dd_p50, round(quantile_cont(g, 0.05), 6) as growth_p5, round(quantile_cont(g, 0.5), 6) as growth_p50 from x group by 1"
     )
 
@@ -214,9 +262,11 @@ def _monthly(spark, sf):
     return m.selectExpr("strategy_id", "cast(row_number() over (partition by strategy_id order by m) - 1 as bigint) as k", "r")
 
 
-@query("st7_trade_bootstrap", _boot_sql("t", 1))
+@query("st7_trade_bootstrap", _boot_sql("t", 1, (*BARS, POS_SQL, *RUNS_SQL, TRADES_SQL), "trd"))
 def _(spark, sf):
-    return V.bootstrap(_monthly(spark, sf), 40, "t").select("strategy_id", *r6("dd_p5", "dd_p50", "growth_p5", "growth_p50"))
+    """Drawdown and growth when the trades of each series (stretches of one position) are drawn anew."""
+    t = M.trades(positions(spark, sf), K).selectExpr("concat_ws('/', venue, instrument) as strategy_id", "cast(row_number() over (partition by venue, instrument order by entry) - 1 as bigint) as k", "coalesce(pnl, 0) / 100 as r")
+    return V.bootstrap(t, 40, "t").select("strategy_id", *r6("dd_p5", "dd_p50", "growth_p5", "growth_p50"))
 
 
 @query("st8_block_bootstrap", _boot_sql("b", 5))
@@ -262,17 +312,29 @@ def _(spark, sf):
     return df.groupBy("instrument").agg(F.round(F.avg("gross"), 6).alias("gross"), F.round(F.avg("cost"), 6).alias("cost"), F.round(F.avg(F.col("gross") - F.col("cost")), 6).alias("net"))
 
 
+_RANKS_SQL = (_split_sql(8, 4), "rk as (select *, rank() over (partition by split order by other, strategy_id) as place, count(*) over (partition by split) as m from sh)", "bst as (select * from rk qualify row_number() over (partition by split order by round(chosen, 12) desc, strategy_id desc) = 1)",
+              "pb as (select avg((ln((place / (m + 1)::double) / (1 - place / (m + 1)::double)) <= 0)::int::double) as pbo from bst)")
+_GATE = "sharpe_ok and years_ok and pbo_ok and dsr_ok and cost_ok"
+
+
 @query(
     "st13_gate_criteria",
-    ctes(*D, MOM_SQL, "y as (select strategy_id, avg((s > 0)::int::double) as positive from (select strategy_id, year(day), sum(r) as s from daily group by 1, 2) group by 1)")
-    + f"select strategy_id, mean / sd * sqrt(252) >= 0.6 as sharpe_ok, positive >= 0.7 as years_ok, {_PSR('0')} >= 0.95 as psr_ok, mean / sd * sqrt(252) >= 0.6 and positive >= 0.7 and {_PSR('0')} >= 0.95 as passed from mom join y using (strategy_id)",
-)
+    ctes(*D, MOM_SQL, *_RANKS_SQL, "y as (select strategy_id, avg((s > 0)::int::double) as positive from (select strategy_id, year(day), sum(r) as s from daily group by 1, 2) group by 1)", "t as (select var_samp(mean / sd) as v, count(*) as trials from mom)",
+         "c as (select strategy_id, sum(qty * 0.002::double) / nullif(abs(sum((discount - 0.05::double) * qty)), 0) as cost_ratio from fills group by 1)",
+         f"x as (select strategy_id, mean / sd * sqrt(252) >= 0.6 as sharpe_ok, positive >= 0.7 as years_ok, pbo < 0.2 as pbo_ok, {_PSR(_STAR)} >= 0.95 as dsr_ok, cost_ratio < 0.5 as cost_ok from mom join y using (strategy_id) join c using (strategy_id), t, pb)")
+    + f"select *, {_GATE} as passed from x",
+)
 def _(spark, sf):
+    """Sharpe ratio, positive years, probability of overfitting, deflated Sharpe ratio and cost ratio against their limits."""
     d = _daily(spark, sf)
     years = d.groupBy("strategy_id", F.year("day")).agg(F.sum("r").alias("s")).groupBy("strategy_id").agg(F.avg((F.col("s") > 0).cast("double")).alias("positive"))
-    m = M.moments(d).join(years, "strategy_id")
-    out = m.select("strategy_id", F.expr("mean / sd * sqrt(252) >= 0.6").alias("sharpe_ok"), (F.col("positive") >= 0.7).alias("years_ok"), F.expr(f"{_PSR('0')} >= 0.95").alias("psr_ok"))
-    return out.withColumn("passed", F.col("sharpe_ok") & F.col("years_ok") & F.col("psr_ok"))
+    f = views.fills(spark, sf)
+    cost = f.groupBy("strategy_id").agg(F.try_divide(F.sum(F.col("qty") * 0.002), F.nullif(F.abs(F.sum((F.col("discount") - 0.05) * F.col("qty"))), F.lit(0.0))).alias("cost_ratio"))
+    m = M.moments(d)
+    t = m.agg(F.var_samp(F.col("mean") / F.col("sd")).alias("v"), F.count(F.lit(1)).alias("trials")).crossJoin(V.overfitting(d, 8).select("pbo"))  # one row
+    df = m.join(years, "strategy_id").join(cost, "strategy_id").crossJoin(F.broadcast(t))
+    out = df.select("strategy_id", F.expr("mean / sd * sqrt(252) >= 0.6").alias("sharpe_ok"), (F.col("positive") >= 0.7).alias("years_ok"), (F.col("pbo") < 0.2).alias("pbo_ok"), F.expr(f"{_PSR(_STAR)} >= 0.95").alias("dsr_ok"), (F.col("cost_ratio") < 0.5).alias("cost_ok"))
+    return out.withColumn("passed", F.expr(_GATE))
 
 
 @query("st14_trials", "select o_orderpriority as family, count(*) as attempts, count(distinct o_custkey) as trials from orders group by 1")
