@@ -249,14 +249,21 @@ TRADES_SQL = "trd as (select venue || '/' || instrument as strategy_id, row_numb
 RUNS_SQL = ("f as (select *, case when position is not distinct from lag(position) over w then 0 else 1 end as fresh from pos window w as (partition by venue, instrument order by ts_event))", "g as (select *, sum(fresh) over (partition by venue, instrument order by ts_event) as run from f)")
 
 
-def _boot_sql(seed: str, block: int, views_sql: tuple = (*D, MONTHLY_SQL), source: str = "monthly") -> str:
+def _boot_views(seed: str, block: int, views_sql: tuple = (*D, MONTHLY_SQL), source: str = "monthly") -> tuple[str, ...]:
+    """``x``: drawdown and growth of every strategy and replicate."""
     h = f"(('0x' || substr(md5('{seed}-' || strategy_id || '-' || rep || '-' || (i // {block})), 1, 8))::bigint % m)"
-    return ctes(*views_sql, f"sz as (select strategy_id, count(*) as m from {source} group by 1)", "e as (select strategy_id, m, rep, unnest(range(m)) as i from sz, (select unnest(range(40)) as rep) r)", f"d as (select e.strategy_id, rep, i, r from (select *, ({h} + i % {block}) % m as k from e) e join {source} using (strategy_id, k))",
-                "gr as (select *, sum(ln(1 + r)) over (partition by strategy_id, rep order by i) as g from d)", "t as (select *, greatest(max(g) over (partition by strategy_id, rep order by i), 0) as top from gr)", "x as (select strategy_id, rep, min(exp(g - top) - 1) as dd, sum(ln(1 + r)) as g from t group by 1, 2)") + (
-        "select strategy_id, round(quantile_cont(dd, 0.05), 6) as dd_p5, round(quantile_cont(dd, 0.5), 6) as dd_p50, round(quantile_cont(g, 0.05), 6) as growth_p5, round(quantile_cont(g, 0.5), 6) as growth_p50 from x group by 1"
+    return (
+        *views_sql, f"sz as (select strategy_id, count(*) as m from {source} group by 1)", "e as (select strategy_id, m, rep, unnest(range(m)) as i from sz, (select unnest(range(40)) as rep) r)",
+        f"d as (select e.strategy_id, rep, i, r from (select *, ({h} + i % {block}) % m as k from e) e join {source} using (strategy_id, k))", "gr as (select *, sum(ln(1 + r)) over (partition by strategy_id, rep order by i) as g from d)",
+        "t as (select *, greatest(max(g) over (partition by strategy_id, rep order by i), 0) as top from gr)", "x as (select strategy_id, rep, min(exp(g - top) - 1) as dd, sum(ln(1 + r)) as g from t group by 1, 2)",
     )
 
 
+def _boot_sql(*args) -> str:
+    quantile = lambda c, q, name: f"round(quantile_cont({c}, {q}), 6) as {name}"
+    return ctes(*_boot_views(*args)) + f"select strategy_id, {quantile('dd', 0.05, 'dd_p5')}, {quantile('dd', 0.5, 'dd_p50')}, {quantile('g', 0.05, 'growth_p5')}, {quantile('g', 0.5, 'growth_p50')} from x group by 1"
+
+
 def _monthly(spark, sf):
     m = _daily(spark, sf).groupBy("strategy_id", F.trunc("day", "MM").alias("m")).agg((F.sum("r") / 10).alias("r"))
     return m.selectExpr("strategy_id", "cast(row_number() over (partition by strategy_id order by m) - 1 as bigint) as k", "r")

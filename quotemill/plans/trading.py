@@ -13,6 +13,7 @@ from ..operators import ordering as O
 from ..operators import portfolio as PF
 from ..operators import risk as R
 from ..operators import signals as S
+from ..operators import validation_stats as V
 from ..operators.windows import bucketed, chunked
 from ..sources import views
 from ..sources.schemas import K
@@ -20,7 +21,7 @@ from ..sources.views import FILLS_SQL, ORDERS_SQL, TICKS_SQL, TIER1_SQL
 from .base import BARS, GOOD_SQL, label_sql, r6, us
 from .feature_queries import P, _NUMBERED, ema_sql
 from .joins import MID_SQL, PNL_SQL, SPECS_SQL, specs
-from .performance import D, POS_SQL, _daily, positions
+from .performance import D, POS_SQL, _boot_views, _daily, _monthly, positions
 from .registry import ctes, query
 
 _L = label_sql("ts_event")
@@ -223,25 +224,58 @@ def _(spark, sf):
     return C.breakdown(df, ["instrument"], ["spread", "commission"]).select("instrument", *r6("gross", "spread", "commission", "net"), F.round("cost_ratio", 4).alias("cost_ratio"))
 
 
+_KIND = "case seq % 4 when 0 then 'MARKET' when 1 then 'LIMIT' when 2 then 'STOP' else 'BRACKET' end"
+_ASK_SQL = (
+    f"o as (select venue, instrument, seq as id, {_KIND} as kind, seq // 4 % 2 = 0 as buy, ts_event as a, ts_event + interval 12 hour as b, mid * 0.9998 as below, mid * 1.0002 as above from mids)",
+    "q as (select venue, instrument, seq, ts_event, cast(bid as double) as bid, cast(ask as double) as ask from ticks)",
+    "mk as (select o.id, o.kind, o.buy, q.seq, case when buy then ask else bid end as price, 'FILL' as what from (select * from o where kind = 'MARKET') o asof join q on o.venue = q.venue and o.instrument = q.instrument and o.a + interval 150 millisecond < q.ts_event)",
+    "cr as (select o.*, q.seq, q.bid, q.ask, q.ts_event from o join q using (venue, instrument) where kind <> 'MARKET' and q.ts_event > a and q.ts_event <= b and case kind when 'LIMIT' then case when buy then q.bid <= below - 0.00001::double else q.ask >= above + 0.00001::double end "
+    "when 'STOP' then case when buy then q.ask >= above else q.bid <= below end else case when buy then q.bid <= below or q.bid >= above else q.ask >= above or q.ask <= below end end)",
+    "fi as (select * from cr qualify row_number() over (partition by id order by ts_event, seq) = 1)",
+)
+
+
 @query(
     "cst9_execution_price",
-    ctes(TICKS_SQL, MID_SQL, "o as (select venue, instrument, seq as id, ts_event as a, ts_event + interval 12 hour as b, mid * 1.0002 as stop, mid * 0.9998 as take from mids)", "h as (select o.id, arg_min(cast(q.bid as double), q.seq) as bid, arg_min(cast(q.ask as double), q.seq) as ask, any_value(stop) as stop from o join mids q using (venue, instrument) where q.ts_event > a and q.ts_event <= b and (cast(q.ask as double) >= stop or cast(q.bid as double) <= take) group by o.id)")
-    + "select id, case when ask >= stop then 'STOP' else 'TAKE' end as exit, round(ask, 6) as price from h",
+    ctes(TICKS_SQL, MID_SQL, *_ASK_SQL) + "select id, kind, buy, seq, round(price, 6) as price, what from mk union all select id, kind, buy, seq, round(case kind when 'LIMIT' then case when buy then below else above end when 'STOP' then case when buy then ask else bid end else case when buy then bid else ask end end, 6), "
+    "case when kind <> 'BRACKET' then 'FILL' when buy then case when bid <= below then 'STOP' else 'TAKE' end else case when ask >= above then 'STOP' else 'TAKE' end end from fi",
 )
 def _(spark, sf):
-    """Bracket of a short position: the stop is checked before the target, and both fill at the first price there is."""
+    """Market orders, limits, stops and brackets of both sides at every tick: a market order fills at the first quote after
+    the latency, a limit where it is traded through, a stop at the first price there is, and of a bracket the stop is
+    checked before the target."""
     t = views.ticks(spark, sf).withColumn("mid", F.expr(B.MID))
-    o = t.select(*K, F.col("seq").alias("id"), F.col("ts_event").alias("a"), (F.col("ts_event") + F.expr("interval 12 hours")).alias("b"), (F.col("mid") * 1.0002).alias("stop"), (F.col("mid") * 0.9998).alias("take"))
+    o = t.select(*K, F.col("seq").alias("id"), F.expr(_KIND).alias("kind"), (F.expr("seq div 4") % 2 == 0).alias("buy"), F.col("ts_event").alias("a"), (F.col("ts_event") + F.expr("interval 12 hours")).alias("b"), (F.col("mid") * 0.9998).alias("below"), (F.col("mid") * 1.0002).alias("above"))
     q = t.select(*K, "ts_event", "seq", F.col("bid").cast("double").alias("bid"), F.col("ask").cast("double").alias("ask"))
-    hit = J.first_crossing(o, q, K, "a", "b", "ts_event", (F.col("ask") >= F.col("stop")) | (F.col("bid") <= F.col("take")), ["ask"], 6 * 3_600_000_000)
-    return hit.select("id", F.when(F.col("ask") >= F.col("stop"), "STOP").otherwise("TAKE").alias("exit"), F.round("ask", 6).alias("price"))
+    sent = o.filter("kind = 'MARKET'").withColumn("sent", F.col("a") + F.expr("interval 150 milliseconds"))
+    market = J.asof(sent, q, K, "sent", "ts_event", ["seq", "bid", "ask"], forward=True, exact=False, tie=["seq"]).filter("seq is not null")
+    market = market.select("id", "kind", "buy", "seq", F.expr("case when buy then ask else bid end").alias("price"), F.lit("FILL").alias("what"))
+    met = F.expr(
+        "case kind when 'LIMIT' then if(buy, bid <= below - 0.00001D, ask >= above + 0.00001D) when 'STOP' then if(buy, ask >= above, bid <= below) else if(buy, bid <= below or bid >= above, ask >= above or ask <= below) end"
+    )
+    hit = J.first_crossing(o.filter("kind != 'MARKET'"), q, K, "a", "b", "ts_event", met, ["seq", "bid", "ask"], 6 * 3_600_000_000)
+    price = F.expr("case kind when 'LIMIT' then if(buy, below, above) when 'STOP' then if(buy, ask, bid) else if(buy, bid, ask) end")
+    what = F.expr("case when kind != 'BRACKET' then 'FILL' when if(buy, bid <= below, ask >= above) then 'STOP' else 'TAKE' end")
+    return market.unionByName(hit.select("id", "kind", "buy", "seq", price.alias("price"), what.alias("what"))).withColumn("price", F.round("price", 6))
 
 
-@query("cst10_cost_stress", ctes(*BARS, POS_SQL, _COST2) + "select m.mult, instrument, round(sum(pnl) - m.mult * sum(traded * spread_mean / 2), 6) as net from ct, (values (1.0::double), (1.5), (2.0)) m(mult) group by m.mult, instrument")
+_TOUCH = "select o.instrument, count(distinct o.seq) filter (where cast(q.bid as double) <= o.lim) as touched, count(distinct o.seq) filter (where cast(q.bid as double) <= o.lim - 0.0005::double) as through from (select *, mid * 0.9999 as lim from mids) o join ticks q on o.venue = q.venue and o.instrument = q.instrument and q.ts_event > o.ts_event and q.ts_event <= o.ts_event + interval 6 hour group by 1"
+
+
+@query(
+    "cst10_cost_stress",
+    ctes(*BARS, MID_SQL, POS_SQL, _COST2, f"tch as ({_TOUCH})") + "select m.mult, instrument, round(sum(pnl) - m.mult * sum(traded * spread_mean / 2), 6) as net, any_value(touched) as touched, any_value(through) as through from ct join tch using (instrument), (values (1.0::double), (1.5), (2.0)) m(mult) group by m.mult, instrument",
+)
 def _(spark, sf):
+    """Net results at multiples of the cost, and how many limit orders fill if a touch is enough or a trade through is needed."""
     grid = spark.createDataFrame([(1.0,), (1.5,), (2.0,)], "mult double")
     df = _traded(spark, sf).groupBy("instrument").agg(F.sum("pnl").alias("gross"), F.sum(C.spread_cost(F.col("traded"), F.col("spread_mean"))).alias("cost"))
-    return df.crossJoin(F.broadcast(grid)).select("mult", "instrument", F.round(F.col("gross") - F.col("mult") * F.col("cost"), 6).alias("net"))
+    t = views.ticks(spark, sf)
+    o = t.select(*K, F.col("seq").alias("id"), F.col("ts_event").alias("start"), (F.col("ts_event") + F.expr("interval 6 hours")).alias("stop"), (F.expr(B.MID) * 0.9999).alias("lim"))
+    q = t.select(*K, "ts_event", "seq", F.col("bid").cast("double").alias("bid"))
+    filled = lambda less, name: J.first_crossing(o, q, K, "start", "stop", "ts_event", F.col("bid") <= F.col("lim") - less, ["seq"]).groupBy("instrument").agg(F.count(F.lit(1)).alias(name))
+    df = df.join(filled(0.0, "touched"), "instrument").join(filled(0.0005, "through"), "instrument", "left").withColumn("through", F.coalesce("through", F.lit(0)))
+    return df.crossJoin(F.broadcast(grid)).select("mult", "instrument", F.round(F.col("gross") - F.col("mult") * F.col("cost"), 6).alias("net"), "touched", "through")
 
 
 @query("cst11_pip_margin", ctes(FILLS_SQL, SPECS_SQL) + "select instrument, round(max(pip * point_value), 6) as pip_value, round(sum(qty * price * 0.0333), 2) as margin from fills join specs using (instrument) group by 1")
@@ -355,10 +389,31 @@ def _(spark, sf):
 _60 = "(partition by strategy_id order by day rows between 59 preceding and current row)"
 
 
-@query("rsk6_kill_criteria", ctes(*D) + f"select strategy_id, cast(day as varchar) as day, round(s, 6) as sharpe60 from (select *, avg(r) over {_60} / nullif(stddev_samp(r) over {_60}, 0) as s, row_number() over {_DW} as rn from daily) where rn >= 60 and s < -0.1")
+_L50 = "(partition by strategy_id order by ts_event, client_order_id, line, qty, price rows between 49 preceding and current row)"
+
+
+@query(
+    "rsk6_kill_criteria",
+    ctes(*_boot_views("b", 5), "mc as (select strategy_id, quantile_cont(dd, 0.05) as p5 from x group by 1)",
+         f"sh as (select strategy_id, min(s) as low from (select strategy_id, avg(r) over {_60} / nullif(stddev_samp(r) over {_60}, 0) as s, row_number() over {_DW} as rn from daily) where rn >= 60 group by 1)",
+         f"sl as (select strategy_id, max(m) as worst from (select strategy_id, avg(discount) over {_L50} as m, row_number() over {_L50.replace(' rows between 49 preceding and current row', '')} as rn from fills) where rn >= 50 group by 1)",
+         "mr as (select *, sum(ln(1 + r)) over (partition by strategy_id order by k) as g from monthly)", "mp as (select *, greatest(max(g) over (partition by strategy_id order by k), 0) as top from mr)", "md as (select strategy_id, min(exp(g - top) - 1) as depth from mp group by 1)")
+    + "select strategy_id, coalesce(low < -0.1, false) as sharpe, coalesce(round(worst, 9) > 2 * 0.03::double, false) as slippage, coalesce(depth < p5, false) as drawdown from mc left join sh using (strategy_id) left join sl using (strategy_id) left join md using (strategy_id)",
+)
 def _(spark, sf):
-    df = _daily(spark, sf).selectExpr("*", f"avg(r) over {_60} / nullif(stddev_samp(r) over {_60}, 0) as s", f"row_number() over {_DW} as rn")
-    return df.filter("rn >= 60 and s < -0.1").select("strategy_id", F.col("day").cast("string").alias("day"), F.round("s", 6).alias("sharpe60"))
+    """Strategies to pause: Sharpe ratio of 60 days, slippage over twice its assumption in some 50 trades, a drawdown beyond
+    the fifth percentile of the bootstrap."""
+    d = _daily(spark, sf).selectExpr("*", f"avg(r) over {_60} / nullif(stddev_samp(r) over {_60}, 0) as s", f"row_number() over {_DW} as rn")
+    sharpe = d.filter("rn >= 60").groupBy("strategy_id").agg(F.min("s").alias("low"))
+    f = views.fills(spark, sf).select("strategy_id", "ts_event", "client_order_id", "line", "qty", "price", "discount")
+    f = chunked(f, ["strategy_id"], "ts_event", 50, order=["ts_event", "client_order_id", "line", "qty", "price"])
+    slip = f.withColumn("m", F.expr("avg(discount) over (partition by strategy_id, chunk order by rn rows between 49 preceding and current row)")).filter("not halo and rn >= 50").groupBy("strategy_id").agg(F.max("m").alias("worst"))
+    m = _monthly(spark, sf)
+    real = m.selectExpr("*", "sum(ln(1 + r)) over (partition by strategy_id order by k) as g").selectExpr("*", "max(g) over (partition by strategy_id order by k) as top")
+    real = real.groupBy("strategy_id").agg(F.min(F.exp(F.col("g") - F.greatest("top", F.lit(0.0))) - 1).alias("depth"))
+    df = V.bootstrap(m, 40, "b", 5).join(sharpe, "strategy_id", "left").join(slip, "strategy_id", "left").join(real, "strategy_id", "left")
+    flag = lambda c, name: F.coalesce(F.expr(c), F.lit(False)).alias(name)
+    return df.select("strategy_id", flag("low < -0.1", "sharpe"), flag("round(worst, 9) > 2 * 0.03", "slippage"), flag("depth < dd_p5", "drawdown"))
 
 
 _OW = "(partition by strategy_id, instrument, side order by ts_order, client_order_id)"
@@ -455,25 +510,73 @@ def _(spark, sf):
     return R.canonical_counters(counts, ["processed", "rejected", "failed", "skipped"])
 
 
-@query("ops6_daily_digest", ctes(*D) + "select strategy_id, cast(day as varchar) as day, round(r, 6) as r from daily qualify row_number() over (partition by strategy_id order by day desc) <= 5")
+_SHARE = "round(avg(case when ask <= bid or ts_recv0 is null then 1.0 else 0.0 end), 6)"
+
+
+@query(
+    "ops6_daily_digest",
+    ctes(TICKS_SQL, *D) + "select 'pnl' as section, strategy_id || '|' || cast(day as varchar) as item, round(r, 6) as value from daily qualify row_number() over (partition by strategy_id order by day desc) <= 5 "
+    f"union all select 'quality', venue || '|' || instrument, {_SHARE}::double from ticks group by all union all select 'breaker', venue || '|' || instrument, count(*)::double from ticks where ask <= bid group by all "
+    "union all select 'tca', instrument, round(avg(epoch_us(ts_recv) - epoch_us(ts_event)) / 1000.0::double, 6) from fills group by all union all select 'audit', cast(seq as varchar), cast(ask - bid as double) from (select * from ticks order by ts_event desc, seq desc limit 5)",
+)
 def _(spark, sf):
-    return O.last_rows(_daily(spark, sf), ["strategy_id"], [F.desc("day")], 5).select("strategy_id", F.col("day").cast("string").alias("day"), *r6("r"))
+    """Results by strategy, data quality, tripped breakers, latency of executions, and the last five entries of the log."""
+    t = views.ticks(spark, sf)
+    row = lambda df, section, item, value: df.select(F.lit(section).alias("section"), item.alias("item"), value.cast("double").alias("value"))
+    pnl = row(O.last_rows(_daily(spark, sf), ["strategy_id"], [F.desc("day")], 5), "pnl", F.concat_ws("|", "strategy_id", F.col("day").cast("string")), F.round("r", 6))
+    series = F.concat_ws("|", *K).alias("series")
+    bad = F.avg(F.when((F.col("ask") <= F.col("bid")) | (F.size("quality_flags") > 0), 1.0).otherwise(0.0))
+    quality = row(t.groupBy(series).agg(F.round(bad, 6).alias("v")), "quality", F.col("series"), F.col("v"))
+    breakers = row(t.filter("ask <= bid").groupBy(series).agg(F.count(F.lit(1)).alias("v")), "breaker", F.col("series"), F.col("v"))
+    latency = views.fills(spark, sf).groupBy("instrument").agg(F.round(F.avg(F.unix_micros("ts_recv") - F.unix_micros("ts_event")) / 1000.0, 6).alias("v"))
+    audit = t.orderBy(F.desc("ts_event"), F.desc("seq")).limit(5)
+    return pnl.union(quality).union(breakers).union(row(latency, "tca", F.col("instrument"), F.col("v"))).union(row(audit, "audit", F.col("seq").cast("string"), F.col("ask") - F.col("bid")))
 
 
-@query("ops7_heartbeat", ctes(TICKS_SQL) + "select venue, cast(sum(greatest(floor(gap / 15.0) - 1, 0)) as bigint) as missed, count(*) filter (where floor(gap / 15.0) - 1 >= 10) as outages from (select venue, (epoch_us(ts_event) - epoch_us(lag(ts_event) over (partition by venue order by ts_event, seq))) / 1000000.0 as gap from ticks) group by 1")
+@query(
+    "ops7_heartbeat",
+    ctes(TICKS_SQL, f"g as (select venue, {_L} as day, (epoch_us(ts_event) - epoch_us(lag(ts_event) over (partition by venue, {_L} order by ts_event, seq))) / 1000000.0 as gap from ticks)")
+    + "select venue, cast(day as varchar) as day, cast(sum(greatest(floor(gap / 15.0) - 1, 0)) as bigint) as missed, count(*) filter (where floor(gap / 15.0) - 1 >= 10) as outages, round(100 * (1 - coalesce(sum(gap) filter (where floor(gap / 15.0) - 1 >= 10), 0) / 86400.0), 4)::double as uptime from g group by 1, 2",
+)
 def _(spark, sf):
-    return R.heartbeat_gaps(views.ticks(spark, sf), ["venue"], 15.0).groupBy("venue").agg(F.sum("missed").cast("long").alias("missed"), F.count_if(F.col("missed") >= 10).alias("outages"))
+    """Missed beats, outages (ten or more missed) and uptime of each session day."""
+    t = views.ticks(spark, sf).select("venue", "ts_event", "seq", timex.session_date(F.col("ts_event")).alias("day"))
+    df = R.heartbeat_gaps(t, ["venue", "day"], 15.0)
+    down = F.coalesce(F.sum(F.when(F.col("missed") >= 10, F.col("gap_s"))), F.lit(0.0))
+    out = df.groupBy("venue", "day").agg(F.sum("missed").cast("long").alias("missed"), F.count_if(F.col("missed") >= 10).alias("outages"), F.round(100 * (1 - down / 86400.0), 4).alias("uptime"))
+    return out.withColumn("day", F.col("day").cast("string"))
 
 
-@query("ops8_monthly_statement", ctes(FILLS_SQL) + "select strategy_id, strftime(ts_event, '%Y-%m') as month, round(sum(qty * price), 2) as traded, count(*) as n from fills group by all")
+@query(
+    "ops8_monthly_statement",
+    ctes(FILLS_SQL, "mine as (select strategy_id, strftime(ts_event, '%Y-%m') as month, round(sum(qty * price), 2) as traded, count(*) as n, round(sum(qty * price * 0.00002::double), 2) as fees from fills group by all)",
+         "theirs as (select strategy_id, strftime(ts_recv, '%Y-%m') as month, round(sum(qty * price), 2) as traded, count(*) as n from fills where client_order_id % 500 <> 0 group by all)")
+    + "select strategy_id, month, m.traded, t.traded as stated, m.n - coalesce(t.n, 0) as missing, m.traded is distinct from t.traded as differs, round(sum(fees) over (partition by strategy_id, substr(month, 1, 4)), 2) as fees_of_year from mine m left join theirs t using (strategy_id, month)",
+)
 def _(spark, sf):
-    return views.fills(spark, sf).groupBy("strategy_id", F.date_format("ts_event", "yyyy-MM").alias("month")).agg(F.round(F.sum(F.col("qty") * F.col("price")), 2).alias("traded"), F.count(F.lit(1)).alias("n"))
+    """Monthly statements of own fills against a broker's, who books by receipt and lacks some orders, with the fees of the
+    tax year."""
+    f = views.fills(spark, sf)
+    sums = [F.round(F.sum(F.col("qty") * F.col("price")), 2).alias("traded"), F.count(F.lit(1)).alias("n")]
+    mine = f.groupBy("strategy_id", F.date_format("ts_event", "yyyy-MM").alias("month")).agg(*sums, F.round(F.sum(F.col("qty") * F.col("price") * 0.00002), 2).alias("fees"))
+    theirs = f.filter("client_order_id % 500 != 0").groupBy("strategy_id", F.date_format("ts_recv", "yyyy-MM").alias("month")).agg(*sums).withColumnsRenamed({"traded": "stated", "n": "m"})
+    both = mine.join(theirs, ["strategy_id", "month"], "left").withColumn("missing", F.col("n") - F.coalesce("m", F.lit(0))).withColumn("differs", ~F.col("traded").eqNullSafe(F.col("stated")))
+    return both.withColumn("fees_of_year", F.expr("round(sum(fees) over (partition by strategy_id, substr(month, 1, 4)), 2)")).select("strategy_id", "month", "traded", "stated", "missing", "differs", "fees_of_year")
 
 
-@query("ops9_latency_histogram", ctes(TICKS_SQL) + "select venue, cast(floor((epoch_us(ts_recv) - epoch_us(ts_event)) / 100000.0) as bigint) as bin, count(*) as n from ticks group by all")
+@query(
+    "ops9_latency_histogram",
+    ctes(TICKS_SQL, MID_SQL) + "select venue, 'latency' as kind, cast(floor((epoch_us(ts_recv) - epoch_us(ts_event)) / 100000.0) as bigint) as bin, count(*) as n, null::double as p50, null::double as p95 from ticks group by all "
+    "union all select venue, 'slippage', null, count(*), round(quantile_cont(bps, 0.5), 6), round(quantile_cont(bps, 0.95), 6) from (select venue, spread / 2 / mid * 10000 as bps from mids) group by 1",
+)
 def _(spark, sf):
+    """Receipt latency in tenths of a second, and quantiles of the half spread in basis points that a market order pays."""
+    t = views.ticks(spark, sf)
     bin_ = F.floor((F.unix_micros("ts_recv") - F.unix_micros("ts_event")) / 100000).alias("bin")
-    return views.ticks(spark, sf).groupBy("venue", bin_).agg(F.count(F.lit(1)).alias("n"))
+    h = t.groupBy("venue", F.lit("latency").alias("kind"), bin_).agg(F.count(F.lit(1)).alias("n"))
+    bps = t.select("venue", (F.expr("cast(ask - bid as double)") / 2 / F.expr(B.MID) * 10000).alias("bps"))
+    q = bps.groupBy("venue", F.lit("slippage").alias("kind")).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.expr(f"percentile(bps, {p / 100})"), 6).alias(f"p{p}") for p in (50, 95)])
+    return h.unionByName(q, allowMissingColumns=True).select("venue", "kind", "bin", "n", "p50", "p95")
 
 
 @query("ops10_run_provenance", ctes(FILLS_SQL) + "select 'run-' || line % 3 as run_id, case line % 3 when 0 then 'backtest' when 1 then 'paper' else 'live' end as mode, count(*) as n from fills group by all")
