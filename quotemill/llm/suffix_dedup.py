@@ -9,7 +9,7 @@ transforms of one anchor are merged: the interleave of their rows is refined by
 step, so that rows whose suffixes agree in h bytes lie together, until h is ``length``. Common prefixes thus come from
 the steps at which rows part, and rows that never part are repeated strings; no suffix of two shards is compared.
 
-An anchor with over ``hot`` windows would make one merge large. Its windows are cut into pieces of ``SPLIT`` start places
+An anchor with over ``hot`` windows, or ``hot_bytes`` in them, would make one merge large. Its windows are cut into pieces of ``SPLIT`` start places
 by their distance from the anchor, which equal strings share, and the strings of each distinct piece are counted by
 128-bit hashes instead, which Spark aggregates before it shuffles them.
 
@@ -158,7 +158,7 @@ def _contents(joined: DataFrame, length: int) -> DataFrame:
 
         for found in _found(batches, length, False):
             if found is None:
-                if size > 48_000_000:
+                if size > 16_000_000:
                     yield flush()
                     held, size = {}, 0
                 continue
@@ -201,7 +201,7 @@ def _hot_strings(joined: DataFrame, length: int) -> DataFrame:
 
         for found in _found(batches, length, True):
             if found is None:
-                if len(held) > 20_000:
+                if len(held) > 4_000:
                     yield flush()
                     held = {}
                 continue
@@ -216,7 +216,7 @@ def _hot_strings(joined: DataFrame, length: int) -> DataFrame:
 
 def _hot_spans(strings: DataFrame) -> DataFrame:
     """(window, a, b): the runs of start places whose strings occur elsewhere, too."""
-    twice = settle(strings.groupBy("string").agg(F.min("least").alias("low"), F.max("most").alias("high")).filter("low < high").select("string"))
+    twice = strings.groupBy("string").agg(F.min("least").alias("low"), F.max("most").alias("high")).filter("low < high").select("string")
     hits = strings.join(twice, "string").groupBy("window").agg(F.array_sort(F.collect_set("at")).alias("at"))
     begin, end = F.filter("at", lambda x: ~F.array_contains("at", x - 1)), F.filter("at", lambda x: ~F.array_contains("at", x + 1))
     ends = F.arrays_zip(begin.alias("a"), end.alias("b"))
@@ -234,15 +234,16 @@ def transforms(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     total = int(size.sum())
     data = np.zeros(total + 6, np.uint8)
     data[:total] = np.frombuffer(b"\0".join([*windows, b""]), np.uint8)
-    owner = np.repeat(np.arange(len(windows)), size)
-    left = (np.cumsum(size) - 1)[owner] - np.arange(total)
+    owner = np.repeat(np.arange(len(windows), dtype=np.int32), size)
+    left = ((np.cumsum(size) - 1)[owner] - np.arange(total)).astype(np.int32)
     key = np.zeros(total, np.uint64)
     for i in range(6):
         key = key << np.uint64(8) | data[i : i + total]
     short = np.flatnonzero(left < 6)
     cut = (8 * (6 - left[short])).astype(np.uint64)
     key[short] = key[short] >> cut << cut
-    order = np.empty(total, np.int64)
+    order = np.empty(total, np.int32)
+    del short, cut
     starts = np.append(np.flatnonzero(np.append(True, owner[1:] >> 16 != owner[:-1] >> 16)) if total else [], total).astype(np.int64)
     for a, b in zip(starts[:-1], starts[1:], strict=True):  # window and bytes of 65,536 windows fit into a number
         own = key[a:b] | (owner[a:b] & 0xFFFF).astype(np.uint64) << np.uint64(48)
@@ -250,16 +251,17 @@ def transforms(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     fresh = np.append(True, (key[order[1:]] != key[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])) if total else np.zeros(0, bool)
     at = np.flatnonzero(fresh)
     many = np.diff(np.append(at, total))
-    row = np.empty(total, np.int64)
-    row[order] = np.repeat(at, many)
+    row = np.empty(total, np.int32)
+    row[order] = np.repeat(at.astype(np.int32), many)
+    del key, fresh
     now, known = order[np.repeat(many > 1, many)], 6
     while len(now):
         further = left[now] >= known
-        second = np.where(further, row[np.where(further, now + known, 0)], left[now] - known)
-        both = row[now] << 32 | (second + (1 << 31))
+        second = np.where(further, row[np.where(further, now + known, 0)], left[now] - known).astype(np.int64)
+        both = row[now].astype(np.int64) << 32 | (second + (1 << 31))
         by = np.argsort(both)
         now, both, old = now[by], both[by], row[now[by]]
-        number = np.arange(len(now))
+        number = np.arange(len(now), dtype=np.int32)
         fresh = np.append(True, both[1:] != both[:-1])
         begin = np.maximum.accumulate(np.where(fresh, number, 0))
         group = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), number, 0))
@@ -269,7 +271,7 @@ def transforms(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         many = np.diff(np.append(np.flatnonzero(fresh), len(now)))
         now, known = now[np.repeat(many > 1, many)], 2 * known
     previous = np.maximum(order - 1, 0)  # of a whole window, whose row has no symbol, nothing is read
-    return data[previous], row[previous].astype(np.int32), row
+    return data[previous], row[previous], row
 
 
 def repeated_starts(windows: list[bytes], repeated: list[bool], length: int, parts: list[int] | None = None) -> list[np.ndarray]:
@@ -344,7 +346,7 @@ def _merge(data: pa.Table, length: int) -> pa.Table:
 
 
 def remove_repeats(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 2_000, part_bytes: int = 4_000_000, kept: bool = False, carry: bool = False,
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 200, hot: int = 2_000, hot_bytes: int = 1_000_000, part_bytes: int = 4_000_000, kept: bool = False, carry: bool = False,
 ) -> DataFrame:
     """Per row: key (``carry``: all columns, of which the result's replace those with its names), ``n_bytes``, ``n_removed``,
     ``n_spans``, ``kept_sha256`` and, if asked for, ``kept_text``: what is left, without characters cut in two.
@@ -361,8 +363,9 @@ def remove_repeats(
 
     spot = F.xxhash64("tid", "place")
     runs = settle(_runs(base, length))
-    stats = runs.groupBy("anchor").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
-    stats = settle(stats.filter("low < high or again").select("anchor", (F.col("n") > hot).alias("hot")))
+    bytes_of = F.col("place").bitwiseAND(0xFFFFFFFF) - F.shiftrightunsigned("place", 32) + length
+    stats = runs.groupBy("anchor").agg(F.min(spot).alias("low"), F.max(spot).alias("high"), F.count(F.lit(1)).alias("n"), F.sum(bytes_of).alias("size"), F.max("again").alias("again"))
+    stats = settle(stats.filter("low < high or again").select("anchor", ((F.col("n") > hot) | (F.col("size") > hot_bytes)).alias("hot")))
     found = runs.join(stats, "anchor").select("tid", F.struct("anchor", "place", "hot").alias("run")).groupBy("tid").agg(F.collect_set("run").alias("found"))
     found = settle(found)
     joined = base.join(found.hint("merge"), "tid").select("tid", "text", "row", "found")
@@ -370,13 +373,13 @@ def remove_repeats(
     contents = _contents(joined, length).withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(parts)))
     merged = contents.groupBy("bucket").applyInArrow(lambda t: _merge(t, length), "window binary, a long, b long")
     if not stats.filter("hot").isEmpty():
-        merged = merged.unionByName(_hot_spans(settle(_hot_strings(joined, length))))
+        merged = merged.unionByName(_hot_spans(_hot_strings(joined, length)))
     places = _places(joined, length).join(merged, "window")
     removed = places.select("tid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     copies = base.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size")).filter(f"n > 1 and size >= {length}")
     removed = removed.unionByName(copies.select("tid", F.lit(0).cast("long").alias("a"), (F.col("size") - length).cast("long").alias("b")))
-    cut = settle(removed.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("cut")))
-    discard(runs, stats, found)
+    cut = removed.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("cut"))
+    discard(runs, stats)
     final = base.join(cut.hint("merge"), "tid", "left").select("tid", "text", "row", "cut")
 
     @lean
