@@ -105,6 +105,7 @@ class LanguageModel:
                 if allowed is not None and len(allowed) < total.shape[1]:
                     total[i, np.setdiff1d(np.arange(total.shape[1]), allowed)] = -np.inf
         known = np.array(own) & (total > size[:, None] * self.limits).any(1)  # a word has as many trigrams as letters
+        total[~np.array(own)] = 0.0
         total -= total.max(1, keepdims=True)
         total -= np.log(np.exp(total).sum(1, keepdims=True))
         return np.maximum(total, -self.floor), known

@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import json
+import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -80,6 +83,27 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in language_id.identify(odd, language_id.train(none)).collect()} == {"und"}
 
 
+def test_scripts_narrow_the_candidates(spark):
+    """Words of two scripts: a language is only considered for words of scripts in which it was seen."""
+    russian, bulgarian, english, hindi = "привет как дела сегодня", "здравей как си днес", "hello how are you today", "हिन्दी भाषा में लिखा हुआ वाक्य"
+    rows = [(i, t, k) for i, (t, k) in enumerate([(russian, "ru"), (bulgarian, "bg"), (english, "en"), (hindi, "hi")] * 5)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    of = {s: {model.languages[i] for i in c} for s, c in model.scripts.items()}
+    assert of == {"Cyrillic": {"ru", "bg"}, "Latin": {"en"}, "Devanagari": {"hi"}}
+    scores, known = model.scores(["привет", "hello", "भाषा", "שלום"], model.slots())
+    at = {k: i for i, k in enumerate(model.languages)}
+    assert scores[0][at["en"]] == scores[0][at["hi"]] == -model.floor and scores[0].argmax() == at["ru"]
+    assert scores[1].argmax() == at["en"] and scores[1][at["en"]] == 0 and scores[2][at["hi"]] == 0
+    assert len(set(scores[3])) == 1 and known.tolist() == [True, True, True, False]
+    text = f"{russian} {hindi} {english} {russian}"
+    found = language_id.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert [s.lang for s in found.spans] == ["ru", "hi", "en", "ru"] and found.spans[1].start == len(russian) + 1 and found.spans[1].end == len(russian) + 1 + len(hindi)
+
+
+def test_words_keep_their_marks():
+    assert language_id.WORD.findall("हिन्दी भाषा, cafe\u0301 a1b_c") == ["हिन्दी", "भाषा", "cafe\u0301", "a", "b", "c"]
+
+
 def test_viterbi():
     r = np.random.default_rng(5)
     for penalty in (0.5, 2.0, 6.0):
@@ -113,6 +137,60 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def brute_features(text, bits, gaps):
+    """Buckets of words, pairs and skip pairs, one at a time with Python numbers."""
+    m, (mix0, mix1, mix2) = (1 << 64) - 1, (int(x) for x in toxicity._MIX)
+
+    def mixed(x):
+        x = (x ^ (x >> 31)) * mix1 & m
+        return x ^ (x >> 29)
+
+    w = [xxhash.xxh64_intdigest(x) for x in re.findall(r"\w+", (text or "").lower())]
+    out = {mixed(x) >> 64 - bits for x in w}
+    for gap in range(1, gaps + 2):
+        out |= {mixed((x * mix0 + y * mix2 + (gap > 1)) & m) >> 64 - bits for x, y in zip(w, w[gap:])}
+    return sorted(out)
+
+
+def brute_ftrl(rows, bits, alpha, beta, l1, l2, epochs):
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(epochs):
+        for found, y in rows:
+            at = [*found, 1 << bits]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                n[i] += g * g
+                z[i] += g - sigma * w[i]
+    return {i: weight(i) for i in list(z) if weight(i)}
+
+
+def test_toxicity_against_brute_force(spark):
+    """Features, training order, weights and scores; keys that repeat with other texts, and a very long text."""
+    r = random.Random(13)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 30))) + (" bad worse" if i % 3 == 0 else "")) for i in range(60)]
+    rows += [(5, "another text of a key that is there"), (None, "no key"), (60, None), (61, "w1 bad " * 20_000)]
+    marks = [(i, int(i % 3 == 0)) for i in range(0, 62, 2)] + [(5, 1), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    options = {"bits": 12, "gaps": 2, "alpha": 0.5, "beta": 1.0, "l1": 0.3, "l2": 0.1, "epochs": 3}
+    model = toxicity.train(docs, labels, **options)
+    again = toxicity.train(docs.repartition(5, F.rand(2)), labels, **options)
+    y = dict((k, v) for k, v in marks if v is not None)
+    placed = docs.select("doc_id", "text", F.xxhash64(F.lit("place"), "doc_id").alias("a"), F.xxhash64("text").alias("b")).collect()
+    order = sorted((x for x in placed if x.doc_id in y), key=lambda x: (x.a, x.b))
+    expected = brute_ftrl([(brute_features(x.text, 12, 2), y[x.doc_id]) for x in order], **{k: v for k, v in options.items() if k != "gaps"})
+    bias = expected.pop(1 << 12, 0.0)
+    assert dict(zip(model.buckets.tolist(), model.weights.tolist())) == pytest.approx(expected, rel=1e-5) and model.bias == pytest.approx(bias)
+    assert (again.weights == model.weights).all() and again.bias == model.bias
+    scores = sorted(((x.doc_id, x.score) for x in toxicity.score(docs, model).collect()), key=repr)
+    brute = sorted(((k, 1 / (1 + math.exp(-bias - sum(expected.get(i, 0.0) for i in brute_features(t, 12, 2))))) for k, t in rows), key=repr)
+    assert [k for k, _ in scores] == [k for k, _ in brute] and [v for _, v in scores] == pytest.approx([v for _, v in brute], rel=1e-4)
+
+
 # --- 3
 
 
@@ -328,6 +406,16 @@ def test_spotsigs(spark, small):
         assert len(r.fingerprint) == 8 * len(spot_set(t))
 
 
+def test_spotsigs_values(spark):
+    """The digits of a fingerprint are the hashes of the signatures found by brute force."""
+    rows = list(enumerate([*made(6), "The end of the line is the end of it.", ""]))
+    got = {r.doc_id: r.fingerprint for r in spotsigs.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    flat = [(i, a, list(chain)) for i, t in rows for a, chain in spot_set(t)]
+    hashes = spark.createDataFrame(flat, "doc_id long, anchor string, chain array<string>").select("doc_id", F.hash("anchor", "chain").alias("h")).collect()
+    expected = {i: "".join(f"{h & 0xFFFFFFFF:08x}" for h in sorted(r.h for r in hashes if r.doc_id == i)) for i, _ in rows}
+    assert got == expected
+
+
 def test_spotsigs_odd(spark, odd, none):
     assert spotsigs.fingerprint_edits(odd).count() == odd.count() and spotsigs.fingerprint_edits(none).count() == 0
     texts = made(40)

@@ -2,10 +2,14 @@
 
 import random
 import string
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quotemill.llm import language_id
 
@@ -84,3 +88,68 @@ def test_near_duplicate_stage(spark):
         ids = [x[0] for x in rows if group(x[1]) == group(r[1]) and x[0] is not None]
         assert r in rows and r[0] == (min(ids) if ids else None)
     assert corpus_pipeline.keep_one_of_each_group(spark, docs.filter("false"), SF).count() == 0
+
+
+CLASHING = ["score", "lang_pred", "n_spans", "known_share", "n_bytes", "n_removed", "kept_sha256", "kept_text", "cls", "root", "first", "row", "text_", "in_text", "key", "mark", "__m1"]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and ids, extra columns with clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(400)
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect()]
+    rows += [(None, None, None, None, None), (None, "", None, None, 0), (1, rows[7][1], None, "x", None), rows[3], rows[3], (None, rows[9][1], None, None, None)]
+    rows += [(9_000, " ".join(r[1] for r in rows[:120] if r[1] and r[2] == "en"), "en", "long", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    return df.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in CLASHING}), rows
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_pass_columns_and_rows_on(spark, awkward, stage):
+    df, rows = awkward
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, df, SF)
+    assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+    got = out.collect()
+    for r in got:
+        assert all(r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for c in CLASHING)
+    count = Counter((r.doc_id, r.text) for r in got)
+    before = Counter((r[0], r[1]) for r in rows)
+    if name == "language_id":
+        assert count == Counter({k: n for k, n in before.items() if k[1]}) or set(count) <= set(before)
+        assert all(k[1] for k in count) and count[rows[3][0], rows[3][1]] == before[rows[3][0], rows[3][1]]
+    elif name == "toxicity":
+        assert all(n == before[k] for k, n in count.items()) and (None, None) in count and (None, "") in count and len(count) > 0.8 * len(before)
+    elif name == "near_duplicates":
+        assert all(n == 1 for n in count.values()) and set(count) <= set(before) and sum(not t for _, t in count) == 1
+    else:
+        assert sorted(map(repr, (r.doc_id for r in got))) == sorted(map(repr, (r[0] for r in rows)))
+        assert (None, None) in count and all(r.n_chars == len(r.text) for r in got if r.text is not None)
+    assert run(spark, df.filter("false"), SF).count() == 0
+
+
+def test_repeat_stage_against_brute_force(spark, awkward):
+    df, rows = awkward
+    got = sorted((repr((r.doc_id, r.text)) for r in corpus_pipeline.remove_repeats(spark, df, SF).collect()))
+    seen = Counter()
+    data = [(k, t, (t or "").encode()) for k, t, *_ in rows]
+    for _, _, b in data:
+        seen.update(b[i : i + 200] for i in range(len(b) - 199))
+    expected = []
+    for k, t, b in data:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        expected.append(repr((k, None if t is None else bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore"))))
+    assert got == sorted(expected)
+
+
+def test_packing_stage(spark, awkward):
+    df, rows = awkward
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = corpus_pipeline.pack(spark, df, SF).collect()
+    tokens = Counter((k, len(made.encode(t or "", add_special_tokens=False).ids) + 1) for k, t, *_ in rows)
+    assert Counter((r.doc_id, r.doc_tokens) for r in out if r.start == 0) == tokens
+    assert sum(r.length for r in out) == sum(n * c for (_, n), c in tokens.items())
+    assert corpus_pipeline.pack(spark, df.filter("false"), SF).count() == 0
