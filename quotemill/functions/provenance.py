@@ -27,7 +27,11 @@ def isoformat(ts: Column) -> Column:
 
 
 def order_id(environment: Column, strategy: Column, instrument: Column, ts: Column, run_id: Column, sequence: Column) -> Column:
-    """The same inputs always give the same id; the suffix is a digest of all of them."""
+    """The same inputs always give the same id; the suffix is a digest of all of them. A blank run id, a negative sequence and a
+    null input fail the job."""
+    blank = lambda c, name: F.when(c.isNotNull() & (F.trim(c) != ""), c).otherwise(F.raise_error(F.lit(f"{name} must not be blank")).cast("string"))
+    environment, strategy, instrument, run_id = (blank(c, n) for c, n in ((environment, "environment"), (strategy, "strategy_id"), (instrument, "instrument"), (run_id, "run_id")))
+    ts = F.when(ts.isNotNull(), ts).otherwise(F.raise_error(F.lit("the time must be set")).cast("timestamp"))
     number = F.when(sequence >= 0, sequence.cast("string")).otherwise(F.raise_error(F.lit("sequence must not be negative")).cast("string"))
     identity = F.concat_ws(SEPARATOR, environment, strategy, instrument, isoformat(ts), run_id, number)
     return F.concat_ws("-", slug(environment), slug(strategy), slug(instrument), epoch_ms(ts).cast("string"), number, F.substring(F.sha2(identity, 256), 1, 32))

@@ -34,12 +34,14 @@ def price_outliers(ticks: DataFrame, multiple: float = 20, window: int = 50, wit
     return df.withColumn("outlier", F.coalesce((F.abs("move") > multiple * F.col("vol")) & reverts, F.lit(False)))
 
 
-def gaps(ticks: DataFrame, seconds: float, liquid: float) -> DataFrame:
-    """Silences of over ``seconds`` between ticks of a session whose median distance is under ``liquid`` seconds."""
+def gaps(ticks: DataFrame, seconds: float, liquid: float, holidays: DataFrame) -> DataFrame:
+    """Silences of over ``seconds`` between ticks of a session whose median distance is under ``liquid`` seconds; the session
+    days in ``holidays`` (day: some hundred rows) are expected to be quiet."""
     df = flagged(ticks).filter("not closed").withColumn("day", timex.session_date(F.col("ts_event")))
     df = df.withColumn("silence", (F.unix_micros(F.lead("ts_recv").over(Window.partitionBy(*K, "day").orderBy("ts_recv", "seq"))) - F.unix_micros("ts_recv")) / 1_000_000)
     median = df.groupBy(*K, "day").agg(F.expr("percentile(silence, 0.5)").alias("median"))
-    return df.join(median, [*K, "day"]).withColumn("gap", F.coalesce((F.col("silence") > seconds) & (F.col("median") < liquid), F.lit(False)))
+    df = df.join(median, [*K, "day"]).join(F.broadcast(holidays.select("day", F.lit(True).alias("holiday"))), "day", "left")
+    return df.withColumn("gap", F.coalesce((F.col("silence") > seconds) & (F.col("median") < liquid), F.lit(False)) & F.col("holiday").isNull())
 
 
 def completeness(ticks: DataFrame) -> DataFrame:
@@ -50,13 +52,18 @@ def completeness(ticks: DataFrame) -> DataFrame:
 
 
 def busiest_hour(bars: DataFrame) -> DataFrame:
-    """Hour (UTC) of each venue and instrument with the largest mean range; on DST dates compared with the expected one."""
-    by_hour = bars.groupBy(*K, F.hour("ts_open").alias("hour")).agg(F.avg(F.ln(F.col("high") / F.col("low"))).alias("range"))
-    return by_hour.groupBy(*K).agg(F.max_by("hour", F.struct(F.round("range", 9), "hour")).alias("hour"), F.max("range").alias("range"))
+    """Hour (UTC) with the largest mean range of each venue, instrument and London offset, so on either side of a change of the
+    clocks, the hour (UTC) of the London open under that offset, and whether they are the same."""
+    offset = timex.utc_offset_hours(F.to_date("ts_open"), timex.LONDON).cast("long")
+    by_hour = bars.groupBy(*K, offset.alias("offset"), F.hour("ts_open").cast("long").alias("hour")).agg(F.avg(F.ln(F.col("high") / F.col("low"))).alias("range"))
+    out = by_hour.groupBy(*K, "offset").agg(F.max_by("hour", F.struct(F.round("range", 9), "hour")).alias("hour"), F.max("range").alias("range"))
+    return out.withColumn("expected", 8 - F.col("offset")).withColumn("ok", F.col("hour") == F.col("expected"))
 
 
 def label_fingerprint(ours: DataFrame, vendor: DataFrame, by: list[str]) -> DataFrame:
-    """Correlation of log returns with an outside daily series at lags -1, 0 and 1, matched on the closing instant."""
+    """Correlation of log returns with an outside daily series at lags -1, 0 and 1, matched on the closing instant; ``unmatched``
+    closes of the outside series that are no session end of ours; ``passed`` only if all closes match, there are 250 sessions,
+    and the correlations are 0.99 or more at lag 0 and 0.3 or less at the others: what can't be computed fails."""
     w = Window.partitionBy(*by).orderBy("ts_event")
     joined = ours.select(*by, "ts_event", "close").join(vendor.select(*by, "ts_event", F.col("close").alias("theirs")), [*by, "ts_event"])
     r = joined.withColumns({"a": F.ln(F.col("close") / F.lag("close").over(w)), "b": F.ln(F.col("theirs") / F.lag("theirs").over(w))})
@@ -67,7 +74,11 @@ def label_fingerprint(ours: DataFrame, vendor: DataFrame, by: list[str]) -> Data
         p, q = F.when(both, F.col(x)), F.when(both, F.col(y))
         return F.covar_samp(x, y) / F.nullif(F.stddev_samp(p) * F.stddev_samp(q), F.lit(0.0))
 
-    return r.groupBy(*by).agg(corr("a", "b").alias("lag0"), corr("a", "before").alias("lag_before"), corr("a", "after").alias("lag_after"), F.count(F.lit(1)).alias("n"))
+    out = r.groupBy(*by).agg(corr("a", "b").alias("lag0"), corr("a", "before").alias("lag_before"), corr("a", "after").alias("lag_after"), F.count(F.lit(1)).alias("n"))
+    lost = vendor.join(ours.select(*by, "ts_event"), [*by, "ts_event"], "left_anti").groupBy(*by).agg(F.count(F.lit(1)).alias("unmatched"))
+    out = out.join(lost, by, "full_outer").fillna(0, ["n", "unmatched"])
+    passed = (F.col("unmatched") == 0) & (F.col("n") >= 250) & (F.col("lag0") >= 0.99) & (F.col("lag_before") <= 0.3) & (F.col("lag_after") <= 0.3)
+    return out.withColumn("passed", F.coalesce(passed, F.lit(False)))
 
 
 def flag_counts(df: DataFrame) -> DataFrame:

@@ -189,9 +189,19 @@ def meta_label(data: DataFrame, folds: int = 3) -> DataFrame:
     return out.withColumn("bet", clipped(2 * F.col("probability") - 1, 0.0, 1.0))
 
 
-def permutation_importance(data: DataFrame) -> DataFrame:
-    """Loss of accuracy per feature when its values are dealt anew among the rows of a fold, in an order set by a hash."""
-    train, test = data.filter("fold = 0 and end_fold = 0"), data.filter("fold = 1").withColumn("h", F.xxhash64(*K, "ts_event"))
+def permutation_importance(data: DataFrame, folds: int = 3) -> DataFrame:
+    """Per fold and feature the accuracy of a model fitted on the other folds when the feature's values are dealt anew among
+    the rows of the fold, in an order set by a hash; ``none``: as they are."""
+    out = None
+    for fold in range(folds):
+        one = _fold_importance(data, fold).withColumn("fold", F.lit(fold))
+        out = one if out is None else out.unionByName(one)
+    return out.select("fold", "feature", "accuracy")
+
+
+def _fold_importance(data: DataFrame, fold: int) -> DataFrame:
+    train = data.filter((F.col("fold") != fold) & (F.col("end_fold") != fold))
+    test = data.filter(F.col("fold") == fold).withColumn("h", F.xxhash64(*K, "ts_event"))
     model = _model(train)
     hit = F.avg((F.col("prediction") == F.col("y")).cast("double"))
     rows = [model.transform(test).agg(F.lit("none").alias("feature"), hit.alias("accuracy"))]

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from ..functions import provenance, timex, validate
 from ..operators import bars as B
 from ..operators import ordering as O
-from ..operators.windows import indexed
+from ..operators.windows import chunked, indexed
 from ..sources import io, views
 from ..sources.schemas import K, TICKS, require_schema
 from ..sources.views import FILLS_SQL, INSTRUMENTS, ORDERS_SQL, PIT_SQL, TICKS_SQL
@@ -90,11 +90,11 @@ def _(spark, sf):
     return both.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("qty"), 4).alias("qty"))
 
 
-@query("src7_json_result", ctes(TICKS_SQL) + "select '{\"instrument\":\"' || instrument || '\",\"n\":' || count(*) || ',\"venue\":\"' || venue || '\"}' as value from ticks group by venue, instrument")
+@query("src7_json_result", ctes(TICKS_SQL, "l as (select venue, instrument, '{\"instrument\":\"' || instrument || '\",\"n\":' || count(*) || ',\"venue\":\"' || venue || '\"}' as value from ticks group by venue, instrument)") + "select value, (select sha256(string_agg(value || chr(10), '' order by venue, instrument)) from l) as digest from l")
 def _(spark, sf):
     path = io.scratch(spark, "result")
-    io.write_json(views.ticks(spark, sf).groupBy(*K).agg(F.count(F.lit(1)).alias("n")), path, K)
-    return spark.read.text(path)
+    digest = io.write_json(views.ticks(spark, sf).groupBy(*K).agg(F.count(F.lit(1)).alias("n")), path, K)
+    return spark.read.text(path).withColumn("digest", F.lit(digest))
 
 
 @query("src8_backfill", ctes(TICKS_SQL) + "select venue, instrument, count(*) filter (where backfilled) as n_backfilled, epoch_us(max(ts_recv) filter (where not backfilled)) as fresh_us from ticks group by all")
@@ -129,10 +129,12 @@ def _(spark, sf):
     return out.select("source_id", "accepted", F.size("missing").cast("long").alias("n_missing"))
 
 
-@query("src12_resumable_ingest", "select s_name as path, sha256(s_name || ':' || s_suppkey) as digest from supplier where s_suppkey % 3 <> 0")
+@query("src12_resumable_ingest", "select page_id || ' ' || coalesce(url, '') as path, sha256(coalesce(html, '')) as digest from pages where page_id % 3 <> 0")
 def _(spark, sf):
-    listing = views.table(spark, sf, "supplier").select(F.col("s_name").alias("path"), F.sha2(F.concat_ws(":", "s_name", F.col("s_suppkey").cast("string")), 256).alias("digest"), "s_suppkey")
-    return io.new_files(listing.drop("s_suppkey"), listing.filter("s_suppkey % 3 = 0").select("path", "digest"))
+    """Pages as files: those that the manifest doesn't have yet, by the digests of their contents; a changed one fails."""
+    page = views.table(spark, sf, "pages")
+    listing = page.select(F.concat_ws(" ", F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))).alias("path"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), "page_id")
+    return io.new_files(listing.drop("page_id"), listing.filter("page_id % 3 = 0").select("path", "digest"))
 
 
 # --- validation
@@ -487,10 +489,30 @@ def _(spark, sf):
     return provenance.stamped(views.ticks(spark, sf).groupBy("venue").agg(F.count(F.lit(1)).alias("n")), dataset_id="ds", config_hash="cfg", git_sha="sha", run_id="run-1")
 
 
-@query("hsh9_caveats", ctes(TICKS_SQL) + "select source, caveat, n from (select source, count(*) filter (where ts_recv0 is null) as a, count(*) filter (where ask <= bid) as b from ticks group by source) t, lateral (select 'imputed receipts' as caveat, a as n union all select 'crossed quotes', b) where n > 0")
+_CAVEATS_SQL = (
+    f"fb as (select source, count(*) as n from (select source, venue, instrument, time_bucket(interval 1 hour, ts_event), bool_or(ask <= bid or ts_recv0 is null or isodow({label_sql('ts_event')}) > 5) as f from ticks group by all) where f group by 1)",
+    "tf as (select p.source, count(*) as n from (select *, lead(bid) over (partition by venue, instrument order by ts_event, seq) as after, row_number() over (partition by venue, instrument order by ts_event, seq) as k from ticks) p where after = bid group by 1)",
+)
+
+
+@query(
+    "hsh9_caveats",
+    ctes(TICKS_SQL, ORDERS_SQL, *_CAVEATS_SQL) + "select source, 'imputed receipts' as caveat, count(*) as n from ticks where ts_recv0 is null group by 1 union all select source, 'flagged bars used', n from fb "
+    "union all select source, 'touch fills', n from tf union all select 'orders', 'placeholder costs: ' || instrument, count(*) from ords where instrument in ('US500', 'UK100', 'GER40') group by instrument",
+)
 def _(spark, sf):
-    df = B.flagged(views.ticks(spark, sf)).groupBy("source").agg(F.count_if(F.array_contains("quality_flags", "TS_RECV_IMPUTED")).alias("imputed receipts"), F.count_if("crossed").alias("crossed quotes"))
-    return df.unpivot(["source"], ["imputed receipts", "crossed quotes"], "caveat", "n").filter("n > 0")
+    """Imputed receipts, hours with flagged quotes, limits at a bid that the next quote only touches, and instruments whose
+    commission is a placeholder."""
+    t = B.flagged(views.ticks(spark, sf))
+    row = lambda df, caveat: df.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", F.lit(caveat).alias("caveat"), "n")
+    imputed = row(t.filter(F.array_contains("quality_flags", "TS_RECV_IMPUTED")), "imputed receipts")
+    bars = t.groupBy("source", *K, F.date_trunc("hour", "ts_event").alias("hour")).agg(F.bool_or(F.size("quality_flags") > 0).alias("f")).filter("f")
+    own = chunked(t.select(*K, "source", "ts_event", "seq", "bid"), K, "ts_event", 1, order=["ts_event", "seq"])
+    w = "(partition by venue, instrument, chunk order by rn)"
+    touch = own.selectExpr("*", f"lag(bid) over {w} as before", f"lag(source) over {w} as owner").filter("not halo and before = bid")
+    costs = views.orders(spark, sf).filter("instrument in ('US500', 'UK100', 'GER40')").groupBy("instrument").agg(F.count(F.lit(1)).alias("n"))
+    costs = costs.select(F.lit("orders").alias("source"), F.concat(F.lit("placeholder costs: "), "instrument").alias("caveat"), "n")
+    return imputed.union(row(bars, "flagged bars used")).union(row(touch.withColumn("source", F.col("owner")), "touch fills")).union(costs)
 
 
 @query("hsh10_broker_tag", "select tag, count(*) as n, min(k) as first_id from (select o_orderkey as k, sha256(cast(o_orderkey as varchar))[:4] as tag from orders) group by tag having count(*) > 1")

@@ -10,7 +10,7 @@ from ..operators import bars as B
 from ..operators import features as FT
 from ..operators import signals as S
 from ..operators.windows import indexed
-from ..sources import views
+from ..sources import io, views
 from ..sources.schemas import K
 from ..sources.views import TICKS_SQL, TIER1_SQL
 from .base import BARS, GOOD_SQL, end_sql, label_sql, r6, us
@@ -185,21 +185,23 @@ def _(spark, sf):
     return indexed(_bars(spark, sf), K, "ts_event").groupBy(*K).agg(F.count_if(F.col("rn") > 20).alias("ready"), F.count(F.lit(1)).alias("n"))
 
 
-@query("ft36_causality_audit", "select 'ft' as audit, 0::bigint as changed")
+@query("ft36_causality_audit", ctes(*BARS) + "select feature, (select count(*) from bars where epoch_us(ts_event) <= (select (epoch_us(min(ts_event)) + epoch_us(max(ts_event))) // 2 from bars)) as kept, 0::bigint as changed from (values " + ", ".join(f"('{n}')" for n in FT.FEATURES) + ") f(feature)")
 def _(spark, sf):
-    """Features of the first half are the same without the second half."""
-    bars = _bars(spark, sf)
+    """Every feature of the first half is the same without the second half: bars compared and bars that differ."""
+    path = io.scratch(spark, "bars")
+    _bars(spark, sf).write.parquet(path)
+    bars = spark.read.parquet(path)
     mid = bars.agg(F.expr("timestamp_micros((unix_micros(min(ts_event)) + unix_micros(max(ts_event))) div 2)").alias("cut"))
     early = bars.join(F.broadcast(mid), F.col("ts_event") <= F.col("cut"), "left_semi")
     out = None
-    for name in ("ft9_atr", "ft30_adf"):
-        f = FT.FEATURES[name]
-        keep = [*K, "ts_event", *f.out]
-        whole = FT.compute(bars, f, 50).join(F.broadcast(mid), F.col("ts_event") <= F.col("cut"), "left_semi").select(keep)
-        part = FT.compute(early, f, 70).select(keep)
-        diff = whole.exceptAll(part).select(F.lit(1).alias("x")).unionAll(part.exceptAll(whole).select(F.lit(1).alias("x")))
-        out = diff if out is None else out.unionAll(diff)
-    return out.agg(F.lit("ft").alias("audit"), F.count(F.lit(1)).alias("changed")).select("audit", "changed")
+    for name, f in FT.FEATURES.items():
+        value = F.struct(*f.out)
+        whole = FT.compute(bars, f, 50).join(F.broadcast(mid), F.col("ts_event") <= F.col("cut"), "left_semi").select(*K, "ts_event", value.alias("a"))
+        part = FT.compute(early, f, 70).select(*K, "ts_event", value.alias("b"))
+        both = whole.join(part, [*K, "ts_event"], "full_outer")
+        one = both.agg(F.lit(name).alias("feature"), F.count(F.lit(1)).alias("kept"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 # --- signals

@@ -234,10 +234,11 @@ def _(spark, sf):
 @query(
     "dq5_gaps",
     ctes(TICKS_SQL, f"s as (select seq, venue, instrument, {_L} as day, (epoch_us(lead(ts_recv) over (partition by venue, instrument, {_L} order by ts_recv, seq)) - epoch_us(ts_recv)) / 1000000.0 as silence from ticks where isodow({_L}) <= 5)")
-    + "select seq, round(silence, 3) as silence from s join (select venue, instrument, day, median(silence) as med from s group by all) m using (venue, instrument, day) where silence > 10000 and med < 4000",
+    + "select seq, round(silence, 3) as silence from s join (select venue, instrument, day, median(silence) as med from s group by all) m using (venue, instrument, day) where silence > 10000 and med < 4000 and day not in (date '2024-01-01', date '2024-01-15')",
 )
 def _(spark, sf):
-    return Q.gaps(views.ticks(spark, sf), 10_000, 4_000).filter("gap").select("seq", F.round("silence", 3).alias("silence"))
+    holidays = spark.createDataFrame([("2024-01-01",), ("2024-01-15",)], "day string").withColumn("day", F.to_date("day"))
+    return Q.gaps(views.ticks(spark, sf), 10_000, 4_000, holidays).filter("gap").select("seq", F.round("silence", 3).alias("silence"))
 
 
 @query("dq6_out_of_session", ctes(TICKS_SQL) + f"select seq from ticks where isodow({_L}) > 5")
@@ -255,20 +256,27 @@ def _(spark, sf):
     return Q.completeness(views.ticks(spark, sf)).select(*K, F.col("day").cast("string").alias("day"), F.col("hours").cast("long").alias("hours"), "n", *r6("flagged_share"))
 
 
-@query("dq9_dst_hour", ctes(*BARS) + "select venue, instrument, arg_max(h, round(rng, 9) * 1000000 + h / 1000000.0) as hour, round(max(rng), 6) as range from (select venue, instrument, hour(ts_open) as h, avg(ln(high / low)) as rng from bars group by all) group by all")
+_LONDON_OFFSET = "cast(round((epoch_us(timezone('Europe/London', timezone('UTC', date_trunc('day', ts_open) + interval 12 hour))) - epoch_us(date_trunc('day', ts_open) + interval 12 hour)) / 3600000000.0) as bigint)"
+
+
+@query("dq9_dst_hour", ctes(*BARS, f"h as (select venue, instrument, {_LONDON_OFFSET} as off, hour(ts_open) as h, avg(ln(high / low)) as rng from bars group by all)") + "select venue, instrument, off as offset, arg_max(h, round(rng, 9) * 1000000 + h / 1000000.0) as hour, round(max(rng), 6) as range, 8 - off as expected, arg_max(h, round(rng, 9) * 1000000 + h / 1000000.0) = 8 - off as ok from h group by venue, instrument, off")
 def _(spark, sf):
-    return Q.busiest_hour(B.time_bars(views.ticks(spark, sf))).select(*K, F.col("hour").cast("long").alias("hour"), *r6("range"))
+    return Q.busiest_hour(B.time_bars(views.ticks(spark, sf))).select(*K, "offset", "hour", *r6("range"), "expected", "ok")
 
 
 @query(
     "dq10_label_fingerprint",
-    ctes(TICKS_SQL, GOOD_SQL, "d as (select venue, instrument, sess_end as ts_event, arg_max(mid, epoch_us(ts_event)::hugeint * 100000000000 + seq) as close from good group by all)",
-         "r as (select *, ln(close / lag(close) over w) as a, ln(close * 1.01 / lag(close * 1.01) over w) as b from d window w as (partition by venue, instrument order by ts_event))", "l as (select *, lag(b) over w as p, lead(b) over w as q from r window w as (partition by venue, instrument order by ts_event))")
-    + "select venue, instrument, round(corr(a, b), 6) as lag0, round(corr(a, p), 6) as lag_before, round(corr(a, q), 6) as lag_after, count(*) as n from l group by all",
+    ctes(TICKS_SQL, GOOD_SQL, "d as (select venue, instrument, sess_end as ts_event, arg_max(mid, epoch_us(ts_event)::hugeint * 100000000000 + seq) as close from good group by all)", "ours as (select * from d where venue = 'VA')", "them as (select instrument, ts_event + case when epoch_us(ts_event) // 86400000000 % 11 = 0 then interval 1 hour else interval 0 hour end as ts_event, close from d where venue = 'VB')",
+         "j as (select instrument, ts_event, o.close, t.close as theirs from ours o join them t using (instrument, ts_event))", "r as (select *, ln(close / lag(close) over w) as a, ln(theirs / lag(theirs) over w) as b from j window w as (partition by instrument order by ts_event))", "l as (select *, lag(b) over w as p, lead(b) over w as q from r window w as (partition by instrument order by ts_event))",
+         "c as (select instrument, corr(a, b) as lag0, corr(a, p) as lag_before, corr(a, q) as lag_after, count(*) as n from l group by all)", "u as (select instrument, count(*) as unmatched from them anti join ours using (instrument, ts_event) group by 1)")
+    + "select instrument, round(lag0, 6) as lag0, round(lag_before, 6) as lag_before, round(lag_after, 6) as lag_after, coalesce(n, 0) as n, coalesce(unmatched, 0) as unmatched, coalesce(unmatched is null and n >= 250 and lag0 >= 0.99 and lag_before <= 0.3 and lag_after <= 0.3, false) as passed from c full join u using (instrument)",
 )
 def _(spark, sf):
+    """Daily closes of one venue against those of the other, whose label is an hour late on every eleventh day."""
     d = B.session_bars(views.ticks(spark, sf)).select(*K, "ts_event", "close")
-    return Q.label_fingerprint(d, d.withColumn("close", F.col("close") * 1.01), K).select(*K, *r6("lag0", "lag_before", "lag_after"), "n")
+    late = F.expr("ts_event + case when unix_micros(ts_event) div 86400000000 % 11 = 0 then interval 1 hour else interval 0 hour end")
+    out = Q.label_fingerprint(d.filter("venue = 'VA'").drop("venue"), d.filter("venue = 'VB'").drop("venue").withColumn("ts_event", late), ["instrument"])
+    return out.select("instrument", *r6("lag0", "lag_before", "lag_after"), "n", "unmatched", "passed")
 
 
 @query("dq11_flag_budget", ctes(TICKS_SQL) + f"select venue, instrument, round(avg(case when f then 1.0 else 0.0 end), 6) as share, avg(case when f then 1.0 else 0.0 end) < 0.001 as within from (select venue, instrument, time_bucket(interval 1 hour, ts_event) as t, bool_or(ask <= bid or ts_recv0 is null) as f from ticks where isodow({_L}) <= 5 group by all) group by all")

@@ -36,9 +36,15 @@ def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("size(errors) = 0"), df.filter("size(errors) > 0").withColumn("reason", F.lit("RECON_MISMATCH"))
 
 
-def write_json(df: DataFrame, path: str, order: list[str]) -> None:
-    """One canonical JSON object a line."""
-    df.orderBy(*order).select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+def write_json(df: DataFrame, path: str, order: list[str]) -> str:
+    """One canonical JSON object a line, and the digest of all lines, each followed by a line feed, in ``order``.
+
+    For reports and manifests: the lines go through one task for the digest.
+    """
+    lines = df.select(F.struct(*order).alias("at"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    lines.orderBy("at").select("value").write.text(path)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: F.concat(x["value"], F.lit("\n"))), "")
+    return lines.agg(F.sha2(whole, 256)).first()[0]
 
 
 def decompose(df: DataFrame, ids: list[str], values: list[str], available: dict[str, Column]) -> DataFrame:
