@@ -58,14 +58,26 @@ def breakout(bars: DataFrame, fast: int = 16, slow: int = 64) -> DataFrame:
     return df.withColumns({"ewmac": clipped(10 * F.col("d") / sd, -20, 20), "donchian": 20 * pos - 10}).filter("not halo")
 
 
-def range_breakout(ticks: DataFrame, buffer: float = 0.1, last_hour: int = 20) -> DataFrame:
-    """First quote of a London day that leaves the range of 00:00 to 07:00 by ``buffer`` of its width."""
+def range_breakout(ticks: DataFrame, bars: DataFrame, buffer: float = 0.1, last_hour: int = 20) -> DataFrame:
+    """First quote of a London day that leaves the range of 00:00 to 07:00 by ``buffer`` mean ranges of the last 14 hour bars
+    closed before seven, and its exit: the first quote after it beyond the other side of the range, or the day's last one before
+    21:00 (New York closes at 22:00 or 21:00 London time)."""
+    from .asof import asof
+
     df = usable(ticks).withColumn("at", timex.local(F.col("ts_event"), timex.LONDON)).withColumns({"day": F.to_date("at"), "hour": F.hour("at")})
     rng = df.filter("hour < 7").groupBy(*K, "day").agg(F.max("mid").alias("hi"), F.min("mid").alias("lo"))
-    edge = buffer * (F.col("hi") - F.col("lo"))
-    out = df.filter(F.col("hour").between(7, last_hour)).join(rng, [*K, "day"]).filter((F.col("mid") > F.col("hi") + edge) | (F.col("mid") < F.col("lo") - edge))
+    seven = timex.instant(F.col("day").cast("timestamp_ntz") + F.expr("interval 7 hours"), timex.LONDON)
+    atr = compute(bars, Feature(0, ({"atr": "avg(high - low) over {n14}"},), ("atr",))).select(*K, "ts_event", "atr")
+    rng = asof(rng.withColumn("seven", seven), atr, K, "seven", "ts_event", ["atr"])
+    edge = buffer * F.col("atr")
+    own = df.filter(F.col("hour").between(7, last_hour)).join(rng, [*K, "day"])
+    out = own.filter((F.col("mid") > F.col("hi") + edge) | (F.col("mid") < F.col("lo") - edge))
     first = out.groupBy(*K, "day").agg(F.min_by(F.struct("mid", "hi", "ts_event"), F.struct("ts_event", "source", "seq")).alias("x"))
-    return first.select(*K, "day", F.when(F.col("x.mid") > F.col("x.hi"), 10.0).otherwise(-10.0).alias("value"), F.col("x.ts_event").alias("ts_event"))
+    first = first.select(*K, "day", F.when(F.col("x.mid") > F.col("x.hi"), 10.0).otherwise(-10.0).alias("value"), F.col("x.ts_event").alias("ts_event"))
+    after = own.select(*K, "day", F.col("ts_event").alias("t"), "mid", "hi", "lo").join(first, [*K, "day"]).filter("t >= ts_event")
+    stopped = F.when(F.col("value") > 0, F.col("mid") < F.col("lo")).otherwise(F.col("mid") > F.col("hi"))
+    ends = after.groupBy(*K, "day", "value", "ts_event").agg(F.min(F.when(stopped, F.col("t"))).alias("stop"), F.max("t").alias("last"))
+    return ends.withColumn("ts_exit", F.coalesce("stop", "last")).drop("stop", "last")
 
 
 def mean_reversion(bars: DataFrame, events: DataFrame, threshold: float = 2.0, minutes: int = 30) -> DataFrame:
@@ -78,12 +90,23 @@ def mean_reversion(bars: DataFrame, events: DataFrame, threshold: float = 2.0, m
     return near_events(df, events, "ts_event", "at", minutes)
 
 
-def gap_signal(sessions: DataFrame, large: float = 2.0) -> DataFrame:
-    """Follow a gap of over ``large`` mean opening ranges, fade a smaller one."""
+def gap_signal(sessions: DataFrame, regime: DataFrame, large: float = 2.0) -> DataFrame:
+    """Follow a gap of over ``large`` mean opening ranges, or any gap in a nervous market, and fade the others.
+
+    ``regime``: venue, day and whether the market was nervous before that day (``nervous``); unknown counts as calm.
+    """
     atr = F.expr("avg(opening_range) over (partition by venue, instrument order by day rows between 5 preceding and 1 preceding)")
     df = sessions.withColumn("atr", atr).filter("gap is not null and atr > 0")
     side = F.signum("gap")
-    return df.withColumn("value", F.when(F.abs("gap") > large * F.col("atr"), 10 * side).otherwise(-10 * side))
+    df = df.join(regime, ["venue", "day"], "left")
+    return df.withColumn("value", F.when((F.abs("gap") > large * F.col("atr")) | F.coalesce("nervous", F.lit(False)), 10 * side).otherwise(-10 * side))
+
+
+def nervous_market(sessions: DataFrame, instrument: str) -> DataFrame:
+    """Per venue and day whether the opening range of the instrument's session before was over its mean of five."""
+    w = "partition by venue order by day"
+    df = sessions.filter(F.col("instrument") == instrument)
+    return df.selectExpr("venue", "day", f"lag(opening_range) over ({w}) > avg(opening_range) over ({w} rows between 5 preceding and 1 preceding) as nervous")
 
 
 def vol_overlay(vols: DataFrame, target: float, cap: float = 2.0) -> DataFrame:
@@ -110,12 +133,12 @@ def carry_tilt(bars: DataFrame) -> DataFrame:
 
 
 def event_drift(events: DataFrame, quotes: DataFrame, minutes: int) -> DataFrame:
-    """Direction of the first ``minutes`` after an event (event_id, venue, a)."""
+    """Direction of the first ``minutes`` after an event (event_id, venue, instrument, a)."""
     from .asof import asof
 
-    df = asof(events, quotes.select("venue", "ts_event", F.col("mid").alias("before")), ["venue"], "a", "ts_event", ["before"])
+    df = asof(events, quotes.select(*K, "ts_event", F.col("mid").alias("before")), K, "a", "ts_event", ["before"])
     df = df.withColumn("b", F.col("a") + F.expr(f"interval {minutes} minutes"))
-    df = asof(df, quotes.select("venue", "ts_event", F.col("mid").alias("after")), ["venue"], "b", "ts_event", ["after"])
+    df = asof(df, quotes.select(*K, "ts_event", F.col("mid").alias("after")), K, "b", "ts_event", ["after"])
     return df.withColumn("move", F.col("after") - F.col("before")).withColumn("value", 10.0 * F.signum("move"))
 
 

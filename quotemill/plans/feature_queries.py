@@ -234,11 +234,15 @@ _RANGE_SQL = "lt as (select *, timezone('Europe/London', timezone('UTC', ts_even
 
 @query(
     "sig3_range_breakout",
-    ctes(TICKS_SQL, GOOD_SQL, _RANGE_SQL, "rng as (select venue, instrument, cast(loc as date) as day, max(mid) as hi, min(mid) as lo from lt where hour(loc) < 7 group by all)")
-    + "select venue, instrument, cast(day as varchar) as day, case when arg_min(mid, epoch_us(ts_event)::hugeint * 100000000000 + seq) > max(hi) then 10.0::double else -10.0::double end as value, epoch_us(min(ts_event)) as ts_us from lt join rng using (venue, instrument) where cast(loc as date) = day and hour(loc) between 7 and 20 and (mid > hi + 0.1 * (hi - lo) or mid < lo - 0.1 * (hi - lo)) group by venue, instrument, day",
-)
+    ctes(*BARS, _RANGE_SQL, "rg as (select venue, instrument, cast(loc as date) as day, max(mid) as hi, min(mid) as lo from lt where hour(loc) < 7 group by all)", f"at14 as (select venue, instrument, ts_event, {FT.framed('avg(high - low) over {n14}', P)} as atr from bars)",
+         "rng as (select r.*, a.atr from (select *, timezone('UTC', timezone('Europe/London', cast(day as timestamp) + interval 7 hour)) as seven from rg) r asof left join at14 a on r.venue = a.venue and r.instrument = a.instrument and r.seven >= a.ts_event)",
+         "own as (select l.*, r.day, hi, lo, atr from lt l join rng r on l.venue = r.venue and l.instrument = r.instrument and cast(loc as date) = day where hour(loc) between 7 and 20)",
+         "fst as (select venue, instrument, day, case when arg_min(mid, epoch_us(ts_event)::hugeint * 100000000000 + seq) > max(hi) then 10.0::double else -10.0::double end as value, min(ts_event) as entry from own where mid > hi + 0.1::double * atr or mid < lo - 0.1::double * atr group by 1, 2, 3)")
+    + "select venue, instrument, cast(day as varchar) as day, value, epoch_us(entry) as ts_us, epoch_us(coalesce(min(ts_event) filter (where case when value > 0 then mid < lo else mid > hi end), max(ts_event))) as exit_us from own join fst using (venue, instrument, day) where ts_event >= entry group by venue, instrument, day, value, entry",
+)
 def _(spark, sf):
-    return S.range_breakout(views.ticks(spark, sf)).select(*K, F.col("day").cast("string").alias("day"), "value", us("ts_event"))
+    out = S.range_breakout(views.ticks(spark, sf), _bars(spark, sf))
+    return out.select(*K, F.col("day").cast("string").alias("day"), "value", us("ts_event"), us("ts_exit", "exit_us"))
 
 
 @query(
@@ -253,11 +257,14 @@ def _(spark, sf):
 
 @query(
     "sig5_gap_fade",
-    ctes(TICKS_SQL, GOOD_SQL, _SESS, "g as (select *, open - lag(close) over w as gap, avg(first_high - first_low) over (partition by venue, instrument order by label rows between 5 preceding and 1 preceding) as atr from sess window w as (partition by venue, instrument order by label))")
-    + "select venue, instrument, cast(label as varchar) as day, case when abs(gap) > 2 * atr then 10.0 * sign(gap) else -10.0 * sign(gap) end::double as value from g where gap is not null and atr > 0",
-)
+    ctes(TICKS_SQL, GOOD_SQL, _SESS, "g as (select *, first_high - first_low as rng, open - lag(close) over w as gap, avg(first_high - first_low) over (partition by venue, instrument order by label rows between 5 preceding and 1 preceding) as atr, lag(first_high - first_low) over w as before from sess window w as (partition by venue, instrument order by label))",
+         "nv as (select venue, label, before > atr as nervous from g where instrument = 'US500')")
+    + "select venue, instrument, cast(label as varchar) as day, case when abs(gap) > 2 * atr or coalesce(nervous, false) then 10.0 * sign(gap) else -10.0 * sign(gap) end::double as value from g left join nv using (venue, label) where gap is not null and atr > 0",
+)
 def _(spark, sf):
-    return S.gap_signal(S.session_opening(views.ticks(spark, sf))).select(*K, F.col("day").cast("string").alias("day"), "value")
+    """The opening range of US500 stands for the nervousness of the market."""
+    s = S.session_opening(views.ticks(spark, sf))
+    return S.gap_signal(s, S.nervous_market(s, "US500")).select(*K, F.col("day").cast("string").alias("day"), "value")
 
 
 @query("sig6_vol_overlay", _steps_sql(_VOL) + "select venue, instrument, epoch_us(ts_event) as ts_us, round(least(0.001 / nullif(vol20, 0), 2), 6) as scale from step2 where rn > 21")
@@ -286,15 +293,20 @@ def _(spark, sf):
     return S.carry_tilt(_bars(spark, sf).join(F.broadcast(rates), "instrument")).select(*K, us("ts_event"), "value")
 
 
+_SURPRISE = "(actual - lag(actual) over (partition by event_id % 4 order by ts_event)) / nullif(stddev_samp(actual) over (partition by event_id % 4 order by ts_event rows between 20 preceding and 1 preceding), 0)"
+
+
 @query(
     "sig9_event_drift",
-    ctes(TICKS_SQL, MID_SQL, TIER1_SQL, "e as (select t.event_id, t.actual, k.venue, t.ts_event as a, t.ts_event + interval 15 minute as b from tier1 t, (select distinct venue from ticks) k)")
-    + "select e.event_id, e.venue, round(n.mid - p.mid, 6) as move, 10.0::double * sign(n.mid - p.mid) as value from e asof left join (select * from mids where instrument = 'GBP_USD') p on e.venue = p.venue and e.a >= p.ts_event asof left join (select * from mids where instrument = 'GBP_USD') n on e.venue = n.venue and e.b >= n.ts_event",
+    ctes(TICKS_SQL, MID_SQL, TIER1_SQL, f"su as (select *, {_SURPRISE} as surprise from tier1)", "e as (select s.event_id, k.venue, k.instrument, s.ts_event as a, s.ts_event + interval 15 minute as b from su s, (select distinct venue, instrument from ticks) k where abs(round(surprise, 9)) > 0.25)")
+    + "select e.event_id, e.venue, e.instrument, round(n.mid - p.mid, 6) as move, 10.0::double * sign(n.mid - p.mid) as value, epoch_us(e.b) as entry_us from e asof left join mids p on e.venue = p.venue and e.instrument = p.instrument and e.a >= p.ts_event asof left join mids n on e.venue = n.venue and e.instrument = n.instrument and e.b >= n.ts_event",
 )
 def _(spark, sf):
-    t = views.ticks(spark, sf).filter("instrument = 'GBP_USD'").select("venue", "ts_event", F.expr(B.MID).alias("mid"))
-    e = views.tier1(spark, sf).crossJoin(F.broadcast(t.select("venue").distinct())).select("event_id", "venue", F.col("ts_event").alias("a"))  # two venues
-    return S.event_drift(e, t, 15).select("event_id", "venue", *r6("move"), "value")
+    """After a surprise of over a quarter deviation: no entry for 15 minutes, then in the direction of the move in them."""
+    t = views.ticks(spark, sf).select(*K, "ts_event", F.expr(B.MID).alias("mid"))
+    large = views.tier1(spark, sf).withColumn("surprise", F.expr(_SURPRISE)).filter("abs(round(surprise, 9)) > 0.25")
+    e = large.crossJoin(F.broadcast(t.select(*K).distinct())).select("event_id", *K, F.col("ts_event").alias("a"))  # a row per series
+    return S.event_drift(e, t, 15).select("event_id", *K, *r6("move"), "value", us("b", "entry_us"))
 
 
 _BARRIER = [

@@ -93,13 +93,13 @@ def _(spark, sf):
     return df.filter("not halo").select(*K, us("ts_event"), F.round(0.7 * F.col("ew") + 0.3 * F.col("slow"), 6).alias("vol"))
 
 
-_NAMES = [f"S{i}" for i in range(4)]
+_NAMES = [f"S{i}" for i in range(10)]
 
 
 @query(
     "pf6_shrunk_covariance",
     ctes(*D, "w as (select day, " + ", ".join(f"coalesce(max(r) filter (where strategy_id = '{n}'), 0) as {n}" for n in _NAMES) + " from daily group by day)", "c as (select " + ", ".join(f"{n} - avg({n}) over () as {n}" for n in _NAMES) + " from w)",
-         "p as (" + " union all ".join(f"select '{a}' as a, '{b}' as b, avg({a} * {b}) as s, avg({a} * {b} * {a} * {b}) as q, count(*) as n from c" for a in _NAMES for b in _NAMES) + ")", "m as (select sum(s) filter (where a = b) / 4 as m from p)",
+         "p as (" + " union all ".join(f"select '{a}' as a, '{b}' as b, avg({a} * {b}) as s, avg({a} * {b} * {a} * {b}) as q, count(*) as n from c" for a in _NAMES for b in _NAMES) + ")", f"m as (select sum(s) filter (where a = b) / {len(_NAMES)} as m from p)",
          "t as (select p.*, case when a = b then m else 0 end as t from p, m)", "k as (select least(sum((q - s * s) / n), sum(pow(s - t, 2))) / sum(pow(s - t, 2)) as k from t)")
     + "select a, b, round(1000 * (k * t + (1 - k) * s), 6) as cov, round(k, 6) as shrinkage from t, k",
 )
