@@ -94,6 +94,19 @@ def compute(bars: DataFrame, feature: Feature, chunk: int = 20_000) -> DataFrame
     return df.filter("not halo").select(*K, "ts_event", "rn", *[F.when(ready, F.col(c)).alias(c) for c in feature.out])
 
 
+def compute_all(bars: DataFrame, features: dict[str, Feature], chunk: int = 20_000) -> DataFrame:
+    """K, ts_event and for each feature a struct of its values, all over the same chunks."""
+    own = chunked(bars, K, "ts_event", max(f.lookback for f in features.values()), chunk)
+    base = own.columns
+    df = own
+    for name, f in features.items():
+        for step in f.steps:
+            df = df.withColumns({n: F.expr(framed(text, SERIES)) for n, text in step.items()})
+        made = F.when(F.col("rn") > f.lookback, F.struct(*f.out)).alias(name)
+        df = df.select(*base, *[c for c in features if c in df.columns], made)
+    return df.filter("not halo").select(*K, "ts_event", *features)
+
+
 def kernel(span: int) -> list[float]:
     """Weights, newest last, of an exponential mean cut at five spans."""
     a = 2 / (span + 1)

@@ -193,15 +193,12 @@ def _(spark, sf):
     bars = spark.read.parquet(path)
     mid = bars.agg(F.expr("timestamp_micros((unix_micros(min(ts_event)) + unix_micros(max(ts_event))) div 2)").alias("cut"))
     early = bars.join(F.broadcast(mid), F.col("ts_event") <= F.col("cut"), "left_semi")
-    out = None
-    for name, f in FT.FEATURES.items():
-        value = F.struct(*f.out)
-        whole = FT.compute(bars, f, 50).join(F.broadcast(mid), F.col("ts_event") <= F.col("cut"), "left_semi").select(*K, "ts_event", value.alias("a"))
-        part = FT.compute(early, f, 70).select(*K, "ts_event", value.alias("b"))
-        both = whole.join(part, [*K, "ts_event"], "full_outer")
-        one = both.agg(F.lit(name).alias("feature"), F.count(F.lit(1)).alias("kept"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
-        out = one if out is None else out.unionAll(one)
-    return out
+    names = list(FT.FEATURES)
+    whole = FT.compute_all(bars, FT.FEATURES, 50).join(F.broadcast(mid), F.col("ts_event") <= F.col("cut"), "left_semi")
+    part = FT.compute_all(early, FT.FEATURES, 70).withColumnsRenamed({n: f"part_{n}" for n in names})
+    both = whole.join(part, [*K, "ts_event"], "full_outer")
+    counts = both.agg(F.count(F.lit(1)).alias("kept"), *[F.count_if(~F.col(n).eqNullSafe(F.col(f"part_{n}"))).alias(n) for n in names])
+    return counts.unpivot(["kept"], names, "feature", "changed").select("feature", "kept", "changed")
 
 
 # --- signals
