@@ -69,8 +69,8 @@ def write(payload: bytes) -> bytes:
     track = _number(TRACK_NUMBER, 1) + _number(TRACK_UID, 1) + _number(TRACK_TYPE, 2) + _element(CODEC_ID, b"A_PCM/INT/LIT")
     track += _number(DEFAULT_DURATION, PACKET * 1_000_000_000 // RATE)
     track += _element(AUDIO, _element(SAMPLING, struct.pack(">d", RATE)) + _number(CHANNELS, 1) + _number(BIT_DEPTH, 8))
-    body = _element(INFO, _number(TIMESTAMP_SCALE, 1_000_000)) + _element(TRACKS, _element(TRACK_ENTRY, track))
-    cues = []
+    body = [_element(INFO, _number(TIMESTAMP_SCALE, 1_000_000)), _element(TRACKS, _element(TRACK_ENTRY, track))]
+    place, cues = sum(map(len, body)), []
     for start in range(0, len(payload), step):
         base = start * 1000 // RATE
         own = [_number(TIMESTAMP, base)]
@@ -78,11 +78,12 @@ def write(payload: bytes) -> bytes:
             frames = [payload[i : i + PACKET] for i in range(at, min(at + PACKET * LACE, len(payload)), PACKET)]
             lacing = "none" if len(frames) == 1 else "fixed" if len(frames[0]) == len(frames[-1]) else "ebml"
             own.append(_element(SIMPLE_BLOCK, block(frames, at * 1000 // RATE - base, lacing)))
-        cues.append(_number(CUE_TIME, base) + _element(CUE_TRACK_POSITIONS, _number(CUE_TRACK, 1) + _number(CUE_CLUSTER, len(body))))
-        body += _element(CLUSTER, b"".join(own))
-    body += _element(CUES, b"".join(_element(CUE_POINT, c) for c in cues))
+        cues.append(_number(CUE_TIME, base) + _element(CUE_TRACK_POSITIONS, _number(CUE_TRACK, 1) + _number(CUE_CLUSTER, place)))
+        body.append(_element(CLUSTER, b"".join(own)))
+        place += len(body[-1])
+    body.append(_element(CUES, b"".join(_element(CUE_POINT, c) for c in cues)))
     head = _number(0x4286, 1) + _number(0x42F7, 1) + _number(0x42F2, 4) + _number(0x42F3, 8) + _element(0x4282, b"matroska") + _number(0x4287, 4) + _number(0x4285, 2)
-    return _element(EBML, head) + _element(SEGMENT, body)
+    return _element(EBML, head) + _element(SEGMENT, b"".join(body))
 
 
 def _vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
@@ -235,8 +236,8 @@ def feature(samples: bytes, found: dict) -> str:
     """Whole-number facts of the samples and the packet table, so that equal files have equal text."""
     x = np.frombuffer(samples, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
-    ms = sum(p[3] for p in found["packets"]) * 1000 // RATE
-    return f"packets={len(found['packets'])};clusters={len(found['cues'])};ms={ms};sum={x.sum()};squares={(x * x).sum()};peak={np.abs(x).max()};crossings={crossings}"
+    last = max((p[1] for p in found["packets"]), default=0)
+    return f"packets={len(found['packets'])};clusters={len({p[6] for p in found['packets']})};cues={len(found['cues'])};last_ns={last};sum={x.sum()};squares={(x * x).sum()};peak={np.abs(x).max()};crossings={crossings}"
 
 
 def store_text(df: DataFrame, *, key: str = "doc_id", text: str = "text", media: bool = False) -> DataFrame:

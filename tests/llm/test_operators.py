@@ -204,6 +204,11 @@ def test_matroska(spark, odd, none):
         assert got.tail_crc32 == zlib.crc32(padded[-64:]) and got.media_sha256 == hashlib.sha256(got.media).hexdigest()
         found = matroska.parse(bytes(got.media))
         assert b"".join(got.media[p[2] : p[2] + p[3]] for p in found["packets"]) == padded
+        x = np.frombuffer(padded, np.uint8).astype(int) - 128
+        starts, step = range(0, len(padded), matroska.PACKET), matroska.PACKET * matroska.LACE * matroska.BLOCKS
+        facts = {"packets": len(starts), "clusters": -(-len(padded) // step), "cues": -(-len(padded) // step), "sum": sum(x), "squares": sum(x * x), "peak": max(abs(x)), "crossings": sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))}
+        own = dict(part.split("=") for part in got.feature.split(";"))
+        assert {k: int(own[k]) for k in facts} == facts and abs(int(own["last_ns"]) - starts[-1] * 1_000_000_000 // matroska.RATE) < 2_000_000
         for ns, _, place in found["cues"]:
             assert got.media[place : place + 4] == bytes.fromhex("1F43B675") and any(p[1] == ns for p in found["packets"])
     assert matroska.store_text(none).count() == 0
