@@ -112,11 +112,15 @@ def _cells(rows: DataFrame, split: list[tuple[int, int, int]]) -> list[Cell]:
     return sorted(Cell(r["start"], r["low"], r["size"], r["a"] == r["b"]) for r in found)
 
 
-def partition(rows: DataFrame, shards: int, bits: int = 14) -> list[int]:
-    """The hash (``place``) with which each shard but the first begins. The driver gets about 2**``bits`` sums in a step;
-    the steps are few, as each one divides the open cells by a power of two that is as large."""
+def partition(rows: DataFrame, shards: int, bits: int = 14, at_once: int = 64) -> list[int]:
+    """The hash (``place``) with which each shard but the first begins. The driver gets about 2**``bits`` sums in a step.
+
+    A step divides the ``at_once`` largest open cells, as they keep the bounds apart; with closer bounds few cells are open,
+    so the steps are few. They end when no cell is open.
+    """
     cells = _cells(rows, [(-(1 << 63), (1 << 63) - 1, 64 - bits)])
     while cells and (found := open_cells(cells, shards)):
+        found = sorted(found, key=lambda i: -cells[i].size)[:at_once]
         deeper = max(1, bits - len(found).bit_length())
         finer = _cells(rows, [(c.start, c.start + (1 << c.low) - 1, max(0, c.low - deeper)) for c in (cells[i] for i in found)])
         cells = sorted(finer + [c for i, c in enumerate(cells) if i not in set(found)])
