@@ -47,7 +47,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Groups are those of the texts, so different texts under one doc_id stay and copies without a doc_id go.
     """
     small_buffers(spark)
-    return jaccard_join.keep_one(docs)
+    return unprefixed(jaccard_join.keep_one(prefixed(docs), key="in_doc_id", text="in_text"), docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
