@@ -28,9 +28,11 @@ def small_buffers(spark: SparkSession) -> None:
 
 
 def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``step`` for ``mapInArrow``, whose worker gives freed memory back when the task ends: workers live on idle."""
+    """``step`` for ``mapInArrow``, whose worker gives freed memory back when the task ends, as workers live on idle, and drops
+    what other operators keep in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(step.__module__)
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from step(batches)
@@ -40,6 +42,16 @@ def lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in a worker from task to task; that of the others goes."""
+    for name in [n for n in _KEPT if n != owner]:
+        del _KEPT[name]
+    return _KEPT.setdefault(owner, {})
+
+
 def trim() -> None:
     """Freed pages go back to the system, where the C library can do that."""
     try:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import lean, small_batches
+from .common import kept, lean, small_batches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 if sys.byteorder != "little":
@@ -42,7 +42,7 @@ class _Pieces(dict):
     """Little-endian ids of a piece of text; emptied when large. ``whole``: nothing but whole texts may be encoded, as the
     file doesn't split texts by PIECE; ``added``: strings that the tokenizer takes out of a text before it is split."""
 
-    def __init__(self, content: str, most: int = 250_000):
+    def __init__(self, content: str, most: int = 700_000):
         super().__init__()
         self.made, self.most, rule = Tokenizer.from_str(content), most, json.loads(content)
         self.added = [x["content"] for x in rule.get("added_tokens") or ()]
@@ -60,16 +60,13 @@ class _Pieces(dict):
             self[piece] = array("I", found.ids).tobytes()
 
 
-_KNOWN: dict[int, _Pieces] = {}
-
-
 def pieces(content: str) -> _Pieces:
     """The pieces of a tokenizer file that this worker knows; they stay from task to task."""
-    name = hash(content)
-    if name not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[name] = _Pieces(content)
-    return _KNOWN[name]
+    known, name = kept(__name__), hash(content)
+    if name not in known:
+        known.clear()
+        known[name] = _Pieces(content)
+    return known[name]
 
 
 def token_bytes(texts: list[str | None], known: _Pieces) -> list[bytes]:
