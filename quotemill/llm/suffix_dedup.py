@@ -400,7 +400,8 @@ def remove_repeats(
                 void, *own = part.column("row").flatten()
                 own = dict(zip(others, own, strict=True))
                 if carry and text in schema.names:
-                    own[text] = pa.compute.if_else(void, None, part.column("text").cast(pa.string()))
+                    texts = [None if v else t for v, t in zip(void.to_pylist(), part.column("text").to_pylist(), strict=True)]
+                    own[text] = pa.array(texts, pa.binary()).cast(pa.string())  # Arrow's if_else breaks on slices of strings
                 numbers = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
                 own |= dict(zip(schema.names[len(own) :], [*numbers, *[pa.array(texts_kept, pa.string())] * kept], strict=True))
                 yield pa.RecordBatch.from_arrays([own[c] for c in schema.names], schema.names)

@@ -334,6 +334,18 @@ def test_suffix_dedup(spark, odd, none, hot):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_carries_texts_of_later_steps(spark):
+    """A batch of over ``STEP_ROWS`` rows is handled in slices."""
+    rows = [(i, None if i % 7 == 0 else f"text {i}") for i in range(common.STEP_ROWS * 2)]
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), kept=True, carry=True)
+        assert sorted(tuple(r) for r in out.select("doc_id", "text").collect()) == rows
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def test_transforms():
     """Rows, symbols and links of each window's transform against its sorted suffixes."""
     r = random.Random(12)
