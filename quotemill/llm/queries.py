@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, matroska, packing, sharding, spotsigs, suffix_dedup, toxicity, warc
+from . import bpe, jaccard_join, language_id, line_dedup, matroska, packing, sharding, spotsigs, suffix_dedup, toxicity, warc
 from .common import held_out, settle, table
 
 
@@ -62,6 +62,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(warc.to_warc(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_line_dedup": op11_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -91,4 +96,12 @@ ORACLES: dict[str, str] = {
         with p as (select page_id, coalesce(html, '') as body from pages), h as (select *, sha1(body) as d, max(page_id) over (partition by body) as top from p)
         select page_id, cast(strlen(body) as bigint) as payload_bytes, {_base32_sql("d")} as payload_digest,
                case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to from h""",
+    "op11_line_dedup": """
+        with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+             l as (select r, doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as i from d),
+             k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+             lost as (select key, max(doc_id) as keeper from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+             f as (select k.*, lost.key is not null and k.doc_id is distinct from keeper as gone from k left join lost using (key))
+        select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from f group by r""",
 }
