@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, line_dedup, matroska, packing, sharding, spotsigs, suffix_dedup, toxicity, warc
+from . import bpe, conversations, jaccard_join, language_id, line_dedup, matroska, merkle, packing, sharding, spotsigs, suffix_dedup, toxicity, warc
 from .common import held_out, settle, table
 
 
@@ -66,6 +66,16 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(given), given)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.verify(table(spark, sf_dir, "documents"), hit=hit, tampered={"text": merkle.ascii_lower(F.col("text"))})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -78,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
     "op11_line_dedup": op11_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
