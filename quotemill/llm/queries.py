@@ -103,6 +103,97 @@ def _base32_sql(hexadecimal: str) -> str:
     return " || ".join(letter(i, shift) for i in range(8) for shift in (15, 10, 5, 0))
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, by its table."""
+    rows = range(256)
+    for _ in range(8):
+        rows = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in rows]
+    table = f"{list(rows)}::bigint[]"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda a, b: xor(a >> 8, ({table})[1 + (xor(a, b) & 255)])), 4294967295)"
+
+
+def _merkle_sql(levels: int = 5, upper: int = 3) -> str:
+    """Trees of up to 16**levels leaves, and up to 16**upper of them."""
+    field = lambda v: f"coalesce(strlen({v}) || ':' || {v}, '-')"
+    low = f"translate(text, '{_LETTERS}', '{_LETTERS.lower()}')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id::varchar", "source", "lang", "n_chars::varchar", text))) + ")"
+    near = "partition by tree, pos // 16 order by pos rows between"
+    parts = [
+        f"l as (select doc_id, coalesce('s' || source, 'n') as tree, {leaf('text')} as d, case when {_crc32_sql('doc_id::varchar')} % 5 = 0 then {leaf(low)} end as changed from documents)",
+        "n0 as (select *, row_number() over (partition by tree order by doc_id nulls first, d) - 1 as pos, count(*) over (partition by tree) as n from l)",
+    ]
+
+    def grow(name: str, height: int) -> None:
+        for k in range(height):
+            parts.append(f"{name}s{k} as (select tree, pos, coalesce(string_agg(d, '') over ({near} unbounded preceding and 1 preceding), '') as b, coalesce(string_agg(d, '') over ({near} 1 following and unbounded following), '') as a from {name}{k} where n > 1)")
+            parts.append(f"{name}{k + 1} as (select tree, pos // 16 as pos, (n + 15) // 16 as n, sha256(string_agg(d, '' order by pos)) as d from {name}{k} where n > 1 group by tree, pos // 16, n)")
+
+    grow("n", levels)
+    parts.append("roots as (" + " union all ".join(f"select tree as name, d from n{k} where n = 1" for k in range(levels + 1)) + ")")
+    parts.append("t0 as (select name, 'all' as tree, d, row_number() over (order by name) - 1 as pos, count(*) over () as n from roots)")
+    grow("t", upper)
+    parts.append("top as (" + " union all ".join(f"select d as root from t{k} where n = 1" for k in range(upper + 1)) + ")")
+    joins, steps = "", [("ns", k, "n0.tree", "n0.pos") for k in range(levels)] + [("ts", k, "'all'", "t0.pos") for k in range(upper)]
+    proof, folded = "''", "coalesce(changed, n0.d)"
+    columns = []
+    for i, (name, k, tree, pos) in enumerate(steps):
+        joins += f" left join {name}{k} as x{i} on x{i}.tree = {tree} and x{i}.pos = {pos} // {16**k}"
+        proof += f" || coalesce(x{i}.b || x{i}.a, '')"
+        columns.append(f"x{i}.b as b{i}, x{i}.a as a{i}")
+    parts.append(f"p as (select n0.doc_id, n0.d as leaf, t0.d as subroot, sha256({proof}) as proof_sha256, {folded} as f, {', '.join(columns)} from n0 join t0 on t0.name = n0.tree{joins})")
+    before = "p"
+    for i in range(len(steps)):
+        parts.append(f"f{i} as (select * exclude (f), case when b{i} is null then f else sha256(b{i} || f || a{i}) end as f from {before})")
+        before = f"f{i}"
+    return f"with {', '.join(parts)} select doc_id, leaf, subroot, root, proof_sha256, f as folded_root, f = root as verified from {before}, top"
+
+
+def _repair_sql() -> str:
+    """The cheapest edits as a recursion over messages: of each state the least ``cost, initials``, with the cost in six digits."""
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    add = lambda v, c, e: f"lpad((substr({v}, 1, 6)::int + {c})::varchar, 6, '0') || substr({v}, 7) || '{e}'"
+    # after insertions: states 0 nothing, 1 system, 2 user, 3 assistant
+    two = f"least(v2, {add('v0', 2, 'I')}, {add('v1', 2, 'I')}, {add('v3', 2, 'I')}, {add(add('v0', 2, 'I'), 4, 'II')}, {add(add('v1', 2, 'I'), 4, 'II')})"
+    three = f"least(v3, {add('v2', 2, 'I')}, {add('v0', 4, 'II')}, {add('v1', 4, 'II')})"
+    keep = lambda v, i: f"case when not gone and i = '{i}' then {add(v, 'cut', 'K')} end"
+    role = lambda v: f"case when not gone then {add(v, '2 + cut', 'R')} end"
+    new = [
+        add("v0", 3, "D"),
+        f"least({add('v1', 3, 'D')}, {keep('v0', 's')})",
+        f"least({add('v2', 3, 'D')}, {', '.join(keep(v, 'u') + ', ' + role(v) for v in ('v0', 'v1', 'v3'))})",
+        f"least({add('v3', 3, 'D')}, {keep('v2', 'a')}, {role('v2')})",
+    ]
+    return f"""
+        with recursive d as (select conv_id, turn, {_crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as k, coalesce(role, ' ') as role, coalesce(text, ' ') as text from conversations),
+        e as (select conv_id, turn, case when k = 4 then 'user' else role end as role, case k when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+                     unnest(case when k = 3 then [0, 1] else [0] end) as copy from d where k <> 0),
+        r as (select *, row_number() over (partition by conv_id order by turn nulls first, sha256(strlen(role) || ':' || role || text)) as p,
+                     rtrim(text, {space}) as s from e),
+        f as (select *, case when s = '' then 'blank' when row_number() over (partition by conv_id, role, text order by p) > 1 then 'duplicate' when right(s, 1) not in ('.', '!', '?') then 'truncated' end as fault,
+                     lag(role[1]) over (partition by conv_id order by p) || role[1] as pair from r),
+        m as materialized (select conv_id, p, role[1] as i, coalesce(fault in ('blank', 'duplicate'), false) as gone, case when fault = 'truncated' then 1 else 0 end as cut from f),
+        w as (select conv_id, 0::bigint as p, '000000' as v0, null::varchar as v1, null::varchar as v2, null::varchar as v3 from (select distinct conv_id from f)
+              union all
+              select conv_id, p, {', '.join(f'{x} as v{i}' for i, x in enumerate(new))}
+              from (select m.conv_id, m.p, i, gone, cut, v0, v1, {two} as v2, {three} as v3 from w join m on m.conv_id is not distinct from w.conv_id and m.p = w.p + 1)),
+        l as (select conv_id, max(p) as p from m group by conv_id),
+        b as (select w.conv_id, least(v0, {three}) as best from w join l on l.conv_id is not distinct from w.conv_id and l.p = w.p),
+        a as (select conv_id, substr(best, 1, 6)::bigint as cost, substr(best, 7) as audit from b),
+        t as (select conv_id, unnest(range(1, length(audit) + 1)) as q, audit from a),
+        u as (select conv_id, q, audit[q] as x, length(regexp_replace(audit[:q - 1], 'I', '', 'g')) + 1 as p from t),
+        o as (select u.*, role, text, row_number() over (partition by u.conv_id order by q) + coalesce((first_value(x = 'K' and role[1] = 's') over (partition by u.conv_id order by q))::int, 0) as nth
+              from u left join f on f.conv_id is not distinct from u.conv_id and f.p = u.p where x <> 'D'),
+        h as (select conv_id, string_agg(case when x = 'K' then role when nth % 2 = 1 then 'user' else 'assistant' end || ':' || case when x = 'I' then '' else text end, chr(10) order by q) as body from o group by conv_id),
+        c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+                     count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+        select x.conv_id, {', '.join(f'coalesce({k}, 0)::bigint as {k}' for k in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal', 'cost'))}, coalesce(audit, '') as audit, sha256(coalesce(body, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) x left join c on c.conv_id is not distinct from x.conv_id left join a on a.conv_id is not distinct from x.conv_id left join h on h.conv_id is not distinct from x.conv_id"""
+
+
 ORACLES: dict[str, str] = {
     "op10_warc": f"""
         with p as (select page_id, coalesce(html, '') as body from pages), h as (select *, sha1(body) as d, max(page_id) over (partition by body) as top from p)
@@ -116,4 +207,6 @@ ORACLES: dict[str, str] = {
              f as (select k.*, lost.key is not null and k.doc_id is distinct from keeper as gone from k left join lost using (key))
         select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from f group by r""",
+    "op12_conversation_repair": _repair_sql(),
+    "op13_merkle": _merkle_sql(),
 }
