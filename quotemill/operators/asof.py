@@ -1,4 +1,4 @@
-"""As-of, interval and first-crossing joins, reconciliation and point-in-time reads."""
+"""As-of and interval joins, reconciliation and point-in-time reads."""
 
 from __future__ import annotations
 
@@ -47,23 +47,6 @@ def asof(
     return out.select("__row.*", *[F.col(f"__got.{c}").alias(c) for c in columns])
 
 
-def first_crossing(orders: DataFrame, quotes: DataFrame, by: list[str], start: str, end: str, time: str, condition: Column, pick: list[str], bucket_us: int = 3_600_000_000) -> DataFrame:
-    """``orders`` with ``pick`` of the first quote in ``(start, end]`` that meets ``condition``; equal orders are as many after as before.
-
-    Each order is put into the time buckets of its lifetime, so that the join is on equal series and bucket; only the
-    first hit of an order is kept, as an aggregate.
-    """
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    o = orders.groupBy(*orders.columns).agg(F.count(F.lit(1)).cast("int").alias("__n"))
-    o = o.withColumn("__id", F.struct(*orders.columns))
-    o = o.withColumn("__bucket", F.explode(F.sequence(F.floor(us(start) / bucket_us), F.floor(us(end) / bucket_us))))
-    q = quotes.withColumn("__bucket", F.floor(us(time) / bucket_us))
-    hits = o.join(q, [*by, "__bucket"]).filter((F.col(time) > F.col(start)) & (F.col(time) <= F.col(end)) & condition)
-    first = hits.groupBy("__id", "__n").agg(F.min_by(F.struct(*pick), F.struct(time, "seq")).alias("__hit"))
-    first = first.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return first.select("__id.*", *[F.col(f"__hit.{c}") for c in pick])
-
-
 def near_events(rows: DataFrame, events: DataFrame, time: str, event_time: str, minutes: int, keep: bool = False) -> DataFrame:
     """Rows farther than ``minutes`` from every event (``keep``: the others); joined on time buckets of that width."""
     width = minutes * 60_000_000

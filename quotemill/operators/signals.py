@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import timex
 from ..sources.schemas import K
-from .asof import first_crossing, near_events
+from .asof import near_events
+from .crossing import first_crossing
 from .bars import usable
 from .features import FEATURES, SERIES, TR, Feature, compute, ema, framed
 from .windows import chunked
@@ -149,10 +150,10 @@ def triple_barrier(bars: DataFrame, width: float, hours: int) -> DataFrame:
     start = bars.select(*K, "ts_event", "close").join(atr, [*K, "ts_event"]).withColumn("stop", F.col("ts_event") + F.expr(f"interval {hours} hours"))
     start = start.withColumnsRenamed({"ts_event": "entry", "close": "entry_price"})
     path = bars.select(*K, "ts_event", "seq", "high", "low")
-    up, down = F.col("high") >= F.col("entry_price") + width * F.col("atr"), F.col("low") <= F.col("entry_price") - width * F.col("atr")
-    hit = first_crossing(start, path, K, "entry", "stop", "ts_event", up | down, ["ts_event", "high", "low"], 6 * 3_600_000_000)
-    out = start.join(hit.select(*K, "entry", F.col("ts_event").alias("touched"), "high", "low"), [*K, "entry"], "left")
-    label = F.when(F.col("touched").isNull(), 0).when(down, -1).otherwise(1)
+    start = start.withColumns({"profit": F.col("entry_price") + width * F.col("atr"), "loss": F.col("entry_price") - width * F.col("atr")})
+    hit = first_crossing(start, path, K, "entry", "stop", "ts_event", [("high", ">=", "profit"), ("low", "<=", "loss")], ["ts_event", "low"])
+    out = start.join(hit.select(*K, "entry", F.col("ts_event").alias("touched"), "low"), [*K, "entry"], "left")
+    label = F.when(F.col("touched").isNull(), 0).when(F.col("low") <= F.col("loss"), -1).otherwise(1)
     return out.select(*K, F.col("entry").alias("ts_event"), label.cast("long").alias("label"), F.coalesce("touched", "stop").alias("touched"))
 
 

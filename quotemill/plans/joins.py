@@ -8,6 +8,7 @@ from ..functions import timex
 from ..operators import asof as J
 from ..operators import bars as B
 from ..operators import quality as Q
+from ..operators.crossing import first_crossing
 from ..sources import views
 from ..sources.schemas import K
 from ..sources.views import FILLS_SQL, ORDERS_SQL, PIT_SQL, TICKS_SQL, TIER1_SQL
@@ -47,7 +48,8 @@ def _limits(spark, sf, hours=6):
 @query("jn3_first_crossing", ctes(TICKS_SQL, MID_SQL) + "select o.order_id, min(q.seq) as seq from (select venue, instrument, seq as order_id, ts_event as a, ts_event + interval 6 hour as b, mid * 0.9999 as lim from mids) o join mids q on o.venue = q.venue and o.instrument = q.instrument and q.ts_event > a and q.ts_event <= b and cast(q.bid as double) <= lim - 0.00001 group by o.order_id")
 def _(spark, sf):
     quotes = views.ticks(spark, sf).select(*K, "ts_event", "seq", F.col("bid").cast("double").alias("bid"))
-    return J.first_crossing(_limits(spark, sf), quotes, K, "start", "stop", "ts_event", F.col("bid") <= F.col("limit") - 0.00001, ["seq"]).select("order_id", "seq")
+    orders = _limits(spark, sf).withColumn("through", F.col("limit") - 0.00001)
+    return first_crossing(orders, quotes, K, "start", "stop", "ts_event", [("bid", "<=", "through")], ["seq"]).select("order_id", "seq")
 
 
 @query("jn4_blackout", ctes(TICKS_SQL, TIER1_SQL) + "select t.seq from ticks t where not exists (select 1 from tier1 e where abs(epoch_us(t.ts_event) - epoch_us(e.ts_event)) <= 30 * 60000000::bigint)")

@@ -14,6 +14,7 @@ from ..operators import portfolio as PF
 from ..operators import risk as R
 from ..operators import signals as S
 from ..operators import validation_stats as V
+from ..operators.crossing import first_crossing
 from ..operators.windows import bucketed, chunked
 from ..sources import views
 from ..sources.schemas import K
@@ -237,7 +238,7 @@ _ASK_SQL = (
 
 @query(
     "cst9_execution_price",
-    ctes(TICKS_SQL, MID_SQL, *_ASK_SQL) + "select id, kind, buy, seq, round(price, 6) as price, what from mk union all select id, kind, buy, seq, round(case kind when 'LIMIT' then case when buy then below else above end when 'STOP' then case when buy then ask else bid end else case when buy then bid else ask end end, 6), "
+    ctes(TICKS_SQL, MID_SQL, *_ASK_SQL) + "select id, kind, buy, seq, round(price, 8) as price, what from mk union all select id, kind, buy, seq, round(case kind when 'LIMIT' then case when buy then below else above end when 'STOP' then case when buy then ask else bid end else case when buy then bid else ask end end, 8), "
     "case when kind <> 'BRACKET' then 'FILL' when buy then case when bid <= below then 'STOP' else 'TAKE' end else case when ask >= above then 'STOP' else 'TAKE' end end from fi",
 )
 def _(spark, sf):
@@ -250,13 +251,16 @@ def _(spark, sf):
     sent = o.filter("kind = 'MARKET'").withColumn("sent", F.col("a") + F.expr("interval 150 milliseconds"))
     market = J.asof(sent, q, K, "sent", "ts_event", ["seq", "bid", "ask"], forward=True, exact=False, tie=["seq"]).filter("seq is not null")
     market = market.select("id", "kind", "buy", "seq", F.expr("case when buy then ask else bid end").alias("price"), F.lit("FILL").alias("what"))
-    met = F.expr(
-        "case kind when 'LIMIT' then if(buy, bid <= below - 0.00001D, ask >= above + 0.00001D) when 'STOP' then if(buy, ask >= above, bid <= below) else if(buy, bid <= below or bid >= above, ask >= above or ask <= below) end"
-    )
-    hit = J.first_crossing(o.filter("kind != 'MARKET'"), q, K, "a", "b", "ts_event", met, ["seq", "bid", "ask"], 6 * 3_600_000_000)
+    at = lambda test, level: F.when(F.expr(test), F.col(level) - 0.00001 * F.expr("case when kind <> 'LIMIT' then 0D when buy then 1D else -1D end"))
+    levels = {
+        "bid_low": at("if(kind = 'STOP', not buy, buy)", "below"), "bid_high": at("kind = 'BRACKET' and buy", "above"),
+        "ask_high": at("if(kind = 'STOP', buy, not buy)", "above"), "ask_low": at("kind = 'BRACKET' and not buy", "below"),
+    }
+    tests = [("bid", "<=", "bid_low"), ("bid", ">=", "bid_high"), ("ask", ">=", "ask_high"), ("ask", "<=", "ask_low")]
+    hit = first_crossing(o.filter("kind != 'MARKET'").withColumns(levels), q, K, "a", "b", "ts_event", tests, ["seq", "bid", "ask"])
     price = F.expr("case kind when 'LIMIT' then if(buy, below, above) when 'STOP' then if(buy, ask, bid) else if(buy, bid, ask) end")
     what = F.expr("case when kind != 'BRACKET' then 'FILL' when if(buy, bid <= below, ask >= above) then 'STOP' else 'TAKE' end")
-    return market.unionByName(hit.select("id", "kind", "buy", "seq", price.alias("price"), what.alias("what"))).withColumn("price", F.round("price", 6))
+    return market.unionByName(hit.select("id", "kind", "buy", "seq", price.alias("price"), what.alias("what"))).withColumn("price", F.round("price", 8))
 
 
 _TOUCH = "select o.instrument, count(distinct o.seq) filter (where cast(q.bid as double) <= o.lim) as touched, count(distinct o.seq) filter (where cast(q.bid as double) <= o.lim - 0.0005::double) as through from (select *, mid * 0.9999 as lim from mids) o join ticks q on o.venue = q.venue and o.instrument = q.instrument and q.ts_event > o.ts_event and q.ts_event <= o.ts_event + interval 6 hour group by 1"
@@ -273,7 +277,7 @@ def _(spark, sf):
     t = views.ticks(spark, sf)
     o = t.select(*K, F.col("seq").alias("id"), F.col("ts_event").alias("start"), (F.col("ts_event") + F.expr("interval 6 hours")).alias("stop"), (F.expr(B.MID) * 0.9999).alias("lim"))
     q = t.select(*K, "ts_event", "seq", F.col("bid").cast("double").alias("bid"))
-    filled = lambda less, name: J.first_crossing(o, q, K, "start", "stop", "ts_event", F.col("bid") <= F.col("lim") - less, ["seq"]).groupBy("instrument").agg(F.count(F.lit(1)).alias(name))
+    filled = lambda less, name: first_crossing(o.withColumn("at", F.col("lim") - less), q, K, "start", "stop", "ts_event", [("bid", "<=", "at")], ["seq"]).groupBy("instrument").agg(F.count(F.lit(1)).alias(name))
     df = df.join(filled(0.0, "touched"), "instrument").join(filled(0.0005, "through"), "instrument", "left").withColumn("through", F.coalesce("through", F.lit(0)))
     return df.crossJoin(F.broadcast(grid)).select("mult", "instrument", F.round(F.col("gross") - F.col("mult") * F.col("cost"), 6).alias("net"), "touched", "through")
 
