@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import K
+from .transitions import after_hold, average_cost, held_back, hold_effect, scanned
+from .windows import indexed, running_sum
 
 
 def scaled(forecasts: DataFrame, by: list[str], train: Column, cap: float = 20.0) -> DataFrame:
@@ -15,13 +17,30 @@ def scaled(forecasts: DataFrame, by: list[str], train: Column, cap: float = 20.0
     return forecasts.join(scale, by).withColumn("scaled", F.greatest(F.least(F.col("value") * F.col("scale"), F.lit(cap)), F.lit(-cap)))
 
 
-def combined(forecasts: DataFrame, first: str, second: str, weight: float) -> DataFrame:
-    """Weighted sum of two forecasts times the diversification multiplier that their correlation implies."""
-    both = F.col(first).isNotNull() & F.col(second).isNotNull()
-    rho = forecasts.filter(both).groupBy(*K).agg(F.try_divide(F.covar_samp(first, second), F.stddev_samp(first) * F.stddev_samp(second)).alias("rho"))
-    w, v = weight, 1 - weight
-    fdm = 1 / F.sqrt(w * w + v * v + 2 * w * v * F.greatest("rho", F.lit(0.0)))
-    return forecasts.join(rho, K).withColumn("fdm", fdm).withColumn("combined", F.greatest(F.least((w * F.col(first) + v * F.col(second)) * F.col("fdm"), F.lit(20.0)), F.lit(-20.0)))
+def diversification(forecasts: DataFrame, by: list[str], weights: dict[str, float], train: Column) -> DataFrame:
+    """``by`` and ``fdm`` = 1 / sqrt(w' R w): R are the correlations of the forecasts ``weights`` names, on the rows of ``train`` only, negative or
+    unknown ones as 0.
+
+    The moments of all pairs are sums in one pass; a pair counts the rows that have both.
+    """
+    names = list(weights)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)])).alias("p")
+    known = forecasts.filter(train).select(*by, each).filter("p.x is not null and p.y is not null")
+    rho = known.groupBy(*by, F.col("p.pair").alias("pair")).agg(F.try_divide(F.covar_samp("p.x", "p.y"), F.stddev_samp("p.x") * F.stddev_samp("p.y")).alias("rho"))
+    twice = F.element_at(F.array(*[F.lit(2 * weights[a] * weights[b]) for a, b in pairs]), F.col("pair") + 1)
+    off = rho.groupBy(*by).agg(F.sum(twice * F.greatest(F.col("rho"), F.lit(0.0))).alias("off"))
+    own = sum(w * w for w in weights.values())
+    return off.select(*by, (1 / F.sqrt(F.lit(own) + F.coalesce("off", F.lit(0.0)))).alias("fdm"))
+
+
+def combined(forecasts: DataFrame, weights: dict[str, float], train: Column, by: list[str] | None = None, cap: float = 20.0) -> DataFrame:
+    """Weighted sum of two or more forecasts times their diversification multiplier, capped. The multiplier is frozen on the rows of
+    ``train``, so nothing later moves a forecast; a series without such rows has none."""
+    by = by or K
+    fdm = diversification(forecasts, by, weights, train)
+    total = sum((w * F.col(c) for c, w in list(weights.items())[1:]), list(weights.values())[0] * F.col(list(weights)[0]))
+    return forecasts.join(fdm, by).withColumn("combined", F.greatest(F.least(total * F.col("fdm"), F.lit(cap)), F.lit(-cap)))
 
 
 def target(df: DataFrame, cash_vol: float, idm: float) -> DataFrame:
@@ -29,21 +48,23 @@ def target(df: DataFrame, cash_vol: float, idm: float) -> DataFrame:
     return df.withColumn("target", F.col("value") / 10 * cash_vol * idm / F.expr("nullif(vol * close * point_value, 0)"))
 
 
-def buffered(targets: DataFrame, share: float) -> DataFrame:
-    """Position that only moves when the target is farther away than ``share`` of the mean target; path-dependent, so each
-    series is walked in order."""
-    mean = targets.groupBy(*K).agg(F.avg(F.abs("target")).alias("mean_target"))
-    df = targets.join(mean, K).select(*K, "ts_event", "target", "mean_target")
+def buffered(targets: DataFrame, share: float, by: list[str] | None = None, size: int = 20_000) -> DataFrame:
+    """Position that only moves when the target is at least ``share`` of the mean size of the targets so far away; a null target is 0.
+
+    Path-dependent: the position at the start of a chunk follows from what the chunks before do to any position.
+    """
+    by = by or K
+    own = indexed(targets.select(*by, "ts_event", "target"), by, "ts_event").withColumn("chunk", F.floor((F.col("rn") - 1) / size))
+    own = own.withColumns({"__size": F.coalesce(F.abs("target"), F.lit(0.0)), "__known": F.col("target").isNotNull().cast("long")})
+    own = running_sum(running_sum(own, by, "chunk", "rn", "__size", "sum"), by, "chunk", "rn", "__known", "known")
+    df = own.select(*by, "ts_event", "target", (share * F.col("sum") / F.nullif(F.col("known"), F.lit(0))).alias("width"))
+    columns = lambda pdf: (pdf["target"].fillna(0.0).tolist(), pdf["width"].tolist())
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, now, out = pdf.sort_values("ts_event"), 0.0, []
-        for want, mean in zip(pdf["target"].fillna(0.0), pdf["mean_target"], strict=True):
-            if abs(want - now) >= share * mean:
-                now = want
-            out.append(now)
-        return pdf.assign(position=out)[[*K, "ts_event", "target", "position"]]
+    def walk(pdf: pd.DataFrame, entry: float) -> pd.DataFrame:
+        return pdf.assign(position=held_back(*columns(pdf), entry))[[*by, "ts_event", "target", "position"]]
 
-    return df.groupBy(*K).applyInPandas(walk, "venue string, instrument string, ts_event timestamp, target double, position double")
+    keys = ", ".join(f"`{c}` {targets.schema[c].dataType.simpleString()}" for c in by)
+    return scanned(df, by, ["ts_event"], 0.0, lambda pdf: hold_effect(*columns(pdf)), after_hold, walk, f"{keys}, ts_event timestamp, target double, position double", size)
 
 
 def sized(df: DataFrame, minimum: float, max_risk: float, kelly_share: float, leverage: float) -> DataFrame:
@@ -76,27 +97,29 @@ def shrunk_covariance(wide: DataFrame, names: list[str]) -> DataFrame:
     return s.crossJoin(F.broadcast(d.select(k.alias("shrinkage")))).select("a", "b", (F.col("shrinkage") * F.col("t") + (1 - F.col("shrinkage")) * F.col("s")).alias("cov"), "shrinkage")
 
 
-def netted(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Running position, average price and realised profit of fills in order (``nth``); average cost is path-dependent."""
-    schema = ", ".join(f"{c} {fills.schema[c].dataType.simpleString()}" for c in (*by, "ts_event", "broker_fill_id")) + ", nth long, position double, average double, realised double"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        position = average = realised = 0.0
-        rows = []
-        for side, qty, price in zip(pdf["side"], pdf["qty"], pdf["price"], strict=True):
-            signed = qty if side == "BUY" else -qty
-            if position * signed >= 0:
-                average = (average * abs(position) + price * qty) / (abs(position) + qty)
-            else:
-                closed = min(abs(position), qty)
-                realised += closed * (price - average) * (1 if position > 0 else -1)
-                average = price if qty > abs(position) else average
-            position += signed
-            rows.append((position, average, realised))
-        out = pdf[[*by, "ts_event", "broker_fill_id"]].copy()
-        out["nth"] = range(len(out))
-        out[["position", "average", "realised"]] = rows
-        return out
-
-    return fills.groupBy(*by).applyInPandas(walk, schema)
+def netted(fills: DataFrame, by: list[str], order: list[str], size: int = 20_000) -> DataFrame:
+    """Running position, average price and realised profit of fills in order (``nth``, from 0).
+
+    The position is a running sum; with it known, what a chunk of fills does to the average price is linear, so the average at its
+    start follows from the chunks before.
+    """
+    rows = indexed(fills, by, order[0], "nth", order).withColumn("__chunk", F.floor((F.col("nth") - 1) / size))
+    rows = rows.withColumn("signed", F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty")))
+    rows = running_sum(rows, by, "__chunk", "nth", "signed", "position").drop("__chunk")
+    columns = lambda pdf: ((pdf["position"] - pdf["signed"]).tolist(), pdf["signed"].tolist(), pdf["price"].tolist())
+
+    def then(state: list, effect: list) -> list:
+        (average, realised), (a, b, c, d) = state, effect
+        return [a * average + b, realised + c * average + d]
+
+    def walk(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
+        averages, sums = [], []
+        for row in zip(*columns(pdf), strict=True):
+            state = then(state, average_cost(*[[x] for x in row]))
+            averages.append(state[0])
+            sums.append(state[1])
+        return pdf.assign(average=averages, realised=sums, nth=pdf["nth"] - 1)[names]
+
+    names = [*by, "ts_event", "broker_fill_id", "nth", "position", "average", "realised"]
+    schema = ", ".join(f"`{c}` {fills.schema[c].dataType.simpleString()}" for c in names[:-4]) + ", nth long, position double, average double, realised double"
+    return scanned(rows, by, [order[0], "nth"], [0.0, 0.0], lambda pdf: list(average_cost(*columns(pdf))), then, walk, schema, size)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import islands
+from .windows import indexed, running_last
 
 # The legal transitions of the order lifecycle.
 LEGAL = [
@@ -36,11 +37,11 @@ def illegal_transitions(states: DataFrame, by: str, order: str) -> DataFrame:
     return moves.join(F.broadcast(legal), ["before", "state"], "left_anti")
 
 
-def latched(events: DataFrame, by: list[str], trip: Column, reset: Column) -> DataFrame:
+def latched(events: DataFrame, by: list[str], trip: Column, reset: Column, size: int = 20_000) -> DataFrame:
     """State of a breaker after each event: tripped until it is acknowledged."""
-    w = f"(partition by {', '.join(by)} order by ts_event, seq)"
-    df = events.withColumn("__set", F.when(trip, F.lit("TRIPPED")).when(reset, F.lit("OK")))
-    return df.withColumn("state", F.expr(f"coalesce(last(__set, true) over {w}, 'OK')")).drop("__set")
+    df = indexed(events, by, "ts_event", "__rn", ["ts_event", "seq"]).withColumn("__chunk", F.floor((F.col("__rn") - 1) / size))
+    df = df.withColumn("__set", F.when(trip, F.lit("TRIPPED")).when(reset, F.lit("OK")))
+    return running_last(df, by, "__chunk", "__rn", "__set", "state").fillna("OK", ["state"]).drop("__set", "__rn", "__chunk")
 
 
 def canonical_counters(counts: DataFrame, families: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from .asof import near_events
 from .crossing import first_crossing
 from .bars import usable
 from .features import FEATURES, SERIES, TR, Feature, compute, ema, framed
-from .windows import chunked
+from .windows import chunked, running_last
 
 
 def in_chunks(bars: DataFrame, lookback: int) -> DataFrame:
@@ -114,16 +114,17 @@ def vol_overlay(vols: DataFrame, target: float, cap: float = 2.0) -> DataFrame:
     return vols.filter("vol20 is not null").withColumn("scale", F.least(target / F.expr("nullif(vol20, 0)"), F.lit(cap)))
 
 
-def pair_positions(pair: DataFrame, window: int = 20, hedge: int = 60) -> DataFrame:
+def pair_positions(pair: DataFrame, window: int = 20, hedge: int = 60, size: int = 20_000) -> DataFrame:
     """Rolling hedge ratio and spread z-score; the position is that of the last decisive bar: in beyond 2, out near 0 and
-    beyond 4. One pair a venue: its bars are one series."""
-    p = "partition by venue order by ts_event"
+    beyond 4. One pair a venue, cut into chunks; the last decision passes from chunk to chunk."""
+    own = chunked(pair, ["venue"], "ts_event", hedge + window, size)
+    p = "partition by venue, chunk order by rn"
     h = f"({p} rows between {hedge - 1} preceding and current row)"
     w = f"({p} rows between {window - 1} preceding and current row)"
-    df = pair.selectExpr("*", f"covar_samp(ln(a), ln(b)) over {h} / nullif(var_samp(ln(b)) over {h}, 0) as beta").selectExpr("*", "ln(a) - beta * ln(b) as spread")
-    df = df.selectExpr("*", f"(spread - avg(spread) over {w}) / nullif(stddev_samp(spread) over {w}, 0) as z")
+    df = own.selectExpr("*", f"covar_samp(ln(a), ln(b)) over {h} / nullif(var_samp(ln(b)) over {h}, 0) as beta").selectExpr("*", "ln(a) - beta * ln(b) as spread")
+    df = df.selectExpr("*", f"(spread - avg(spread) over {w}) / nullif(stddev_samp(spread) over {w}, 0) as z").filter("not halo")
     df = df.selectExpr("*", "case when abs(z) > 4 then 0 when z > 2 then -1 when z < -2 then 1 when abs(z) < 0.25 then 0 end as decision")
-    return df.selectExpr("*", f"coalesce(last(decision, true) over ({p}), 0) as position")
+    return running_last(df, ["venue"], "chunk", "rn", "decision", "position").fillna(0, ["position"]).drop("rn", "chunk", "halo")
 
 
 def carry_tilt(bars: DataFrame) -> DataFrame:

@@ -42,6 +42,15 @@ def running_sum(df: DataFrame, by: list[str], chunk: str, order: str, value: str
     return out.withColumn(name, F.col("__before") + F.col("__inside")).drop("__inside", "__before")
 
 
+def running_last(df: DataFrame, by: list[str], chunk: str, order: str, value: str, name: str) -> DataFrame:
+    """``name``: the last ``value`` up to a row that isn't null: in its chunk or, from a table with a row per chunk, in those before."""
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy(*by, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = df.groupBy(*by, chunk).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__end"))
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
+    out = df.withColumn("__inside", inside).join(ends.withColumn("__before", before).drop("__end"), [*by, chunk])
+    return out.withColumn(name, F.coalesce("__inside", "__before")).drop("__inside", "__before")
+
+
 def bucketed(df: DataFrame, time: str, seconds: int, bucket: int = 86_400) -> DataFrame:
     """``df`` with ``bucket`` and ``halo``: rows of the last ``seconds`` of a bucket appear in the next one, too, marked.
 

@@ -354,12 +354,12 @@ def _(spark, sf):
 
 @query("sig15_user_signal", ctes(*BARS) + "select venue, instrument, count(*) as n, round(sum(10 * sign(close - open)), 6) as total from bars group by all")
 def _(spark, sf):
-    """A user's own stateful signal, run over each series in order."""
+    """A user's own stateful signal, run over each series in order; what a chunk does to its state is its number of bars."""
     from ..streaming.udf import apply_signal
 
     def hello(row, state):
         move = row["close"] - row["open"]
         return {"value": 10.0 if move > 0 else -10.0 if move < 0 else 0.0}, {"n": state.get("n", 0) + 1}
 
-    out = apply_signal(_bars(spark, sf), hello, "value double")
+    out = apply_signal(_bars(spark, sf).select(*K, "ts_event", "open", "close"), hello, "value double", effect=len, then=lambda state, n: {"n": state.get("n", 0) + n})
     return out.groupBy(*K).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))

@@ -9,7 +9,8 @@ from ..sources import io, views
 from ..sources.schemas import K
 from ..sources.views import FILLS_SQL, ORDERS_SQL, TICKS_SQL
 from ..streaming import streams as ST
-from ..streaming.udf import apply_signal, stream_signal
+from ..streaming.pit import point_in_time
+from ..streaming.udf import apply_signal, saved_states, stream_signal
 from .base import BARS, r6, us
 from .registry import ctes, query
 
@@ -21,7 +22,7 @@ def _stream(spark, df, name, parts=4, order="ts_event", rows_per_file=1_000_000)
     their age, each as files of ``rows_per_file`` rows or less."""
     path = io.scratch(spark, name)
     number = F.unix_micros(order) if df.schema[order].dataType.typeName() == "timestamp" else F.col(order)
-    edges = df.select(number.cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)
+    edges = df.select(number.cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
     files = 1 + df.count() // (parts * rows_per_file)
     low = [float("-inf"), *edges]
     for a, b in zip(low, [*edges, float("inf")], strict=True):
@@ -118,6 +119,22 @@ def _(spark, sf):
     return _run(spark, ST.interval_join(so.join(F.broadcast(dim), "instrument"), sfl, "30 days", "4000 days").select("client_order_id", "line", "qty"))
 
 
+@query(
+    "str8b_stream_point_in_time",
+    ctes(TICKS_SQL) + "select p.venue, p.seq, f.seq as fact_seq, f.bid from (select * from ticks where seq % 2 = 1) p asof left join (select venue, available_at, seq, cast(bid as double) as bid from ticks where seq % 2 = 0) f on p.venue = f.venue and p.available_at >= f.available_at "
+    "where epoch_us(p.available_at) // 3600000000 < (select (max(epoch_us(available_at)) - 86400000000) // 3600000000 from ticks)",
+)
+def _(spark, sf):
+    """The join of JN-1 on two streams; facts arrive up to six hours after they were available, many of them in the batch after the probes that
+    need them."""
+    t = views.ticks(spark, sf).select("venue", "available_at", "seq", F.col("bid").cast("double").alias("bid"))
+    probes = t.filter("seq % 2 = 1").select("venue", "available_at", "seq", F.col("available_at").alias("sent"))
+    facts = t.filter("seq % 2 = 0").select("venue", "available_at", F.col("seq").alias("fact_seq"), "bid", (F.col("available_at") + F.expr("make_dt_interval(0, cast(seq % 7 as int))")).alias("sent"))
+    both = [_stream(spark, df, name, 5, "sent").drop("sent") for df, name in ((probes, "probes"), (facts, "facts"))]
+    out = _run(spark, point_in_time(*both, "venue", "available_at", "available_at", "fact_seq", "1 day"))
+    return out.select("venue", "seq", "fact.fact_seq", "fact.bid")
+
+
 @query("str9_batch_stream_equality", ctes(*BARS) + "select venue, instrument, epoch_us(ts_event) as ts_us, epoch_us(ts_event) <= (select epoch_us(max(ts_event)) from good) - 7200000000 as sealed, case when epoch_us(ts_event) <= (select epoch_us(max(ts_event)) from good) - 7200000000 then true end as same from bars")
 def _(spark, sf):
     """Every bar of the batch: whether the stream has sealed it, and then whether both are the same."""
@@ -152,9 +169,18 @@ _UP = "(partition by venue, instrument order by ts_event)"
 
 @query("udf1_bar_signal", ctes(*BARS) + f"select venue, instrument, epoch_us(ts_event) as ts_us, row_number() over {_UP} as n, cast(sum((close > open)::int) over {_UP} as bigint) as up from bars")
 def _(spark, sf):
+    """The stream stops after two of three batches; a second one, over the rest, begins with the states that were read from its checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     bars = B.time_bars(views.ticks(spark, sf)).select(*K, "ts_event", "open", "close")
-    stream = _stream(spark, bars, "bars", 3)
-    return _run(spark, stream_signal(stream, _counter, "n long, up long")).select(*K, us("ts_event"), "n", "up")
+    path = io.scratch(spark, "bars")
+    bars.write.parquet(path)
+    bars = spark.read.schema(bars.schema).parquet(path)
+    stop = bars.select(F.unix_micros("ts_event").cast("double").alias("x")).approxQuantile("x", [0.66], 0.01)
+    early = F.unix_micros("ts_event") <= F.lit(stop[0] if stop else 0)
+    checkpoint = io.scratch(spark, "state")
+    first = ST.run(stream_signal(_stream(spark, bars.filter(early), "early", 2), _counter, "n long, up long"), io.scratch(spark, "out"), checkpoint)
+    again = stream_signal(_stream(spark, bars.filter(~early), "late", 1), _counter, "n long, up long", saved_states(spark, checkpoint))
+    return first.union(_run(spark, again)).select(*K, us("ts_event"), "n", "up")
 
 
 @query("udf2_tick_signal", ctes(TICKS_SQL) + f"select venue, instrument, count(*) as n, cast(sum(case when bid > before then 1 else 0 end) as bigint) as ups from (select *, lag(bid) over {_TW} as before from ticks) group by all")
@@ -164,7 +190,8 @@ def _(spark, sf):
         return {"up": up}, {"bid": row["bid"]}
 
     t = views.ticks(spark, sf).select(*K, "ts_event", "seq", F.col("bid").cast("double").alias("bid"))
-    return apply_signal(t, on_tick, "up long", order=["ts_event", "seq"]).groupBy(*K).agg(F.count(F.lit(1)).alias("n"), F.sum("up").alias("ups"))
+    last = lambda pdf: {"bid": float(pdf["bid"].iloc[-1])}
+    return apply_signal(t, on_tick, "up long", order=["ts_event", "seq"], effect=last, then=lambda state, bid: bid).groupBy(*K).agg(F.count(F.lit(1)).alias("n"), F.sum("up").alias("ups"))
 
 
 @query("udf3_fill_observer", ctes(FILLS_SQL) + "select strategy_id, count(*) as n, round(sum(case when side = 'BUY' then qty else -qty end), 4) as position from fills group by 1")
@@ -173,8 +200,14 @@ def _(spark, sf):
         position = state.get("position", 0.0) + (row["qty"] if row["side"] == "BUY" else -row["qty"])
         return {"position": position, "n": state.get("n", 0) + 1}, {"position": position, "n": state.get("n", 0) + 1}
 
+    def chunk(pdf):
+        return {"position": float(pdf["qty"].where(pdf["side"] == "BUY", -pdf["qty"]).sum()), "n": len(pdf)}
+
+    def after(state, more):
+        return {k: state.get(k, 0) + v for k, v in more.items()}
+
     f = views.fills(spark, sf).select("strategy_id", "ts_event", "broker_fill_id", "side", "qty")
-    out = apply_signal(f, on_fill, "position double, n long", by=["strategy_id"], order=["ts_event", "broker_fill_id"])
+    out = apply_signal(f, on_fill, "position double, n long", by=["strategy_id"], order=["ts_event", "broker_fill_id"], effect=chunk, then=after)
     return out.groupBy("strategy_id").agg(F.max("n").alias("n"), F.round(F.max_by("position", "n"), 4).alias("position"))
 
 

@@ -52,11 +52,17 @@ def _(spark, sf):
 
 @query(
     "pf2_combined_forecast",
-    ctes(*BARS, _F2, "rho as (select venue, instrument, covar_samp(fa, fb) / nullif(stddev_samp(fa) * stddev_samp(fb), 0) as rho from f2 where fa is not null and fb is not null group by all)")
-    + "select venue, instrument, epoch_us(ts_event) as ts_us, round(greatest(least((0.6 * fa + 0.4 * fb) / sqrt(0.36 + 0.16 + 0.48 * greatest(rho, 0)), 20), -20), 6) as combined from f2 join rho using (venue, instrument)",
+    ctes(*BARS, _F2, "f3 as (select * exclude (fc), 10 * sign(fc) as fc from (select *, close - lag(close, 5) over " + W + " as fc from f2))",
+         *[f"r{a}{b} as (select venue, instrument, covar_samp(f{a}, f{b}) / nullif(stddev_samp(f{a}) * stddev_samp(f{b}), 0) as r from f3 where f{a} is not null and f{b} is not null and ts_event < {HALF} group by all)" for a, b in ("ab", "ac", "bc")])
+    + "select f3.venue, f3.instrument, epoch_us(ts_event) as ts_us, round(greatest(least((0.5 * fa + 0.3 * fb + 0.2 * fc) / sqrt(0.38 + 0.3 * greatest(coalesce(rab.r, 0), 0) + 0.2 * greatest(coalesce(rac.r, 0), 0) + 0.12 * greatest(coalesce(rbc.r, 0), 0)), 20), -20), 6) as combined "
+    "from f3 join rab using (venue, instrument) join rac using (venue, instrument) join rbc using (venue, instrument)",
 )
 def _(spark, sf):
-    return PF.combined(_two(spark, sf), "fa", "fb", 0.6).select(*K, us("ts_event"), *r6("combined"))
+    """Three forecasts; their correlations are those of the first half of the month and stay."""
+    back = FT.compute(_bars(spark, sf), FT.Feature(5, ({"fc": "10 * sign(close - lag(close, 5) over {p})"},), ("fc",))).select(*K, "ts_event", "fc")
+    three = _two(spark, sf).join(back, [*K, "ts_event"])
+    train = F.col("ts_event") < F.lit("2024-01-15 00:00:00").cast("timestamp")
+    return PF.combined(three, {"fa": 0.5, "fb": 0.3, "fc": 0.2}, train).select(*K, us("ts_event"), *r6("combined"))
 
 
 _VOL = f"vol as (select *, stddev_samp(r1) over {W[:-1]} rows between 19 preceding and current row) as vol from (select *, ln(close / lag(close) over {W}) as r1, row_number() over {W} as rn from bars))"
@@ -73,7 +79,7 @@ def _(spark, sf):
     return _targets(spark, sf).select(*K, us("ts_event"), F.round("target", 4).alias("target"))
 
 
-_TARGETS = "tg as (select venue, instrument, ts_event, sign(close - open) * 1000 * 1.2 / nullif(vol * close * point_value, 0) as target, row_number() over (partition by venue, instrument order by ts_event) as k from vol join specs using (instrument) where rn > 21), tm as (select *, avg(abs(target)) over (partition by venue, instrument) as m from tg)"
+_TARGETS = "tg as (select venue, instrument, ts_event, sign(close - open) * 1000 * 1.2 / nullif(vol * close * point_value, 0) as target, row_number() over (partition by venue, instrument order by ts_event) as k from vol join specs using (instrument) where rn > 21), tm as (select *, avg(abs(target)) over (partition by venue, instrument order by k) as m from tg)"
 
 
 @query(

@@ -4,10 +4,15 @@ import bisect
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quotemill.operators import portfolio as PF
+from quotemill.operators import risk as R
 from quotemill.operators.crossing import extremes, first_crossing
+from quotemill.operators.transitions import after_hold, average_cost, held_back, hold_effect
+from quotemill.streaming.udf import apply_signal
 
 
 def micros(df, *columns):
@@ -60,3 +65,105 @@ def test_first_crossing_in_a_hot_hour(spark):
     assert out == want and 800 < len(out) < 1000
     levels = extremes(q, ["k"], "t", "seq", [("bid", "<=", "low")], ["seq"], 128)
     assert len(levels) == 3 and levels[0].filter(F.size("__kids") > 128).isEmpty() and levels[2].count() == 1
+
+
+# --- states that pass from row to row
+
+
+def test_hold_effect():
+    """What a chunk does to an entry is what walking it does, near ties too."""
+    r = random.Random(9)
+    for trial in range(300):
+        n = r.randrange(1, 40)
+        wants = [r.choice([0.0, 1.0, -1.0, r.uniform(-3, 3)]) for _ in range(n)]
+        widths = [r.choice([0.0, 0.5, 1.0, r.uniform(0, 2), float("nan")] + [8.0] * (trial % 3)) for _ in range(n)]
+        effect = hold_effect(wants, widths)
+        for entry in [0.0, 1.0, 0.5, *[r.uniform(-10, 10) for _ in range(20)], *[w + d for w, d in zip(wants, widths, strict=True) if d == d]]:
+            assert after_hold(entry, effect) == held_back(wants, widths, entry)[-1]
+
+
+def test_average_cost():
+    r = random.Random(2)
+    for _ in range(200):
+        start, average = r.choice([0, 5, -3, 2.5]), r.uniform(1, 9)
+        signed = [r.choice([-1, 1]) * r.randrange(1, 7) for _ in range(r.randrange(1, 30))]
+        prices = [r.uniform(1, 9) for _ in signed]
+        before = [start + sum(signed[:i]) for i in range(len(signed))]
+        held, own, real = start, average, 0.0
+        for q, p in zip(signed, prices, strict=True):
+            if held * q >= 0:
+                own = (own * abs(held) + p * abs(q)) / (abs(held) + abs(q))
+            else:
+                real += min(abs(held), abs(q)) * (p - own) * (1 if held > 0 else -1)
+                own = p if abs(q) > abs(held) else own
+            held += q
+        a, b, c, d = average_cost(before, signed, prices)
+        assert a * average + b == pytest.approx(own) and c * average + d == pytest.approx(real)
+
+
+def series(spark, n=400, keys=3):
+    r = random.Random(4)
+    rows = [(r.choice("abc"[:keys]), "i", i // 2, i, r.choice([None, r.uniform(-2, 2), 1.0])) for i in range(n)]
+    return micros(spark.createDataFrame(rows, "venue string, instrument string, t long, seq long, target double"), "t").withColumnRenamed("t", "ts_event")
+
+
+@pytest.mark.parametrize("size", [7, 10_000])
+def test_buffered_in_chunks(spark, size):
+    df = series(spark).groupBy("venue", "instrument", "ts_event").agg(F.max("target").alias("target"))
+    got = PF.buffered(df, 0.5, size=size).orderBy("venue", "ts_event").toPandas()
+    for _, own in got.groupby("venue"):
+        now, total, n = 0.0, 0.0, 0
+        for want, position in zip(own.target, own.position, strict=True):
+            if want == want:
+                total, n = total + abs(want), n + 1
+            want = want if want == want else 0.0
+            if n and abs(want - now) >= 0.5 * total / n:
+                now = want
+            assert position == now
+
+
+@pytest.mark.parametrize("size", [5, 10_000])
+def test_latch_and_positions_in_chunks(spark, size):
+    df = series(spark)
+    got = R.latched(df, ["venue"], F.col("target") > 1.5, F.col("target") < -1.5, size).orderBy("venue", "ts_event", "seq").toPandas()
+    for _, own in got.groupby("venue"):
+        now = "OK"
+        for x, state in zip(own.target, own.state, strict=True):
+            now = "TRIPPED" if x > 1.5 else "OK" if x < -1.5 else now
+            assert state == now
+    fills = df.selectExpr("venue", "ts_event", "seq as broker_fill_id", "if(seq % 3 = 0, 'SELL', 'BUY') as side", "cast(1 + seq % 5 as double) as qty", "100.0D + seq % 7 as price")
+    small, whole = (PF.netted(fills, ["venue"], ["ts_event", "broker_fill_id"], n).orderBy("venue", "nth").toPandas() for n in (size, 100_000))
+    pd.testing.assert_frame_equal(small, whole)
+    assert (small.groupby("venue")["nth"].max() + 1 == small.groupby("venue").size()).all()
+
+
+def test_user_signal_by_chunks(spark):
+    """A function without an effect is passed from chunk to chunk; one with an effect is run on all of them at once."""
+
+    def signal(row, state):
+        n = state.get("n", 0) + 1
+        return ({"n": n, "last": state.get("last")} if row["seq"] % 4 else None), {"n": n, "last": row["seq"]}
+
+    df = series(spark).union(series(spark).selectExpr("cast(null as string) as venue", "instrument", "ts_event", "seq", "target"))
+    run = lambda **kw: sorted(map(repr, apply_signal(df, signal, "n long, last long", order=["ts_event", "seq"], **kw).collect()))
+    whole = run()
+    assert whole == run(size=30)
+    effect = lambda pdf: {"n": len(pdf), "last": int(pdf["seq"].iloc[-1])}
+    assert whole == run(size=30, effect=effect, then=lambda state, more: {"n": state.get("n", 0) + more["n"], "last": more["last"]})
+    assert apply_signal(df.filter("false"), signal, "n long, last long").count() == 0
+
+
+def test_forecast_weights(spark):
+    """The multiplier of three forecasts is 1 / sqrt(w' R w) over the training rows, whatever comes later."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=200)
+    x = np.stack([base, base + rng.normal(size=200), -base + rng.normal(size=200)], 1)
+    rows = [("v", "i", i, *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "venue string, instrument string, t long, a double, b double, c double")
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    corr = np.maximum(np.corrcoef(x[:120].T), 0)
+    w = np.array(list(weights.values()))
+    out = PF.combined(df, weights, F.col("t") < 120).orderBy("t").toPandas()
+    assert out.fdm.iloc[0] == pytest.approx(1 / np.sqrt(w @ corr @ w))
+    later = PF.combined(df.union(spark.createDataFrame([("v", "i", 500, 1e6, -1e6, 1e6)], df.schema)), weights, F.col("t") < 120).filter("t < 500").orderBy("t").toPandas()
+    assert out.equals(later)
