@@ -75,20 +75,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors. What isn't
+    discarded before goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
+    files, at = _files(out)
+    files.deleteOnExit(at)
     return out
 
 
+def _files(settled: DataFrame) -> tuple:
+    """The file system of a settled table, and its path there."""
+    context = settled.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(settled.settled_at)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()), path
+
+
 def discard(*settled: DataFrame) -> None:
     """Deletes the files of settled tables that nothing reads any more."""
     for df in settled:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.settled_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _files(df)
+        files.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Packing token sequences: best-fit decreasing with a segment tree over remaining capacities.
 
 Each text is tokenised and ended with an extra id. Documents longer than a window are first cut into full windows;
-the rests are dealt by a hash of the key into shards of a bounded number of documents, and each shard places its rests
+the pieces are dealt by a hash of key, content and row number into shards of a bounded number of documents, and each shard places them
 in order of falling length into the open window with the least room that still fits, found in a segment tree over room.
 
 Ids are those of the tokenizer's defaults: the string of an added token in a text becomes that token's id.
@@ -155,7 +155,8 @@ def pack(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
     task packs; a window left half empty at the end of a shard is all that more shards cost."""
     shards = max(1, -(-docs.count() // shard_docs))
     pieces = cut(docs, path, key=key, text=text, window=window, end_id=end_id, ids=ids)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.lit("pack"), F.col(key), "ids_crc32"), F.lit(shards)))
+    # the row's number spreads repeated rows, too
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.lit("pack"), F.col(key), "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
 
     def place(data: pa.Table) -> pa.Table:
         order = pa.compute.sort_indices(data, [("length", "descending"), (key, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

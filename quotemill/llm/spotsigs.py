@@ -1,9 +1,9 @@
 """Document fingerprints by SpotSigs, with DataFrame functions only.
 
 A signature is a common word (an anchor) and the chain of the next content words, anchors skipped; the start of a text
-counts as an anchor too. Where anchors are too few, content words are anchors as well, so that signatures cover the whole
-text: a text has too few if it has more than ``SPARSE`` content words for each, and so has a run of more than ``FAR``
-content words between two of them; in such a text or run every content word beyond the first ``CHAIN`` of a run is one. The set of the 32-bit hashes of its signatures is a document's fingerprint. Likeness is the
+counts as an anchor too. So that signatures cover texts with few common words, and texts in other languages, as well, one content word in
+``ONE_IN``, chosen by a hash of the word in every text alike, is an anchor of its own; an edit changes the signatures near it only. The set
+of the 32-bit hashes of its signatures is a document's fingerprint. Likeness is the
 Jaccard ratio of two sets. ``matches`` compares documents by length partitions: sets can only be alike if their sizes
 are, so a set is compared within its own and the neighbouring partition, through the rarest signatures alone.
 
@@ -15,7 +15,6 @@ for themselves, ordered by a hash of the text; an empty table gives an empty tab
 from __future__ import annotations
 
 import math
-import sys
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable
@@ -23,7 +22,7 @@ from collections.abc import Callable
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StringType
+from pyspark.sql.types import DataType, DateType, IntegralType, StringType, TimestampType
 
 from .common import settle
 
@@ -37,8 +36,8 @@ ANCHORS = [
 
 #: Content words of a chain.
 CHAIN = 3
-#: Content words for each anchor of a text, and content words in a row, beyond which anchors are too few.
-SPARSE, FAR = 32, 48
+#: Of the content words one in so many is an anchor, too.
+ONE_IN = 4
 #: Ranges whose first keys are broadcast (24 bytes each); more are joined without.
 MOST_SENT = 200_000
 
@@ -49,18 +48,15 @@ def words(text: Column) -> Column:
 
 def with_signatures(df: DataFrame, text: Column, name: str, chain: int = CHAIN) -> DataFrame:
     """``df`` with a sorted array of distinct signature hashes. Anchor k at place p has p - k content words before it."""
-    w, content, at, edges, more = (f"__{name}_{x}" for x in ("words", "content", "at", "edges", "more"))
+    w, content, at = (f"__{name}_{x}" for x in ("words", "content", "at"))
     out = df.withColumn(w, words(F.coalesce(text, F.lit(""))))
     out = out.withColumn(content, F.filter(w, lambda x: ~x.isin(ANCHORS)))
     out = out.withColumn(at, F.filter(F.transform(w, lambda x, i: F.when(x.isin(ANCHORS), i).otherwise(F.lit(-1))), lambda i: i >= 0))
     signed = F.transform(at, lambda p, k: F.hash(F.element_at(w, p + 1), F.slice(content, p - k + 1, chain)))
-    out = out.withColumn(edges, F.concat(F.array(F.lit(0)), F.transform(at, lambda p, k: p - k), F.array(F.size(content))))  # content words before each run's end
-    far = F.when(F.size(content) > SPARSE * F.size(at), F.lit(chain)).otherwise(F.lit(FAR))
-    runs = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges)), lambda a, b: F.when(b - a > far, F.sequence(a + chain, b - 1)).otherwise(F.array().cast("array<int>")))
-    out = out.withColumn(more, F.flatten(runs))
-    extra = F.transform(more, lambda c: F.hash(F.element_at(content, c + 1), F.slice(content, c + 2, chain)))
+    chosen = F.transform(content, lambda x, c: F.when(F.pmod(F.xxhash64(F.lit("anchor"), x), F.lit(ONE_IN)) == 0, F.hash(x, F.slice(content, c + 2, chain))))
+    extra = F.filter(chosen, lambda x: x.isNotNull())
     start = F.when(F.size(content) > 0, F.array(F.hash(F.lit("^"), F.slice(content, 1, chain)))).otherwise(F.array().cast("array<int>"))
-    return out.withColumn(name, F.array_sort(F.array_distinct(F.concat(start, signed, extra)))).drop(w, content, at, edges, more)
+    return out.withColumn(name, F.array_sort(F.array_distinct(F.concat(start, signed, extra)))).drop(w, content, at)
 
 
 def as_text(signatures: Column) -> Column:
@@ -74,39 +70,80 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _number(key: str, kind: DataType) -> Column:
-    """A number in the order of the key: the key itself, or of a text its first six bytes; null is least."""
-    text = F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(key), "utf-8"), 1, 6)), 12, "0"), 16, 10)
-    return F.coalesce((text if isinstance(kind, StringType) else F.col(key)).cast("double"), F.lit(-sys.float_info.max))
+def _bytes_of(key: str, kind: DataType) -> Column:
+    """Bytes in the order of the key: those of a text, or eight of a whole number, date or time."""
+    if isinstance(kind, StringType):
+        return F.col(key).cast("binary")
+    number = F.col(key)
+    if isinstance(kind, DateType):
+        number = F.unix_date(number)
+    elif isinstance(kind, TimestampType):
+        number = F.unix_micros(number)
+    elif not isinstance(kind, IntegralType):
+        raise TypeError(f"keys are texts, whole numbers, dates or times, not {kind.simpleString()}")
+    return F.unhex(F.lpad(F.hex(number.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+
+
+def _common(a: bytes, b: bytes) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def with_ranges(df: DataFrame, key: str, tie: Column, parts: int) -> DataFrame:
+    """``df`` with ``__tie`` and ``__range``, an array that sorts as the rows do: those of a range are neighbours in the order of key and tie.
+
+    Ranges come from quantiles of the first bytes in which keys differ. Keys that agree in these and fill a range or more are a group that
+    is split again, by the next bytes in which its keys differ, and so on; one key that fills a range or more is split by its ties.
+    The driver gets the quantiles and the least and greatest key of each group, of which there are fewer than ``parts``.
+    """
+    spark = df.sparkSession
+    dealt = df.withColumns({"__tie": tie, "__bytes": _bytes_of(key, df.schema[key].dataType), "__group": F.when(F.col(key).isNotNull(), F.lit(0)), "__range": F.array(F.col(key).isNotNull().cast("long"))})
+    ties = F.shiftrightunsigned(F.col("__tie").bitwiseXOR(F.lit(-(1 << 63))), 32)
+    rows = dealt.count()
+    while parts > 1:
+        ends = dealt.filter("__group is not null").groupBy("__group").agg(F.min("__bytes").alias("a"), F.max("__bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+        if not ends:
+            break
+        width = 6 if len(ends) == 1 else 4
+        place = [(r["__group"], None if r["a"] == r["b"] else 1 + _common(bytes(r["a"]), bytes(r["b"])), min(1 + r["n"] * parts // rows, 1 << 23)) for r in ends]
+        dealt = dealt.join(F.broadcast(spark.createDataFrame(place, "__group int, __at int, __spread int")), "__group", "left")  # a row for each group
+        # the bytes as a number, and how many there are: a key comes before those that it begins
+        part = F.substring("__bytes", F.col("__at"), F.lit(width))
+        own = F.conv(F.rpad(F.hex(part), 2 * width, "0"), 16, 10).cast("double") * (width + 1) + F.octet_length(part)
+        dealt = dealt.withColumn("__number", F.when(F.col("__at").isNotNull(), F.col("__group") * float((width + 1) << 8 * width) + own))
+        single = F.col("__group").isNotNull() & F.col("__at").isNull()
+        dealt = dealt.withColumn("__range", F.when(single, F.concat("__range", F.array(F.shiftright(ties * F.col("__spread"), 32)))).otherwise(F.col("__range"))).drop("__spread")
+        open_rows = dealt.filter("__number is not null")
+        count = open_rows.count()
+        many = max(1, parts * count // max(1, rows))
+        if not count:
+            dealt = dealt.drop("__at", "__number").withColumn("__group", F.lit(None).cast("int"))
+            break
+        found = Counter(open_rows.approxQuantile("__number", [i / many for i in range(1, many)], 0.2 / many)) if many > 1 else Counter()
+        heavy = sorted(x for x, n in found.items() if n > 1)
+        splits = sorted({*found, *(math.nextafter(x, math.inf) for x in heavy)})
+        if splits:
+            dealt = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="__number", outputCol="__bucket", handleInvalid="keep").transform(dealt)
+            dealt = dealt.withColumn("__range", F.when(F.col("__number").isNotNull(), F.concat("__range", F.array(F.col("__bucket").cast("long")))).otherwise(F.col("__range")))
+        else:
+            dealt = dealt.withColumn("__bucket", F.lit(0.0))
+        numbers = {bisect_right(splits, x): i for i, x in enumerate(heavy)}
+        again = spark.createDataFrame(list(numbers.items()), "__b long, __next int")
+        dealt = dealt.join(F.broadcast(again), (F.col("__number").isNotNull()) & (F.col("__bucket").cast("long") == F.col("__b")), "left")  # a row for each group
+        dealt = dealt.withColumn("__group", F.col("__next")).drop("__at", "__number", "__bucket", "__b", "__next")
+    if parts > 1:
+        dealt = dealt.withColumn("__range", F.when(F.col(key).isNull(), F.concat("__range", F.array(F.shiftright(ties * F.lit(min(parts, 1 << 23)), 32)))).otherwise(F.col("__range")))
+    return dealt.drop("__bytes", "__group")
 
 
 def with_next(df: DataFrame, key: str, tie: Column, prepare: Callable[[DataFrame], DataFrame], columns: list[str], rows_per_range: int = 4_000) -> DataFrame:
     """``prepare(df)`` with ``next_<column>`` of the row with the next smaller key and tie (after the smallest: the largest).
 
-    Rows are dealt into ranges of the key by quantiles; a key that fills a range or more gets ranges by its ties. Neither
-    the ranges nor the rows of one outgrow the square root of the table's rows (4,000 rows at least). Only the first keys of
+    Neither the ranges nor the rows of one outgrow the square root of the table's rows (``rows_per_range`` at least). Only the first keys of
     the ranges are put in order in one task; the rows they belong to are looked up by them.
     """
-    number = _number(key, df.schema[key].dataType)
-    dealt = df.withColumn("__key", number).withColumn("__tie", tie)
     total = df.count()
     parts = max(1, total // max(rows_per_range, math.isqrt(total)))
-    splits, heavy = [], {}
-    if parts > 1:
-        found = Counter(dealt.approxQuantile("__key", [i / parts for i in range(1, parts)], 0.2 / parts))
-        heavy = {x: n + 1 for x, n in found.items() if n > 1}
-        splits = sorted({*found, *(math.nextafter(x, math.inf) for x in heavy)})
-    if splits:
-        dealt = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="__key", outputCol="__range").transform(dealt)
-        dealt = dealt.withColumn("__range", F.shiftleft(F.col("__range").cast("long"), 24))
-    else:
-        dealt = dealt.withColumn("__range", F.lit(0).cast("long"))
-    if heavy:
-        spread = df.sparkSession.createDataFrame([(bisect_right(splits, x) << 24, min(n, 1 << 23)) for x, n in heavy.items()], "__range long, __spread int")
-        share = F.shiftrightunsigned(F.col("__tie").bitwiseXOR(F.lit(-(1 << 63))), 32) * F.col("__spread")
-        dealt = dealt.join(F.broadcast(spread), "__range", "left")  # at most a row for each two ranges
-        dealt = dealt.withColumn("__range", F.col("__range") + F.coalesce(F.shiftright(share, 32), F.lit(0))).drop("__spread")
-    dealt = dealt.drop("__key")
+    dealt = with_ranges(df, key, tie, parts)
 
     inside = Window.partitionBy("__range").orderBy(F.col(key).desc_nulls_last(), F.col("__tie").desc())
     main = prepare(dealt).withColumn("__after", F.lead(F.struct(*columns)).over(inside))

@@ -105,16 +105,16 @@ def train(
     Shards of ``rows_per_shard`` rows are fitted side by side and their weights averaged (parameter mixing).
     """
     marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).filter("key is not null and y is not null")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marks = marks.join(rows.select("key"), "key", "left_semi")
     marks = marks.groupBy("key").agg(F.max("y").alias("y"))
-    total = marks.count()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    total = rows.select("key").join(marks, "key").count()
     if not total:
         return ToxicityModel(bits, gaps, -35.0, np.zeros(0, np.int64), np.zeros(0, np.float32))
     shards = max(1, -(-min(total, max_rows) // rows_per_shard))
-    sample = bounded_share(marks, F.col("key"), max_rows, total)
-    sample = rows.join(sample, "key").withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "key"), F.lit(shards)).cast("int"))
-    sample = sample.withColumn("place", F.struct(F.xxhash64(F.lit("place"), "key").alias("of_key"), F.xxhash64("text").alias("of_text")))
+    # rows, not keys, are bounded; rows with the same key and text are one
+    rows = rows.withColumn("place", F.struct(F.xxhash64(F.lit("place"), "key").alias("of_key"), F.xxhash64("text").alias("of_text")))
+    sample = bounded_share(rows, F.xxhash64("key", "text"), max_rows, total).join(marks, "key").dropDuplicates(["place"])
+    sample = sample.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "key", "text"), F.lit(shards)).cast("int"))
 
     @lean
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

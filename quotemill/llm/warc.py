@@ -201,6 +201,7 @@ def revisits(records: DataFrame, *, least: int = 0) -> DataFrame:
     own = records.filter((F.col("warc_type") == "response") & (F.col("payload_bytes") >= least))
     own = own.select("archive", "place", "page_id", "payload_digest", F.struct("page_id", "archive", "place", "url", "warc_date").alias("refers"))
     groups = own.groupBy("payload_digest").agg(F.max("refers").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1 and top.page_id is not null")
+    groups = settle(groups)  # written, so that Spark can split the records of a common payload
     found = own.join(groups, "payload_digest").filter("page_id is null or page_id < top.page_id")
     return found.select("archive", "place", F.col("top").alias("refers"))
 

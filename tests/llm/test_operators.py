@@ -376,12 +376,17 @@ def test_merged_transforms():
 
 
 def spot_set(text):
-    w = [x for x in spotsigs_split(text or "")]
-    content = [(i, x) for i, x in enumerate(w) if x not in spotsigs.ANCHORS]
-    out = {("^", tuple(x for _, x in content[:3]))} if content else set()
-    for i, x in enumerate(w):
+    """Signatures of common words, of content words that a hash chooses, and of the start."""
+    words = spotsigs_split(text or "")
+    content = [x for x in words if x not in spotsigs.ANCHORS]
+    out, at = {("^", tuple(content[:3]))} if content else set(), 0
+    for x in words:
         if x in spotsigs.ANCHORS:
-            out.add((x, tuple(y for j, y in content if j > i)[:3]))
+            out.add((x, tuple(content[at : at + 3])))
+            continue
+        at += 1
+        if xxhash.xxh64_intdigest(x, seed=xxhash.xxh64_intdigest("anchor", seed=42)) % spotsigs.ONE_IN == 0:
+            out.add((x, tuple(content[at : at + 3])))
     return out
 
 
@@ -411,6 +416,17 @@ def test_spotsigs(spark, small):
             linked = spotsigs.with_next(table, "doc_id", F.col("h"), lambda x: x, ["text"], rows_per_range=4)
             got = {(r.doc_id, r.text): r.next_text for r in linked.collect()}
             assert got == {(r.doc_id, r.text): order[(i + 1) % len(order)].text for i, r in enumerate(order)}
+        # texts that share long beginnings, keys that begin others, zero bytes, a hot key among them
+        r = random.Random(8)
+        names = [f"document-{i:07}" for i in range(200)] + [f"a/very/long/shared/path/{i % 7}/{i:05}.txt" for i in range(150)] + ["ab" + "\0" * i for i in range(30)] + ["é" * i for i in range(20)] + ["document-0000100"] * 60
+        r.shuffle(names)
+        table = spark.createDataFrame([(k, f"{i}") for i, k in enumerate(names)], "doc_id string, text string").withColumn("h", F.xxhash64("text"))
+        order = sorted(table.collect(), key=lambda x: (x.doc_id.encode(), x.h), reverse=True)
+        for per in (4, 25):
+            got = {x.text: x.next_text for x in spotsigs.with_next(table, "doc_id", F.col("h"), lambda x: x, ["text"], rows_per_range=per).collect()}
+            assert got == {x.text: order[(i + 1) % len(order)].text for i, x in enumerate(order)}
+        parts = spotsigs.with_ranges(table, "doc_id", F.col("h"), 100).groupBy("__range").count()
+        assert parts.count() > 40 and parts.agg(F.max("count")).first()[0] < 60
         return
     got = {r.doc_id: r for r in spotsigs.fingerprint_edits(df).collect()}
     for i, (k, t) in enumerate(rows):

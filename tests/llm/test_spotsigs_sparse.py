@@ -7,28 +7,7 @@ from pyspark.sql import functions as F
 
 from quotemill.llm import spotsigs
 
-from .test_operators import alike, spotsigs_split
-
-
-def spot_set(text):
-    """Signatures of anchors and, in runs where these are too few, of the content words beyond the first ones."""
-    content, out, run = [], set(), []
-    words = spotsigs_split(text)
-    total = sum(x not in spotsigs.ANCHORS for x in words)
-    far = spotsigs.CHAIN if total > spotsigs.SPARSE * (len(words) - total) else spotsigs.FAR
-    content, runs = [x for x in words if x not in spotsigs.ANCHORS], [[]]
-    at = 0
-    for x in words:
-        if x in spotsigs.ANCHORS:
-            out.add((x, *content[at : at + 3]))
-            runs.append([])
-        else:
-            runs[-1].append(at)
-            at += 1
-    for run in runs:
-        if len(run) > far:
-            out |= {tuple(content[c : c + 4]) for c in run[3:]}
-    return out | ({("^", *content[:3])} if content else set())
+from .test_operators import alike, spot_set
 
 
 def test_sparse_texts(spark):
@@ -53,3 +32,9 @@ def test_sparse_texts(spark):
     members, _ = spotsigs.matches(df)
     classes = dict(members.collect())
     assert classes[10] == 10 and classes[11] == 11
+    # one more word anywhere changes few signatures of a long text
+    long = plain(400)
+    w = long.split()
+    more = [" ".join([*w[:i], "inserted", *w[i:]]) for i in (0, 100, 399)]
+    signed = [set(r.signed) for r in spotsigs.with_signatures(spark.createDataFrame([(t,) for t in [long, *more]], "text string"), F.col("text"), "signed").collect()]
+    assert all(alike(signed[0], x) > 0.9 for x in signed[1:])
