@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.llm import jaccard_join, language_id, packing, suffix_dedup, toxicity
-from quotemill.llm.common import prefixed, settle, small_buffers, table, unprefixed
+from quotemill.llm.common import discard, prefixed, settle, small_buffers, table, unprefixed
 
 #: A document goes if less than this share of its letters is in words like those of any known language, or if it has no
 #: language; texts in several known languages stay.
@@ -79,7 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
+        discard(*written)  # what the stage has read
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
