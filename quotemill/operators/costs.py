@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timex
-
-SERIES = "(partition by venue, instrument order by ts_event)"
-
+from ..sources.schemas import K
+from .windows import with_previous
 
 def position_pnl(bars: DataFrame) -> DataFrame:
     """The position decided at a bar earns the move to the next one; ``traded`` is the size of the change."""
-    return bars.selectExpr("*", f"coalesce(lag(position) over {SERIES}, 0) as held", f"coalesce(close - lag(close) over {SERIES}, 0) as move").selectExpr("*", "held * move as pnl", "abs(position - held) as traded")
+    df = with_previous(bars, K, "ts_event", {"held": ("position", 1), "before": ("close", 1)}).withColumn("move", F.coalesce(F.col("close") - F.col("before"), F.lit(0.0)))
+    return df.fillna(0, ["held"]).drop("before").selectExpr("*", "held * move as pnl", "abs(position - held) as traded")
 
 
 def spread_cost(traded: Column, spread: Column) -> Column:

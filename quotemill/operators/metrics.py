@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import islands
+
 
 def daily_returns(fills: DataFrame) -> DataFrame:
     """Return of each strategy and day."""
@@ -43,10 +45,12 @@ def drawdowns(daily: DataFrame) -> DataFrame:
     return spells.groupBy("strategy_id").agg(F.min("depth").alias("depth"), F.max("days").alias("duration"), F.min_by(F.datediff("until", "low"), F.struct("depth", "low")).alias("recovery"))
 
 
-def trade_stats(daily: DataFrame) -> DataFrame:
+def trade_stats(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Statistics of results ``r``, one row a trade (or day): per trade, and per unit of the mean loss."""
+    by = by or ["strategy_id"]
     win, loss = F.when(F.col("r") > 0, F.col("r")), F.when(F.col("r") < 0, F.col("r"))
-    df = daily.groupBy("strategy_id").agg(F.sum(win).alias("w"), F.sum(loss).alias("l"), F.avg(win).alias("avg_win"), F.avg(loss).alias("avg_loss"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.avg("r").alias("expectancy"))
-    return df.select("strategy_id", F.try_divide("w", -F.col("l")).alias("profit_factor"), "win_rate", "avg_win", "avg_loss", F.try_divide("avg_win", -F.col("avg_loss")).alias("payoff"), "expectancy", F.try_divide("expectancy", -F.col("avg_loss")).alias("per_risk"))
+    df = results.groupBy(*by).agg(F.sum(win).alias("w"), F.sum(loss).alias("l"), F.avg(win).alias("avg_win"), F.avg(loss).alias("avg_loss"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.avg("r").alias("expectancy"))
+    return df.select(*by, F.try_divide("w", -F.col("l")).alias("profit_factor"), "win_rate", "avg_win", "avg_loss", F.try_divide("avg_win", -F.col("avg_loss")).alias("payoff"), "expectancy", F.try_divide("expectancy", -F.col("avg_loss")).alias("per_risk"))
 
 
 def moments(daily: DataFrame) -> DataFrame:
@@ -55,8 +59,7 @@ def moments(daily: DataFrame) -> DataFrame:
 
 def trades(positions: DataFrame, by: list[str]) -> DataFrame:
     """Runs of one sign of ``position`` with entry, exit, bars and the sum of ``pnl``; flat runs are left out."""
-    w = f"(partition by {', '.join(by)} order by ts_event)"
-    df = positions.selectExpr("*", f"case when signum(position) <=> lag(signum(position)) over {w} then 0 else 1 end as fresh").selectExpr("*", f"sum(fresh) over {w} as run")
+    df = islands(positions.withColumn("__sign", F.signum("position")), by, ["ts_event"], "__sign", "run").drop("__sign")
     return df.filter("position != 0").groupBy(*by, "run").agg(F.min("ts_event").alias("entry"), F.max("ts_event").alias("exit"), F.count(F.lit(1)).alias("bars"), F.first(F.signum("position")).alias("side"), F.sum("pnl").alias("pnl"))
 
 

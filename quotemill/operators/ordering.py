@@ -27,14 +27,22 @@ def refetched(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def latest_wins(df: DataFrame, key: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(current rows, superseded rows): the last observation of a key stands, the others are logged."""
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])))
-    return ranked.filter("rank = 1").drop("rank"), ranked.filter("rank > 1")
-
-
-def monotonic(df: DataFrame, by: list[str], time: str, position: str) -> DataFrame:
-    """``backwards`` where the time is before that of the row before."""
-    return df.withColumn("backwards", F.coalesce(F.col(time) < F.lag(time).over(Window.partitionBy(*by).orderBy(position)), F.lit(False)))
+    """(current rows, superseded rows): the last observation of a key stands, the others are logged, each with ``superseded_by``, the order values of
+    the next later one, and ``rank``, how many there are after it."""
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
+    ranked = df.withColumns({"rank": F.row_number().over(w) - 1, "superseded_by": F.lag(F.struct(*order)).over(w)})
+    return ranked.filter("rank = 0").drop("rank", "superseded_by"), ranked.filter("rank > 0")
+
+
+def monotonic(df: DataFrame, by: list[str], time: str, position: str, size: int = 100_000) -> DataFrame:
+    """``backwards`` where the time is before that of the row before. Rows are put into chunks of ``size`` positions; a chunk's first row looks
+    at the last one of the chunk before, in a table with a row for each chunk."""
+    own = df.withColumn("__chunk", F.floor(F.col(position) / size))
+    inside = Window.partitionBy(*by, "__chunk").orderBy(position)
+    ends = own.groupBy(*by, "__chunk").agg(F.max_by(F.struct(F.col(time).alias("t")), position).alias("__end"))
+    ends = ends.withColumn("__end", F.lag("__end").over(Window.partitionBy(*by).orderBy("__chunk"))).withColumnRenamed("__end", "__before")
+    out = own.withColumn("__inside", F.lag(F.struct(F.col(time).alias("t"))).over(inside)).join(ends, [*by, "__chunk"])
+    return out.withColumn("backwards", F.coalesce(F.col(time) < F.coalesce("__inside", "__before")["t"], F.lit(False))).drop("__chunk", "__inside", "__before")
 
 
 def deduplicated(df: DataFrame, key: list[str]) -> DataFrame:

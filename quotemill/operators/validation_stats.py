@@ -75,6 +75,59 @@ def split_sharpes(daily: DataFrame, n: int, k: int) -> DataFrame:
     return sums.select("split", "strategy_id", sharpe_of(F.col("n1"), F.col("s1"), F.col("q1")).alias("chosen"), sharpe_of(F.col("n0"), F.col("s0"), F.col("q0")).alias("other"))
 
 
+def path_blocks(n: int, k: int) -> list[tuple[int, int, int]]:
+    """(path, split, block): the splits that test a block, in order, go to one path each, so each path tests every block once."""
+    of_block: dict[int, int] = {b: 0 for b in range(n)}
+    out = []
+    for split, chosen in enumerate(combinations(range(n), k)):
+        for b in chosen:
+            out.append((of_block[b], split, b))
+            of_block[b] += 1
+    return out
+
+
+def training_parts(n: int, k: int) -> list[tuple[int, int, str]]:
+    """(split, block, part): what a split trains on: the blocks that it doesn't test, without the head of one after a tested block and
+    without the tail of one before."""
+    out = []
+    for split, chosen in enumerate(combinations(range(n), k)):
+        for b in set(range(n)) - set(chosen):
+            parts = ["core", *["head"] * (b - 1 not in chosen), *["tail"] * (b + 1 not in chosen)]
+            out += [(split, b, p) for p in parts]
+    return out
+
+
+def cpcv_paths(daily: DataFrame, n: int, k: int, embargo_days: int) -> DataFrame:
+    """path, day, split, strategy_id, r and equity of the C(n, k) k / n backtest paths of combinatorial purged cross-validation.
+
+    Every split picks the strategy with the best Sharpe ratio on its training blocks, purged by ``embargo_days`` next to tested ones, and follows it
+    in its test blocks; each (split, test block) belongs to one path, so a path has every day once. Days are first reduced to moments of the
+    head, core and tail of each block; a day on which the strategy did nothing counts as 0.
+    """
+    spark = daily.sparkSession
+    span = daily.agg(F.min(F.unix_date("day")).alias("lo"), (F.max(F.unix_date("day")) + 1).alias("hi"))
+    d = F.unix_date("day")
+    df = daily.crossJoin(F.broadcast(span)).withColumn("block", F.floor(n * (d - F.col("lo")) / (F.col("hi") - F.col("lo"))))  # one row
+    edge = lambda i: F.col("lo") + i * (F.col("hi") - F.col("lo")) / n
+    part = F.when(d < edge(F.col("block")) + embargo_days, "head").when(d >= edge(F.col("block") + 1) - embargo_days, "tail").otherwise("core")
+    moments = df.groupBy("strategy_id", "block", part.alias("part")).agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
+    allowed = F.broadcast(spark.createDataFrame(training_parts(n, k), "split long, block long, part string"))  # at most 3 n rows a split
+    sums = moments.join(allowed, ["block", "part"]).groupBy("split", "strategy_id").agg(*[F.sum(c).alias(c) for c in "nsq"])
+    inside = sums.withColumn("inside", sharpe_of(F.col("n"), F.col("s"), F.col("q")))
+    best = inside.groupBy("split").agg(F.max_by("strategy_id", F.struct(F.round("inside", 12), "strategy_id")).alias("strategy_id"))
+    stitched = spark.createDataFrame(path_blocks(n, k), "path long, split long, block long").join(best, "split")
+    days = df.select("day", "block").distinct().join(stitched, "block")
+    out = days.join(daily, ["day", "strategy_id"], "left").select("path", "day", "split", "strategy_id", F.coalesce("r", F.lit(0.0)).alias("r"))
+    return out.withColumn("equity", F.exp(F.sum(F.ln(1 + F.col("r"))).over(Window.partitionBy("path").orderBy("day"))))  # a row a day
+
+
+def path_sharpes(paths: DataFrame) -> DataFrame:
+    """Of each path its days, Sharpe ratio a day and growth, beside the median, the 5th percentile and the share at or below 0 of all paths."""
+    each = paths.groupBy("path").agg(F.count(F.lit(1)).alias("days"), F.countDistinct("day").alias("distinct_days"), F.try_divide(F.avg("r"), F.stddev_samp("r")).alias("sharpe"), F.sum(F.ln(1 + F.col("r"))).alias("growth"))
+    all_paths = each.agg(F.expr("percentile(sharpe, 0.5)").alias("median"), F.expr("percentile(sharpe, 0.05)").alias("p5"), F.avg((F.col("sharpe") <= 0).cast("double")).alias("not_positive"))
+    return each.crossJoin(F.broadcast(all_paths))  # one row
+
+
 def overfitting(daily: DataFrame, n: int = 8) -> DataFrame:
     """Probability of backtest overfitting: how often the best on one half of the blocks is in the lower half on the other."""
     sh = split_sharpes(daily, n, n // 2)
@@ -113,7 +166,8 @@ def bootstrap(returns: DataFrame, replicates: int, seed: str, block: int = 1) ->
 
 
 def plateau(grid: DataFrame, near: float = 0.7) -> DataFrame:
-    """Cells of a parameter grid (x, y, metric) and whether all neighbours reach ``near`` of their metric."""
-    n = grid.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("metric").alias("nm"))
-    close = (F.abs(F.col("x") - F.col("nx")) <= 1) & (F.abs(F.col("y") - F.col("ny")) <= 1) & ~((F.col("x") == F.col("nx")) & (F.col("y") == F.col("ny")))
-    return grid.join(F.broadcast(n), close).groupBy("x", "y", "metric").agg(F.min("nm").alias("worst")).withColumn("plateau", F.col("worst") >= near * F.col("metric"))
+    """Cells of a parameter grid (x, y, metric) and whether all neighbours reach ``near`` of their metric. A cell tells its metric to
+    the eight around it, so cells are joined by their place."""
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    told = grid.select("*", F.explode(around).alias("o")).select((F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"), F.col("metric").alias("nm"))
+    return grid.join(told, ["x", "y"]).groupBy("x", "y", "metric").agg(F.min("nm").alias("worst")).withColumn("plateau", F.col("worst") >= near * F.col("metric"))

@@ -33,6 +33,13 @@ def chunked(df: DataFrame, by: list[str], time: str, lookback: int, size: int =
     return out.withColumn("halo", F.col("__next") == 1).withColumn("chunk", F.col("chunk") + F.col("__next")).drop("__next")
 
 
+def with_previous(df: DataFrame, by: list[str], time: str, columns: dict[str, tuple[str, int]], order: list[str] | None = None, size: int = 20_000) -> DataFrame:
+    """``df`` with columns of rows before: a name, and of which column and how many rows before. A series is cut into chunks."""
+    own = chunked(df, by, time, max(n for _, n in columns.values()), size, order)
+    w = Window.partitionBy(*by, "chunk").orderBy("rn")
+    return own.withColumns({name: F.lag(c, n).over(w) for name, (c, n) in columns.items()}).filter("not halo").drop("rn", "chunk", "halo")
+
+
 def running_sum(df: DataFrame, by: list[str], chunk: str, order: str, value: str, name: str) -> DataFrame:
     """``name``: the sum of ``value`` up to a row: that in its chunk and, from a table with a row per chunk, that of the chunks before."""
     sums = df.groupBy(*by, chunk).agg(F.sum(value).alias("__sum"))

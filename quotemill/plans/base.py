@@ -546,6 +546,13 @@ def _(spark, sf):
     return current.select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("price"))
 
 
+@query("ord4b_supersession_log", "select o_custkey, o_orderkey, epoch_us(o_orderdate) as date_us, epoch_us(lag(o_orderdate) over w) as by_date_us, lag(o_orderkey) over w as by_orderkey, row_number() over w - 1 as rank from orders window w as (partition by o_custkey order by o_orderdate desc, o_orderkey desc) qualify row_number() over w > 1")
+def _(spark, sf):
+    """Every observation that a later one replaced, with the one that did."""
+    _, old = O.latest_wins(views.table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return old.select("o_custkey", "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("date_us"), F.unix_micros(F.col("superseded_by.o_orderdate").cast("timestamp")).alias("by_date_us"), F.col("superseded_by.o_orderkey").alias("by_orderkey"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("ord5_monotonic", ctes(TICKS_SQL) + "select source, instrument, count(*) filter (where b) as backwards, count(*) as n from (select *, coalesce(ts_recv < lag(ts_recv) over (partition by source, instrument order by seq), false) as b from ticks) group by all")
 def _(spark, sf):
     return O.monotonic(views.ticks(spark, sf), ["source", "instrument"], "ts_recv", "seq").groupBy("source", "instrument").agg(F.count_if("backwards").alias("backwards"), F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from ..operators import asof as J
 from ..operators import bars as B
 from ..operators import metrics as M
 from ..operators import validation_stats as V
+from ..operators.windows import with_previous
 from ..sources import views
 from ..sources.schemas import K
 from ..sources.views import FILLS_SQL, ORDERS_SQL, TICKS_SQL, TIER1_SQL
@@ -31,9 +32,9 @@ def _daily(spark, sf):
 
 
 def positions(spark, sf):
-    w = "(partition by venue, instrument order by ts_event)"
     b = B.time_bars(views.ticks(spark, sf)).withColumn("position", F.signum(F.col("close") - F.col("open")))
-    return b.withColumn("pnl", F.expr(f"lag(position) over {w} * (close - lag(close) over {w})"))
+    b = with_previous(b, K, "ts_event", {"held": ("position", 1), "before": ("close", 1)})
+    return b.withColumn("pnl", F.col("held") * (F.col("close") - F.col("before"))).drop("held", "before")
 
 
 @query(
@@ -81,7 +82,7 @@ def _(spark, sf):
     + "select venue, instrument, cast(sum(abs(d)) as bigint) as turnover, round(any_value(holding), 6) as holding_bars, round(avg((position <> 0)::int::double), 6) as exposure, round(sum(abs(d) * spread_mean / 2) / nullif(abs(sum(pnl)), 0), 4) as cost_ratio, count(*) as n from g join h using (venue, instrument) group by all",
 )
 def _(spark, sf):
-    df = positions(spark, sf).withColumn("d", F.expr("position - coalesce(lag(position) over (partition by venue, instrument order by ts_event), 0)"))
+    df = with_previous(positions(spark, sf), K, "ts_event", {"held": ("position", 1)}).withColumn("d", F.col("position") - F.coalesce("held", F.lit(0.0)))
     held = M.trades(positions(spark, sf), K).groupBy(*K).agg(F.avg("bars").alias("holding"))
     df = df.groupBy(*K).agg(
         F.sum(F.abs("d")).cast("long").alias("turnover"), F.round(F.avg((F.col("position") != 0).cast("double")), 6).alias("exposure"),
@@ -187,10 +188,70 @@ def _split_sql(n: int, k: int) -> str:
     )
 
 
-@query("st3_cpcv", ctes(*D, _split_sql(6, 2)) + "select strategy_id, round(quantile_cont(chosen, 0.5), 6) as median, round(quantile_cont(chosen, 0.05), 6) as p5, round(avg((chosen <= 0)::int::double), 6) as not_positive, count(*) as paths from sh group by 1")
+@query("st3b_split_sharpes", ctes(*D, _split_sql(6, 2)) + "select strategy_id, round(quantile_cont(chosen, 0.5), 6) as median, round(quantile_cont(chosen, 0.05), 6) as p5, round(avg((chosen <= 0)::int::double), 6) as not_positive, count(*) as splits from sh group by 1")
 def _(spark, sf):
+    """Each strategy on its own over the 15 choices of test blocks."""
     sh = V.split_sharpes(_daily(spark, sf), 6, 2)
-    return sh.groupBy("strategy_id").agg(F.round(F.expr("percentile(chosen, 0.5)"), 6).alias("median"), F.round(F.expr("percentile(chosen, 0.05)"), 6).alias("p5"), F.round(F.avg((F.col("chosen") <= 0).cast("double")), 6).alias("not_positive"), F.count(F.lit(1)).alias("paths"))
+    return sh.groupBy("strategy_id").agg(F.round(F.expr("percentile(chosen, 0.5)"), 6).alias("median"), F.round(F.expr("percentile(chosen, 0.05)"), 6).alias("p5"), F.round(F.avg((F.col("chosen") <= 0).cast("double")), 6).alias("not_positive"), F.count(F.lit(1)).alias("splits"))
+
+
+def _cpcv_sql(n: int, k: int, embargo: int) -> tuple[str, ...]:
+    """Splits, the parts of blocks that each may train on, and the path that each of its test blocks belongs to, as literal tables."""
+    parts = ", ".join(f"({s}, {b}, '{p}')" for s, b, p in V.training_parts(n, k))
+    paths = ", ".join(f"({p}, {s}, {b})" for p, s, b in V.path_blocks(n, k))
+    edge = lambda i: f"lo + {i} * (hi - lo) / {n}::double"
+    return (
+        f"tr as (select * from (values {parts}) t(split, block, part))", f"pa as (select * from (values {paths}) t(path, split, block))",
+        "sn as (select min(day) - date '1970-01-01' as lo, max(day) - date '1970-01-01' + 1 as hi from daily)",
+        f"bd as (select daily.*, day - date '1970-01-01' as d, cast(floor({n} * ((day - date '1970-01-01') - lo) / (hi - lo)::double) as bigint) as block, lo, hi from daily, sn)",
+        f"bp as (select *, case when d < {edge('block')} + {embargo} then 'head' when d >= {edge('(block + 1)')} - {embargo} then 'tail' else 'core' end as part from bd)",
+        "mo as (select split, strategy_id, count(*) as n, sum(r) as s, sum(r * r) as q from bp join tr using (block, part) group by 1, 2)",
+        "sh as (select *, (s / n) / nullif(sqrt(greatest((q - n * (s / n) * (s / n)) / (n - 1), 0)), 0) as inside from mo)",
+        "be as (select split, strategy_id from sh qualify row_number() over (partition by split order by round(inside, 12) desc nulls last, strategy_id desc) = 1)",
+        "dy as (select distinct day, block from bd)",
+        "st as (select path, dy.day, split, be.strategy_id, coalesce(d.r, 0) as r from pa join dy using (block) join be using (split) left join daily d on d.day = dy.day and d.strategy_id = be.strategy_id)",
+        "eq as (select *, exp(sum(ln(1 + r)) over (partition by path order by day)) as equity from st)",
+    )
+
+
+@query(
+    "st3_cpcv",
+    ctes(*D, *_cpcv_sql(6, 2, 5), "ps as (select path, count(*) as days, count(distinct day) as distinct_days, avg(r) / nullif(stddev_samp(r), 0) as sharpe, sum(ln(1 + r)) as growth from st group by 1)")
+    + "select path::bigint as path, days, distinct_days, round(sharpe, 6) as sharpe, round(growth, 6) as growth, round(quantile_cont(sharpe, 0.5) over (), 6) as median, round(quantile_cont(sharpe, 0.05) over (), 6) as p5, round(avg((sharpe <= 0)::int::double) over (), 6) as not_positive from ps",
+)
+def _(spark, sf):
+    """The five stitched paths of C(6, 2), their Sharpe ratios and the distribution of these."""
+    return V.path_sharpes(V.cpcv_paths(_daily(spark, sf), 6, 2, 5)).select("path", "days", "distinct_days", *r6("sharpe", "growth", "median", "p5", "not_positive"))
+
+
+@query("met13b_path_fan", ctes(*D, *_cpcv_sql(6, 2, 5)) + "select cast(day as varchar) as day, round(quantile_cont(equity, 0.05), 6) as p5, round(quantile_cont(equity, 0.5), 6) as p50, round(quantile_cont(equity, 0.95), 6) as p95, count(*) as paths from eq group by 1")
+def _(spark, sf):
+    """Quantiles of equity at each day across the stitched paths."""
+    q = [F.round(F.expr(f"percentile(equity, {x / 100})"), 6).alias(f"p{x}") for x in (5, 50, 95)]
+    return V.cpcv_paths(_daily(spark, sf), 6, 2, 5).groupBy(F.col("day").cast("string").alias("day")).agg(*q, F.count(F.lit(1)).alias("paths"))
+
+
+_TRADE_SQL = (
+    "tf as (select *, case when position is not distinct from lag(position) over w then 0 else 1 end as fresh from pos window w as (partition by venue, instrument order by ts_event))",
+    "tg as (select *, sum(fresh) over (partition by venue, instrument order by ts_event) as run from tf)",
+    "trades as (select venue, instrument, run, round(coalesce(sum(pnl), 0), 9) as r from tg where position <> 0 group by venue, instrument, run)",
+)
+
+
+def _trades(spark, sf):
+    return M.trades(positions(spark, sf), K).select(*K, F.round(F.coalesce("pnl", F.lit(0.0)), 9).alias("r"))
+
+
+@query("met4b_trade_level", ctes(*BARS, POS_SQL, *_TRADE_SQL) + "select instrument, round(w / -l, 6) as profit_factor, round(win_rate, 6) as win_rate, round(aw, 6) as avg_win, round(al, 6) as avg_loss, round(aw / -al, 6) as payoff, round(e, 6) as expectancy, round(e / -al, 6) as per_risk from (select instrument, sum(r) filter (where r > 0) as w, sum(r) filter (where r < 0) as l, avg(r) filter (where r > 0) as aw, avg(r) filter (where r < 0) as al, avg((r > 0)::int::double) as win_rate, avg(r) as e from trades group by 1)")
+def _(spark, sf):
+    """The statistics of MET-4 per trade: a run of bars with one sign of the position."""
+    return M.trade_stats(_trades(spark, sf), ["instrument"]).select("instrument", *r6("profit_factor", "win_rate", "avg_win", "avg_loss", "payoff", "expectancy", "per_risk"))
+
+
+@query("met13c_trade_histogram", ctes(*BARS, POS_SQL, *_TRADE_SQL) + "select instrument, cast(least(greatest(floor(round((r + 50) / 10, 6)) + 1, 0), 11) as bigint) as bin, count(*) as n from trades group by 1, 2")
+def _(spark, sf):
+    bin_of = F.least(F.greatest(F.floor(F.round((F.col("r") + 50) / 10, 6)) + 1, F.lit(0)), F.lit(11)).cast("long")
+    return _trades(spark, sf).groupBy("instrument", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -287,24 +348,25 @@ _SHIFTS = {"early": "p0", "on_time": "p1", "late": "p2"}
 
 @query("st9_entry_timing", ctes(*BARS, POS_SQL, f"s as (select *, position as p0, lag(position, 1) over {_PW} as p1, lag(position, 2) over {_PW} as p2, lag(close) over {_PW} as back from pos)") + "select venue, instrument, " + ", ".join(f"round(sum({p} * (close - back)), 6) as {n}" for n, p in _SHIFTS.items()) + " from s group by all")
 def _(spark, sf):
-    s = positions(spark, sf).selectExpr("*", "position as p0", f"lag(position, 1) over {_PW} as p1", f"lag(position, 2) over {_PW} as p2", f"lag(close) over {_PW} as back")
+    s = with_previous(positions(spark, sf).withColumn("p0", F.col("position")), K, "ts_event", {"p1": ("position", 1), "p2": ("position", 2), "back": ("close", 1)})
     return s.groupBy(*K).agg(*[F.expr(f"round(sum({p} * (close - back)), 6)").alias(n) for n, p in _SHIFTS.items()])
 
 
 _GRID = [(x, y) for x in range(1, 5) for y in range(1, 4)]
-_GRID_SQL = "grid as (" + " union all ".join(f"select {x} as x, {y} as y, sum(abs(close - lag_{x}) / {y}) as metric from lags" for x, y in _GRID) + ")"
+_GRID_SQL = "grid as (" + " union all ".join(f"select {x} as x, {y} as y, sum(cast(abs(close - lag_{x}) as decimal(18, 6)))::double / {y} as metric from lags" for x, y in _GRID) + ")"
 
 
 @query(
     "st10_plateau",
     ctes(*BARS, "lags as (select *, " + ", ".join(f"lag(close, {x}) over {_PW} as lag_{x}" for x in range(1, 5)) + " from bars)", _GRID_SQL)
-    + "select g.x::bigint as x, g.y::bigint as y, round(g.metric, 4) as metric, min(n.metric) >= 0.7 * g.metric as plateau from grid g join grid n on abs(g.x - n.x) <= 1 and abs(g.y - n.y) <= 1 and not (g.x = n.x and g.y = n.y) group by g.x, g.y, g.metric",
+    + "select g.x::bigint as x, g.y::bigint as y, round(g.metric, 8) as metric, min(n.metric) >= 0.7 * g.metric as plateau from grid g join grid n on abs(g.x - n.x) <= 1 and abs(g.y - n.y) <= 1 and not (g.x = n.x and g.y = n.y) group by g.x, g.y, g.metric",
 )
 def _(spark, sf):
-    lags = B.time_bars(views.ticks(spark, sf)).selectExpr("close", *[f"lag(close, {x}) over {_PW} as lag_{x}" for x in range(1, 5)])
-    wide = lags.agg(*[F.sum(F.abs(F.col("close") - F.col(f"lag_{x}")) / y).alias(f"{x}_{y}") for x, y in _GRID])
+    """Sums of decimals, so that a metric doesn't depend on the order of its rows."""
+    lags = with_previous(B.time_bars(views.ticks(spark, sf)), K, "ts_event", {f"lag_{x}": ("close", x) for x in range(1, 5)})
+    wide = lags.agg(*[(F.sum(F.abs(F.col("close") - F.col(f"lag_{x}")).cast("decimal(18,6)")).cast("double") / y).alias(f"{x}_{y}") for x, y in _GRID])
     cells = F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y"), F.col(f"{x}_{y}").alias("metric")) for x, y in _GRID])).alias("c")
-    return V.plateau(wide.select(cells).select("c.*")).select("x", "y", F.round("metric", 4).alias("metric"), "plateau")
+    return V.plateau(wide.select(cells).select("c.*")).select("x", "y", F.round("metric", 8).alias("metric"), "plateau")
 
 
 @query("st11_breadth", ctes(FILLS_SQL) + "select instrument, count(*) as trades, round(avg((discount - 0.05::double) * qty), 6) as mean, count(*) >= 200 as enough from fills group by 1")

@@ -167,3 +167,17 @@ def test_forecast_weights(spark):
     assert out.fdm.iloc[0] == pytest.approx(1 / np.sqrt(w @ corr @ w))
     later = PF.combined(df.union(spark.createDataFrame([("v", "i", 500, 1e6, -1e6, 1e6)], df.schema)), weights, F.col("t") < 120).filter("t < 500").orderBy("t").toPandas()
     assert out.equals(later)
+
+
+@pytest.mark.parametrize(("n", "k"), [(6, 2), (5, 3), (8, 4)])
+def test_paths_cover_every_block_once(n, k):
+    from collections import Counter
+    from math import comb
+
+    from quotemill.operators.validation_stats import path_blocks, training_parts
+
+    rows = path_blocks(n, k)
+    assert Counter(p for p, _, _ in rows) == {p: n for p in range(comb(n, k) * k // n)} and len({(p, b) for p, _, b in rows}) == len(rows) == len({(s, b) for _, s, b in rows})
+    tested = {(s, b) for _, s, b in rows}
+    for s, b, part in training_parts(n, k):
+        assert (s, b) not in tested and not (part == "head" and (s, b - 1) in tested) and not (part == "tail" and (s, b + 1) in tested)
