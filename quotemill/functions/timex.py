@@ -95,17 +95,6 @@ def minutes_to_new_york_close(ts: Column) -> Column:
     return F.floor((F.unix_micros(_boundary(session_date(ts), NEW_YORK, FX_SHIFT)) - F.unix_micros(ts)) / 60_000_000)
 
 
-def value_date(day: Column) -> Column:
-    """Settlement date of a trade of ``day``: two business days on."""
-    return F.date_add(day, F.when(F.weekday(day).isin(3, 4), 4).otherwise(2))
-
-
-def swap_days(day: Column) -> Column:
-    """Nights that the roll of ``day`` counts for: from its settlement date to that of the next business day; none at weekends."""
-    weekday = F.weekday(day)
-    return F.when(weekday < 5, F.datediff(value_date(F.date_add(day, F.when(weekday == 4, 3).otherwise(1))), value_date(day))).otherwise(0)
-
-
 def utc_offset_hours(day: Column, zone: str) -> Column:
     """Offset of the zone at noon UTC."""
     noon = day.cast("timestamp_ntz") + F.expr("interval 12 hours")

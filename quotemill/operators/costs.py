@@ -25,12 +25,13 @@ def slippage(spread: Column, size: Column, typical: Column, atr: Column, move: C
     return a + b * spread + c * size / typical * atr + F.when(F.abs(move) > k * atr, jump * F.abs(move)).otherwise(0.0)
 
 
-def swap_nights(holdings: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per rollover (17:00 New York) a position is held over, with the days that roll counts for by the settlement calendar."""
+def swap_nights(holdings: DataFrame, start: str, end: str, settlement: DataFrame) -> DataFrame:
+    """One row per rollover (17:00 New York) a position is held over, with the days that roll counts for: ``settlement`` has
+    ``swap_days`` of each instrument and date."""
     day = lambda c: (timex.local(F.col(c), timex.NEW_YORK) + F.expr("interval 7 hours")).cast("date")  # noqa: E731  the session's date
     held = holdings.withColumns({"__a": day(start), "__b": day(end)}).filter("__b > __a")
     nights = held.withColumn("night", F.explode(F.sequence("__a", F.date_sub("__b", 1)))).drop("__a", "__b")
-    return nights.withColumn("swap_days", timex.swap_days(F.col("night")))
+    return nights.join(settlement.select("instrument", F.col("date").alias("night"), "swap_days"), ["instrument", "night"])
 
 
 def breakdown(df: DataFrame, by: list[str], lines: list[str]) -> DataFrame:

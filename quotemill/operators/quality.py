@@ -92,6 +92,19 @@ def freshness(ticks: DataFrame, now: Column, stale: int = 10, broken: int = 60)
     return out.withColumn("state", F.when(F.col("age_s") > broken, "BREAK").when(F.col("age_s") > stale, "STALE").otherwise("FRESH"))
 
 
+def freshness_at(instants: DataFrame, ticks: DataFrame, intervals: DataFrame, stale: float = 10, broken: float = 60) -> DataFrame:
+    """``instants`` (K, at) with ``expected`` liquidity, ``age_s`` since the last receipt that is no backfill, and the state it means. Where no full
+    liquidity is expected nothing is stale."""
+    from ..sources.calendars import with_expected_liquidity
+    from .asof import asof
+
+    received = ticks.filter("not backfilled").select(*K, F.col("ts_recv").alias("__recv"), F.col("ts_recv").alias("last"))
+    df = asof(with_expected_liquidity(instants, intervals, "at"), received, K, "at", "__recv", ["last"])
+    df = df.withColumn("age_s", (F.unix_micros("at") - F.unix_micros("last")) / 1_000_000)
+    state = F.when(F.col("expected") != "FULL", "NOT_EXPECTED").when(F.col("age_s").isNull() | (F.col("age_s") > broken), "BREAK").when(F.col("age_s") > stale, "STALE").otherwise("FRESH")
+    return df.withColumn("state", state)
+
+
 def divergence(joined: DataFrame, by: list[str], threshold: float, seconds: float) -> DataFrame:
     """Stretches in which two mids (``mid``, ``other``) differ by over ``threshold`` for over ``seconds``; a missing other
     side is reported as not evaluable."""

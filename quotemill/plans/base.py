@@ -9,7 +9,7 @@ from ..functions import provenance, timex, validate
 from ..operators import bars as B
 from ..operators import ordering as O
 from ..operators.windows import chunked, indexed
-from ..sources import io, views
+from ..sources import calendars, io, views
 from ..sources.schemas import K, TICKS, require_schema
 from ..sources.views import FILLS_SQL, INSTRUMENTS, ORDERS_SQL, PIT_SQL, TICKS_SQL
 from .registry import ctes, query
@@ -121,6 +121,25 @@ def _(spark, sf):
     return t("supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("n"))
 
 
+THIN_SQL = "thin as (select * from (values " + ", ".join(f"('{i}', timestamp '{d}' + interval {m} minute, timestamp '{d}' + interval 1 day, '{k}')" for names, d, k, m, _, _ in calendars.LIQUIDITY if k != "FULL" and d != "2024-01-16" for i in names) + ") t(instrument, since, until, liquidity))"
+_MINUTE = lambda c: f"(hour(timezone('Europe/London', timezone('UTC', {c}))) * 60 + minute(timezone('Europe/London', timezone('UTC', {c}))))"
+
+
+def expected_sql(c: str) -> str:
+    """Expected liquidity at the instant ``c`` of a row ``x``; in January London has UTC."""
+    return f"case when isodow({label_sql(c)}) > 5 then 'CLOSED' when exists (select 1 from thin where thin.instrument = x.instrument and {c} >= since and {c} < until) then (select liquidity from thin where thin.instrument = x.instrument and {c} >= since and {c} < until) when {_MINUTE(c)} < 420 or {_MINUTE(c)} >= 1020 then 'OFF_HOURS' else 'FULL' end"
+
+
+def thin(spark):
+    """Intervals of less than full liquidity as known at the start of 2024; a date declared closed and withdrawn before is none."""
+    return calendars.thin_intervals(calendars.known_calendar(calendars.liquidity(spark), F.lit("2024-01-01").cast("timestamp")))
+
+
+@query("src10b_liquidity_calendar", ctes(TICKS_SQL, THIN_SQL) + f"select venue, instrument, expected, count(*) as n from (select x.*, {expected_sql('ts_event')} as expected from ticks x) group by all")
+def _(spark, sf):
+    return calendars.with_expected_liquidity(views.ticks(spark, sf).select(*K, "ts_event"), thin(spark), "ts_event").groupBy(*K, "expected").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("src11_manifest_check", "select s_suppkey as source_id, s_suppkey % 7 <> 0 and s_suppkey % 5 <> 0 as accepted, (case when s_suppkey % 7 = 0 then 1 else 0 end) + (case when s_suppkey % 5 = 0 then 1 else 0 end) as n_missing from supplier")
 def _(spark, sf):
     df = views.table(spark, sf, "supplier").select(
@@ -410,11 +429,28 @@ def _(spark, sf):
     return df.groupBy("instrument", at.cast("date").cast("string").alias("day")).agg(F.count_if((m >= F.col("a")) & (m < F.col("b"))).alias("inside"), F.count(F.lit(1)).alias("n"))
 
 
-@query("tim14_swap_days", "select day, case isodow(cast(day as date)) when 3 then 3 when 6 then 0 when 7 then 0 else 1 end as swap_days from (select distinct cast(o_orderdate as date)::varchar as day from orders)")
+_SHUT = " or ".join("(instrument in (" + ", ".join(f"'{i}'" for i, cs in calendars.CURRENCIES.items() if c in cs) + f") and month(d) = {m} and day(d) = {n})" for c, x in calendars.BANK_HOLIDAYS.items() for m, n in x)
+#: Settlement days: for each weekday the second value date after it, found by counting value dates.
+SETTLED_SQL = (
+    "dr as (select min(cast(o_orderdate as date)) as a, max(cast(o_orderdate as date)) + 40 as b from orders)",
+    f"cal as (select instrument, d, isodow(d) <= 5 and not ({_SHUT}) as good from (select cast(unnest(generate_series((a - 10)::timestamp, (b + 30)::timestamp, interval 1 day)) as date) as d from dr), (values ('GBP_USD'), ('EUR_USD'), ('US500'), ('UK100'), ('GER40')) t(instrument))",
+    "gd as (select instrument, d, lead(d, 1) over w as one, lead(d, 2) over w as two from cal where good window w as (partition by instrument order by d))",
+    "sp as (select c.instrument, c.d, c.good, case when c.good then g.two else g.two end as spot from cal c asof join gd g on c.instrument = g.instrument and c.d >= g.d)",
+    "swp as (select s.instrument, s.d, s.good, s.spot, case when isodow(s.d) > 5 then 0 else n.spot - s.spot end as swap_days from sp s join sp n on n.instrument = s.instrument and n.d = s.d + case isodow(s.d) when 5 then 3 else 1 end)",
+)
+
+
+def settled(spark, sf):
+    """The settlement calendar over the dates of the orders."""
+    span = views.table(spark, sf, "orders").agg(F.min(F.to_date("o_orderdate")).cast("string").alias("a"), F.date_add(F.max(F.to_date("o_orderdate")), 40).cast("string").alias("b")).first()
+    return calendars.settlement(spark, span["a"] or "2000-01-01", span["b"] or "2000-01-01")
+
+
+@query("tim14_swap_days", ctes(*SETTLED_SQL) + "select instrument, d::varchar as day, good as is_value_date, spot::varchar as spot, swap_days from swp where d in (select cast(o_orderdate as date) from orders)")
 def _(spark, sf):
-    """Value dates between the settlement (two business days on) of tonight's roll and of tomorrow's."""
-    days = views.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
-    return days.select(F.col("d").cast("string").alias("day"), timex.swap_days(F.col("d")).cast("long").alias("swap_days"))
+    """Days between the settlement (two business days of both currencies on) of tonight's roll and of the next weekday's; holidays move the triple day."""
+    days = views.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return settled(spark, sf).join(days, "date").select("instrument", F.col("date").cast("string").alias("day"), "is_value_date", F.col("spot").cast("string").alias("spot"), F.col("swap_days").cast("long").alias("swap_days"))
 
 
 @query(

@@ -9,10 +9,10 @@ from ..operators import asof as J
 from ..operators import bars as B
 from ..operators import quality as Q
 from ..operators.crossing import first_crossing
-from ..sources import views
+from ..sources import calendars, views
 from ..sources.schemas import K
 from ..sources.views import FILLS_SQL, ORDERS_SQL, PIT_SQL, TICKS_SQL, TIER1_SQL
-from .base import BARS, GOOD_SQL, bar_out, end_sql, label_sql, r6, us
+from .base import BARS, GOOD_SQL, THIN_SQL, bar_out, end_sql, expected_sql, label_sql, r6, thin, us
 from .registry import ctes, query
 
 _L = label_sql("ts_event")
@@ -288,6 +288,36 @@ def _(spark, sf):
     return bars.groupBy(*K).agg(F.round(share, 6).alias("share"), (share < 0.001).alias("within"))
 
 
+_LIQUID_HOUR = "time_bucket(interval 1 hour, ts_event)"
+
+
+@query("dq11b_liquid_flag_budget", ctes(TICKS_SQL, THIN_SQL, f"lq as (select x.*, {expected_sql('ts_event')} as expected from ticks x)") + f"select venue, instrument, count(*) as bars, round(avg(case when f then 1.0 else 0.0 end), 6) as share, avg(case when f then 1.0 else 0.0 end) < 0.001 as within from (select venue, instrument, {_LIQUID_HOUR} as t, bool_or(ask <= bid or ts_recv0 is null) as f from lq where expected = 'FULL' group by all) group by all")
+def _(spark, sf):
+    """Share of flagged bars among those of hours in which full liquidity is expected: no weekend, holiday, early close or night."""
+    ticks = views.ticks(spark, sf)
+    liquid = calendars.with_expected_liquidity(B.flagged(ticks), thin(spark), "ts_event").filter("expected = 'FULL'")
+    bars = B.with_flags(liquid.select(*ticks.columns))
+    share = F.avg(F.when(F.size("quality_flags") > 0, 1.0).otherwise(0.0))
+    return bars.groupBy(*K).agg(F.count(F.lit(1)).alias("bars"), F.round(share, 6).alias("share"), (share < 0.001).alias("within"))
+
+
+@query(
+    "dq14b_freshness_by_hour",
+    ctes(TICKS_SQL, THIN_SQL, "gr as (select distinct k.venue, k.instrument, h.inst from (select distinct venue, instrument from ticks) k, (select distinct time_bucket(interval 1 hour, ts_event) + interval 1 hour as inst from ticks) h)",
+         "la as (select g.*, epoch_us(r.ts_recv) as last from gr g asof left join (select venue, instrument, ts_recv from ticks where not backfilled) r on g.venue = r.venue and g.instrument = r.instrument and g.inst >= r.ts_recv)",
+         f"ex as (select x.*, {expected_sql('inst')} as expected, (epoch_us(inst) - last) / 1000000.0 as age from la x)")
+    + "select venue, instrument, epoch_us(inst) as at_us, expected, round(age, 3) as age_s, case when expected <> 'FULL' then 'NOT_EXPECTED' when age is null or age > 1800 then 'BREAK' when age > 600 then 'STALE' else 'FRESH' end as state from ex",
+)
+def _(spark, sf):
+    """Freshness of every series at the end of every hour; out of liquid hours nothing is stale. Limits of 10 and 30 minutes suit these sparse ticks."""
+    ticks = views.ticks(spark, sf)
+    hours = ticks.select((F.date_trunc("hour", "ts_event") + F.expr("interval 1 hour")).alias("at")).distinct()
+    series = ticks.select(*K).distinct()
+    grid = hours.crossJoin(F.broadcast(series))  # a row for each series
+    out = Q.freshness_at(grid, ticks, thin(spark), 600, 1_800)
+    return out.select(*K, us("at", "at_us"), "expected", F.round("age_s", 3).alias("age_s"), "state")
+
+
 @query("dq12_flag_counts", ctes(TICKS_SQL) + f"select venue, instrument, flag, count(*) as n from (select venue, instrument, 'CROSSED' as flag from ticks where ask <= bid union all select venue, instrument, 'OUT_OF_SESSION' from ticks where isodow({_L}) > 5 union all select venue, instrument, 'TS_RECV_IMPUTED' from ticks where ts_recv0 is null) group by all")
 def _(spark, sf):
     return Q.flag_counts(B.flagged(views.ticks(spark, sf)))

@@ -19,7 +19,7 @@ from ..operators.windows import bucketed, chunked
 from ..sources import views
 from ..sources.schemas import K
 from ..sources.views import FILLS_SQL, ORDERS_SQL, TICKS_SQL, TIER1_SQL
-from .base import BARS, GOOD_SQL, label_sql, r6, us
+from .base import BARS, GOOD_SQL, SETTLED_SQL, label_sql, r6, settled, us
 from .feature_queries import P, _NUMBERED, ema_sql
 from .joins import MID_SQL, PNL_SQL, SPECS_SQL, specs
 from .performance import D, POS_SQL, _boot_views, _daily, _monthly, positions
@@ -191,10 +191,12 @@ def _(spark, sf):
     return df.groupBy(*K).agg(F.round(F.sum(C.slippage(F.col("spread_mean"), F.col("traded"), F.lit(2.0), F.col("atr"), F.col("move"))), 6).alias("slip"))
 
 
+_CAL = "join swp on swp.instrument = x.instrument and swp.d = cast(x.night as date)"
 _NIGHTS = (
+    *SETTLED_SQL,
     "held as (select *, ts_order + to_hours(client_order_id % 24) as opened, ts_order + to_hours(client_order_id % 24) + to_days(cast(client_order_id % 6 as integer)) as closed from ords)",
     f"nights as (select *, unnest(generate_series(cast({label_sql('opened')} as timestamp), cast({label_sql('closed')} as timestamp) - interval 1 day, interval 1 day)) as night from held)",
-    "rolled as (select *, case isodow(night) when 3 then 3 when 6 then 0 when 7 then 0 else 1 end as days, case when instrument in ('GBP_USD', 'EUR_USD') then 0.03::double * case isodow(night) when 3 then 3 when 6 then 0 when 7 then 0 else 1 end else 0.07::double end as yearly from nights)",
+    f"rolled as (select x.*, swp.swap_days as days, case when x.instrument in ('GBP_USD', 'EUR_USD') then 0.03::double * swp.swap_days else 0.07::double end as yearly from nights x {_CAL})",
 )
 
 
@@ -202,7 +204,7 @@ _NIGHTS = (
 def _(spark, sf):
     """Currencies by a yearly rate for the days each roll counts for, indices by a yearly rate for every night."""
     o = views.orders(spark, sf).withColumn("opened", F.expr("ts_order + make_dt_interval(0, cast(client_order_id % 24 as int))"))
-    n = C.swap_nights(o.withColumn("closed", F.expr("opened + make_dt_interval(cast(client_order_id % 6 as int))")), "opened", "closed")
+    n = C.swap_nights(o.withColumn("closed", F.expr("opened + make_dt_interval(cast(client_order_id % 6 as int))")), "opened", "closed", settled(spark, sf))
     yearly = F.when(F.col("instrument").isin("GBP_USD", "EUR_USD"), 0.03 * F.col("swap_days")).otherwise(0.07)
     return n.groupBy("instrument").agg(F.count(F.lit(1)).alias("nights"), F.sum("swap_days").alias("swap_days"), F.round(F.sum(F.col("notional") * yearly / 365), 2).alias("financing"))
 

@@ -10,6 +10,7 @@ from quotemill.operators import asof as J
 from quotemill.operators import features as FT
 from quotemill.operators.windows import chunked, indexed
 from quotemill.plans.feature_queries import _bars
+from quotemill.sources import calendars
 
 from .conftest import SF
 
@@ -95,3 +96,22 @@ def test_asof_ties_and_gaps(spark):
     assert run() == {(1, 10): 2, (1, 5): None, (1, 10**9): 2, (2, 10): None}
     assert run(exact=False) == {(1, 10): 3, (1, 5): None, (1, 10**9): 2, (2, 10): None}
     assert run(forward=True) == {(1, 10): 1, (1, 5): 3, (1, 10**9): None, (2, 10): None}
+
+
+def test_triple_day_moves_with_holidays(spark):
+    """The fourth of July moves the triple roll of dollar pairs from Wednesday to Tuesday; an index in pounds isn't touched."""
+    rows = {(r.instrument, str(r.date)): (str(r.spot), r.swap_days) for r in calendars.settlement(spark, "2024-06-20", "2024-07-12").collect()}
+    assert [rows["GBP_USD", f"2024-06-{d}"][1] for d in (24, 25, 26, 27, 28, 29, 30)] == [1, 1, 3, 1, 1, 0, 0]
+    assert rows["GBP_USD", "2024-07-02"] == ("2024-07-05", 3) and rows["GBP_USD", "2024-07-03"] == ("2024-07-08", 0) and rows["GBP_USD", "2024-07-04"] == ("2024-07-08", 1)
+    assert [rows["UK100", f"2024-07-0{d}"][1] for d in (1, 2, 3, 4, 5)] == [1, 1, 3, 1, 1]
+    assert all(sum(rows[i, f"2024-07-{d:02}"][1] for d in range(1, 8)) == 7 for i in ("UK100", "GER40"))
+
+
+def test_liquidity_is_what_was_known(spark):
+    cal = calendars.liquidity(spark)
+    at_ = lambda t: {(r.instrument, str(r.date)): r.liquidity for r in calendars.known_calendar(cal, at(t)).collect()}
+    assert at_("2023-07-01 00:00:00")["UK100", "2024-01-16"] == "CLOSED" and at_("2024-01-01 00:00:00")["UK100", "2024-01-16"] == "FULL"
+    thin = calendars.thin_intervals(calendars.known_calendar(cal, at("2024-01-01 00:00:00")))
+    rows = spark.createDataFrame([("US500", t) for t in ("2024-01-15 17:59:00", "2024-01-15 18:00:00", "2024-01-15 23:59:59", "2024-01-16 00:00:00", "2024-01-16 12:00:00", "2024-01-13 12:00:00", "2024-01-01 12:00:00", "2024-01-16 16:59:59", "2024-01-16 17:00:00")], "instrument string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    got = {r.t[5:16]: r.expected for r in calendars.with_expected_liquidity(rows, thin, "ts").collect()}
+    assert got == {"01-15 17:59": "OFF_HOURS", "01-15 18:00": "PARTIAL", "01-15 23:59": "PARTIAL", "01-16 00:00": "OFF_HOURS", "01-16 12:00": "FULL", "01-13 12:00": "CLOSED", "01-01 12:00": "CLOSED", "01-16 16:59": "FULL", "01-16 17:00": "OFF_HOURS"}
