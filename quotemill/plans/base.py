@@ -156,6 +156,23 @@ def _(spark, sf):
     return io.new_files(listing.drop("page_id"), listing.filter("page_id % 3 = 0").select("path", "digest"))
 
 
+@query("src12b_file_ingest", "select page_id, case when page_id % 8 < 5 then 'first' else 'third' end as run, strlen(coalesce(html, '')) as bytes from pages")
+def _(spark, sf):
+    """Real files: those of five buckets are there for the first run, the rest come later; a second run stops before it has recorded them, a third takes
+    them up once, and none of the first again."""
+    folder, target = io.scratch(spark, "files"), io.scratch(spark, "ingested")
+    page = views.table(spark, sf, "pages").select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("bytes"), (F.col("page_id") % 8).alias("bucket"))
+    schema = page.drop("bucket").schema
+    page.filter("bucket < 5").repartition("bucket").write.partitionBy("bucket").parquet(folder)
+    io.ingest(spark, folder, target, schema, "first")
+    page.filter("bucket >= 5").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(folder)
+    try:
+        io.ingest(spark, folder, target, schema, "second", fail=True)
+    except RuntimeError:
+        io.ingest(spark, folder, target, schema, "third")
+    return io.ingested(spark, target, schema).select("page_id", "run", "bytes")
+
+
 # --- validation
 
 

@@ -16,7 +16,7 @@ from ..operators import signals as S
 from ..operators import validation_stats as V
 from ..operators.crossing import first_crossing
 from ..operators.windows import bucketed, chunked
-from ..sources import views
+from ..sources import io, views
 from ..sources.schemas import K
 from ..sources.views import FILLS_SQL, ORDERS_SQL, TICKS_SQL, TIER1_SQL
 from .base import BARS, GOOD_SQL, SETTLED_SQL, label_sql, r6, settled, us
@@ -348,9 +348,24 @@ _ISL = "(partition by venue, instrument order by ts_event, seq)"
 )
 def _(spark, sf):
     """Over 1.5 times the median of six hours for over 60 s: the given spreads differ too little for a multiple of five."""
-    df = bucketed(views.ticks(spark, sf).select(*K, "ts_event", "seq", F.expr("cast(ask - bid as double)").alias("spread")), "ts_event", 21_600)
-    df = df.withColumn("med", F.expr("percentile(spread, 0.5) over (partition by venue, instrument, bucket order by ts_event range between interval 6 hours preceding and current row)")).filter("not halo")
-    return R.runs_over(df.select(*K, "ts_event", "seq", (F.col("spread") > 1.5 * F.col("med")).alias("wide")), K, "wide", 60).select(*K, us("since", "since_us"), "n")
+    t = views.ticks(spark, sf).select(*K, "ts_event", "seq", F.expr("cast(ask - bid as double)").alias("spread"))
+    return R.spread_blowout(t, 1.5).select(*K, us("since", "since_us"), "n")
+
+
+_PLANTED = "case when epoch_us(ts_event) // 21600000000 % 4 = 1 and epoch_us(ts_event) // 3600000000 % 6 >= 4 then 12 * spread else spread end"
+
+
+@query(
+    "rsk2b_spread_blowout_rule",
+    ctes(TICKS_SQL, MID_SQL, f"pl as (select * exclude (spread), {_PLANTED} as spread from mids)", "md as (select *, quantile_cont(spread, 0.5) over (partition by venue, instrument order by ts_event range between interval 6 hour preceding and current row) as med from pl)", "m as (select *, spread > 5::double * med as wide from md)",
+         f"c as (select *, case when wide is not distinct from lag(wide) over {_ISL} then 0 else 1 end as c from m)", f"i as (select *, sum(c) over {_ISL} as island from c)")
+    + "select venue, instrument, epoch_us(min(ts_event)) as since_us, count(*) as n from i where wide group by venue, instrument, island having epoch_us(max(ts_event)) - epoch_us(min(ts_event)) > 60000000",
+)
+def _(spark, sf):
+    """The rule as it stands, five times the median for over 60 s, on quotes whose spread is twelve times as wide for two hours of each day."""
+    planted = F.expr("case when unix_micros(ts_event) div 21600000000 % 4 = 1 and unix_micros(ts_event) div 3600000000 % 6 >= 4 then 12 * spread else spread end")
+    t = views.ticks(spark, sf).withColumn("spread", F.expr("cast(ask - bid as double)")).select(*K, "ts_event", "seq", planted.alias("spread"))
+    return R.spread_blowout(t).select(*K, us("since", "since_us"), "n")
 
 
 @query(
@@ -448,6 +463,24 @@ def _(spark, sf):
     return R.illegal_transitions(s, "client_order_id", "line, ts_event, qty, price").groupBy("before", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LIMITS = {"UNKNOWN": 5 * 1_440.0, "CANCEL_PENDING": 30 * 1_440.0}
+_LOG = "order by ts_event, line, qty, price"
+
+
+@query(
+    "rsk8b_stuck_orders",
+    ctes(FILLS_SQL, f"s as (select client_order_id, line, qty, price, ts_event, {_STATE_CASE} as state from fills)", f"b as (select *, lag(state) over (partition by client_order_id {_LOG}) as before from s)",
+         f"f as (select *, lead(ts_event) over (partition by client_order_id {_LOG}) as gone from b where before is distinct from state)", "e as (select *, (epoch_us(coalesce(gone, (select max(ts_event) from fills))) - epoch_us(ts_event)) / 60000000.0 as minutes from f)")
+    + "select client_order_id, state, epoch_us(ts_event) as since_us, minutes, gone is null as still from e where minutes > case state " + " ".join(f"when '{k}' then {v}" for k, v in _LIMITS.items()) + " end",
+)
+def _(spark, sf):
+    """Orders that stayed UNKNOWN for over five days, or with a cancel pending for over thirty: the given log has an entry every few days."""
+    s = views.fills(spark, sf).withColumn("state", F.expr(_STATE_CASE))
+    end = s.agg(F.max("ts_event").alias("end"))
+    out = R.overstayed(s.crossJoin(F.broadcast(end)), "client_order_id", ["ts_event", "line", "qty", "price"], F.col("end"), _LIMITS)  # one row
+    return out.select("client_order_id", "state", us("since", "since_us"), "minutes", F.col("left").isNull().alias("still"))
+
+
 @query("rsk9_breaker_timeline", ctes(TICKS_SQL) + "select venue, instrument, count(*) filter (where state = 'TRIPPED') as tripped, count(*) as n from (select *, coalesce(last_value(case when ask <= bid then 'TRIPPED' when seq % 50 = 1 then 'OK' end ignore nulls) over (partition by venue, instrument order by ts_event, seq), 'OK') as state from ticks) group by all")
 def _(spark, sf):
     df = R.latched(views.ticks(spark, sf), K, F.col("ask") <= F.col("bid"), F.col("seq") % 50 == 1)
@@ -479,20 +512,24 @@ _SENT_SQL = (
     + "select instrument, strategy_id, hour(decided) as hour, count(*) as n, count(decision) as priced, round(avg(latency), 6) as latency_ms, count(*) filter (where latency < 0) as negative, round(avg(quoted), 6) as spread, round(avg(shortfall) / 0.0001, 3) as shortfall_pips, round(avg(shortfall / decision) * 10000, 4) as shortfall_bps from x group by 1, 2, 3",
 )
 def _(spark, sf):
+    f = shortfalls(spark, sf)
+    return f.groupBy("instrument", "strategy_id", F.hour("decided").cast("long").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("decision").alias("priced"), F.round(F.avg("latency"), 6).alias("latency_ms"), F.count_if(F.col("latency") < 0).alias("negative"), F.round(F.avg("quoted"), 6).alias("spread"),
+        F.round(F.avg("shortfall") / 0.0001, 3).alias("shortfall_pips"), F.round(F.avg(F.col("shortfall") / F.col("decision")) * 10000, 4).alias("shortfall_bps"),
+    )
+
+
+def shortfalls(spark, sf):
     """Fills, whose order is decided at a minute of the quotes by its id and sent -0.1 to 0.3 s later, against the quotes
     known at both instants; a negative latency is kept."""
     t = views.ticks(spark, sf).select(*K, "ts_event", F.expr(B.MID).alias("mid"), F.expr("cast(ask - bid as double)").alias("spread"))
     span = t.agg(F.min("ts_event").alias("a"), F.floor((F.unix_micros(F.max("ts_event")) - F.unix_micros(F.min("ts_event"))) / 60_000_000).alias("minutes"))
-    f = views.fills(spark, sf).select("client_order_id", *K, "side", "strategy_id", "line", "broker_fill_id").crossJoin(F.broadcast(span))  # one row
+    f = views.fills(spark, sf).select("client_order_id", *K, "side", "strategy_id", "line", "qty", "broker_fill_id").crossJoin(F.broadcast(span))  # one row
     f = f.withColumn("decided", F.expr("a + make_dt_interval(0, 0, cast(client_order_id * 7 % minutes as int))")).withColumn("sent_at", F.expr("decided + make_dt_interval(0, 0, 0, cast((line % 5 - 1) * 0.1 as decimal(18, 6)))"))
     f = J.asof(f.drop("a", "minutes"), t.select(*K, "ts_event", F.col("mid").alias("decision")), K, "decided", "ts_event", ["decision"])
     f = J.asof(f, t.select(*K, "ts_event", F.col("mid").alias("arrival"), F.col("spread").alias("quoted")), K, "sent_at", "ts_event", ["arrival", "quoted"])
     price = F.col("arrival") * (1 + (F.col("line") - 3) / 10000.0)
-    f = f.withColumns({"shortfall": F.when(F.col("side") == "BUY", 1).otherwise(-1) * (price - F.col("decision")), "latency": (F.unix_micros("sent_at") - F.unix_micros("decided")) / 1000.0})
-    return f.groupBy("instrument", "strategy_id", F.hour("decided").cast("long").alias("hour")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("decision").alias("priced"), F.round(F.avg("latency"), 6).alias("latency_ms"), F.count_if(F.col("latency") < 0).alias("negative"), F.round(F.avg("quoted"), 6).alias("spread"),
-        F.round(F.avg("shortfall") / 0.0001, 3).alias("shortfall_pips"), F.round(F.avg(F.col("shortfall") / F.col("decision")) * 10000, 4).alias("shortfall_bps"),
-    )
+    return f.withColumns({"shortfall": F.when(F.col("side") == "BUY", 1).otherwise(-1) * (price - F.col("decision")), "latency": (F.unix_micros("sent_at") - F.unix_micros("decided")) / 1000.0})
 
 
 @query("ops2_slippage_fit", ctes(FILLS_SQL) + "select round(my - b * m1 - c * m2, 4) as a, round(b, 6) as b, round(c, 6) as c, n from (select *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) as b, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) as c from (select covar_samp(price, qty) as s1y, covar_samp(price, discount) as s2y, covar_samp(qty, discount) as s12, var_samp(qty) as s11, var_samp(discount) as s22, avg(price) as my, avg(qty) as m1, avg(discount) as m2, count(*) as n from fills))")
@@ -500,6 +537,34 @@ def _(spark, sf):
     return R.slippage_fit(views.fills(spark, sf), "price", "qty", "discount").select(F.round("a", 4).alias("a"), *r6("b", "c"), "n")
 
 
+_SHORT_SQL = (
+    TICKS_SQL, MID_SQL, FILLS_SQL, *_SENT_SQL, "d as (select s.*, q.mid as decision from sent s asof left join mids q on s.venue = q.venue and s.instrument = q.instrument and s.decided >= q.ts_event)",
+    "a as (select d.*, q.mid as arrival, q.spread as quoted from d asof left join mids q on d.venue = q.venue and d.instrument = q.instrument and d.sent_at >= q.ts_event)",
+    "x as (select *, case side when 'BUY' then 1 else -1 end * (arrival * (1 + (line - 3) / 10000.0::double) - decision) as shortfall, qty / 25.0::double as size from a)",
+)
+
+
+@query(
+    "ops2b_slippage_coefficients",
+    ctes(*_SHORT_SQL, "k as (select strategy_id, shortfall as y, quoted as u, size as v from x where shortfall is not null and quoted is not null)",
+         "m as (select strategy_id, count(*) as n, avg(y) as my, avg(u) as mu, avg(v) as mv, covar_samp(y, u) * (count(*) - 1) as yu, covar_samp(y, v) * (count(*) - 1) as yv, covar_samp(u, v) * (count(*) - 1) as uv, var_samp(u) * (count(*) - 1) as uu, var_samp(v) * (count(*) - 1) as vv, var_samp(y) * (count(*) - 1) as yy from k group by 1)",
+         "b as (select *, (yu * vv - yv * uv) / (uu * vv - uv * uv) as b, (yv * uu - yu * uv) / (uu * vv - uv * uv) as c from m)", "s as (select *, greatest(yy - b * yu - c * yv, 0) / (n - 3) as s2, uu * vv - uv * uv as det from b)")
+    + "select strategy_id, 'const' as term, round(my - b * mu - c * mv, 6) as value, round(sqrt(s2 * (1.0 / n + (mu * mu * vv - 2 * mu * mv * uv + mv * mv * uu) / det)), 6) as error, n from s "
+    "union all select strategy_id, 'quoted', round(b, 6), round(sqrt(s2 * vv / det), 6), n from s union all select strategy_id, 'size', round(c, 6), round(sqrt(s2 * uu / det), 6), n from s",
+)
+def _(spark, sf):
+    """The coefficients of the slippage model, by strategy, from the shortfalls of OPS-1: a constant, the quoted spread and the size in typical sizes."""
+    f = shortfalls(spark, sf).withColumn("size", F.col("qty") / 25.0)
+    return R.fitted(f, ["strategy_id"], "shortfall", ["quoted", "size"]).select("strategy_id", "term", *r6("value", "error"), "n")
+
+
+@query("ops9b_realised_slippage", ctes(*_SHORT_SQL) + "select venue, strategy_id, count(*) as n, round(quantile_cont(shortfall / decision * 10000, 0.5), 6) as p50, round(quantile_cont(shortfall / decision * 10000, 0.95), 6) as p95 from x where shortfall is not null group by 1, 2")
+def _(spark, sf):
+    """Quantiles of what fills cost against the price at decision, in basis points."""
+    f = shortfalls(spark, sf).filter("shortfall is not null").withColumn("bps", F.col("shortfall") / F.col("decision") * 10000)
+    return f.groupBy("venue", "strategy_id").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.expr(f"percentile(bps, {p / 100})"), 6).alias(f"p{p}") for p in (50, 95)])
+
+
 @query("ops3_reconcile", ctes(FILLS_SQL) + f"select strategy_id, instrument, round(m, 4) as mine, round(t, 4) as theirs from (select strategy_id, instrument, sum({_SIGNED}) as m from fills group by all) a join (select strategy_id, instrument, sum({_SIGNED}) + case when strategy_id = 'S3' then 1 else 0 end as t from fills group by strategy_id, instrument) b using (strategy_id, instrument) where round(m, 4) <> round(t, 4)")
 def _(spark, sf):
     key = ["strategy_id", "instrument"]
@@ -611,3 +676,21 @@ def _(spark, sf):
     clean = f.groupBy("client_order_id").agg(F.countDistinct("line").alias("d"), F.count(F.lit(1)).alias("c"), F.round(F.sum("signed"), 4).alias("position")).filter("c = d")
     states = R.replayed(f.withColumn("ts_event", F.struct("line", "ts_event")), ["client_order_id"])
     return states.join(clean.select("client_order_id", "position"), "client_order_id").select("client_order_id", "state", "entries", "position")
+
+
+_ENTRY_SQL = (
+    f"lg as (select distinct l_orderkey as client_order_id, l_linenumber as line, l_partkey, l_suppkey, l_extendedprice, cast(l_shipdate as timestamp) as ts_event, cast(l_quantity as double) as qty, cast(l_extendedprice as double) / cast(l_quantity as double) as price, case when l_linestatus = 'O' then 'BUY' else 'SELL' end as side from lineitem)",
+    f"lo as (select *, {_STATE_CASE} as state from lg)",
+)
+
+
+@query("ops12b_rebuild_from_log", ctes(*_ENTRY_SQL) + f"select client_order_id, (max({{'t': ts_event, 'l': line, 'p': price, 'q': qty, 's': state}})).s as state, count(*) as entries, round(sum({_SIGNED}), 4) as position from lo group by 1")
+def _(spark, sf):
+    """Every order from a snapshot of the entries of the first years and the log since, which delivers a third of the earlier entries again."""
+    log = views.fills(spark, sf).withColumns({"state": F.expr(_STATE_CASE), "signed": F.expr(_SIGNED)})
+    cut = F.col("ts_event") < F.lit("1996-06-01").cast("timestamp")
+    order, path = ["ts_event", "line", "price", "qty"], io.scratch(spark, "snapshot")
+    again = F.pmod(F.col("broker_fill_id"), F.lit(3)) == 0
+    R.snapshot(log.filter(cut).union(log.filter(cut & again)), path, "client_order_id", "broker_fill_id", order)
+    out = R.rebuilt(path, log.filter(~cut).union(log.filter(again)), "client_order_id", "broker_fill_id", order)
+    return out.withColumn("position", F.round("position", 4))

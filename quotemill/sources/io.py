@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -59,6 +60,45 @@ def checked_manifest(df: DataFrame, required: list[str]) -> DataFrame:
     return df.withColumn("missing", gaps).withColumn("accepted", F.size(gaps) == 0)
 
 
+def listed(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
+    """path, length and digest of the files below a folder, the contents read by the executors."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", F.sha2("content", 256).alias("digest"))
+
+
+def ingest(spark: SparkSession, folder: str, target: str, schema: StructType, run: str, fail: bool = False) -> int:
+    """Reads the Parquet files below ``folder`` that the manifest of ``target`` doesn't have, writes their rows as a part of their own and records the files;
+    the number of new files.
+
+    Rows are written before the files are recorded, both under the name of the run, replacing what an earlier try of it wrote: a run that
+    stopped half-way (``fail``: between the two) is done again as a whole. Only recorded runs count. The names of the new files pass through the driver.
+    """
+    manifest = recorded(spark, target)
+    fresh = new_files(listed(spark, folder), manifest).select("path", "digest")
+    paths = [r["path"] for r in fresh.select("path").collect()]
+    if not paths:
+        return 0
+    spark.read.schema(schema).parquet(*paths).write.mode("overwrite").parquet(f"{target}/rows/run={run}")
+    if fail:
+        raise RuntimeError(f"{run} stopped before its files were recorded")
+    fresh.write.mode("overwrite").parquet(f"{target}/manifest/run={run}")
+    return len(paths)
+
+
+def recorded(spark: SparkSession, target: str) -> DataFrame:
+    """The manifest: path, digest and run of every file that was read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/manifest")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "path string, digest string, run string")
+    return spark.read.schema("path string, digest string, run string").parquet(f"{target}/manifest")
+
+
+def ingested(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The rows of recorded runs, with their run."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("run", StringType())])).parquet(f"{target}/rows")
+    return rows.join(recorded(spark, target).select("run").distinct(), "run", "left_semi")
+
+
 def new_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files (path, digest) not recorded yet; a recorded path with another digest fails."""
     both = listing.join(manifest.select("path", F.col("digest").alias("recorded")), "path", "left")
