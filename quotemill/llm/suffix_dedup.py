@@ -217,7 +217,6 @@ def _hot_strings(joined: DataFrame, length: int) -> DataFrame:
 def _hot_spans(strings: DataFrame) -> DataFrame:
     """(window, a, b): the runs of start places whose strings occur elsewhere, too."""
     twice = strings.groupBy("string").agg(F.min("least").alias("low"), F.max("most").alias("high")).filter("low < high").select("string")
-    twice = settle(twice)  # written, so that Spark can split a string that very many pieces share
     hits = strings.join(twice, "string").groupBy("window").agg(F.array_sort(F.collect_set("at")).alias("at"))
     begin, end = F.filter("at", lambda x: ~F.array_contains("at", x - 1)), F.filter("at", lambda x: ~F.array_contains("at", x + 1))
     ends = F.arrays_zip(begin.alias("a"), end.alias("b"))
