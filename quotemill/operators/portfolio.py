@@ -97,6 +97,26 @@ def shrunk_covariance(wide: DataFrame, names: list[str]) -> DataFrame:
     return s.crossJoin(F.broadcast(d.select(k.alias("shrinkage")))).select("a", "b", (F.col("shrinkage") * F.col("t") + (1 - F.col("shrinkage")) * F.col("s")).alias("cov"), "shrinkage")
 
 
+def shrunk_covariance_of(returns: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """Ledoit-Wolf covariance of any number of series in long form (a, b, cov, shrinkage); a time at which a series has no return counts as 0.
+
+    The returns of one time, a row a series, meet in one row; all else are sums over times and pairs.
+    """
+    names = returns.select(key).distinct()
+    grid = returns.select(time).distinct().crossJoin(F.broadcast(names))  # a row a series
+    dense = grid.join(returns.select(key, time, F.col(value).alias("__r")), [key, time], "left").withColumn("__r", F.coalesce("__r", F.lit(0.0)))
+    means = dense.groupBy(key).agg(F.avg("__r").alias("__m"))
+    centred = dense.join(F.broadcast(means), key).select(time, F.struct(F.col(key).alias("k"), (F.col("__r") - F.col("__m")).alias("x")).alias("s"))
+    rows = centred.groupBy(time).agg(F.collect_list("s").alias("all"))
+    pairs = rows.withColumn("p", F.explode("all")).withColumn("o", F.explode("all")).select(F.col("p.k").alias("a"), F.col("o.k").alias("b"), (F.col("p.x") * F.col("o.x")).alias("v"))
+    s = pairs.groupBy("a", "b").agg(F.avg("v").alias("s"), F.avg(F.col("v") * F.col("v")).alias("q"), F.count(F.lit(1)).alias("n"))
+    mean = s.agg(F.avg(F.when(F.col("a") == F.col("b"), F.col("s"))).alias("m"))
+    s = s.crossJoin(F.broadcast(mean)).withColumn("t", F.when(F.col("a") == F.col("b"), F.col("m")).otherwise(0.0))
+    d = s.agg(F.sum(F.pow(F.col("s") - F.col("t"), F.lit(2))).alias("d2"), F.sum((F.col("q") - F.col("s") * F.col("s")) / F.col("n")).alias("b2"))
+    k = F.least("b2", "d2") / F.col("d2")
+    return s.crossJoin(F.broadcast(d.select(k.alias("shrinkage")))).select("a", "b", (F.col("shrinkage") * F.col("t") + (1 - F.col("shrinkage")) * F.col("s")).alias("cov"), "shrinkage")
+
+
 def netted(fills: DataFrame, by: list[str], order: list[str], size: int = 20_000) -> DataFrame:
     """Running position, average price and realised profit of fills in order (``nth``, from 0).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timex
@@ -11,7 +11,7 @@ from .asof import near_events
 from .crossing import first_crossing
 from .bars import usable
 from .features import FEATURES, SERIES, TR, Feature, compute, ema, framed
-from .windows import chunked, running_last
+from .windows import chunked, indexed, running_last
 
 
 def in_chunks(bars: DataFrame, lookback: int) -> DataFrame:
@@ -241,6 +241,48 @@ def _fold_importance(data: DataFrame, fold: int) -> DataFrame:
     return out.select("feature", F.round("accuracy", 6).alias("accuracy"))
 
 
+def cash_open_impact(instants: DataFrame, quotes: DataFrame, minutes: int = 30) -> DataFrame:
+    """``instants`` (K, at: the open of the American cash session) with the log move of the ``minutes`` before and after; null where no quote was there
+    before the first of the three instants."""
+    from .asof import asof
+
+    df = instants
+    for name, shift in (("m0", -minutes), ("m1", 0), ("m2", minutes)):
+        df = df.withColumn("__when", F.col("at") + F.expr(f"make_dt_interval(0, 0, {shift})"))
+        df = asof(df, quotes.select(*K, F.col("ts_event").alias("__q"), "seq", F.col("mid").alias(name)), K, "__when", "__q", [name], tie=["seq"]).drop("__when")
+    return df.withColumns({"before": F.expr("ln(m1 / m0)"), "after": F.expr("ln(m2 / m1)")}).drop("m0", "m1", "m2")
+
+
+def feature_stability(bars: DataFrame, features: list[str], bins: int = 5, accuracy: int = 10_000) -> DataFrame:
+    """Stability index of every feature between the first and the second half of each series, over bins with equal shares of the first.
+
+    All features go through one pass in long form; the edges come from mergeable quantile sketches (exact up to ``accuracy`` values), the
+    counts between them are exact.
+    """
+    own = indexed(bars, K, "ts_event")
+    size = own.groupBy(*K).agg(F.max("rn").alias("__n"))
+    long = own.join(F.broadcast(size), K).withColumn("half", F.when(F.col("rn") <= F.ceil(F.col("__n") / 2), 1).otherwise(2))  # a row a series
+    long = long.select(*K, "half", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("f")).select(*K, "half", "f.*").filter("x is not null")
+    by = [*K, "feature"]
+    edges = long.filter("half = 1").groupBy(*by).agg(F.percentile_approx("x", [i / bins for i in range(1, bins)], accuracy).alias("q"))
+    binned = long.join(edges, by).withColumn("bin", 1 + F.size(F.filter("q", lambda e: F.col("x") >= e)))
+    n = binned.groupBy(*by, "bin").agg(F.count_if(F.col("half") == 1).alias("n1"), F.count_if(F.col("half") == 2).alias("n2"))
+    full = edges.select(*by, F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")).join(n, [*by, "bin"], "left")
+    w = Window.partitionBy(*by)  # a row a bin
+    share = lambda c: (F.coalesce(c, F.lit(0)) + 0.5) / F.sum(F.coalesce(c, F.lit(0)) + 0.5).over(w)
+    p = full.withColumns({"p1": share("n1"), "p2": share("n2")})
+    return p.groupBy(*by).agg(F.sum((F.col("p2") - F.col("p1")) * F.ln(F.col("p2") / F.col("p1"))).alias("psi"), F.sum(F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"))
+
+
+def calibration(df: DataFrame, probability: str, outcome: str, buckets: int = 10) -> DataFrame:
+    """Reliability of predicted probabilities: for each of ``buckets`` equal steps the rows, the mean prediction, the share that came true and
+    the distance between the two; rows without a prediction or outcome are left out."""
+    known = df.dropna(subset=[probability, outcome])
+    bucket = F.least(F.floor(F.col(probability) * buckets), F.lit(buckets - 1)).cast("long")
+    out = known.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(probability).alias("predicted"), F.avg(F.col(outcome).cast("double")).alias("realised"))
+    return out.withColumn("gap", F.col("realised") - F.col("predicted"))
+
+
 def population_stability(df: DataFrame, column: str, bins: int = 5) -> DataFrame:
     """Stability index of the second half of each series against bins of the first half."""
     half = F.expr("ntile(2) over (partition by venue, instrument order by ts_event)")

@@ -9,7 +9,7 @@ from ..operators import asof as J
 from ..operators import bars as B
 from ..operators import features as FT
 from ..operators import signals as S
-from ..operators.windows import indexed
+from ..operators.windows import indexed, with_previous
 from ..sources import io, views
 from ..sources.schemas import K
 from ..sources.views import TICKS_SQL, TIER1_SQL
@@ -180,6 +180,23 @@ def _(spark, sf):
     return S.session_opening(views.ticks(spark, sf)).select(*K, F.col("day").cast("string").alias("day"), *r6("gap", "opening_range"))
 
 
+_OPEN_UTC = "timezone('UTC', timezone('America/New_York', d + interval 570 minute))"
+
+
+@query(
+    "ft34b_cash_open_impact",
+    ctes(TICKS_SQL, MID_SQL, f"o as (select distinct venue, instrument, d::date as day, {_OPEN_UTC} as inst from (select venue, instrument, date_trunc('day', ts_event) as d from ticks where instrument in ('UK100', 'GER40')))",
+         *[f"m{i} as (select o.*, q.mid as m{i} from o asof left join mids q on o.venue = q.venue and o.instrument = q.instrument and o.inst + to_minutes({n}) >= q.ts_event)" for i, n in ((0, -30), (1, 0), (2, 30))])
+    + "select venue, instrument, day::varchar as day, round(ln(m1 / m0), 6) as before, round(ln(m2 / m1), 6) as after from m0 join m1 using (venue, instrument, day, inst) join m2 using (venue, instrument, day, inst)",
+)
+def _(spark, sf):
+    """What European indices do in the half hours before and after the American cash open, which moves against their own clocks in some weeks."""
+    t = views.ticks(spark, sf).withColumn("mid", F.expr(B.MID))
+    days = t.filter("instrument in ('UK100', 'GER40')").select(*K, F.to_date("ts_event").alias("day")).distinct()
+    opens = days.withColumn("at", timex.instant(F.col("day").cast("timestamp_ntz") + F.expr("interval 570 minutes"), F.lit(timex.NEW_YORK)))
+    return S.cash_open_impact(opens, t).select(*K, F.col("day").cast("string").alias("day"), *r6("before", "after"))
+
+
 @query("ft35_warm_up", ctes(*BARS, _NUMBERED) + "select venue, instrument, count(*) filter (where rn > 20) as ready, count(*) as n from step0 group by all")
 def _(spark, sf):
     return indexed(_bars(spark, sf), K, "ts_event").groupBy(*K).agg(F.count_if(F.col("rn") > 20).alias("ready"), F.count(F.lit(1)).alias("n"))
@@ -226,6 +243,12 @@ def _(spark, sf):
     return S.breakout(_bars(spark, sf)).select(*K, us("ts_event"), *r6("ewmac", "donchian"))
 
 
+@query("sig2b_slow_ewmac", ctes(*BARS, f"e as (select *, {ema_sql('close', 32)} - {ema_sql('close', 128)} as d, stddev_samp(close) over ({P} rows between 19 preceding and current row) as sd from bars)") + "select venue, instrument, epoch_us(ts_event) as ts_us, round(greatest(least(10 * d / nullif(sd, 0), 20), -20), 6) as ewmac from e")
+def _(spark, sf):
+    """The slow one of the two pairs of exponential means, 32 and 128."""
+    return S.breakout(_bars(spark, sf), 32, 128).select(*K, us("ts_event"), *r6("ewmac"))
+
+
 _RANGE_SQL = "lt as (select *, timezone('Europe/London', timezone('UTC', ts_event)) as loc from good)"
 
 
@@ -352,6 +375,30 @@ def _(spark, sf):
     return S.population_stability(r, "r1").select(*K, *r6("psi"))
 
 
+_DRIFT = {"move": f"ln(close / lag(close) over ({P}))", "width": "ln(high / low)", "spread_mean": "spread_mean", "body": "close - open"}
+
+
+@query(
+    "sig14b_feature_drift",
+    ctes(*BARS, "w as (select venue, instrument, ts_event, " + ", ".join(f"round({v}, 9) as {k}" for k, v in _DRIFT.items()) + ", row_number() over (partition by venue, instrument order by ts_event) <= ceil(count(*) over (partition by venue, instrument) / 2.0) as early from bars)",
+         "l as (" + " union all ".join(f"select venue, instrument, early, '{k}' as feature, {k} as x from w where {k} is not null" for k in _DRIFT) + ")", "q as (select venue, instrument, feature, quantile_disc(x, [0.2, 0.4, 0.6, 0.8]) as q from l where early group by all)",
+         "b as (select venue, instrument, feature, early, 1 + (x >= q[1])::int + (x >= q[2])::int + (x >= q[3])::int + (x >= q[4])::int as bin, count(*) as n from l join q using (venue, instrument, feature) group by all)",
+         "f as (select venue, instrument, feature, bin, coalesce(sum(n) filter (where early), 0) as n1, coalesce(sum(n) filter (where not early), 0) as n2 from (select venue, instrument, feature, unnest([1,2,3,4,5]) as bin from q) left join b using (venue, instrument, feature, bin) group by all)",
+         "s as (select *, (n1 + 0.5) / sum(n1 + 0.5) over (partition by venue, instrument, feature) as p1, (n2 + 0.5) / sum(n2 + 0.5) over (partition by venue, instrument, feature) as p2 from f)")
+    + "select venue, instrument, feature, round(sum((p2 - p1) * ln(p2 / p1)), 6) as psi, cast(sum(n1 + n2) as bigint) as n from s group by all",
+)
+def _(spark, sf):
+    bars = with_previous(_bars(spark, sf), K, "ts_event", {"back": ("close", 1)})
+    wide = bars.select(*K, "ts_event", F.expr("round(ln(close / back), 9)").alias("move"), F.expr("round(ln(high / low), 9)").alias("width"), F.round("spread_mean", 9).alias("spread_mean"), F.expr("round(close - open, 9)").alias("body"))
+    return S.feature_stability(wide, list(_DRIFT)).select(*K, "feature", *r6("psi"), "n")
+
+
+@query("sig14c_calibration")
+def _(spark, sf):
+    """Predicted probabilities of SIG-12 against what came true."""
+    return S.calibration(S.meta_label(S.labelled(_bars(spark, sf))), "probability", "y").select("bucket", "n", *r6("predicted", "realised", "gap"))
+
+
 @query("sig15_user_signal", ctes(*BARS) + "select venue, instrument, count(*) as n, round(sum(10 * sign(close - open)), 6) as total from bars group by all")
 def _(spark, sf):
     """A user's own stateful signal, run over each series in order; what a chunk does to its state is its number of bars."""

@@ -15,7 +15,7 @@ from ..operators import risk as R
 from ..operators import signals as S
 from ..operators import validation_stats as V
 from ..operators.crossing import first_crossing
-from ..operators.windows import bucketed, chunked
+from ..operators.windows import bucketed, chunked, with_previous
 from ..sources import io, views
 from ..sources.schemas import K
 from ..sources.views import FILLS_SQL, ORDERS_SQL, TICKS_SQL, TIER1_SQL
@@ -115,6 +115,20 @@ def _(spark, sf):
     return PF.shrunk_covariance(wide, _NAMES).select("a", "b", F.round(1000 * F.col("cov"), 6).alias("cov"), *r6("shrinkage"))
 
 
+@query(
+    "pf6b_instrument_covariance",
+    ctes(*BARS, f"rt as (select venue || '/' || instrument as k, ts_event as t, coalesce(ln(close / lag(close) over {W}), 0) as r from bars)", "g as (select t, k, coalesce(r, 0) as r from (select distinct t from rt) a cross join (select distinct k from rt) b left join rt using (t, k))",
+         "c as (select t, k, r - avg(r) over (partition by k) as x from g)", "p as (select a.k as a, b.k as b, avg(a.x * b.x) as s, avg(a.x * b.x * a.x * b.x) as q, count(*) as n from c a join c b using (t) group by 1, 2)", "m as (select avg(s) filter (where a = b) as m from p)",
+         "t as (select p.*, case when a = b then m else 0 end as t from p, m)", "k as (select least(sum((q - s * s) / n), sum(pow(s - t, 2))) / sum(pow(s - t, 2)) as k from t)")
+    + "select a, b, round(1000000 * (k * t + (1 - k) * s), 6) as cov, round(k, 6) as shrinkage from t, k",
+)
+def _(spark, sf):
+    """Of the hourly returns of all series of bars, however many there are."""
+    bars = with_previous(_bars(spark, sf), K, "ts_event", {"back": ("close", 1)})
+    r = bars.select(F.concat_ws("/", *K).alias("k"), F.col("ts_event").alias("t"), F.coalesce(F.expr("ln(close / back)"), F.lit(0.0)).alias("r"))
+    return PF.shrunk_covariance_of(r, "k", "t", "r").select("a", "b", F.round(1_000_000 * F.col("cov"), 6).alias("cov"), *r6("shrinkage"))
+
+
 _CAP = "least(0.005 * 100000 / (price * 0.02), 0.25 * discount * 100000 / price, 5 * 100000 / price)"
 
 
