@@ -285,8 +285,9 @@ def calibration(df: DataFrame, probability: str, outcome: str, buckets: int = 10
 
 def population_stability(df: DataFrame, column: str, bins: int = 5) -> DataFrame:
     """Stability index of the second half of each series against bins of the first half."""
-    half = F.expr("ntile(2) over (partition by venue, instrument order by ts_event)")
-    df = df.withColumn("half", half)
+    own = indexed(df, K, "ts_event", "__rn")
+    size = own.groupBy(*K).agg(F.max("__rn").alias("__n"))
+    df = own.join(F.broadcast(size), K).withColumn("half", F.when(F.col("__rn") <= F.ceil(F.col("__n") / 2), 1).otherwise(2))  # a row a series
     q = df.filter("half = 1").groupBy(*K).agg(F.expr(f"percentile({column}, array({', '.join(str(i / bins) for i in range(1, bins))}))").alias("q"))
     binned = df.join(q, K).withColumn("bin", 1 + F.size(F.filter("q", lambda e: F.col(column) >= e)))
     n = binned.groupBy(*K, "bin").agg(F.count_if(F.col("half") == 1).alias("n1"), F.count_if(F.col("half") == 2).alias("n2"))

@@ -9,7 +9,7 @@ from ..operators import asof as J
 from ..operators import bars as B
 from ..operators import features as FT
 from ..operators import signals as S
-from ..operators.windows import indexed, with_previous
+from ..operators.windows import chunked, indexed, with_previous
 from ..sources import io, views
 from ..sources.schemas import K
 from ..sources.views import TICKS_SQL, TIER1_SQL
@@ -80,19 +80,25 @@ _RET = "rp as (select *, ln(a / lag(a) over (partition by venue order by ts_even
 
 
 def _pair_returns(spark, sf):
-    w = "over (partition by venue order by ts_event)"
-    return pair(_bars(spark, sf)).selectExpr("*", f"ln(a / lag(a) {w}) as ra", f"ln(b / lag(b) {w}) as rb")
+    df = with_previous(pair(_bars(spark, sf)), ["venue"], "ts_event", {"back_a": ("a", 1), "back_b": ("b", 1)})
+    return df.selectExpr("venue", "ts_event", "a", "b", "ln(a / back_a) as ra", "ln(b / back_b) as rb")
+
+
+_CW = "(partition by venue, chunk order by rn rows between 19 preceding and current row)"
 
 
 @query("ft20_cross_correlation", ctes(*BARS, PAIR_SQL, _RET) + f"select venue, epoch_us(ts_event) as ts_us, round(covar_samp(ra, rb) over {_W} / nullif(stddev_samp(ra) over {_W} * stddev_samp(rb) over {_W}, 0), 6) as corr from rp")
 def _(spark, sf):
-    return _pair_returns(spark, sf).select("venue", us("ts_event"), F.expr(f"round(covar_samp(ra, rb) over {_W} / nullif(stddev_samp(ra) over {_W} * stddev_samp(rb) over {_W}, 0), 6)").alias("corr"))
+    df = chunked(_pair_returns(spark, sf), ["venue"], "ts_event", 20)
+    df = df.withColumn("corr", F.expr(f"round(covar_samp(ra, rb) over {_CW} / nullif(stddev_samp(ra) over {_CW} * stddev_samp(rb) over {_CW}, 0), 6)"))
+    return df.filter("not halo").select("venue", us("ts_event"), "corr")
 
 
 @query("ft21_pair_zscore", ctes(*BARS, PAIR_SQL) + f"select venue, epoch_us(ts_event) as ts_us, round((s - avg(s) over {_W}) / nullif(stddev_samp(s) over {_W}, 0), 6) as z from (select *, ln(a) - ln(b) as s from pair)")
 def _(spark, sf):
-    df = pair(_bars(spark, sf)).selectExpr("*", "ln(a) - ln(b) as s")
-    return df.select("venue", us("ts_event"), F.expr(f"round((s - avg(s) over {_W}) / nullif(stddev_samp(s) over {_W}, 0), 6)").alias("z"))
+    df = chunked(pair(_bars(spark, sf)).selectExpr("*", "ln(a) - ln(b) as s"), ["venue"], "ts_event", 20)
+    df = df.withColumn("z", F.expr(f"round((s - avg(s) over {_CW}) / nullif(stddev_samp(s) over {_CW}, 0), 6)"))
+    return df.filter("not halo").select("venue", us("ts_event"), "z")
 
 
 @query("ft22_dollar_proxy", ctes(*BARS, f"r as (select *, ln(close / lag(close) over ({P})) as r1 from bars)") + "select epoch_us(ts_event) as ts_us, round(sum(case instrument when 'GBP_USD' then -0.4::double when 'EUR_USD' then -0.6::double end * r1), 6) as dollar from r where instrument in ('GBP_USD', 'EUR_USD') group by ts_event")
@@ -110,7 +116,8 @@ def _(spark, sf):
 def _(spark, sf):
     facts = views.ticks(spark, sf).filter("instrument = 'US500'").select("venue", "available_at", F.expr(B.MID).alias("level"), "seq")
     out = J.asof(_bars(spark, sf).filter("instrument = 'GBP_USD'").select("venue", "ts_event"), facts, ["venue"], "ts_event", "available_at", ["level"], tie=["seq"])
-    return out.select("venue", us("ts_event"), *r6("level"), F.expr("round(level - lag(level) over (partition by venue order by ts_event), 6)").alias("change"))
+    out = with_previous(out, ["venue"], "ts_event", {"back": ("level", 1)})
+    return out.select("venue", us("ts_event"), *r6("level"), F.round(F.col("level") - F.col("back"), 6).alias("change"))
 
 
 @query(
@@ -149,9 +156,9 @@ def _(spark, sf):
 
 @query("ft27_tick_intensity", ctes(*BARS) + "select venue, instrument, epoch_us(ts_event) as ts_us, round(n_ticks / med, 6) as intensity from (select *, quantile_cont(cast(n_ticks as double), 0.5) over (partition by venue, instrument, hour(ts_open) order by ts_event rows between 10 preceding and 1 preceding) as med from bars)")
 def _(spark, sf):
-    df = _bars(spark, sf).withColumn("hour", F.hour("ts_open"))
-    med = F.expr("percentile(cast(n_ticks as double), 0.5) over (partition by venue, instrument, hour order by ts_event rows between 10 preceding and 1 preceding)")
-    return df.withColumn("med", med).select(*K, us("ts_event"), F.round(F.col("n_ticks") / F.col("med"), 6).alias("intensity"))
+    df = chunked(_bars(spark, sf).withColumn("hour", F.hour("ts_open")), [*K, "hour"], "ts_event", 10)
+    med = F.expr("percentile(cast(n_ticks as double), 0.5) over (partition by venue, instrument, hour, chunk order by rn rows between 10 preceding and 1 preceding)")
+    return df.withColumn("med", med).filter("not halo").select(*K, us("ts_event"), F.round(F.col("n_ticks") / F.col("med"), 6).alias("intensity"))
 
 
 _VOL = FT.FEATURES["ft10_realised_vol"]

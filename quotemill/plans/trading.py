@@ -201,7 +201,8 @@ def _(spark, sf):
 
 @query("cst4_slippage", ctes(*BARS, POS_SQL, _COST2, f"a as (select *, avg(high - low) over {W[:-1]} rows between 13 preceding and current row) as atr from ct)") + "select venue, instrument, round(sum(0.1 * spread_mean + 0.05 * traded / 2.0 * atr + case when abs(move) > 3 * atr then 0.5 * abs(move) else 0 end), 6) as slip from a where traded > 0 group by all")
 def _(spark, sf):
-    df = _traded(spark, sf).withColumn("atr", F.expr(f"avg(high - low) over {W[:-1]} rows between 13 preceding and current row)")).filter("traded > 0")
+    df = chunked(_traded(spark, sf), K, "ts_event", 14)
+    df = df.withColumn("atr", F.expr("avg(high - low) over (partition by venue, instrument, chunk order by rn rows between 13 preceding and current row)")).filter("not halo and traded > 0")
     return df.groupBy(*K).agg(F.round(F.sum(C.slippage(F.col("spread_mean"), F.col("traded"), F.lit(2.0), F.col("atr"), F.col("move"))), 6).alias("slip"))
 
 
