@@ -511,6 +511,18 @@ def test_packing(spark, odd, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_pieces_are_those_of_the_tokenizer():
+    """Any text of the characters that are cut here: the same ids as from the tokenizer itself."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, known = Tokenizer.from_file(path), packing._Pieces(open(path).read())
+    plain = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)]]
+    assert all(known.splits(c) for c in plain) and not known.splits("\x0b") and not known.splits("\xa0") and not known.splits("a <|endoftext|>")
+    r = random.Random(1)
+    texts = plain + [" " + c for c in plain] + ["".join(r.choice([r.choice(plain), r.choice(["'s", " 'll", "  ", "'RE", "\n\n", " a", "1", "²", "é", "_", "ß"])]) for _ in range(r.randrange(60))) for _ in range(3000)]
+    got = packing.token_bytes(texts, known)
+    assert [list(np.frombuffer(x, "<u4")) for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_best_fit():
     r = random.Random(6)
     for _ in range(40):
