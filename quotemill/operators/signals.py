@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timex
+from ..sources import io
 from ..sources.schemas import K
 from .asof import near_events
 from .crossing import first_crossing
@@ -205,7 +206,7 @@ def meta_label(data: DataFrame, folds: int = 3) -> DataFrame:
     fold, and the bet size it implies."""
     from pyspark.ml.functions import vector_to_array
 
-    out = None
+    data, out = io.settled(data, "labelled"), None
     for fold in range(folds):
         train = data.filter((F.col("fold") != fold) & (F.col("end_fold") != fold))
         one = _model(train).transform(data.filter(F.col("fold") == fold)).withColumn("probability", vector_to_array("probability")[1])
@@ -216,8 +217,8 @@ def meta_label(data: DataFrame, folds: int = 3) -> DataFrame:
 
 def permutation_importance(data: DataFrame, folds: int = 3) -> DataFrame:
     """Per fold and feature the accuracy of a model fitted on the other folds when the feature's values are dealt anew among
-    the rows of the fold, in an order set by a hash; ``none``: as they are."""
-    out = None
+    the rows of the fold, in an order set by a hash; ``none``: as they are. ``data`` is written once: each fit plans several jobs over it."""
+    data, out = io.settled(data, "labelled"), None
     for fold in range(folds):
         one = _fold_importance(data, fold).withColumn("fold", F.lit(fold))
         out = one if out is None else out.unionByName(one)

@@ -21,6 +21,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new path and read back: what is built on it has a short plan and doesn't work it out again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_raw(df: DataFrame, path: str, run_id: str, ingested_at: Column) -> None:
     """Append exactly what was received, with the ingest run; partitions follow source, instrument, year and month."""
     out = df.withColumns({"run_id": F.lit(run_id), "ingested_at": ingested_at, "yyyy": F.year("ts_event"), "mm": F.month("ts_event")})
