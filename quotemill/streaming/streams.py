@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,34 +61,69 @@ def split_late(stream: DataFrame, main: str, late: str, checkpoint: str, bound:
 class Deferral(StatefulProcessor):
     """Rows of a source leave in order of arrival, each once ``now`` has reached its availability and that of all before it.
 
-    The queue is kept as a list; rows wait for a processing-time timer at the head's availability.
+    Rows that are due when they come leave without being stored. The others queue in numbered blocks of ``block`` rows behind a
+    processing-time timer at the head's availability, so that a timer reads and writes only the blocks at the head.
     """
 
+    def __init__(self, block: int = 10_000):
+        self.block = block
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.queue = handle.getListState("queue", "seq long, at long")
-        self.released = handle.getValueState("released", "n long")
-
-    def _release(self, source: str, now_ms: int) -> pd.DataFrame:
-        waiting = [tuple(x) for x in self.queue.get()]
-        ready = []
-        while waiting and waiting[0][1] <= now_ms:
-            ready.append(waiting.pop(0))
-        self.queue.clear()
-        if waiting:
-            self.queue.put(waiting)
-            self.handle.registerTimer(waiting[0][1])
-        done = self.released.get()[0] if self.released.exists() else 0
-        self.released.update((done + len(ready),))
-        return pd.DataFrame([(source, s, a, done + i) for i, (s, a) in enumerate(ready)], columns=["source", "seq", "at", "place"])
+        self.queue = handle.getMapState("queue", "block long", "rows string")
+        self.ends = handle.getValueState("ends", "head long, tail long, released long")
+
+    @staticmethod
+    def _due(at: np.ndarray, now_ms: int) -> int:
+        """How many rows at the head leave."""
+        late = at > now_ms
+        return int(late.argmax()) if late.any() else len(at)
+
+    def _release(self, source: str, now_ms: int, seq: np.ndarray, at: np.ndarray) -> Iterator[pd.DataFrame]:
+        """``seq``, ``at``: new rows, in order."""
+        head, tail, done = self.ends.get() if self.ends.exists() else (0, 0, 0)
+        waits = None
+        while head < tail and waits is None:
+            old_seq, old_at = np.array(json.loads(self.queue.getValue((head,))[0]), np.int64)
+            n = self._due(old_at, now_ms)
+            yield self._out(source, old_seq[:n], old_at[:n], done)
+            done += n
+            if n < len(old_at):
+                waits = int(old_at[n])
+                if n:
+                    self._put(head, old_seq[n:], old_at[n:])
+            else:
+                self.queue.removeKey((head,))
+                head += 1
+        n = self._due(at, now_ms) if waits is None else 0
+        for i in range(0, n, 1_000_000):
+            yield self._out(source, seq[i : min(n, i + 1_000_000)], at[i : min(n, i + 1_000_000)], done + i)
+        done += n
+        for i in range(n, len(at), self.block):
+            waits = int(at[i]) if waits is None else waits
+            self._put(tail, seq[i : i + self.block], at[i : i + self.block])
+            tail += 1
+        self.ends.update((head, tail, done))
+        if waits is not None:
+            self.handle.registerTimer(waits)
+
+    def _put(self, number: int, seq: np.ndarray, at: np.ndarray) -> None:
+        self.queue.updateValue((number,), (json.dumps([seq.tolist(), at.tolist()]),))
+
+    @staticmethod
+    def _out(source: str, seq: np.ndarray, at: np.ndarray, done: int) -> pd.DataFrame:
+        return pd.DataFrame({"source": pd.Series([source] * len(seq), dtype=object), "seq": seq, "at": at, "place": np.arange(done, done + len(seq))})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("seq")
-        self.queue.appendList([(int(s), int(a)) for s, a in pdf[["seq", "at"]].itertuples(index=False)])
-        yield self._release(key[0], timerValues.getCurrentProcessingTimeInMs())
+        parts = [(pdf["seq"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)) for pdf in rows]
+        seq, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(seq, kind="stable")
+        yield from self._release(key[0], timerValues.getCurrentProcessingTimeInMs(), seq[order], at[order])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._release(key[0], timerValues.getCurrentProcessingTimeInMs())
+        none = np.zeros(0, np.int64)
+        yield from self._release(key[0], timerValues.getCurrentProcessingTimeInMs(), none, none)
 
     def close(self) -> None:
         pass

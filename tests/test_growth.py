@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.operators import signals as S
+from quotemill.streaming.streams import Deferral
 
 
 def test_importance_has_a_short_plan(spark):
@@ -23,3 +24,119 @@ def test_importance_has_a_short_plan(spark):
     assert "Relation" in out._jdf.queryExecution().analyzed().toString() and "LogicalRDD" not in out._jdf.queryExecution().analyzed().toString()
     got = {(x.fold, x.feature): x.accuracy for x in out.collect()}
     assert len(got) == 12 and all(got[f, "none"] > 0.9 > 0.7 > got[f, "rsi"] for f in range(3))
+
+
+class Store:
+    """The state of one key in memory; ``moved``: letters written or read."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers, self.moved = {}, {}, [], 0
+
+    def getMapState(self, name, *kinds):
+        return MapOf(self)
+
+    def getValueState(self, name, *kinds):
+        return ValueOf()
+
+    def getListState(self, name, *kinds):
+        return ListOf(self)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class MapOf:
+    def __init__(self, store):
+        self.store, self.own = store, {}
+
+    def containsKey(self, k):
+        return k in self.own
+
+    def getValue(self, k):
+        self.store.moved += len(self.own[k][0])
+        return self.own[k]
+
+    def updateValue(self, k, v):
+        self.store.moved += len(v[0])
+        self.own[k] = v
+
+    def removeKey(self, k):
+        del self.own[k]
+
+    def keys(self):
+        return iter(list(self.own))
+
+
+class ValueOf:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+
+class ListOf:
+    def __init__(self, store):
+        self.store, self.own = store, []
+
+    def get(self):
+        self.store.moved += 20 * len(self.own)
+        return iter(self.own)
+
+    def clear(self):
+        self.own = []
+
+    def put(self, rows):
+        self.store.moved += 20 * len(rows)
+        self.own = list(rows)
+
+    def appendList(self, rows):
+        self.store.moved += 20 * len(rows)
+        self.own += rows
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def deferred(batches, timers):
+    """(place, seq) of what left at each instant, from batches of (seq, at) by instant; and the letters of state moved."""
+    p, store = Deferral(), Store()
+    p.init(store)
+    out = {}
+    for now in sorted({*batches, *timers}):
+        left = []
+        if now in batches:
+            left += list(p.handleInputRows(("s",), iter([pd.DataFrame(batches[now], columns=["seq", "at"])]), Clock(now)))
+        if now in timers:
+            left += list(p.handleExpiredTimer(("s",), Clock(now), None))
+        out[now] = [(int(x), int(y)) for df in left for x, y in zip(df["place"], df["seq"], strict=True)]
+    return out, store
+
+
+def test_deferral_waits_for_the_head():
+    batches = {10: [(2, 30), (1, 5), (3, 6)], 20: [(4, 8), (5, 50)]}
+    out, store = deferred(batches, [30, 40, 50])
+    assert out == {10: [(0, 1)], 20: [], 30: [(1, 2), (2, 3), (3, 4)], 40: [], 50: [(4, 5)]} and store.timers[0] == 30 and store.timers[-1] == 50
+
+
+def test_deferral_moves_no_state_for_rows_that_are_due():
+    """A million rows that are due leave at once; of a long queue a timer moves only the head."""
+    n = 1_000_000
+    out, store = deferred({n: [(i, i) for i in range(n)]}, [])
+    assert out[n] == [(i, i) for i in range(n)] and store.moved == 0
+    waiting = [(i, 1_000 + i) for i in range(100_000)]
+    out, store = deferred({1: waiting}, list(range(1_000, 1_020)))
+    assert [x for t in out.values() for x in t] == [(i, i) for i in range(20)] and store.moved < 20 * 2 * 200_000 + 3_000_000
