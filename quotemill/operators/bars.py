@@ -29,18 +29,26 @@ def ohlc(price: Column, order: Column, prefix: str = "") -> list[Column]:
     return [F.min_by(price, order).alias(f"{prefix}open"), F.max(price).alias(f"{prefix}high"), F.min(price).alias(f"{prefix}low"), F.max_by(price, order).alias(f"{prefix}close")]
 
 
-def _summary(df: DataFrame, by: list) -> DataFrame:
+def exact_mean(spread: Column) -> Column:
+    """The mean of spreads from decimal sums, which are the same in any order of the rows; prices have five decimals."""
+    return F.sum(spread.cast("decimal(18,5)")).cast("double") / F.count(spread)
+
+
+def _summary(df: DataFrame, by: list, exact: bool = False) -> DataFrame:
     order = F.struct("ts_event", "source", "seq")
     return df.groupBy(*by).agg(
         *ohlc(F.col("mid"), order), F.max_by(F.col("bid").cast("double"), order).alias("bid_close"), F.max_by(F.col("ask").cast("double"), order).alias("ask_close"),
-        F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"), F.count(F.lit(1)).alias("n_ticks"),
+        (exact_mean(F.col("spread")) if exact else F.avg("spread")).alias("spread_mean"), F.max("spread").alias("spread_max"), F.count(F.lit(1)).alias("n_ticks"),
         F.max("ts_recv").alias("last_recv"), F.max("seq").alias("seq"),
     )
 
 
-def time_bars(ticks: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Closed bars over ``[open, close)``, stamped with the close; no bar without a usable tick."""
-    out = _summary(usable(ticks), [*K, F.window("ts_event", width).alias("w")])
+def time_bars(ticks: DataFrame, width: str = "1 hour", exact: bool = False) -> DataFrame:
+    """Closed bars over ``[open, close)``, stamped with the close; no bar without a usable tick.
+
+    ``exact``: mean spreads that don't depend on the order of the ticks, to compare two builds; otherwise sums of doubles as in SQL.
+    """
+    out = _summary(usable(ticks), [*K, F.window("ts_event", width).alias("w")], exact)
     return out.select(*K, F.col("w.start").alias("ts_open"), F.col("w.end").alias("ts_event"), *[c for c in out.columns if c not in (*K, "w")])
 
 

@@ -140,7 +140,7 @@ def _(spark, sf):
     """Every bar of the batch: whether the stream has sealed it, and then whether both are the same."""
     cols = [*K, us("ts_event"), *r6("open", "high", "low", "close", "spread_mean", "spread_max"), "n_ticks"]
     stream = _run(spark, ST.sealed_bars(_tick_stream(spark, sf, 3), "1 hour", "2 hours")).select(*cols)
-    batch = B.time_bars(views.ticks(spark, sf)).select(*cols)
+    batch = B.time_bars(views.ticks(spark, sf), exact=True).select(*cols)
     key = [*K, "ts_us"]
     side = lambda df, name: df.select(*key, F.struct(*[c for c in df.columns if c not in key]).alias(name))
     both = side(batch, "b").join(side(stream, "s"), key, "full_outer")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..operators.bars import usable
+from ..operators.bars import exact_mean, usable
 from ..sources.schemas import K
 
 
@@ -33,7 +33,7 @@ def sealed_bars(ticks: DataFrame, width: str, delay: str) -> DataFrame:
     order = F.struct("ts_event", "source", "seq")
     out = usable(ticks).withWatermark("ts_event", delay).groupBy(*K, F.window("ts_event", width).alias("w")).agg(
         F.min_by("mid", order).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", order).alias("close"),
-        F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"), F.count(F.lit(1)).alias("n_ticks"),
+        exact_mean(F.col("spread")).alias("spread_mean"), F.max("spread").alias("spread_max"), F.count(F.lit(1)).alias("n_ticks"),
     )
     return out.select(*K, F.col("w.end").alias("ts_event"), "open", "high", "low", "close", "spread_mean", "spread_max", "n_ticks")
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quotemill.operators import bars as B
 from quotemill.operators import signals as S
 from quotemill.streaming.streams import Deferral
 
@@ -140,3 +141,16 @@ def test_deferral_moves_no_state_for_rows_that_are_due():
     waiting = [(i, 1_000 + i) for i in range(100_000)]
     out, store = deferred({1: waiting}, list(range(1_000, 1_020)))
     assert [x for t in out.values() for x in t] == [(i, i) for i in range(20)] and store.moved < 20 * 2 * 200_000 + 3_000_000
+
+
+def test_mean_spread_in_any_order(spark):
+    """A sum of doubles depends on how ticks were dealt, and at 16 ticks an hour the mean often lies between two last digits."""
+    t = spark.range(40_000).selectExpr(
+        "'VA' as venue", "'EUR_USD' as instrument", "'src_a' as source", "id as seq", "timestamp_micros(1704186000000000 + (id % 2500) * 3600000000) as ts_event", "timestamp_micros(1704186000000000) as ts_recv",
+        "cast(100 as decimal(18,5)) as bid", "cast(100.001 + 0.001 * (xxhash64(id) % 9 + 9) as decimal(18,5)) as ask", "cast(array() as array<string>) as quality_flags",
+    )
+    means = lambda df: {x.ts_event: x.spread_mean for x in B.time_bars(df, exact=True).collect()}
+    one = means(t.coalesce(1))
+    assert len(one) > 1_000
+    for n in (3, 7):
+        assert means(t.repartition(n, "seq")) == one
