@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import timex
 from ..sources.schemas import K
 from .bars import flagged
+from .windows import sliding_median
 
 
 def _per_series(time: str = "ts_event") -> str:
@@ -18,8 +19,7 @@ def _per_series(time: str = "ts_event") -> str:
 def spread_outliers(ticks: DataFrame, multiple: float = 10) -> DataFrame:
     """``outlier`` where the spread is over ``multiple`` times its median of the hour before, within the session day."""
     df = flagged(ticks).withColumn("day", timex.session_date(F.col("ts_event")))
-    median = F.expr(f"percentile(spread, 0.5) over ({_per_series()} range between interval 1 hour preceding and current row)")
-    return df.withColumn("median", median).withColumn("outlier", F.col("spread") > multiple * F.col("median"))
+    return sliding_median(df, [*K, "day"], "ts_event", "spread", 3_600, "median").withColumn("outlier", F.col("spread") > multiple * F.col("median"))
 
 
 def price_outliers(ticks: DataFrame, multiple: float = 20, window: int = 50, within: int = 5, back: float = 0.5) -> DataFrame:

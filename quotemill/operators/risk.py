@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.schemas import K
 from .asof import islands
-from .windows import bucketed, indexed, running_last
+from .windows import bucketed, indexed, running_last, sliding_median
 
 # The legal transitions of the order lifecycle.
 LEGAL = [
@@ -62,9 +62,8 @@ def overstayed(log: DataFrame, by: str, order: list[str], until: Column, limits:
 
 def spread_blowout(ticks: DataFrame, multiple: float = 5.0, hours: int = 6, seconds: float = 60.0) -> DataFrame:
     """Stretches of over ``seconds`` in which the spread is over ``multiple`` times its median of the last ``hours``. ``ticks``: K, ts_event, seq, spread."""
-    df = bucketed(ticks, "ts_event", hours * 3_600)
-    median = F.expr(f"percentile(spread, 0.5) over (partition by venue, instrument, bucket order by ts_event range between interval {hours} hours preceding and current row)")
-    df = df.withColumn("med", median).filter("not halo")
+    df = bucketed(ticks.select(*K, "ts_event", "seq", "spread"), "ts_event", hours * 3_600)
+    df = sliding_median(df, [*K, "bucket"], "ts_event", "spread", hours * 3_600, "med").filter("not halo")
     return runs_over(df.select(*K, "ts_event", "seq", (F.col("spread") > multiple * F.col("med")).alias("wide")), K, "wide", seconds)
 
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.operators import bars as B
+from quotemill.operators import risk as R
 from quotemill.operators import signals as S
+from quotemill.operators.windows import sliding_median
 from quotemill.streaming.streams import Deferral
 
 
@@ -154,3 +156,20 @@ def test_mean_spread_in_any_order(spark):
     assert len(one) > 1_000
     for n in (3, 7):
         assert means(t.repartition(n, "seq")) == one
+
+
+def test_sliding_median(spark):
+    """As Spark's own percentile over the frame, with ties, nulls and silences."""
+    df = spark.range(3_000).selectExpr("id % 3 as k", "if(id % 50 = 7, null, timestamp_micros(pmod(xxhash64(id), 400) * 1000000 + id % 7 * 200000000)) as t", "id", "if(id % 11 = 3, null, pmod(xxhash64(id, 1), 40) / 8.0D) as x", "cast(id as decimal(18,5)) as d")
+    got = sliding_median(df, ["k"], "t", "x", 30, "med")
+    want = df.withColumn("med", F.expr("percentile(x, 0.5) over (partition by k order by t range between interval 30 seconds preceding and current row)"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(got) == rows(want)
+
+
+def test_spread_blowout_of_a_dense_series(spark):
+    """A million quotes in six hours: each enters and leaves its frame once (before: half a million million steps)."""
+    n = 1_000_000
+    t = spark.range(n).selectExpr("'VA' as venue", "'US500' as instrument", "timestamp_micros(1704186000000000 + id * 21000) as ts_event", "id as seq", "if(id between 800000 and 809999, 9.0D, 1.0D + id % 3 / 10) as spread")
+    out = R.spread_blowout(t).collect()
+    assert [(x.n, x.since.timestamp()) for x in out] == [(10_000, 1704186000 + 800_000 * 0.021)]
