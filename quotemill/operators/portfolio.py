@@ -123,9 +123,7 @@ def netted(fills: DataFrame, by: list[str], order: list[str], size: int = 20_000
     The position is a running sum; with it known, what a chunk of fills does to the average price is linear, so the average at its
     start follows from the chunks before.
     """
-    rows = indexed(fills, by, order[0], "nth", order).withColumn("__chunk", F.floor((F.col("nth") - 1) / size))
-    rows = rows.withColumn("signed", F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty")))
-    rows = running_sum(rows, by, "__chunk", "nth", "signed", "position").drop("__chunk")
+    rows = fills.select(*dict.fromkeys([*by, *order, "ts_event", "broker_fill_id", "price"]), F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty")).alias("signed"))
     columns = lambda pdf: ((pdf["position"] - pdf["signed"]).tolist(), pdf["signed"].tolist(), pdf["price"].tolist())
 
     def then(state: list, effect: list) -> list:
@@ -138,8 +136,8 @@ def netted(fills: DataFrame, by: list[str], order: list[str], size: int = 20_000
             state = then(state, average_cost(*[[x] for x in row]))
             averages.append(state[0])
             sums.append(state[1])
-        return pdf.assign(average=averages, realised=sums, nth=pdf["nth"] - 1)[names]
+        return pdf.assign(average=averages, realised=sums, nth=pdf["rn"] - 1)[names]
 
     names = [*by, "ts_event", "broker_fill_id", "nth", "position", "average", "realised"]
     schema = ", ".join(f"`{c}` {fills.schema[c].dataType.simpleString()}" for c in names[:-4]) + ", nth long, position double, average double, realised double"
-    return scanned(rows, by, [order[0], "nth"], [0.0, 0.0], lambda pdf: list(average_cost(*columns(pdf))), then, walk, schema, size)
+    return scanned(rows, by, order, [0.0, 0.0], lambda pdf: list(average_cost(*columns(pdf))), then, walk, schema, size, {"position": "signed"})

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import indexed
+from ..sources import io
+from .windows import blocked
 
 #: What the rows of a chunk do to a state, as data; and the state after a chunk from the one before it and that.
 Effect = Callable[[pd.DataFrame], object]
@@ -20,34 +21,38 @@ Then = Callable[[object, object], object]
 Walk = Callable[[pd.DataFrame, object], pd.DataFrame]
 
 
-def scanned(df: DataFrame, by: list[str], order: list[str], start: object, effect: Effect, then: Then, walk: Walk, schema: str, size: int = 20_000) -> DataFrame:
+def scanned(
+    df: DataFrame, by: list[str], order: list[str], start: object, effect: Effect, then: Then, walk: Walk, schema: str, size: int = 20_000, sums: dict[str, str] | None = None,
+) -> DataFrame:
     """``walk`` over ``df``, each chunk with the state that the rows before it leave.
 
-    ``order`` begins with a time; chunks have ``size`` rows at most and get them sorted, with their number ``rn`` in the series. States and
-    effects pass as JSON, a row for each chunk, so these and one chunk are all that a task holds.
-    """
-    rows = indexed(df, by, order[0], order=order).withColumn("chunk", F.floor((F.col("rn") - 1) / size))
-    keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", chunk long"
+    ``order`` begins with a time; chunks have ``size`` rows at most and get them sorted, with their number ``rn`` in the series and the running
+    ``sums`` (a name and of what). States and effects pass as JSON, a row for each chunk, so these and one chunk are all that a task holds. The
+    states are written, and rows are shuffled once for them and once for the walk.
+    """
+    rows = blocked(df, by, order, size, sums)
+    parts = [*by, "__stretch", "chunk"]
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in parts)
     first = json.dumps(start)
 
     def effects(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[[*by, "chunk"]].head(1).assign(effect=json.dumps(effect(pdf.sort_values("rn"))))
+        return pdf[parts].head(1).assign(effect=json.dumps(effect(pdf.sort_values("rn"))))
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, found = pdf.sort_values("chunk"), json.loads(first), []
+        pdf, state, found = pdf.sort_values(["__stretch", "chunk"]), json.loads(first), []
         for x in pdf["effect"]:
             found.append(json.dumps(state))
             state = then(state, json.loads(x))
-        return pdf[[*by, "chunk"]].assign(state=found)
+        return pdf[parts].assign(state=found)
 
     def walked(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
-        return walk(pdf.drop(columns=["chunk", "state"]), json.loads(pdf["state"].iloc[0]))
+        return walk(pdf.drop(columns=["__stretch", "chunk", "state"]), json.loads(pdf["state"].iloc[0]))
 
-    states = rows.groupBy(*by, "chunk").applyInPandas(effects, f"{keys}, effect string").groupBy(*by).applyInPandas(entries, f"{keys}, state string")
-    met = [rows[c].eqNullSafe(states[c]) for c in (*by, "chunk")]
+    states = io.settled(rows.groupBy(*parts).applyInPandas(effects, f"{keys}, effect string").groupBy(*by).applyInPandas(entries, f"{keys}, state string"), "states")
+    met = [rows[c].eqNullSafe(states[c]) for c in parts]
     both = rows.join(states, met).select(*[rows[c] for c in rows.columns], "state")
-    return both.groupBy(*by, "chunk").applyInPandas(walked, schema)
+    return both.groupBy(*parts).applyInPandas(walked, schema)
 
 
 def held_back(wants: list[float], widths: list[float], entry: float) -> list[float]:

@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..sources import io
+
+
+#: Rows of a task.
+PART = 200_000
+
 
 def indexed(df: DataFrame, by: list[str], time: str, name: str = "rn", order: list[str] | None = None) -> DataFrame:
     """``name``: the number of a row in its series, from 1: rows of the days before it and its place in its day, by ``order``
@@ -26,6 +32,28 @@ def indexed(df: DataFrame, by: list[str], time: str, name: str = "rn", order: li
     return out.withColumn(name, F.col("__before") + place).drop("__day", "__before")
 
 
+def blocked(df: DataFrame, by: list[str], order: list[str], size: int, sums: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with ``rn``, the number of a row in its series, and ``__stretch`` and ``chunk``: pieces of a series in order, of at most ``size`` rows.
+    ``sums``: names of running sums and of what.
+
+    Whole days go into stretches of about ``size`` rows by their counts, a small table that is written, so that rows are shuffled once, by
+    stretch; a longer day is cut into several chunks there. Tables of any size are dealt so that a task sorts about ``PART`` rows.
+    """
+    sums, day = sums or {}, F.to_date(order[0])
+    days = df.groupBy(*by, day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__s{i}") for i, c in enumerate(sums.values())])
+    ahead = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = {"__before": "__n"} | {f"__b{i}": f"__s{i}" for i in range(len(sums))}
+    days = days.withColumns({name: F.coalesce(F.sum(c).over(ahead), F.lit(0)) for name, c in firsts.items()}).withColumn("__stretch", F.floor(F.col("__before") / size))
+    begin = Window.partitionBy(*by, "__stretch").orderBy("__day").rowsBetween(Window.unboundedPreceding, 0)
+    days = io.settled(days.select(*by, "__day", "__n", "__stretch", *[F.first(name).over(begin).alias(name) for name in firsts]), "days")
+    total = days.agg(F.sum("__n")).first()[0] or 0
+    parts = max(1 + total // PART, min(1 + total // size, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    out = df.withColumn("__day", day).join(days.drop("__n"), [*by, "__day"]).drop("__day").repartition(parts, *by, "__stretch")
+    own = Window.partitionBy(*by, "__stretch").orderBy(*order)
+    out = out.withColumns({"__place": F.row_number().over(own)} | {name: F.col(f"__b{i}") + F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)) for i, (name, c) in enumerate(sums.items())})
+    return out.withColumns({"rn": F.col("__before") + F.col("__place"), "chunk": F.floor((F.col("__place") - 1) / size)}).drop("__place", *firsts)
+
+
 def chunked(df: DataFrame, by: list[str], time: str, lookback: int, size: int = 20_000, order: list[str] | None = None) -> DataFrame:
     """``df`` with ``rn``, ``chunk`` and ``halo``: rows that a chunk only looks back at appear in it once more, marked.
 

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotemill.operators import bars as B
+from quotemill.operators import portfolio as PF
 from quotemill.operators import risk as R
-from quotemill.operators import signals as S
-from quotemill.operators.windows import sliding_median
+from quotemill.operators import signals as S, windows
+from quotemill.operators.windows import blocked, sliding_median
 from quotemill.streaming.streams import Deferral
 
 
@@ -173,3 +174,29 @@ def test_spread_blowout_of_a_dense_series(spark):
     t = spark.range(n).selectExpr("'VA' as venue", "'US500' as instrument", "timestamp_micros(1704186000000000 + id * 21000) as ts_event", "id as seq", "if(id between 800000 and 809999, 9.0D, 1.0D + id % 3 / 10) as spread")
     out = R.spread_blowout(t).collect()
     assert [(x.n, x.since.timestamp()) for x in out] == [(10_000, 1704186000 + 800_000 * 0.021)]
+
+
+def exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+
+
+FILLS = ("concat('S', id % 3) as strategy_id", "timestamp_micros(if(id % 4 = 0, 0, id div 50 * 40000000000)) as ts_event", "id as broker_fill_id", "if(id % 3 = 1, 'SELL', 'BUY') as side", "cast(1 + id % 5 as double) as qty", "100.0D + id % 7 as price")
+
+
+def test_blocks(spark, monkeypatch):
+    """Numbers and sums as by windows over whole series, with a day of a quarter of all rows; parts follow the rows."""
+    monkeypatch.setattr(windows, "PART", 300)
+    df = spark.range(6_000).selectExpr(*FILLS)
+    w = "(partition by strategy_id order by ts_event, broker_fill_id rows between unbounded preceding and current row)"
+    out = blocked(df, ["strategy_id"], ["ts_event", "broker_fill_id"], 100, {"so_far": "qty"})
+    want = df.selectExpr("broker_fill_id", f"row_number() over {w} as rn", f"sum(qty) over {w} as so_far")
+    assert sorted(map(tuple, out.select("broker_fill_id", "rn", "so_far").collect())) == sorted(map(tuple, want.collect()))
+    sizes = out.groupBy("strategy_id", "__stretch", "chunk").agg(F.count("*").alias("n"), (F.max("rn") - F.min("rn") + 1).alias("m")).collect()
+    assert max(x.n for x in sizes) <= 100 and all(x.n == x.m for x in sizes)
+    assert out.rdd.getNumPartitions() == 21
+
+
+def test_fills_are_shuffled_once(spark):
+    out = PF.netted(spark.range(2_000).selectExpr(*FILLS), ["strategy_id"], ["ts_event", "broker_fill_id"], 100)
+    assert exchanges(out) <= 1
