@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof
@@ -77,3 +77,24 @@ def first_crossing(orders: DataFrame, quotes: DataFrame, by: list[str], start: s
         asked = down.select(*state, F.col("__hit.n").alias("__node"), F.lit(0).alias("__from"))
         down = hits[level].unionByName(search(asked, level).filter("__hit.t <= __b").select(*state, "__hit"))
     return down.select("__row.*", *[F.col(f"__hit.pick.{c}").alias(c) for c in pick])
+
+
+def least_within(orders: DataFrame, quotes: DataFrame, by: list[str], start: str, seconds: int, time: str, value: str, name: str) -> DataFrame:
+    """Distinct ``orders`` with ``name``: the least ``value`` of the quotes in ``(start, start + seconds]``; orders without any are left out.
+
+    For lifetimes of one length, and as many levels as wanted: time is cut into buckets of that length, so a lifetime is the rest of one
+    bucket and the beginning of the next. Both are running minima within a bucket, whatever the number of quotes in it.
+    """
+    width = seconds * 1_000_000
+    cut = lambda df: df.withColumn("__bucket", F.floor(F.col("__t") / width))
+    row = F.struct(*[F.col(f"`{c}`") for c in orders.columns])
+    probe = orders.filter(F.col(start).isNotNull()).select(*by, _us(start).alias("__t"), row.alias("__row"))
+    probe = probe.withColumn("__late", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("__t", F.col("__t") + F.when(F.col("__late"), width).otherwise(0))
+    q = quotes.filter(F.col(value).isNotNull()).select(*by, _us(time).alias("__t"), F.col(value).alias("__v"), F.lit(0).alias("__kind"))
+    both = cut(q.unionByName(probe.withColumn("__kind", F.lit(1)), allowMissingColumns=True))
+    rows = Window.partitionBy(*by, "__bucket")
+    up = rows.orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)  # quotes up to the end, with those at it
+    down = rows.orderBy(F.desc("__t"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0)  # quotes after the start, without those at it
+    found = both.withColumns({"__up": F.min("__v").over(up), "__down": F.min("__v").over(down)}).filter("__kind = 1")
+    found = found.select("__row.*", F.when(F.col("__late"), F.col("__up")).otherwise(F.col("__down")).alias("__v"))
+    return found.groupBy(*orders.columns).agg(F.min("__v").alias(name)).filter(F.col(name).isNotNull())

@@ -14,7 +14,7 @@ from ..operators import portfolio as PF
 from ..operators import risk as R
 from ..operators import signals as S
 from ..operators import validation_stats as V
-from ..operators.crossing import first_crossing
+from ..operators.crossing import first_crossing, least_within
 from ..operators.windows import bucketed, chunked, with_previous
 from ..sources import io, views
 from ..sources.schemas import K
@@ -298,10 +298,11 @@ def _(spark, sf):
     grid = spark.createDataFrame([(1.0,), (1.5,), (2.0,)], "mult double")
     df = _traded(spark, sf).groupBy("instrument").agg(F.sum("pnl").alias("gross"), F.sum(C.spread_cost(F.col("traded"), F.col("spread_mean"))).alias("cost"))
     t = views.ticks(spark, sf)
-    o = t.select(*K, F.col("seq").alias("id"), F.col("ts_event").alias("start"), (F.col("ts_event") + F.expr("interval 6 hours")).alias("stop"), (F.expr(B.MID) * 0.9999).alias("lim"))
-    q = t.select(*K, "ts_event", "seq", F.col("bid").cast("double").alias("bid"))
-    filled = lambda less, name: first_crossing(o.withColumn("at", F.col("lim") - less), q, K, "start", "stop", "ts_event", [("bid", "<=", "at")], ["seq"]).groupBy("instrument").agg(F.count(F.lit(1)).alias(name))
-    df = df.join(filled(0.0, "touched"), "instrument").join(filled(0.0005, "through"), "instrument", "left").withColumn("through", F.coalesce("through", F.lit(0)))
+    o = t.select(*K, F.col("seq").alias("id"), F.col("ts_event").alias("start"), (F.expr(B.MID) * 0.9999).alias("lim"))
+    q = t.select(*K, "ts_event", F.col("bid").cast("double").alias("bid"))
+    low = least_within(o, q, K, "start", 6 * 3_600, "ts_event", "bid", "low")
+    filled = low.groupBy("instrument").agg(F.count_if(F.col("low") <= F.col("lim")).alias("touched"), F.count_if(F.col("low") <= F.col("lim") - 0.0005).alias("through"))
+    df = df.join(filled.filter("touched > 0"), "instrument")
     return df.crossJoin(F.broadcast(grid)).select("mult", "instrument", F.round(F.col("gross") - F.col("mult") * F.col("cost"), 6).alias("net"), "touched", "through")
 
 

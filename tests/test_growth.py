@@ -9,6 +9,7 @@ from quotemill.operators import bars as B
 from quotemill.operators import portfolio as PF
 from quotemill.operators import risk as R
 from quotemill.operators import signals as S, windows
+from quotemill.operators.crossing import least_within
 from quotemill.operators.windows import blocked, sliding_median
 from quotemill.streaming.streams import Deferral
 
@@ -200,3 +201,14 @@ def test_blocks(spark, monkeypatch):
 def test_fills_are_shuffled_once(spark):
     out = PF.netted(spark.range(2_000).selectExpr(*FILLS), ["strategy_id"], ["ts_event", "broker_fill_id"], 100)
     assert exchanges(out) <= 1
+
+
+def test_least_within(spark):
+    """As by comparing every order with every quote: bounds, ties, nulls; and quotes are shuffled once for all levels."""
+    quote = ("id % 3 as k", "timestamp_micros(pmod(xxhash64(id), 300) * 1000000 - 50000000) as t", "if(id % 9 = 4, null, pmod(xxhash64(id, 7), 1000) / 10D) as bid")
+    q = spark.range(700).selectExpr(*quote)
+    o = spark.range(500).selectExpr("id % 4 as k", "id", "if(id % 20 = 3, null, timestamp_micros(pmod(xxhash64(id, 3), 320) * 1000000 - 60000000)) as a")
+    out = least_within(o, q, ["k"], "a", 25, "t", "bid", "low")
+    want = o.join(q, (o["k"] == q["k"]) & (q["t"] > o["a"]) & (q["t"] <= o["a"] + F.expr("interval 25 seconds"))).groupBy(o["k"], "id", "a").agg(F.min("bid").alias("low")).filter("low is not null")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() > 100
+    assert exchanges(out) <= 2
