@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,34 +28,41 @@ class PointInTime(StatefulProcessor):
         self.last = handle.getValueState("last", "fact string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list] = {}
+        new: dict[int, list[str]] = {}
         for pdf in rows:
-            at = pdf["at"].astype("datetime64[us]").astype("int64")
-            for t, is_fact, tie, data in zip(at.tolist(), pdf["is_fact"].tolist(), pdf["tie"].tolist(), pdf["data"].tolist(), strict=True):
-                new.setdefault(t // (1000 * self.bucket_ms), []).append([t, bool(is_fact), tie, data])
+            at = pdf["at"].astype("datetime64[us]").astype("int64").to_numpy()
+            bucket = at // (1000 * self.bucket_ms)
+            order = np.argsort(bucket, kind="stable")
+            columns = [at[order], *[pdf[c].to_numpy()[order] for c in ("is_fact", "tie", "data")]]
+            for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket[order])) + 1):
+                if len(part):
+                    new.setdefault(int(bucket[order[part[0]]]), []).append(json.dumps([c[part].tolist() for c in columns]))
         for bucket, own in new.items():
-            had = json.loads(self.waiting.getValue((bucket,))[0]) if self.waiting.containsKey((bucket,)) else []
+            had = [self.waiting.getValue((bucket,))[0]] if self.waiting.containsKey((bucket,)) else []
             if not had:
                 self.handle.registerTimer((bucket + 1) * self.bucket_ms)
-            self.waiting.updateValue((bucket,), (json.dumps(had + own),))
+            self.waiting.updateValue((bucket,), ("\n".join(had + own),))
         yield pd.DataFrame([], columns=[self.by, "at", "data", "fact"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs() // self.bucket_ms
         out, carried = [], json.loads(self.last.get()[0]) if self.last.exists() else None
         for bucket in sorted(k[0] for k in self.waiting.keys() if k[0] < due):
-            own = json.loads(self.waiting.getValue((bucket,))[0])
-            facts = sorted([r for r in own if r[1]], key=lambda r: (r[0], r[2]))
-            times = [r[0] for r in facts]
-            for t, _, _, data in (r for r in own if not r[1]):
-                place = bisect_right(times, t)
-                found = facts[place - 1] if place else carried
-                out.append((key[0], pd.Timestamp(t, unit="us"), data, found[3] if found else None))
-            carried = facts[-1] if facts else carried
+            parts = [json.loads(x) for x in self.waiting.getValue((bucket,))[0].split("\n")]  # JSON has no bare line feeds
+            at, is_fact, tie = (np.concatenate([np.array(p[i]) for p in parts]) for i in range(3))
+            data = np.array([x for p in parts for x in p[3]], object)
+            facts, probes = np.flatnonzero(is_fact), np.flatnonzero(~is_fact)
+            facts = facts[np.lexsort((tie[facts], at[facts]))]
+            place = np.searchsorted(at[facts], at[probes], "right")
+            known = np.array([carried[3] if carried else None, *data[facts]], object)
+            out.append(pd.DataFrame({self.by: pd.Series([key[0]] * len(probes), dtype=object), "at": at[probes].astype("datetime64[us]"), "data": data[probes], "fact": known[place]}))
+            if len(facts):
+                last = facts[-1]
+                carried = [int(at[last]), True, tie[last].item(), data[last]]
             self.waiting.removeKey((bucket,))
         if carried is not None:
             self.last.update((json.dumps(carried),))
-        yield pd.DataFrame(out, columns=[self.by, "at", "data", "fact"])
+        yield pd.concat(out) if out else pd.DataFrame([], columns=[self.by, "at", "data", "fact"])
 
     def close(self) -> None:
         pass

@@ -1,5 +1,7 @@
 """What must not grow faster than the tables: plans, states, copies of rows; and exact answers where sums were in any order."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,6 +13,7 @@ from quotemill.operators import risk as R
 from quotemill.operators import signals as S, windows
 from quotemill.operators.crossing import least_within
 from quotemill.operators.windows import blocked, sliding_median
+from quotemill.streaming.pit import PointInTime
 from quotemill.streaming.streams import Deferral
 
 
@@ -212,3 +215,30 @@ def test_least_within(spark):
     want = o.join(q, (o["k"] == q["k"]) & (q["t"] > o["a"]) & (q["t"] <= o["a"] + F.expr("interval 25 seconds"))).groupBy(o["k"], "id", "a").agg(F.min("bid").alias("low")).filter("low is not null")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() > 100
     assert exchanges(out) <= 2
+
+
+class Due:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):
+        return self.at
+
+
+def test_point_in_time_by_columns():
+    """Ties and facts carried over buckets as by a plain search; and rows are not taken one by one."""
+    r = np.random.default_rng(5)
+    n = 300_000
+    df = pd.DataFrame({"at": pd.to_datetime(r.integers(0, 4 * 3_600_000, n) * 1_000_000 // 1_000, unit="us"), "is_fact": r.random(n) < 0.3, "tie": r.integers(0, 1_000_000, n), "data": [f'{{"a\\n":{i}}}' for i in range(n)]})
+    df = df[(df["at"] < "1970-01-01 01:00") | (df["at"] > "1970-01-01 02:00") | ~df["is_fact"]].reset_index(drop=True)
+    p, store = PointInTime("k", 3_600_000), Store()
+    p.init(store)
+    since = time.process_time()
+    for part in (df[:1_000], df[1_000:]):
+        list(p.handleInputRows(("x",), iter([part]), Clock(0)))
+    out = pd.concat([x for t in sorted(store.timers) for x in p.handleExpiredTimer(("x",), None, Due(t))])
+    assert time.process_time() - since < 1.5
+    facts = df[df["is_fact"]].sort_values(["at", "tie"])
+    want = pd.merge_asof(df[~df["is_fact"]].sort_values("at", kind="stable"), facts[["at", "data"]].rename(columns={"data": "fact"}), on="at")
+    got = dict(zip(out["data"], out["fact"], strict=True))
+    assert got == dict(zip(want["data"], want["fact"].where(want["fact"].notna(), None), strict=True)) and len(out) == len(want)
