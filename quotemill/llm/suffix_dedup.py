@@ -9,9 +9,10 @@ transforms of one anchor are merged: the interleave of their rows is refined by
 step, so that rows whose suffixes agree in h bytes lie together, until h is ``length``. Common prefixes thus come from
 the steps at which rows part, and rows that never part are repeated strings; no suffix of two shards is compared.
 
-An anchor with over ``hot`` windows, or ``hot_bytes`` in them, would make one merge large. Its windows are cut into pieces of ``SPLIT`` start places
-by their distance from the anchor, which equal strings share, and the strings of each distinct piece are counted by
-128-bit hashes instead, which Spark aggregates before it shuffles them.
+An anchor with over ``hot`` distinct windows, or ``hot_bytes`` in them, would make one merge large. Its windows are cut into
+parts of ``WIDTHS[0]`` start places by their distance from the anchor, which equal strings share: all strings of such a part
+have all but ``WIDTHS[0] - 1`` of their bytes in common, so parts are dealt anew by these bytes. Groups that are still too large
+are cut further. A part of one start place is a string itself; only strings that are cut that far are counted one by one.
 
 Defined cases: null counts as empty; strings never cross texts; a text under ``length`` bytes keeps all; equal texts of
 ``length`` bytes or more lose all; repeated rows count as copies; an empty table gives an empty table.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ from .common import carrying, discard, lean, settle, small_batches
 GRAM = 32
 _BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-#: Start places of a part of a window with a hot anchor.
-SPLIT = 16
+#: Start places of a part of a window with a hot anchor, the first time it is cut, the second and so on.
+WIDTHS = (64, 16, 4, 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -103,27 +105,51 @@ def _runs(base: DataFrame, length: int) -> DataFrame:
     return base.select("tid", "text").mapInArrow(run, "anchor long, tid binary, place long, again boolean")
 
 
-def _pieces(text: bytes, anchor: int, first: int, last: int, hot: bool, length: int) -> Iterator[tuple[int, int]]:
-    """(first, last): the run itself, or for a hot anchor its parts by the distance to the anchor."""
-    if not hot:
-        yield first, last
-        return
-    data = np.frombuffer(text, np.uint8)[first : last + length]
+def recurrence(content: bytes, length: int) -> np.ndarray:
+    """For each start place: 0 if its string is nowhere else in the window, 1 if it is the first of equal ones, 2 for the others."""
+    kind, first = np.zeros(len(content) - length + 1, np.int8), {}
+    for i in range(len(kind)):
+        if (j := first.setdefault(xxhash.xxh3_128_digest(content[i : i + length]), i)) != i:
+            kind[j], kind[i] = 1, 2
+    return kind
+
+
+def cut(content: bytes, anchor: int, width: int, length: int, whole: bool) -> Iterator[tuple[int, int, int, int]]:
+    """(first, last, kind, part): the runs of start places of a window that have their distance to the anchor in one range of
+    ``width``, and a hash of the range and of the bytes around the anchor that all strings of the run share.
+
+    ``whole``: the window isn't cut yet. Then places whose strings are also further left in it become runs of kind 2, so
+    that no window of periodic text has more parts than it has different strings.
+    Runs side by side with the same part stay one.
+    """
+    data = np.frombuffer(content, np.uint8)
     spots = np.flatnonzero(gram_hashes(data).view(np.int64) == anchor)
-    starts = np.arange(last - first + 1)
-    distance = (spots[np.searchsorted(spots, starts)] - starts) // SPLIT
-    cut = np.flatnonzero(np.append(True, distance[1:] != distance[:-1]))
-    for a, b in zip(cut, np.append(cut[1:], len(starts)), strict=True):
-        yield first + int(a), first + int(b) - 1
+    starts = np.arange(len(data) - length + 1)
+    nearest = spots[np.searchsorted(spots, starts)]
+    kind = recurrence(content, length) if whole and len(spots) > 1 else np.zeros(len(starts), np.int8)
+    distance = (nearest - starts) // width
+    at = np.flatnonzero(np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] < 2) & ((distance[1:] != distance[:-1]) | (nearest[1:] != nearest[:-1]))))
+    shared, name, before = max(length - width + 1, 0), anchor.to_bytes(8, "little", signed=True), None
+    ends = [*(at[1:] - 1).tolist(), len(starts) - 1]
+    for a, b, sort, far, begin in zip(at.tolist(), ends, kind[at].tolist(), distance[at].tolist(), (nearest - distance * width)[at].tolist(), strict=True):
+        part = xxhash.xxh3_64_intdigest(name + content[begin : begin + shared], far) - (1 << 63)
+        if width > 1 and before and before[2:] == (sort, part):
+            before = before[0], b, sort, part
+            continue
+        if before:
+            yield before
+        before = a, b, sort, part
+    if before:
+        yield before
 
 
 def _spot(tid: bytes, place: int) -> int:
     return int(np.int64(xxhash.xxh64_intdigest(tid + place.to_bytes(8, "little")) - (1 << 63)))
 
 
-def _found(batches: Iterator[pa.RecordBatch], length: int, hot: bool | None) -> Iterator[tuple[int, bytes, bytes, int, int] | None]:
-    """(anchor, tid, window, first, last) of every window of distinct texts, of hot anchors or others only if asked for;
-    None after each batch."""
+def _found(batches: Iterator[pa.RecordBatch], length: int, hot: bool) -> Iterator[tuple[int, bytes, bytes, int, int] | None]:
+    """(anchor, tid, window, first, last) of every window of distinct texts, those of hot anchors only if asked for; None after
+    each batch."""
     before = None
     for batch in batches:
         for row in range(batch.num_rows):
@@ -132,11 +158,9 @@ def _found(batches: Iterator[pa.RecordBatch], length: int, hot: bool | None) ->
                 continue  # a copy of the text before
             before, text = tid, batch.column("text")[row].as_py()
             for found in batch.column("found")[row].as_py():
-                if hot is not None and found["hot"] != hot:
-                    continue
-                first, last = found["place"] >> 32, found["place"] & 0xFFFFFFFF
-                for a, b in _pieces(text, found["anchor"], first, last, found["hot"], length):
-                    yield found["anchor"], tid, text[a : b + length], a, b
+                if hot or not found["hot"]:
+                    first, last = found["place"] >> 32, found["place"] & 0xFFFFFFFF
+                    yield found["anchor"], tid, text[first : last + length], first, last
         yield None
 
 
@@ -145,40 +169,64 @@ def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
+_CONTENTS = {"part": pa.int64(), "window": pa.binary(), "content": pa.binary(), "least": pa.int64(), "most": pa.int64()}
+
+
+def _once(found: Iterator[tuple[int, bytes, bytes, int, int] | None]) -> Iterator[pa.RecordBatch]:
+    """The windows found, once per task and distinct window, with the extremes of their spots."""
+    held, size = {}, 0
+    for each in found:
+        if each is None:
+            if size > 16_000_000:
+                yield _batch([(*k, *v) for k, v in held.items()], **_CONTENTS)
+                held, size = {}, 0
+            continue
+        part, tid, own, place, _ = each
+        spot, name = _spot(tid, place) >> 1, (part, xxhash.xxh3_128_digest(own))
+        _, low, high = held.get(name, (None, spot, spot))
+        size += len(own) * (name not in held)
+        held[name] = own, min(low, spot), max(high, spot)
+    yield _batch([(*k, *v) for k, v in held.items()], **_CONTENTS)
+
+
 def _contents(joined: DataFrame, length: int) -> DataFrame:
-    """The windows of anchors that aren't hot, once per task and distinct window, with the extremes of their spots."""
+    """The windows of anchors that aren't hot."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
-
-        def flush() -> pa.RecordBatch:
-            rows = [(*k, *v) for k, v in held.items()]
-            return _batch(rows, part=pa.int64(), window=pa.binary(), content=pa.binary(), least=pa.int64(), most=pa.int64())
-
-        for found in _found(batches, length, False):
-            if found is None:
-                if size > 16_000_000:
-                    yield flush()
-                    held, size = {}, 0
-                continue
-            part, tid, own, place, _ = found
-            spot, name = _spot(tid, place), (part, xxhash.xxh3_128_digest(own))
-            _, low, high = held.get(name, (None, spot, spot))
-            size += len(own) * (name not in held)
-            held[name] = own, min(low, spot), max(high, spot)
-        yield flush()
+        yield from _once(_found(batches, length, False))
 
     return joined.mapInArrow(run, "part long, window binary, content binary, least long, most long")
 
 
+def _hot_contents(base: DataFrame, anchors: np.ndarray, length: int) -> DataFrame:
+    """The windows of hot anchors, from the texts where they lie: they aren't shuffled for them."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, bytes, int, int] | None]:
+        for batch in batches:
+            for part in small_batches([batch], "text"):
+                own = dict(zip(part.column("tid").to_pylist(), part.column("text").to_pylist(), strict=True))
+                names, texts = list(own), list(own.values())
+                anchor, owner, first, last, _ = anchor_runs(texts, length)
+                for i in np.flatnonzero(np.isin(anchor.view(np.int64), anchors)).tolist():
+                    a, b = int(first[i]), int(last[i])
+                    yield int(anchor.view(np.int64)[i]), names[owner[i]], texts[owner[i]][a : b + length], a, b
+                yield None
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _once(found(batches))
+
+    return base.select("tid", "text").mapInArrow(run, "part long, window binary, content binary, least long, most long")
+
+
 def _places(joined: DataFrame, length: int) -> DataFrame:
     """Where each window is."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for found in _found(batches, length, None):
+        for found in _found(batches, length, True):
             if found is not None:
                 out.append((xxhash.xxh3_128_digest(found[2]), found[1], found[3], found[4]))
             else:
@@ -188,39 +236,64 @@ def _places(joined: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "window binary, tid binary, first long, last long")
 
 
-def _hot_strings(joined: DataFrame, length: int) -> DataFrame:
-    """Every string of the pieces of hot anchors: its hash, its piece and place there, and the extremes of its spots."""
+def _parts(windows: DataFrame, length: int, level: int) -> DataFrame:
+    """The parts of windows, or of parts of the level before: their names on this level, and from where to where in which parent
+    they begin; without a name: what is also further left in the parent."""
+    width = WIDTHS[level]
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {}
-
-        def flush() -> pa.RecordBatch:
-            rows = [(xxhash.xxh3_128_digest(own[i : i + length]), name, i, low + i, high + i) for name, (own, low, high) in held.items() for i in range(len(own) - length + 1)]
-            return _batch(rows, string=pa.binary(), window=pa.binary(), at=pa.int64(), least=pa.int64(), most=pa.int64())
-
-        for found in _found(batches, length, True):
-            if found is None:
-                if len(held) > 4_000:
-                    yield flush()
-                    held = {}
-                continue
-            _, tid, own, place, _ = found
-            spot, name = _spot(tid, place) >> 1, xxhash.xxh3_128_digest(own)
-            _, low, high = held.get(name, (None, spot, spot))
-            held[name] = own, min(low, spot), max(high, spot)
-        yield flush()
-
-    return joined.filter(F.exists("found", lambda x: x["hot"])).mapInArrow(run, "string binary, window binary, at long, least long, most long")
-
-
-def _hot_spans(strings: DataFrame) -> DataFrame:
-    """(window, a, b): the runs of start places whose strings occur elsewhere, too."""
-    twice = strings.groupBy("string").agg(F.min("least").alias("low"), F.max("most").alias("high")).filter("low < high").select("string")
-    hits = strings.join(twice, "string").groupBy("window").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    begin, end = F.filter("at", lambda x: ~F.array_contains("at", x - 1)), F.filter("at", lambda x: ~F.array_contains("at", x + 1))
-    ends = F.arrays_zip(begin.alias("a"), end.alias("b"))
-    return hits.select("window", F.explode(ends).alias("e")).select("window", "e.a", "e.b")
+        for batch in batches:
+            for piece in small_batches([batch], "content", 250_000):
+                out = []
+                for anchor, parent, content, least, most in zip(*(piece.column(c).to_pylist() for c in ("anchor", "window", "content", "least", "most")), strict=True):
+                    for a, b, kind, part in cut(content, anchor, width, length, level == 0):
+                        place = anchor, parent, least == most, a, b
+                        if kind == 2:
+                            out.append((*place, *[None] * 5))
+                            continue
+                        own, high = content[a : b + length], most if kind == 0 or least < most else most + 1
+                        out.append((*place, part, xxhash.xxh3_128_digest(own, level + 1), own if width > 1 else b"", least + a, high + a))
+                kinds = pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
+                yield _batch(out, **dict(zip(("anchor", "parent", "alone", "from", "to", "part", "window", "content", "least", "most"), kinds, strict=True)))
+
+    columns = "anchor long, parent binary, alone boolean, from long, to long, part long, window binary, content binary, least long, most long"
+    return windows.select("anchor", "window", "content", "least", "most").mapInArrow(run, columns)
+
+
+def _hot_windows(windows: DataFrame, length: int, hot: int, hot_bytes: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(windows and parts in groups that aren't hot; (window, a, b) of those decided already; for each level on which windows
+    were cut (parent, at, window): which part begins where in a parent that is no copy itself)."""
+    rest, links, whole = [], [], (F.octet_length("content") - length).cast("long")
+    done = windows.sparkSession.createDataFrame([], "window binary, a long, b long")
+    windows = windows.withColumn("anchor", F.col("part"))
+    for level in range(len(WIDTHS)):
+        extremes = [F.first("anchor").alias("anchor"), F.first("content").alias("content"), F.min("least").alias("least"), F.max("most").alias("most")]
+        windows = settle(windows.groupBy("part", "window").agg(*extremes))
+        groups = windows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content")).alias("size"), F.max(F.expr("least = most")).alias("open"))
+        groups = settle(groups.filter((F.col("n") > hot) | (F.col("size") > hot_bytes)).select("part", "open"))
+        rest.append(windows.join(F.broadcast(groups), "part", "left_anti").select("part", "window", "content", "least", "most"))
+        windows = windows.join(F.broadcast(groups), "part")
+        done = done.unionByName(windows.filter("least < most").select("window", F.lit(0).cast("long").alias("a"), whole.alias("b")))
+        if groups.filter("open").isEmpty():
+            break
+        parts = settle(_parts(windows.filter("open"), length, level))
+        done = done.unionByName(parts.filter("alone and window is null").select(F.col("parent").alias("window"), F.col("from").alias("a"), F.col("to").alias("b")))
+        links.append(parts.filter("alone and window is not null").select("parent", F.col("from").alias("at"), "window"))
+        windows = parts.filter("window is not null").drop("parent", "alone", "from", "to")
+    else:  # the parts are strings
+        twice = windows.groupBy("window").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most")
+        done = done.unionByName(twice.select("window", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+    return reduce(DataFrame.unionByName, rest), done, links
+
+
+def _up(merged: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """``merged`` (window, a, b) with what the parts say of the windows they were cut from."""
+    out = merged
+    for link in reversed(links):
+        above = link.join(out, "window").select(F.col("parent").alias("window"), (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+        out = merged.unionByName(above)
+    return out
 
 
 def transforms(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -370,17 +443,22 @@ def remove_repeats(
     found = settle(found)
     joined = base.join(found.hint("merge"), "tid").select("tid", "text", "row", "found")
 
-    contents = _contents(joined, length).withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(parts)))
-    merged = contents.groupBy("bucket").applyInArrow(lambda t: _merge(t, length), "window binary, a long, b long")
-    if not stats.filter("hot").isEmpty():
-        merged = merged.unionByName(_hot_spans(_hot_strings(joined, length)))
+    def merge(contents: DataFrame) -> DataFrame:
+        dealt = contents.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(parts)))
+        return dealt.groupBy("bucket").applyInArrow(lambda t: _merge(t, length), "window binary, a long, b long")
+
+    merged = merge(_contents(joined, length))
+    anchors = np.array([r.anchor for r in stats.filter("hot").select("anchor").collect()], np.int64)  # one for ``hot`` windows at most
+    if len(anchors):
+        cooled, decided, links = _hot_windows(_hot_contents(base, anchors, length), length, hot, hot_bytes)
+        merged = merged.unionByName(_up(settle(merge(cooled).unionByName(decided)), links))
     places = _places(joined, length).join(merged, "window")
     removed = places.select("tid", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     copies = base.groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size")).filter(f"n > 1 and size >= {length}")
     removed = removed.unionByName(copies.select("tid", F.lit(0).cast("long").alias("a"), (F.col("size") - length).cast("long").alias("b")))
-    cut = removed.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("cut"))
+    gone = removed.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("cut"))
     discard(runs, stats)
-    final = base.join(cut.hint("merge"), "tid", "left").select("tid", "text", "row", "cut")
+    final = base.join(gone.hint("merge"), "tid", "left").select("tid", "text", "row", "cut")
 
     @lean
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

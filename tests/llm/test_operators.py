@@ -334,6 +334,60 @@ def test_suffix_dedup(spark, odd, none, hot):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def arrow_rows(spark, after):
+    """Rows that the Arrow steps of all queries after the given one made, a query at a time, and the number of the last query."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran, out, last = store.executionsList(), [], after
+    for i in range(ran.size()):
+        if (number := ran.apply(i).executionId()) <= after:
+            continue
+        last, found, nodes = max(last, number), store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "InArrow" in node.name():
+                ids = [m.accumulatorId() for m in (node.metrics().apply(q) for q in range(node.metrics().size())) if m.name() == "number of output rows"]
+                out += [int(found.get(x).get().replace(",", "")) for x in ids if found.get(x).isDefined()]
+    return out, last
+
+
+def test_suffix_dedup_of_a_hot_passage_makes_few_rows(spark):
+    """One passage in many texts, within other text and within periodic text of many lengths: windows are cut where they still
+    are too many, and strings aren't made one by one."""
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = letters(420)
+    texts = [letters(r.randrange(150, 300)) + passage + letters(r.randrange(150, 300)) for _ in range(120)]
+    texts += [letters(100) + "is onhe. " * r.randrange(60, 300) + letters(100) for _ in range(60)]
+    texts += [letters(100) + passage[:190] + letters(100) for _ in range(60)] + [texts[0][:400] + letters(9), texts[130][50:]]
+    rows = list(enumerate(texts))
+    _, before = arrow_rows(spark, -1)
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=20, hot_bytes=8_000)
+    assert collected(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
+    made_rows, _ = arrow_rows(spark, before)
+    assert made_rows and max(made_rows) < 12 * len(texts) < sum(map(len, texts)) / 20
+
+
+def test_suffix_dedup_cuts_windows_down_to_strings():
+    """The parts of a window cover it, and equal strings are in equal parts, whatever else the windows hold."""
+    r = random.Random(6)
+    word = lambda n: bytes(r.choice(b"abc ") for _ in range(n))
+    core = word(260)
+    texts = [word(90) + core[a : a + 215] + word(90) for a in (0, 3, 9, 20, 33)] + [word(50) + b"on he. " * n + word(60) for n in (60, 61, 90)]
+    for width in suffix_dedup.WIDTHS:
+        parts = defaultdict(set)
+        for text in texts:
+            for anchor, _, first, last, _ in zip(*suffix_dedup.anchor_runs([text], 200), strict=True):
+                window, covered, left = text[first : last + 200], [], set()
+                for a, b, kind, part in suffix_dedup.cut(window, int(anchor.view(np.int64)), width, 200, True):
+                    own = {window[i : i + 200] for i in range(a, b + 1)}
+                    covered += range(a, b + 1)
+                    assert (own <= left) == (kind == 2)
+                    left |= own
+                    for string in own if kind < 2 else ():
+                        parts[string].add(part)
+                assert covered == list(range(last - first + 1))
+        assert parts and all(len(x) == 1 for x in parts.values())
+
+
 def test_suffix_dedup_carries_texts_of_later_steps(spark):
     """A batch of over ``STEP_ROWS`` rows is handled in slices."""
     rows = [(i, None if i % 7 == 0 else f"text {i}") for i in range(common.STEP_ROWS * 2)]
