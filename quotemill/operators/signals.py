@@ -179,7 +179,8 @@ FEATURE_NAMES = ("rsi", "position", "r1")
 
 
 def labelled(bars: DataFrame, width: float = 1.0, hours: int = 24, folds: int = 3) -> DataFrame:
-    """Features, label (touched the profit side) and fold of time of each bar; rows near a fold's edge are purged."""
+    """Features, label (touched the profit side) and fold of time of each bar; ``end_fold``: the fold in which an embargo of ``hours``, the longest life of
+    a label, after its label ends."""
     df = triple_barrier(bars, width, hours)
     for name in ("ft16_rsi", "ft5_donchian"):
         f = FEATURES[name]
@@ -188,58 +189,75 @@ def labelled(bars: DataFrame, width: float = 1.0, hours: int = 24, folds: int =
     edges = bars.agg(F.min(F.unix_micros("ts_event")).alias("first"), (F.max(F.unix_micros("ts_event")) + 1).alias("last"))
     df = df.crossJoin(F.broadcast(edges))  # one row
     share = lambda t: F.floor(folds * (F.unix_micros(t) - F.col("first")) / (F.col("last") - F.col("first"))).cast("int")
-    df = df.withColumns({"fold": share("ts_event"), "end_fold": share("touched"), "y": (F.col("label") == 1).cast("double")})
+    df = df.withColumns({"fold": share("ts_event"), "end_fold": share(F.col("touched") + F.expr(f"make_dt_interval(0, {hours})")), "y": (F.col("label") == 1).cast("double")})
     return df.dropna(subset=list(FEATURE_NAMES)).drop("first", "last")
 
 
+def _training(data: DataFrame, fold: int, hours: int) -> DataFrame:
+    """Rows whose label and the embargo after it end before the fold, and rows that begin over ``hours`` after its last row, when all its labels have ended."""
+    last = data.filter(F.col("fold") == fold).agg(F.max(F.unix_micros("ts_event"))).first()[0]
+    late = F.lit(True) if last is None else F.unix_micros("ts_event") > last + hours * 3_600_000_000
+    return data.filter((F.col("end_fold") < fold) | ((F.col("fold") > fold) & late))
+
+
 def _model(train: DataFrame):
+    """None if there is no row to learn from."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
+    if train.isEmpty():
+        return None
     stages = [VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="features"), GBTClassifier(labelCol="y", maxIter=3, maxDepth=2, seed=1)]
     return Pipeline(stages=stages).fit(train)
 
 
-def meta_label(data: DataFrame, folds: int = 3) -> DataFrame:
-    """Probability that the primary signal pays, from a model fitted on the other folds without labels that reach into the
-    fold, and the bet size it implies."""
+def meta_label(data: DataFrame, folds: int = 3, hours: int = 24) -> DataFrame:
+    """Probability that the primary signal pays, from a model fitted on the rows of the other folds that purging and an embargo of ``hours`` leave (null
+    if they leave none), and the bet size it implies."""
     from pyspark.ml.functions import vector_to_array
 
     data, out = io.settled(data, "labelled"), None
     for fold in range(folds):
-        train = data.filter((F.col("fold") != fold) & (F.col("end_fold") != fold))
-        one = _model(train).transform(data.filter(F.col("fold") == fold)).withColumn("probability", vector_to_array("probability")[1])
+        model, one = _model(_training(data, fold, hours)), data.filter(F.col("fold") == fold)
+        one = model.transform(one).withColumn("probability", vector_to_array("probability")[1]) if model else one.withColumn("probability", F.lit(None).cast("double"))
         one = one.select(*K, "ts_event", F.lit(fold).alias("fold"), "y", "probability")
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("bet", clipped(2 * F.col("probability") - 1, 0.0, 1.0))
+    return out.withColumn("bet", F.when(F.col("probability").isNotNull(), clipped(2 * F.col("probability") - 1, 0.0, 1.0)))
 
 
-def permutation_importance(data: DataFrame, folds: int = 3) -> DataFrame:
-    """Per fold and feature the accuracy of a model fitted on the other folds when the feature's values are dealt anew among
-    the rows of the fold, in an order set by a hash; ``none``: as they are. ``data`` is written once: each fit plans several jobs over it."""
+def permutation_importance(data: DataFrame, folds: int = 3, hours: int = 24) -> DataFrame:
+    """Per fold and feature the accuracy of a model fitted on the other folds (purged, with an embargo of ``hours``) when the feature's values are dealt
+    anew among all rows of the fold, in an order set by hashes, and its decrease from the accuracy with the values as they are (feature ``none``); null
+    where the fold or its training rows are empty. ``data`` is written once: each fit plans several jobs over it."""
     data, out = io.settled(data, "labelled"), None
     for fold in range(folds):
-        one = _fold_importance(data, fold).withColumn("fold", F.lit(fold))
+        one = _fold_importance(data, fold, hours).withColumn("fold", F.lit(fold))
         out = one if out is None else out.unionByName(one)
-    return out.select("fold", "feature", "accuracy")
-
-
-def _fold_importance(data: DataFrame, fold: int) -> DataFrame:
-    train = data.filter((F.col("fold") != fold) & (F.col("end_fold") != fold))
-    test = data.filter(F.col("fold") == fold).withColumn("h", F.xxhash64(*K, "ts_event"))
-    model = _model(train)
-    hit = F.avg((F.col("prediction") == F.col("y")).cast("double"))
-    rows = [model.transform(test).agg(F.lit("none").alias("feature"), hit.alias("accuracy"))]
-    place = lambda order, n: test.selectExpr("*", f"row_number() over (partition by venue, instrument, cast(ts_event as date) order by {order}) as {n}")
-    for name in FEATURE_NAMES:
-        other = place("h", "at").select(*K, F.to_date("ts_event").alias("day"), "at", F.col(name).alias("swapped"))
-        mixed = place("ts_event", "at").withColumn("day", F.to_date("ts_event")).join(other, [*K, "day", "at"]).withColumn(name, F.col("swapped"))
-        rows.append(model.transform(mixed).agg(F.lit(name).alias("feature"), hit.alias("accuracy")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("feature", F.round("accuracy", 6).alias("accuracy"))
+    return out.select("fold", "feature", "accuracy", "decrease")
+
+
+def dealt(data: DataFrame) -> DataFrame:
+    """``data`` with ``dealt``, the features of some row of the same fold: each row's are dealt once, to a row of any series and time.
+
+    The rows of a fold are numbered in the orders of two hashes, and the numbers are joined.
+    """
+    keys = [*K, "ts_event"]
+    place = lambda n: indexed(data.withColumn("__h", F.xxhash64(F.lit(n), *keys)), ["fold"], "__h", "__at", ["__h", *keys], F.shiftright("__h", 54)).drop("__h")
+    other = place(1).select("fold", "__at", F.struct(*FEATURE_NAMES).alias("dealt"))
+    return place(0).join(other, ["fold", "__at"]).drop("__at")
+
+
+def _fold_importance(data: DataFrame, fold: int, hours: int) -> DataFrame:
+    model, names = _model(_training(data, fold, hours)), ("none", *FEATURE_NAMES)
+    test = dealt(data.filter(F.col("fold") == fold))
+    cases = [F.struct(F.lit(n).alias("feature"), *[F.col(f"dealt.{c}" if c == n else c).alias(c) for c in FEATURE_NAMES]) for n in names]
+    test = test.select("y", F.explode(F.array(*cases)).alias("case")).select("y", "case.*")
+    test = model.transform(test) if model else test.withColumn("prediction", F.lit(None).cast("double"))
+    hit = (F.col("prediction") == F.col("y")).cast("double")
+    row = test.agg(*[F.round(F.avg(F.when(F.col("feature") == n, hit)), 6).alias(n) for n in names])
+    out = [F.struct(F.lit(n).alias("feature"), F.col(n).alias("accuracy"), F.round(F.col("none") - F.col(n), 6).alias("decrease")) for n in names]
+    return row.select(F.explode(F.array(*out)).alias("x")).select("x.*")
 
 
 def cash_open_impact(instants: DataFrame, quotes: DataFrame, minutes: int = 30) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pandas.api.indexers import BaseIndexer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -18,13 +18,14 @@ from ..sources import io
 PART = 200_000
 
 
-def indexed(df: DataFrame, by: list[str], time: str, name: str = "rn", order: list[str] | None = None) -> DataFrame:
+def indexed(df: DataFrame, by: list[str], time: str, name: str = "rn", order: list[str] | None = None, part: Column | None = None) -> DataFrame:
     """``name``: the number of a row in its series, from 1: rows of the days before it and its place in its day, by ``order``
     (``time`` first) if there are ties.
 
-    Days are counted first (a small table), so rows are only sorted within a series and day.
+    Days are counted first (a small table), so rows are only sorted within a series and day. ``part``: what to count by instead of
+    days, if ``time`` is another value; it must ascend with it.
     """
-    day = F.to_date(time)
+    day = F.to_date(time) if part is None else part
     days = df.groupBy(*by, day.alias("__day")).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(Window.partitionBy(*by, "__day").orderBy(*(order or [time])))

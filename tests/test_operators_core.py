@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with hot hours, ties, nulls and repeated rows."""
 
 import bisect
+import datetime as dt
 import random
 
 import numpy as np
@@ -10,10 +11,14 @@ from pyspark.sql import functions as F
 
 from quotemill.operators import portfolio as PF
 from quotemill.operators import risk as R
+from quotemill.operators import signals as S
 from quotemill.operators.crossing import extremes, first_crossing
 from quotemill.operators.transitions import after_hold, average_cost, held_back, hold_effect
+from quotemill.plans.feature_queries import _bars
 from quotemill.streaming.udf import apply_signal
 
+from .conftest import SF
+
 
 def micros(df, *columns):
     return df.withColumns({c: F.timestamp_micros(c) for c in columns})
@@ -181,3 +186,62 @@ def test_paths_cover_every_block_once(n, k):
     tested = {(s, b) for _, s, b in rows}
     for s, b, part in training_parts(n, k):
         assert (s, b) not in tested and not (part == "head" and (s, b - 1) in tested) and not (part == "tail" and (s, b + 1) in tested)
+
+
+def days_of_one_sign(days=60):
+    """Two series of hours in three folds; ``rsi`` has one value a series and day, and its sign is the label."""
+    rng = np.random.default_rng(5)
+    n = 24 * days
+    wide = lambda x: x + days * np.sign(x)
+    one = lambda i: pd.DataFrame({"venue": "v", "instrument": i, "ts_event": pd.to_datetime(np.arange(n) * 3_600, unit="s"), "rsi": np.repeat(wide(rng.permutation(days) - (days - 1) / 2), 24), "position": rng.normal(size=n), "r1": rng.normal(size=n), "fold": np.arange(n) * 3 // n})
+    rows = pd.concat([one("a"), one("b")])
+    return rows.assign(end_fold=rows["fold"], y=(rows["rsi"] > 0).astype(float))
+
+
+def test_importance_deals_values_among_the_whole_fold(spark):
+    """Values that are alike within a series and day lose what they tell, too."""
+    data = spark.createDataFrame(days_of_one_sign())
+    found = {(x.fold, x.feature): x for x in S.permutation_importance(data).collect()}
+    assert all(found[f, "none"].accuracy == found[f, "r1"].accuracy == 1 and 0.3 < found[f, "rsi"].accuracy < 0.7 for f in range(3))
+    rows = S.dealt(data).select("*", F.col("dealt.rsi").alias("other")).toPandas()
+    for f in range(3):
+        own = rows[rows["fold"] == f]
+        assert found[f, "rsi"].accuracy == pytest.approx(((own["other"] > 0) == (own["y"] == 1)).mean(), abs=1e-6)
+        assert all(found[f, c].decrease == pytest.approx(1 - found[f, c].accuracy) for c in ("none", "rsi", "position", "r1"))
+
+
+def test_dealt_values_are_a_permutation_of_a_fold(spark):
+    data = spark.createDataFrame(days_of_one_sign(12))
+    rows = S.dealt(data).select(*data.columns, *[F.col(f"dealt.{c}").alias(f"d_{c}") for c in ("rsi", "position", "r1")]).toPandas()
+    assert len(rows) == data.count()
+    for _, own in rows.groupby("fold"):
+        place = {p: i for i, p in enumerate(zip(own["rsi"], own["position"], own["r1"], strict=True))}
+        to = [place[p] for p in zip(own["d_rsi"], own["d_position"], own["d_r1"], strict=True)]
+        assert sorted(to) == list(range(len(own)))
+        from_, day = own["instrument"].to_numpy(), own["ts_event"].dt.date.to_numpy()
+        assert 0.3 < (from_ == from_[to]).mean() < 0.7 and (day == day[to]).mean() < 0.5
+    again = S.dealt(data.repartition(5)).select("instrument", "ts_event", "dealt.r1")
+    assert again.exceptAll(S.dealt(data).select("instrument", "ts_event", "dealt.r1")).isEmpty()
+
+
+def test_training_rows_keep_clear_of_the_fold(spark):
+    """Against the rule in plain Python, on labels that live up to a day."""
+    data = S.labelled(_bars(spark, SF)).select("venue", "instrument", "ts_event", "touched", "fold", "end_fold").cache()
+    rows, hour = data.toPandas(), pd.Timedelta(hours=1)
+    edges = _bars(spark, SF).agg(F.min("ts_event"), F.max("ts_event")).first()
+    width = (edges[1] - edges[0] + dt.timedelta(microseconds=1)) / 3
+    for f in range(3):
+        last = rows[rows["fold"] == f]["ts_event"].max()
+        keep = rows[(rows["touched"] + 24 * hour < edges[0] + f * width) | ((rows["fold"] > f) & (rows["ts_event"] > last + 24 * hour))]
+        got = S._training(data, f, 24).toPandas()
+        assert 0 < len(got) < (rows["fold"] != f).sum() and set(got.itertuples(index=False, name=None)) == set(keep.itertuples(index=False, name=None))
+    data.unpersist()
+
+
+def test_importance_without_rows_to_learn_from(spark):
+    """A table shorter than the embargo leaves none: no accuracy, but all rows of the result."""
+    data = spark.createDataFrame(days_of_one_sign(3)).withColumn("end_fold", F.col("fold") + 1)
+    for short in (data, data.filter("false")):
+        found = S.permutation_importance(short).collect()
+        assert len(found) == 12 and all(x.accuracy is None and x.decrease is None for x in found if x.fold == 1)
+    assert S.meta_label(data).filter("fold = 1").select("probability", "bet").distinct().collect() == [(None, None)]
